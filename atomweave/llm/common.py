@@ -1,0 +1,43 @@
+"""Helpers shared by the training-data operators."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Largest side, in rows, that is sent to every executor; larger sides are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+        shared_dir.own = found
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` into the shared folder and reads it again: a lost executor then costs no recomputation of what came before."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/atomweave/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint only when its counted ``rows`` are within ``limit``."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+def column_type(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def lower_ascii(text: Column) -> Column:
+    """Lower-cases A-Z alone, whatever the locale."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
