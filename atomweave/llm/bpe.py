@@ -30,7 +30,9 @@ LEAF_BYTES = 48
 #: Characters of a text that are split at a time.
 BLOCK_CHARS = 1 << 20
 #: Encoded pieces that a Python worker remembers; a full memory is emptied.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 600_000
+#: The rank of two neighbours that no merge joins.
+NEVER = 1 << 62
 
 
 class TreeBpe:
@@ -46,19 +48,17 @@ class TreeBpe:
         ranks, n = self.ranks, len(data)
         if n > 2 * self.leaf:
             return self._merge_long(data)
-        parts = [data[i : i + 1] for i in range(n)]
-        pairs = [ranks.get(data[i : i + 2]) for i in range(n - 1)]
-        while True:
-            best = min((r for r in pairs if r is not None), default=None)
-            if best is None:
-                return [ranks[p] for p in parts]
+        parts, get, bytes_of = [data[i : i + 1] for i in range(n)], ranks.get, self.bytes_of
+        pairs = [get(data[i : i + 2], NEVER) for i in range(n - 1)]
+        while pairs and (best := min(pairs)) != NEVER:
             i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            parts[i] = both = bytes_of[best]
+            del parts[i + 1], pairs[i]
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1])
+                pairs[i] = get(both + parts[i + 1], NEVER)
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i])
+                pairs[i - 1] = get(parts[i - 1] + both, NEVER)
+        return [ranks[p] for p in parts]
 
     def _merge_long(self, data: bytes) -> list[int]:
         """The same with a heap and links, for windows that grew long."""
@@ -149,7 +149,7 @@ def digest(text: str, path: str, split: str) -> tuple[int, str, str]:
         if len(ids_of) > CACHE_PIECES:
             ids_of.clear()
             bytes_of.clear()
-        for piece in {p for p in pieces if p not in ids_of}:
+        for piece in set(pieces).difference(ids_of):
             ids = coder.encode(piece.encode("utf-8", "replace"))
             ids_of[piece] = " ".join(map(str, ids))
             bytes_of[piece] = coder.decode(ids)
