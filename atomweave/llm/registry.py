@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, htmltext, secrets, setjoin, sharding, topk, toxicity
-from .common import shared_dir
+from . import bpe, decontaminate, htmltext, licenses, secrets, setjoin, sharding, tokencount, topk, toxicity
+from .common import cut, shared_dir, sized
 
 N_SHARDS = 24
-BYTE_BPE = "byte_bpe_50k.tiktoken"
+BYTE_BPE, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.link_components(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -63,12 +67,18 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(found)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    names = F.transform("found", lambda x: x["license"])
+    return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.to_json("found").alias("evidence"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return htmltext.extract(pages, htmltext.fit(pages))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_toxicity, op4_exact_topk, op5_ngram_jaccard, op7_secrets, op8_decontaminate, op10_html_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_toxicity, op4_exact_topk, op5_ngram_jaccard, op6_token_counts, op7_secrets, op8_decontaminate, op9_licenses, op10_html_text)}
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
@@ -109,4 +119,46 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
 """,
 }
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below one half."""
+    return toxicity.keep_clean(docs, toxicity_machine(spark, docs, sf_dir))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked or equal documents, the one with the smallest id. Rows that repeat an id and text leave one; documents
+    without words, and rows without an id, stay."""
+    found = setjoin.link_components(docs).where((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
+    found = cut(found, "copies")
+    kept = docs.join(sized(found, found.count()), "doc_id", "left_anti").select(*docs.columns)
+    return kept.dropDuplicates() if repeats(kept) else kept
+
+
+def repeats(docs: DataFrame) -> bool:
+    """Whether any id occurs twice."""
+    return bool(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count())
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a test item occurs."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced in their texts and lengths brought up to date."""
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    return bpe.encode_documents(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", keep_one_of_each_group),
+    ("decontaminate", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("byte_bpe", encode),
+]
