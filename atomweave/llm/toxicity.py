@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import column_type
 
-TRAIN_DOCS, TRAIN_CHARS = 6_000, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 5_000, 20_000
 LANDMARKS, CLEAN_LANDMARKS, CLEAN_WORDS = 128, 24, 12_000
 DECAY, SPAN, BITS = 0.7, 5, 18
 #: Words beyond so many characters are read through windows that overlap by half.
@@ -131,6 +131,8 @@ class Machine:
     curve: np.ndarray
 
     def margins(self, words: list[str]) -> np.ndarray:
+        if len(words) > 8192:  # a table of words by landmarks is made for so many words at a time
+            return np.concatenate([self.margins(words[k : k + 8192]) for k in range(0, len(words), 8192)])
         found = np.clip(self.landmarks.likeness(words) @ self.weights + np.float32(self.offset), LOW, HIGH)
         for at, word in enumerate(words):
             if not word:
@@ -204,17 +206,20 @@ def train(texts: list[str], labels: list[int]) -> Machine:
     texts, y = list(once), np.array(list(once.values()), float)
     if not texts or y.min() == y.max():
         return never
-    read = [parsed(text) for text in texts]
-    sentences = [[[w for t in tokens if (w := bare(t))] for tokens in text] for text in read]
-    toxic, clean, often = Counter(), Counter(), Counter()
+    same: dict[str, str] = {}  # one string for each distinct token, not for each occurrence
+    read = [[[same.setdefault(t, t) for t in tokens] for tokens in parsed(text)] for text in texts]
+    plain_of = {t: bare(t) for t in same}
+    sentences = [[[w for t in tokens if (w := plain_of[t])] for tokens in text] for text in read]
+    del once, texts, same, plain_of
+    toxic, clean = Counter(), Counter()
     for doc, label in zip(sentences, y, strict=True):
         found = {w for s in doc for w in s}
         (toxic if label else clean).update(found)
-        often.update(found)
     n_toxic, n_clean = y.sum(), len(y) - y.sum()
     speaks = {w: float(np.log((toxic[w] + 0.1) / (n_toxic + 0.2)) - np.log((clean[w] + 0.1) / (n_clean + 0.2))) for w in toxic if toxic[w] >= 3}
     # how far the count in toxic documents lies above what chance gives
-    strength = {w: (toxic[w] - often[w] * n_toxic / len(y)) / np.sqrt(often[w] * n_toxic / len(y)) for w in speaks if len(w) <= WINDOW}
+    chance = lambda w: (toxic[w] + clean[w]) * n_toxic / len(y)
+    strength = {w: (toxic[w] - chance(w)) / np.sqrt(chance(w)) for w in speaks if len(w) <= WINDOW}
     ranked = [w for w in sorted(strength, key=lambda w: (-strength[w], w)) if speaks[w] > 1.0 and strength[w] > 3.0][: 8 * LANDMARKS]
     if not ranked:
         return never
@@ -233,6 +238,8 @@ def train(texts: list[str], labels: list[int]) -> Machine:
     pick = lambda word: speaks.get(word, -1.0) if strength.get(word, 0.0) > 3.0 else -1.0
     machine = never
     plain_map = landmarks.likeness(plain) @ root
+    plain_weight = [np.sqrt(clean[w]) for w in plain]
+    del toxic, clean, ranked, alike
     for _ in range(2):
         witness: Counter = Counter()
         for doc, label in zip(sentences, y, strict=True):
@@ -243,13 +250,14 @@ def train(texts: list[str], labels: list[int]) -> Machine:
             return never
         x = np.vstack([landmarks.likeness([w for w, _ in shown]) @ root, plain_map])
         target = np.r_[np.ones(len(shown)), -np.ones(len(plain))]
-        weight = np.r_[[np.sqrt(n) for _, n in shown], [np.sqrt(clean[w]) for w in plain]]
+        weight = np.r_[[np.sqrt(n) for _, n in shown], plain_weight]
         weight[: len(shown)] *= weight[len(shown) :].sum() / weight[: len(shown)].sum() * 0.5
         beta = squared_hinge(x, target, weight / weight.mean())
         machine = Machine(landmarks, (root @ beta[:-1]).astype(np.float32), float(beta[-1]), never.curve)
         words = list({w for doc, label in zip(sentences, y, strict=True) if label for s in doc for w in s})
         margin = dict(zip(words, machine.margins(words).tolist(), strict=True))
         pick = lambda word: margin.get(word, LOW) if speaks.get(word, 0.0) > 0.5 else LOW  # noqa: E731, B023
+    del sentences, words, margin
     cache: dict[str, float] = {}
     remember(machine, read, cache)
     tops = np.array([top_sentences(text, cache) for text in read])
