@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import dedup_queries, search_queries, state_queries, text_queries  # noqa: F401  they register their queries
+from .base import ORACLES, QUERIES  # noqa: F401
