@@ -29,30 +29,27 @@ def plan_files(spark: SparkSession, root: str) -> DataFrame:
 
 def _texts(value: Column, depth: int) -> Column:
     """Texts in a JSON value, to a fixed depth: a string, the ``text`` of an object, or what its known fields hold; tool
-    calls and their results are passed over."""
+    calls and their results are passed over. Strings come without quotes, as Spark hands on parts of JSON."""
     empty = F.array().cast("array<string>")
-    as_variant = F.try_parse_json(value)
-    is_text = F.schema_of_variant(as_variant) == "STRING"
     if depth == 0:
-        return F.when(is_text, F.array(F.try_variant_get(as_variant, "$", "string"))).otherwise(empty)
-    items = F.from_json(value, "array<string>")
-    listed = F.flatten(F.transform(items, lambda item: _texts(item, depth - 1)))
+        return F.when(value.isNull() | value.startswith("{") | value.startswith("["), empty).otherwise(F.array(value))
+    listed = F.flatten(F.transform(F.from_json(value, "array<string>"), lambda item: _texts(item, depth - 1)))
     inside = [F.coalesce(_texts(F.get_json_object(value, f"$.{f}"), depth - 1), empty) for f in ("message", "content", "prompt", "compact_summary", "summary")]
     kind, text = F.get_json_object(value, "$.type"), F.get_json_object(value, "$.text")
     fields = F.when(kind.isin("tool_use", "tool_result"), empty).when(text.isNotNull(), F.array(text)).otherwise(F.flatten(F.array(*inside)))
-    return F.when(is_text, F.array(F.try_variant_get(as_variant, "$", "string"))).when(value.startswith("["), listed).when(value.startswith("{"), fields).otherwise(empty)
+    parsed = F.when(value.startswith("["), listed).when(value.startswith("{") & F.try_parse_json(value).isNotNull(), fields)
+    return F.when(value.isNull(), empty).otherwise(F.coalesce(parsed, F.array(value)))
 
 
 def transcripts(spark: SparkSession, path: str, depth: int = 2) -> DataFrame:
     """(conv_id, turn, role, text) of JSON lines: one conversation for each file, lines that aren't JSON or whose role is
     none of the known are passed over."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("conv_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("conv_id"), F.monotonically_increasing_id().alias("line"), F.col("value"))
     good = lines.where(F.try_parse_json("value").isNotNull())
     field = lambda name: F.get_json_object("value", f"$.{name}")
     role = F.coalesce(field("message.role"), field("role"), field("type"), F.lit("entry"))
     content = F.coalesce(field("message.content"), field("message"), field("content"), field("prompt"), field("compact_summary"), field("summary"), field("text"))
-    quoted = F.when(content.startswith("[") | content.startswith("{"), content).otherwise(F.to_json(F.array(content)))
-    text = F.trim(F.array_join(_texts(quoted, depth), "\n"))
+    text = F.trim(F.array_join(_texts(content, depth), "\n"))
     return good.select("conv_id", F.col("line").alias("turn"), role.alias("role"), text.alias("text")).where(F.col("role").isin("user", "assistant", "summary", "system") & (F.col("text") != ""))
 
 
