@@ -37,8 +37,8 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 20
 SYMBOLS = "A-Za-z0-9+/_=-"
 CANDIDATE = rf"(?<![{SYMBOLS}])(?=[A-Za-z+/_=-]*(?:[0-9]|[a-z][A-Z]))[{SYMBOLS}]{{{MIN_RUN},}}"
-#: Share of neighbours whose class of character differs, in ordinary words and names.
-TEXT_CHANGES = 0.08
+#: Share of places in ordinary names at which a word or a number ends and another begins.
+TEXT_CHANGES = 0.12
 #: False-discovery rates: of setting aside what is random, and of finding what is text.
 KEEP_RATE, FIND_RATE = 0.01, 0.01
 #: Steps of -ln p in one unit, and the last step of either p-value.
@@ -97,11 +97,12 @@ def prepared(found: Column) -> Column:
     plain = F.regexp_replace(found["found"], "[-_/+=]", "")
     letters = F.filter(F.split(run, ""), lambda c: c != "")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[0-9]+", "\u0003"), "[A-Z]+", "\u0004"), "[a-z]+", "\u0005")
+    words = F.regexp_replace(plain, "[A-Z]?[a-z]+|[A-Z]+|[0-9]+", "w")
     return F.struct(
         found["start"].alias("start"), found["stop"].alias("stop"), run.alias("run"), letters.alias("letters"), alphabet(run).alias("k"),
         F.greatest(F.length(run), F.lit(2)).cast("double").alias("n"), F.greatest(F.length(plain), F.lit(2)).cast("double").alias("m"),
         F.length(F.regexp_replace(plain, "[^0-9]", "")).cast("double").alias("digits"), F.length(F.regexp_replace(plain, "[^A-Z]", "")).cast("double").alias("upper"),
-        F.greatest(F.length(classes) - 1, F.lit(0)).cast("double").alias("changes"),
+        F.greatest(F.length(classes) - 1, F.lit(0)).cast("double").alias("changes"), F.greatest(F.length(words) - 1, F.lit(0)).cast("double").alias("breaks"),
     )
 
 
@@ -112,7 +113,7 @@ def measured(c: Column) -> Column:
     mean = F.aggregate(c["letters"], F.lit(0.0), lambda a, x: a + F.ascii(x)) / c["n"]
     lower = c["m"] - c["digits"] - c["upper"]
     return F.struct(
-        c["start"].alias("start"), c["stop"].alias("stop"), *(c[x].alias(x) for x in ("k", "n", "m", "changes")),
+        c["start"].alias("start"), c["stop"].alias("stop"), *(c[x].alias(x) for x in ("k", "n", "m", "changes", "breaks")),
         F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x).alias("squares"),
         ((c["m"] * c["m"] - c["digits"] * c["digits"] - c["upper"] * c["upper"] - lower * lower) / c["m"]).alias("expected"), codes.alias("codes"), mean.alias("mean"),
     )
@@ -134,7 +135,7 @@ def battery(c: Column) -> Column:
     serial_z = F.abs(F.when(deviation > 0, serial).otherwise(1.0) + 1 / n) * F.sqrt(n)
 
     odd = F.greatest(F.greatest(tail(chi_z), tail(runs_z), tail(serial_z)) - math.log(3), F.lit(0.0))
-    share = F.least(c["changes"] / (m - 1), F.lit(1.0))
+    share = F.least(c["breaks"] / (m - 1), F.lit(1.0))
     rest = F.when(share < 1, (1 - share) * F.log(F.greatest(1 - share, F.lit(1e-12)) / (1 - TEXT_CHANGES))).otherwise(0.0)
     told = F.when(share > TEXT_CHANGES, (m - 1) * (share * F.log(share / TEXT_CHANGES) + rest)).otherwise(0.0)
     step = lambda x, last: F.least(F.floor(x * STEPS), F.lit(last)).cast("int")
