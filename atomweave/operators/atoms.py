@@ -91,6 +91,27 @@ def promoted_text(updated_at: Column, merged: Column | None = None) -> Column:
     )
 
 
+def lesson_document() -> Column:
+    """The document of a saved lesson: a heading, its fields, the text, and evidence if there is any; null unless the
+    fields that a lesson needs are given."""
+    field = lambda name: F.when(~X.blank(F.col(name)), F.concat(F.lit(f"- {name}: "), X.header_value(F.col(name))))
+    lines = F.concat_ws("\n", F.concat(F.lit("# "), X.header_value(F.col("title"))), F.lit(""), *map(field, ("project_module", "task_type", "error_pattern", "language", "tags")), F.lit(""), F.col("body"), F.when(~X.blank(F.col("evidence")), F.concat(F.lit("\nevidence: "), F.col("evidence"))))
+    return F.when(lesson_fields_given(), lines)
+
+
+#: What a day's entry says where there are no atoms.
+MARKERS = {"nothing-durable": "The session was read and holds nothing durable to keep.", "context-unreadable": "The session's context could not be read."}
+
+
+def day_entry(outcome: Column, body: Column) -> Column:
+    """The text under a day's entry without atoms: a marker, or the raw source, indented inside a fence."""
+    raw = F.concat(F.lit("<!-- BEGIN UNTRUSTED SESSION BODY -->\n"), F.regexp_replace(X.defanged(body), "(?m)^", "    "), F.lit("\n<!-- END UNTRUSTED SESSION BODY -->"))
+    out = F.when(outcome == "raw-fallback", raw)
+    for name, text in MARKERS.items():
+        out = out.when(outcome == name, F.lit(text))
+    return out
+
+
 def decisions(atoms: DataFrame, candidates: DataFrame, given: DataFrame | None = None) -> DataFrame:
     """(atom_id, action, target_id): what becomes of each atom, given its ranked candidates (atom_id, rank, doc_id).
 

@@ -19,15 +19,16 @@ def finding(df: DataFrame, kind: str, reason: Column, action: str) -> DataFrame:
 def stale_plans(leaves: DataFrame) -> DataFrame:
     """Plans that a later plan replaces, whose name goes on after a hyphen.
 
-    Each later plan stands under all hyphen prefixes of its name; under one name, rows are sorted by time, and the next
-    later plan is looked up ahead. So the work follows rows times prefixes, and not pairs of plans."""
+    Each later plan stands under all hyphen prefixes of its name; under one name, rows are sorted from late to early, and
+    the plan last seen is the next later one. So the work follows rows times prefixes, and not pairs of plans; the frame
+    only grows, which Spark keeps up with row by row."""
     plans = leaves.where(F.col("slot") == "plans").withColumn("slug", N.plan_slug(F.col("name"))).where("slug is not null")
     parts = F.split("slug", "-")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "-"))
     later = plans.where(F.size(parts) > 1).select(F.explode(prefixes).alias("slug"), "created_at_ms", "n", F.col("name").alias("newer"))
     older = plans.select("slug", "created_at_ms", "n", F.lit(None).cast("string").alias("newer"), "slot", "doc_id", "name")
-    ahead = Window.partitionBy("slug").orderBy("created_at_ms", "n").rowsBetween(1, Window.unboundedFollowing)
-    found = older.unionByName(later, allowMissingColumns=True).withColumn("by", F.first("newer", ignorenulls=True).over(ahead)).where("doc_id is not null and by is not null")
+    seen = Window.partitionBy("slug").orderBy(F.desc("created_at_ms"), F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    found = older.unionByName(later, allowMissingColumns=True).withColumn("by", F.last("newer", ignorenulls=True).over(seen)).where("doc_id is not null and by is not null")
     return finding(found, "stale-plans", F.concat(F.lit("superseded by "), F.col("by")), "delete")
 
 

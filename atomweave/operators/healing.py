@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..schema import DAY_MS
 
 
@@ -25,11 +26,12 @@ def streaks(ticks: DataFrame, idle_days: int | None = None, now_ms: int | None =
 def escalations(streak: DataFrame, after: int, entities: int, shown: int = 5) -> DataFrame:
     """(signature, reason, attempts, first_ms, last_ms, n_entities, entities): signatures that an entity failed on so often,
     or that so many entities share. Ids are shown up to a fixed number, the smallest first; the count is of all."""
-    grouped = streak.groupBy("signature").agg(
-        F.max("failures").alias("attempts"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.count("*").alias("n_entities"), F.slice(F.sort_array(F.collect_set("entity")), 1, shown).alias("ids"),
-    )
+    grouped = streak.groupBy("signature").agg(F.max("failures").alias("attempts"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.count("*").alias("n_entities"))
+    # ids are ranked, which Spark limits on the map side, so that no signature's ids are gathered whole
+    first = streak.withColumn("nth", F.row_number().over(Window.partitionBy("signature").orderBy("entity"))).where(F.col("nth") <= shown)
+    ids = first.groupBy("signature").agg(F.array_join(F.sort_array(F.collect_list("entity")), ",").alias("entities"))
     reason = F.when(F.col("attempts") >= after, "pending-consecutive").when(F.col("n_entities") >= entities, "recurring-bug")
-    return grouped.withColumn("reason", reason).where("reason is not null").select("signature", "reason", "attempts", "first_ms", "last_ms", "n_entities", F.array_join("ids", ",").alias("entities"))
+    return grouped.withColumn("reason", reason).where("reason is not null").join(ids, "signature").select("signature", "reason", "attempts", "first_ms", "last_ms", "n_entities", "entities")
 
 
 def issues(known: DataFrame, live: DataFrame, escalated: DataFrame) -> DataFrame:
@@ -44,6 +46,26 @@ def issues(known: DataFrame, live: DataFrame, escalated: DataFrame) -> DataFrame
     return both.select("signature", version.cast("long").alias("version"), status.alias("status"))
 
 
+def provider_failures(runs: DataFrame, unavailable: int = 69) -> DataFrame:
+    """Failures of a run's provider as an entity of its own: (entity, tick, at_ms, ok, signature) from (tick, at_ms,
+    exit_code, skipped). A run that could not reach its provider, or was cut short, fails it; another heals it."""
+    bad = (F.col("exit_code") == unavailable) | F.coalesce("skipped", F.lit(False))
+    return runs.select(F.lit("provider").alias("entity"), "tick", "at_ms", (~bad).alias("ok"), F.when(bad, "provider-unavailable").otherwise("").alias("signature"))
+
+
+def due(last_ms: int | None, now_ms: int, days: float) -> bool:
+    """Whether a pass that may run every so many days is due; the driver asks before it starts one."""
+    return last_ms is None or now_ms - last_ms >= days * DAY_MS
+
+
+def issue_report() -> Column:
+    """The text of an issue from columns of ``escalations``, with secrets replaced."""
+    when = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    lines = F.concat_ws("\n", F.concat(F.lit("# "), "signature"), F.lit(""), F.concat(F.lit("- reason: "), "reason"), F.concat(F.lit("- attempts: "), F.col("attempts").cast("string")), F.concat(F.lit("- first failure: "), when("first_ms")),
+                        F.concat(F.lit("- last failure: "), when("last_ms")), F.concat(F.lit("- entities ("), F.col("n_entities").cast("string"), F.lit("): "), "entities"))
+    return X.redacted(lines)
+
+
 def health(attempts: DataFrame, open_counts: DataFrame) -> DataFrame:
     """(kind, verdict, last_failure_ms) from (kind, tick, at_ms, ok) and open escalations (kind, open)."""
     last = attempts.groupBy("kind").agg(F.max_by("ok", "tick").alias("last_ok"), F.max(F.when(~F.col("ok"), F.col("at_ms"))).alias("last_failure_ms"))

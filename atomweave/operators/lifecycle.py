@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +57,32 @@ def refresh_queue(stale: DataFrame, most: int) -> DataFrame:
 def accepted_stamps(hits: DataFrame, key: str, at_ms: str, debounce_ms: int) -> DataFrame:
     """(key, stamps, last_ms): recall hits of each document that count, each at least the debounce after the last that did.
 
-    The rule is sequential: what counts depends on the last hit that counted, so hits are folded in order of time. Only
-    distinct times of a document meet in its fold."""
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(at_ms)), F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last")),
-        lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= debounce_ms), F.struct((acc["n"] + 1).alias("n"), t.alias("last"))).otherwise(acc),
-    )
-    return hits.where(F.col(at_ms).isNotNull()).select(key, at_ms).distinct().groupBy(key).agg(folded.alias("f")).select(key, F.col("f.n").alias("stamps"), F.col("f.last").alias("last_ms"))
+    The rule is sequential: what counts depends on the last hit that counted. Hits are sorted by document and time within
+    partitions, which Spark does on disk where it must, and folded as they stream past: a task holds one document's count
+    and time, however many hits that document has. Equal times count once and are dropped on the map side."""
+    kind = hits.schema[key].dataType.simpleString()
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], schema.field(key).type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=[key, "stamps", "last_ms"])
+        schema, now, count, last, done = None, None, 0, 0, []
+        for batch in batches:
+            schema = batch.schema
+            for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if count and name == now:
+                    if at - last >= debounce_ms:
+                        count, last = count + 1, at
+                    continue
+                if count:
+                    done.append((now, count, last))
+                now, count, last = name, 1, at
+            if len(done) > 10_000:
+                yield out(done)
+                done = []
+        if count:
+            yield out([*done, (now, count, last)])
+
+    ordered = hits.where(F.col(at_ms).isNotNull()).select(key, F.col(at_ms).cast("long").alias(at_ms)).distinct().repartition(F.col(key)).sortWithinPartitions(key, at_ms)
+    return ordered.mapInArrow(fold, f"{key} {kind}, stamps long, last_ms long")
 
 
 def give_up(retries: DataFrame, most: int) -> DataFrame:

@@ -14,6 +14,8 @@ from ..schema import KEYWORD_WEIGHT, VECTOR_WEIGHT
 
 #: Scores are rounded so that ties, and their order by id, don't hang on the last bits of a sum.
 DIGITS = 6
+#: Blocks of queries and parts of vectors that meet each other.
+BLOCKS, PARTS = 8, 64
 
 
 def words(text: Column) -> Column:
@@ -57,13 +59,15 @@ def keyword_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
 def vector_scores(vectors: DataFrame, queries: DataFrame, on: list[str] | None = None) -> DataFrame:
     """(query_id, doc_id, vector) of (doc_id, embedding) and a stated set of queries (query_id, query_vector).
 
-    Each vector meets each query: queries are split into blocks that go to every partition of vectors, and neither side is
-    sorted or sent by key. With ``on``, only rows that are equal there meet."""
+    Each vector meets each query: queries are gathered in blocks, and each block is sent to every part of the vectors, so
+    that blocks times parts groups of like size meet by a key. With ``on``, only rows that are equal there meet."""
     if on:
         met = vectors.join(queries, on)
     else:
-        blocks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(16)).alias("block")).agg(F.collect_list(F.struct("query_id", "query_vector")).alias("asked"))
-        met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<long>"))).join(blocks, "block").withColumn("q", F.explode("asked")).select("*", "q.query_id", "q.query_vector")
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+        blocks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(BLOCKS)).alias("block")).agg(F.collect_list(F.struct("query_id", "query_vector")).alias("asked")).withColumn("part", numbers(PARTS))
+        parted = vectors.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).withColumn("block", numbers(BLOCKS))
+        met = parted.join(blocks, ["block", "part"]).withColumn("q", F.explode("asked")).select("*", "q.query_id", "q.query_vector")
     return met.withColumn("vector", F.round(clipped(cosine(F.col("embedding"), F.col("query_vector"))), DIGITS))
 
 

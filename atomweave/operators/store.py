@@ -8,6 +8,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def document_id(slot: Column, name: Column, version: Column) -> Column:
+    """A new id for each version of a document, the same wherever it is computed."""
+    return F.sha2(F.concat_ws("|", slot, name, version.cast("string")), 256)
+
+
+def created(base: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The base with new documents (slot, name, version, …) appended under new ids; nothing is replaced."""
+    rows = incoming.withColumn("doc_id", document_id(F.col("slot"), F.col("name"), F.col("version"))).withColumn("enabled", F.lit(True))
+    return base.unionByName(rows.select(*[c if c in rows.columns else F.lit(None).alias(c) for c in base.columns]))
+
+
+def superseded(base: DataFrame, incoming: DataFrame, action: str = "disable") -> tuple[DataFrame, DataFrame]:
+    """(next state, failures) of documents that name the one they replace (supersedes): the new one is added, the old one
+    disabled or deleted; a named document that isn't there is a failure and doesn't keep the new one out."""
+    old = incoming.where(F.col("supersedes").isNotNull()).select(F.col("supersedes").alias("doc_id"))
+    left = switched(base, old, False) if action == "disable" else deleted(base, old)
+    return created(left, incoming.drop("supersedes")), old.join(base.select("doc_id"), "doc_id", "left_anti")
+
+
 def latest_by_name(versions: DataFrame) -> DataFrame:
     """Of (slot, name, version, …) the last version of each name: the row is chosen by an aggregate and not a sort."""
     others = [c for c in versions.columns if c not in ("slot", "name")]

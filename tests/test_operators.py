@@ -203,3 +203,29 @@ def test_store_changes(spark, tmp_path):
     shelf = store.Snapshots(spark, str(tmp_path / "docs"))
     assert shelf.versions() == [] and shelf.commit(base) == 1 and shelf.commit(store.deleted(base, base.where("doc_id = '1'"))) == 2
     assert shelf.read().count() == 1 and shelf.read(1).count() == 2
+
+
+def test_writes_supersede(spark):
+    base = spark.createDataFrame([("1", "knowledge", "a.md", 1, True)], "doc_id string, slot string, name string, version long, enabled boolean")
+    incoming = spark.createDataFrame([("knowledge", "b.md", 2, "1"), ("knowledge", "c.md", 2, "gone"), ("knowledge", "d.md", 2, None)], "slot string, name string, version long, supersedes string")
+    state, failed = store.superseded(base, incoming)
+    assert {(r["name"], r["enabled"]) for r in state.collect()} == {("a.md", False), ("b.md", True), ("c.md", True), ("d.md", True)}
+    assert [r["doc_id"] for r in failed.collect()] == ["gone"]
+    assert {r["name"] for r in store.superseded(base, incoming, "delete")[0].collect()} == {"b.md", "c.md", "d.md"}
+
+
+def test_lesson_documents_and_entries(spark):
+    df = spark.createDataFrame([("T\n", "m", "t", "e", "", "x", "Body", "why"), ("T", "m", " ", "e", "", "x", "Body", None)], "title string, project_module string, task_type string, error_pattern string, language string, tags string, body string, evidence string")
+    assert [r[0] for r in df.select(atoms.lesson_document()).collect()] == ["# T\n\n- project_module: m\n- task_type: t\n- error_pattern: e\n- tags: x\n\nBody\n\nevidence: why", None]
+    df = spark.createDataFrame([("raw-fallback", "a\nb"), ("nothing-durable", None), ("distilled", "x")], "o string, b string")
+    out = [r[0] for r in df.select(atoms.day_entry(F.col("o"), F.col("b"))).collect()]
+    assert "\n    a\n    b\n" in out[0] and "nothing durable" in out[1] and out[2] is None
+
+
+def test_provider_failures_and_reports(spark):
+    runs = spark.createDataFrame([(1, 1, 69, False), (2, 2, 0, True), (3, 3, 69, None)], "tick long, at_ms long, exit_code int, skipped boolean")
+    streak = healing.streaks(healing.provider_failures(runs))
+    assert [(r["entity"], r["failures"]) for r in streak.collect()] == [("provider", 3)]
+    report = healing.escalations(streak, 3, 3).select(healing.issue_report()).first()[0]
+    assert report.startswith("# provider-unavailable\n\n- reason: pending-consecutive") and "1970-01-01T00:00:00Z" in report
+    assert healing.due(None, 5, 1) and healing.due(0, DAY, 1) and not healing.due(1, DAY, 1)
