@@ -13,7 +13,8 @@ from ..functions import text as X
 from ..functions import times as D
 from ..schema import DAY_MS, LESSON
 
-STALE_TYPES = (LESSON, "project-lore", "bug-root-cause", "pattern-gotcha", "reference")
+#: Types that grow stale; records meant to last do not.
+STALE_TYPES = (LESSON, "bug-root-cause", "feedback-rule", "pattern-gotcha")
 TRUNCATED = "\n\n[truncated]"
 
 

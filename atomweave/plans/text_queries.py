@@ -111,7 +111,7 @@ TITLE = "left(trim(list_filter(string_split(clean, chr(10)), lambda x: trim(x) <
 
 @query(f"""WITH {LEAF}, p AS (SELECT doc_id, n, trim({redacted_sql("body")}, chr(32) || chr(9) || chr(10) || chr(13)) AS clean FROM leaf WHERE slot = 'plans')
 SELECT doc_id, CASE WHEN n % 3 = 1 THEN 'not-approved' WHEN clean = '' THEN 'empty-plan' END AS skip, CASE WHEN n % 3 <> 1 AND clean <> '' THEN 'plan-' || {slug_sql(TITLE)} || '.md' END AS name,
-  CASE WHEN n % 3 <> 1 AND clean <> '' THEN sha256('<!-- BEGIN UNTRUSTED PLAN BODY -->' || chr(10) || chr(10) || clean || chr(10) || chr(10) || '<!-- END UNTRUSTED PLAN BODY -->') END AS text_sha FROM p""")
+  CASE WHEN n % 3 <> 1 AND clean <> '' THEN sha256('{X.FENCE_HEAD}' || chr(10) || chr(10) || clean || chr(10) || chr(10) || '{X.FENCE_FOOT}') END AS text_sha FROM p""")
 def plan_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     hooks = leaves(spark, sf_dir).where("slot = 'plans'").select("doc_id", F.col("body").alias("plan"), (F.col("n") % 3 != 1).alias("approved"))
     return capture.plan_specs(hooks).select("doc_id", "skip", "name", F.sha2("text", 256).alias("text_sha"))

@@ -53,8 +53,8 @@ def test_similarity_reaches_the_threshold(spark):
 
 def test_staleness_is_strict(spark):
     docs = leaves(
-        spark, {"doc_id": "old", "atom_type": "self-improvement-lesson", "created_at_ms": NOW - 8 * MONTH_MS}, {"doc_id": "edge", "atom_type": "reference", "created_at_ms": NOW - 6 * MONTH_MS},
-        {"doc_id": "recalled", "atom_type": "reference", "created_at_ms": NOW - 8 * MONTH_MS, "last_recalled_at": "2023-10-20T00:00:00Z"}, {"doc_id": "decision", "created_at_ms": NOW - 24 * MONTH_MS},
+        spark, {"doc_id": "old", "atom_type": "self-improvement-lesson", "created_at_ms": NOW - 8 * MONTH_MS}, {"doc_id": "edge", "atom_type": "feedback-rule", "created_at_ms": NOW - 6 * MONTH_MS},
+        {"doc_id": "recalled", "atom_type": "feedback-rule", "created_at_ms": NOW - 8 * MONTH_MS, "last_recalled_at": "2023-10-20T00:00:00Z"}, {"doc_id": "decision", "created_at_ms": NOW - 24 * MONTH_MS},
     )
     assert [r["doc_id"] for r in lifecycle.stale_documents(docs, NOW, 6, lifecycle.STALE_TYPES).collect()] == ["old"]
     assert {(r["doc_id"], r["stale"]) for r in lifecycle.stale_changes(docs, NOW, 6, lifecycle.STALE_TYPES).collect()} == {("old", "true")}
