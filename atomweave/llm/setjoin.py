@@ -8,11 +8,15 @@ in three ways that follow from relations between sets:
   name, so a family of near copies is one entry of an index list, and its answers are derived from the leader's: with
   ``|A ^ C|`` known for leaders A and C, ``|S ^ C'| <= |A ^ C| + |S - A| + |C' - C|`` for their satellites. Only pairs of
   satellites that this bound leaves open are compared, and none when the leaders link, as all then have one component.
-* Index lists hold, for each label, how much of the set is left from the token's position on. Long lists are cut in
-  blocks by that position, and a pair of blocks whose best positions can't reach the overlap is skipped whole.
-
-Candidates come from prefix filtering: with all tokens in one fixed order, linked sets share a token among the first
-``n - ceil(3n/4) + 1`` of each. Any order gives the same result; frequent tokens come last in ours, so that lists are
+* What is asked for are components, so a pair whose sets already have one need not be compared. The partners that share
+  most are compared first, which joins families; then all pairs that still lie in different components.
+* Index lists are sorted by set size and cut in blocks by position; a pair of blocks whose sizes can't link is skipped
+  whole.
+
+Candidates come from prefix filtering: with all tokens in one fixed order, a set's prefix are its first
+``n - ceil(3n/4) + 1`` tokens. Tokens that two sets share lie in both prefixes or behind one of them, so a pair is kept
+only if it shares at least ``3 (n_a + n_b) / 7 - max(n_a - p_a, n_b - p_b)`` prefix tokens, which near copies do and
+documents with a common passage don't. Any order gives the same result; frequent tokens come last in ours, so that lists are
 short. Which are frequent is estimated from distinct texts by hash, and at most ``HOT_TOKENS`` are told to the executors:
 that bounds a broadcast and changes the cost alone.
 
@@ -31,7 +35,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_type, cut, sized
@@ -40,9 +44,11 @@ SHINGLE_WORDS = 5
 #: A link needs 100 * intersection >= LINK * union; a satellite needs the same with CLOSE.
 LINK, CLOSE = 75, 90
 #: Frequency is estimated from one in SAMPLE distinct texts; a token seen HOT_COUNT times there comes late in the order.
-SAMPLE, HOT_COUNT, HOT_TOKENS = 32, 3, 500_000
-#: Prefix tokens in a group of index lists, and entries of a block of a long list.
-GROUP_TOKENS, BLOCK = 1_000_000, 256
+SAMPLE, HOT_COUNT, HOT_TOKENS = 16, 2, 500_000
+#: Partners of a set that are compared before all others, and the share of tokens (one in so many) that names them.
+FIRST_PARTNERS, FIRST_TOKENS = 10, 4
+#: Prefix tokens in a group of index lists, entries of a block of a long list, and slices in which a group is sorted.
+GROUP_TOKENS, BLOCK, SLICES = 1_000_000, 256, 4
 
 U64 = np.uint64
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U64)
@@ -50,7 +56,7 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -69,10 +75,13 @@ def shingles(text: bytes | None, hashes: WordHashes, width: int = SHINGLE_WORDS)
     if not words:
         return np.empty(0, U64)
     h = np.fromiter(map(hashes.__getitem__, words), U64, len(words))
+    used = min(width, len(h))
     n = max(1, len(h) - width + 1)
-    total = np.full(n, min(width, len(h)), U64)
-    for k in range(min(width, len(h))):
-        total += mix(h[k : k + n] * FACTORS[k], k + 1)
+    total = h[:n] * FACTORS[0]
+    for k in range(1, used):
+        total += h[k : k + n] * FACTORS[k]
+    if used < width:
+        total += U64(used * int(FACTORS[used]) % 2**64)
     return np.unique(mix(total))
 
 
@@ -93,22 +102,24 @@ def sets_of(df: DataFrame, key: str) -> DataFrame:
     return df.mapInArrow(run, ", ".join(f"{c} {column_type(df, c)}" for c in kept) + ", n long, packed binary")
 
 
-def signatures(docs: DataFrame, key: str) -> DataFrame:
-    """(key, n, f1, f2, least): size of the set, a 128-bit fingerprint of it and its least hash."""
+def signatures(docs: DataFrame, key: str, hot: np.ndarray) -> DataFrame:
+    """(key, n, f1, f2, least, prefix): size of the set, a 128-bit fingerprint of it, its least hash and packed prefix."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            n, f1, f2, least = [], [], [], []
+            n, f1, f2, least, prefix = [], [], [], [], []
             for value in batch.column(1):
                 s = shingles(value.as_py(), hashes)
                 n.append(len(s))
-                f1.append(np.sum(mix(s, 0x5851F42D4C957F2D), dtype=U64))
-                f2.append(np.sum(mix(s, 0x14057B7EF767814F), dtype=U64))
+                m = mix(s, 0x5851F42D4C957F2D)
+                f1.append(np.sum(m, dtype=U64))
+                f2.append(np.sum(m ^ (m >> U64(17)), dtype=U64))
                 least.append(s[0] if len(s) else U64(0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(f1), signed(f2), signed(least)], names=[key, "n", "f1", "f2", "least"])
+                prefix.append(prefix_order(s, hot).tobytes() if len(s) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(f1), signed(f2), signed(least), pa.array(prefix, pa.binary())], names=[key, "n", "f1", "f2", "least", "prefix"])
 
-    return docs.mapInArrow(run, f"{key} {column_type(docs, key)}, n long, f1 long, f2 long, least long")
+    return docs.mapInArrow(run, f"{key} {column_type(docs, key)}, n long, f1 long, f2 long, least long, prefix binary")
 
 
 def overlaps(pairs: DataFrame, kept: list[str]) -> DataFrame:
@@ -136,7 +147,8 @@ def fetch(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def compare(docs: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """(a, b, n_a, n_b, common) of pairs of ids; sets are made again for these ids alone."""
     ids = cut(pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b").alias(key))).distinct(), "ids")
-    sets = cut(sets_of(fetch(docs, ids, key), key).distinct(), "sets")
+    # one shuffle by id serves the removal of repeated rows and both joins
+    sets = sets_of(fetch(docs, ids, key), key).repartition(F.col(key)).dropDuplicates([key, "n", "packed"])
     side = lambda x: sets.select(F.col(key).alias(x), F.col("n").alias(f"n_{x}"), F.col("packed").alias(f"packed_{x}"))
     return overlaps(pairs.join(side("a"), "a").join(side("b"), "b"), ["a", "b", "n_a", "n_b"])
 
@@ -166,95 +178,153 @@ def prefix_order(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return s[: n - (LINK * n + 99) // 100 + 1]
 
 
-def postings(labelled: DataFrame, hot: np.ndarray, n_groups: int) -> DataFrame:
-    """Packed index entries in groups of tokens: (g, token, label, n, rest)."""
+def postings(labelled: DataFrame, n_groups: int, every: int = 1) -> DataFrame:
+    """Packed index entries in groups of tokens: (g, token, label, component, low, high); one in ``every`` token."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for label, value in zip(batch.column("label").to_numpy(zero_copy_only=False), batch.column("text"), strict=True):
-                s = shingles(value.as_py(), hashes)
-                if not len(s):
-                    continue
-                p = prefix_order(s, hot)
-                held.append((p, np.full(len(p), label, np.int64), np.full(len(p), len(s), np.int32), (len(s) - np.arange(len(p))).astype(np.int32)))
+            label, component, low, high, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "component", "low", "high", "n"))
+            for k, value in enumerate(batch.column("prefix")):
+                p = np.frombuffer(value.as_py(), U64)
+                if every > 1:
+                    p = p[(p >> U64(32)) % U64(every) == 0]
+                held.append((p, np.full(len(p), label[k]), np.full(len(p), component[k]), np.full(len(p), min(n[k], low[k] or n[k]), np.int32), np.full(len(p), max(n[k], high[k]), np.int32)))
                 size += len(p)
-                if size > 4_000_000 // n_groups + 500_000:
+                if size > 500_000:
                     yield pack(held, n_groups)
                     held, size = [], 0
-        if held:
+        if size:
             yield pack(held, n_groups)
 
-    return labelled.select("label", "text").mapInArrow(run, "g int, token binary, label binary, n binary, rest binary")
+    return labelled.mapInArrow(run, "g int, " + ", ".join(f"{x} binary" for x in ENTRY))
+
+
+ENTRY = {"token": U64, "label": np.int64, "component": np.int64, "low": np.int32, "high": np.int32}
 
 
 def pack(held: list[tuple], n_groups: int) -> pa.RecordBatch:
-    columns = [np.concatenate([h[k] for h in held]) for k in range(4)]
+    columns = [np.concatenate([h[k] for h in held]) for k in range(len(ENTRY))]
     group = (columns[0] % U64(n_groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     present, starts = np.unique(group[order], return_index=True)
     ends = [*starts[1:], len(order)]
     cells = [[c[order[a:b]].tobytes() for a, b in zip(starts, ends, strict=True)] for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names=["g", "token", "label", "n", "rest"])
+    return pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names=["g", *ENTRY])
+
 
+def rolled_up(rows: np.ndarray) -> np.ndarray:
+    """Rows (a, b, shared, groups, low, high) with one column for each pair: tokens and groups of tokens are added up, low
+    and high go with the pair."""
+    order = np.lexsort((rows[1], rows[0]))
+    rows = rows[:, order]
+    at = np.flatnonzero(np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
+    return np.vstack([rows[:2, at], np.add.reduceat(rows[2:4], at, axis=1), rows[4:, at]])
 
-def may_link(low_a, low_b, high_a, high_b, rest_a, rest_b):
-    """Whether sizes and what is left after the shared token allow a link between members of two labels."""
-    return (7 * np.minimum(rest_a, rest_b) >= 3 * (low_a + low_b)) & (4 * high_b >= 3 * low_a) & (4 * high_a >= 3 * low_b)
 
+def needed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Seven times the prefix tokens that linked sets share at least, from the least sum and the greatest of their sizes:
+    n - p is ceil(3 n / 4) - 1, and grows with n."""
+    return 3 * low - 7 * ((3 * high + 3) // 4 - 1)
 
-def list_pairs(token: np.ndarray, label: np.ndarray, n: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Distinct candidate pairs of labels (rows of two) from the index lists of a group of tokens."""
+
+def list_pairs(token: np.ndarray, label: np.ndarray, component: np.ndarray, low: np.ndarray, high: np.ndarray, partners: int = 0) -> np.ndarray:
+    """Pairs of labels in different components that the index lists of a group of tokens name: rows a, b, shared, groups, low, high.
+    With ``partners``, a few of the nearest of each label, and neighbours alone in long lists; else all."""
+    none = np.empty((6, 0), np.int64)
+    if not len(token):
+        return none
     order = np.lexsort((label, token))
-    token, label, n, rest = token[order], label[order], n[order], rest[order]
-    new = np.r_[True, (token[1:] != token[:-1]) | (label[1:] != label[:-1])]
-    at = np.flatnonzero(new)
-    low, high, rest = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.maximum.reduceat(rest, at)
-    token, label = token[at], label[at]
+    order = order[np.r_[True, (token[order][1:] != token[order][:-1]) | (label[order][1:] != label[order][:-1])]]
+    # each list by component and size, so that blocks by position are of few components and of like sizes
+    order = order[np.lexsort((low[order], component[order], token[order]))]
+    token, label, component, low, high = (x[order] for x in (token, label, component, low.astype(np.int64), high.astype(np.int64)))
     first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     length = np.diff(np.r_[first, len(token)])
     out: list[np.ndarray] = []
+    size_out = 0
 
     def emit(i: np.ndarray, j: np.ndarray) -> None:
-        good = may_link(low[i], low[j], high[i], high[j], rest[i], rest[j]) & (label[i] != label[j])
-        if good.any():
-            a, b = label[i[good]], label[j[good]]
-            out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
-            if len(out) > 64:
-                out[:] = [np.unique(np.concatenate(out), axis=0)]
+        nonlocal size_out
+        good = (4 * high[j] >= 3 * low[i]) & (4 * high[i] >= 3 * low[j]) & (component[i] != component[j])
+        i, j = i[good], j[good]
+        if len(i):
+            out.append(rolled_up(np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j]), np.ones(len(i), np.int64), np.zeros(len(i), np.int64), low[i] + low[j], np.maximum(high[i], high[j])])))
+            size_out += out[-1].shape[1]
+            if size_out > 500_000:
+                out[:] = [rolled_up(np.concatenate(out, axis=1))]
+                size_out = 0
 
     for size in np.unique(length[(length > 1) & (length <= 48)]):
         starts = first[length == size]
         i, j = np.triu_indices(size, 1)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, 400_000 // len(i))
         for k in range(0, len(starts), step):
             s = starts[k : k + step, None]
             emit((s + i).ravel(), (s + j).ravel())
     for start, size in zip(first[length > 48], length[length > 48], strict=True):
-        by_rest = start + np.argsort(-rest[start : start + size], kind="stable")
-        blocks = [by_rest[k : k + BLOCK] for k in range(0, size, BLOCK)]
-        best = [(rest[b].max(), low[b].min()) for b in blocks]
+        if partners:
+            at = np.arange(start, start + size)
+            for gap in range(1, partners + 1):
+                emit(at[:-gap], at[gap:])
+            continue
+        blocks = [np.arange(start + k, min(start + size, start + k + BLOCK)) for k in range(0, size, BLOCK)]
+        # a block's sizes, and its component if it has but one
+        ends = [(low[b].min(), high[b].max(), component[b[0]] if component[b[0]] == component[b[-1]] else None) for b in blocks]
         for x, a in enumerate(blocks):
             for y in range(x, len(blocks)):
-                if 7 * min(best[x][0], best[y][0]) < 3 * (best[x][1] + best[y][1]):
+                if 4 * ends[x][1] < 3 * ends[y][0] or 4 * ends[y][1] < 3 * ends[x][0] or (ends[x][2] is not None and ends[x][2] == ends[y][2]):
                     continue
                 i, j = np.meshgrid(a, blocks[y], indexing="ij")
                 i, j = i.ravel(), j.ravel()
                 if x == y:
                     i, j = i[i < j], j[i < j]
                 emit(i, j)
-    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-
-
-def candidates(grouped: DataFrame) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        column = lambda name, kind: np.concatenate([np.frombuffer(v.as_py(), kind) for v in table.column(name)])
-        found = list_pairs(column("token", U64), column("label", np.int64), column("n", np.int32).astype(np.int64), column("rest", np.int32).astype(np.int64))
-        return pa.table({"a": pa.array(np.ascontiguousarray(found[:, 0])), "b": pa.array(np.ascontiguousarray(found[:, 1]))})
-
-    return grouped.groupBy("g").applyInArrow(run, "a long, b long").distinct()
+    found = rolled_up(np.concatenate(out, axis=1)) if out else none
+    if partners and found.shape[1]:
+        near = np.zeros(found.shape[1], bool)
+        for side in (0, 1):
+            order = np.lexsort((-found[2], found[side]))
+            new = np.flatnonzero(np.r_[True, found[side][order][1:] != found[side][order][:-1]])
+            nth = np.arange(len(order)) - np.repeat(new, np.diff(np.r_[new, len(order)]))
+            near[order[nth < partners]] = True
+        found = found[:, near]
+    return found
+
+
+def candidates(grouped: DataFrame, n_groups: int, partners: int = 0) -> DataFrame:
+    """(a, b, shared) of labels that share enough prefix tokens for a link between any of their sets, or, with
+    ``partners``, of the nearest few of each.
+
+    Where many tokens are needed, some group has its share of them, so that only groups with that share name the pair;
+    where few are needed, all groups do and the sum is exact."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        """A group's pairs, packed by the part of the sums that they go to."""
+        slices = []
+        for part in range(SLICES):  # tokens by tokens, so that sorting takes little memory
+            chosen = [(np.frombuffer(block.as_py(), U64) >> U64(20)) % U64(SLICES) == part for block in table.column("token")]
+            columns = [np.concatenate([np.frombuffer(v.as_py(), kind)[c] for v, c in zip(table.column(name), chosen, strict=True)]) for name, kind in ENTRY.items()]
+            slices.append(list_pairs(*columns, partners=partners))
+        found = rolled_up(np.concatenate(slices, axis=1))
+        found[3] = 1
+        if not partners:
+            need = needed(found[4], found[5])
+            found = found[:, (need <= 14 * n_groups) | (7 * found[2] * n_groups >= need)]
+        part = (mix(found[0].view(U64)) % U64(n_groups)).astype(np.int64)
+        parts = np.unique(part)
+        return pa.table({"h": pa.array(parts, pa.int32()), "pairs": pa.array([np.ascontiguousarray(found[:, part == h]).tobytes() for h in parts], pa.binary())})
+
+    def add_up(table: pa.Table) -> pa.Table:
+        """The pairs of a part with their sums over all groups, where these suffice."""
+        found = rolled_up(np.concatenate([np.frombuffer(v.as_py(), np.int64).reshape(6, -1) for v in table.column("pairs")], axis=1))
+        if not partners:
+            need = needed(found[4], found[5])
+            found = found[:, 7 * found[2] * n_groups >= np.where(need <= 14 * n_groups, need * n_groups, need * found[3])]
+        return pa.table({name: pa.array(np.ascontiguousarray(found[k])) for k, name in enumerate(("a", "b", "shared"))})
+
+    return grouped.groupBy("g").applyInArrow(meet, "h int, pairs binary").groupBy("h").applyInArrow(add_up, "a long, b long, shared long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,11 +347,17 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
+def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose components differ so far."""
+    of = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
+
+
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for each row of ``docs``."""
     docs = docs.select(F.col(key), F.col(text).cast("binary").alias("text"))
     named = docs.where(F.col(key).isNotNull())
-    sig = cut(signatures(docs, key), "signatures")
+    sig = cut(signatures(docs, key, frequent_tokens(named)), "signatures")
     classes = sig.where((F.col("n") > 0) & F.col(key).isNotNull()).groupBy("f1", "f2", "n", "least").agg(F.min(key).alias("rep"))
     classes = cut(classes, "classes")
     # ids that name several classes lead none, so that bounds refer to one set
@@ -294,33 +370,53 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     near = tried.where(reaches(LINK)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     satellites = cut(tried.where(reaches(CLOSE)).select(F.col("a").alias("rep"), F.col("b").alias("label"), (7 * (F.col("n_a") - F.col("common")) - 3 * F.col("n_a")).alias("gain")), "satellites")
 
-    # index: representatives under their leader's name; other copies are left out
-    copies = sig.where((F.col("n") > 0) & F.col(key).isNotNull()).join(classes.select(F.col("rep").alias(key)).distinct(), key, "left_anti").select(F.col(key), F.lit(None).cast(column_type(named, key)).alias("label"), F.lit(True).alias("copy"))
-    names = cut(copies.union(satellites.select("rep", "label", F.lit(False))).distinct(), "names")
-    labelled = named.join(sized(names, names.count()), key, "left").where(F.col("copy").isNull() | ~F.col("copy")).select(F.coalesce("label", key).alias("label"), "text")
+    # representatives are indexed under their leader's name, with the sizes of all sets of that name; copies are left out
+    copies = sig.where((F.col("n") > 0) & F.col(key).isNotNull()).join(classes.select(F.col("rep").alias(key)).distinct(), key, "left_anti").select(key).distinct()
+    own_name = classes.join(satellites.select("rep", "label"), "rep", "left").select(F.col("rep").alias(key), F.coalesce("label", "rep").alias("label"), "n")
+    sizes = own_name.groupBy("label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    several = own_name.join(sizes, "label").select(key, "label", "low", "high").distinct()
+    names = cut(several.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True), "names")
+
+    def labelled(joined: DataFrame) -> DataFrame:
+        known = cut(names.select(key, "label", "low", "high", "copy").join(joined.withColumnRenamed("node", key), key, "full").withColumn("label", F.coalesce("label", key)), "labels")
+        rows = sig.where((F.col("n") > 0) & F.col(key).isNotNull()).join(sized(known, known.count()), key, "left").where(~F.coalesce("copy", F.lit(False)))
+        label = F.coalesce("label", key)
+        return rows.select(label.alias("label"), F.coalesce("component", label).alias("component"), F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.lit(0)).alias("high"), "n", "prefix")
+
     tokens = classes.agg(F.sum("n")).first()[0] or 0
     n_groups = max(16, int(tokens * (100 - LINK) / 100 / GROUP_TOKENS) + 1)
-    pairs = cut(candidates(postings(labelled, frequent_tokens(named), n_groups)), "pairs")
+    linked = lambda df: df.where(reaches(LINK)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    # leaders' answers, and those of satellites that the bound leaves open
-    known = cut(compare(named, pairs, key), "answers")
+    # the nearest few of each first, from some of the tokens; then all pairs that this leaves in different components
+    joined = components(near)
+    ways = candidates(postings(labelled(joined), n_groups, FIRST_TOKENS), n_groups, FIRST_PARTNERS)
+    ways = cut(ways, "nearest")
+    ways = ways.union(ways.select("b", "a", "shared"))
+    closest = ways.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))).where(F.col("k") <= FIRST_PARTNERS)
+    known = cut(compare(named, cut(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "closest"), key), "answers")
+    joined = components(near.union(linked(known)))
+    pairs = cut(candidates(postings(labelled(joined), n_groups), n_groups).select("a", "b"), "pairs")
+    known = known.union(cut(compare(named, pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), key), "answers"))
+    joined = components(near.union(linked(known)))
+
+    # answers of satellites that the bound leaves open
     family = satellites.groupBy("label").agg(F.max("gain").alias("gain"))
     gains = lambda x: family.select(F.col("label").alias(x), F.col("gain").alias(f"gain_{x}"))
-    ahead = known.where(~reaches(LINK)).join(gains("a"), "a", "left").join(gains("b"), "b", "left")
+    ahead = apart(known.where(~reaches(LINK)), joined).join(gains("a"), "a", "left").join(gains("b"), "b", "left")
     best = lambda x: F.greatest(F.coalesce(F.col(f"gain_{x}"), -3 * F.col(f"n_{x}")), -3 * F.col(f"n_{x}"))
     ahead = ahead.where((F.col("gain_a").isNotNull() | F.col("gain_b").isNotNull()) & (7 * F.col("common") + best("a") + best("b") >= 0))
     folk = satellites.select("label", "rep", "gain")
     side = lambda df, x: df.join(folk.select(F.col("label").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("gain").alias(f"own_{x}")), x, "left")
     own = lambda x: F.array(F.struct(F.col(x).alias("id"), (-3 * F.col(f"n_{x}")).alias("gain")), F.struct(F.col(f"rep_{x}").alias("id"), F.col(f"own_{x}").alias("gain")))
-    wide = side(side(ahead, "a"), "b").select("a", "b", "common", F.explode(own("a")).alias("x"), own("b").alias("ys")).select("a", "b", "common", "x", F.explode("ys").alias("y"))
-    wide = wide.where(F.col("x.id").isNotNull() & F.col("y.id").isNotNull() & (7 * F.col("common") + F.col("x.gain") + F.col("y.gain") >= 0))
-    open_pairs = cut(wide.select(F.col("x.id").alias("p"), F.col("y.id").alias("q"), "a", "b").where("not (p = a and q = b)").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), "open")
+    kept = lambda x: F.col(f"{x}.id").isNotNull()
+    wide = side(ahead, "a").withColumn("x", F.explode(own("a"))).where(kept("x") & (7 * F.col("common") + F.col("x.gain") + best("b") >= 0)).select("a", "b", "n_b", "common", "x").distinct()
+    wide = side(wide, "b").withColumn("y", F.explode(own("b"))).where(kept("y") & (7 * F.col("common") + F.col("x.gain") + F.col("y.gain") >= 0))
+    open_pairs = cut(wide.where("not (x.id = a and y.id = b)").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "open")
     more = compare(named, open_pairs, key)
 
     same_id = sig.where("n > 0").join(classes, ["f1", "f2", "n", "least"]).where(F.col("rep") != F.col(key)).join(classes.select(F.col("rep").alias(key)).distinct(), key, "left_semi").select(F.col(key).alias("u"), F.col("rep").alias("v"))
-    linked = lambda df: df.where(reaches(LINK)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = components(near.union(linked(known)).union(linked(more)).union(same_id))
 
     of_class = classes.join(found, classes["rep"] == found["node"], "left").select("f1", "f2", "n", "least", F.coalesce("component", "rep").alias("component"))
-    out = sig.join(of_class, ["f1", "f2", "n", "least"], "left")
+    out = sig.drop("prefix").join(of_class, ["f1", "f2", "n", "least"], "left")
     return out.select(F.col(key), F.col("n").alias("n_shingles"), F.when(F.col(key).isNotNull(), F.coalesce("component", key)).alias("component_id"))
