@@ -38,7 +38,7 @@ DECAY, SPAN, BITS = 0.7, 5, 18
 #: Words beyond so many characters are read through windows that overlap by half.
 WINDOW = 24
 #: Distinct words that a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 LOW, HIGH = -2.0, 2.0
 TOP = 3
 
@@ -283,7 +283,7 @@ def scores(texts: list[str], machine: Machine, cache: dict[str, float]) -> np.nd
 
 
 #: Characters of texts that are scored together.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def in_chunks(values: Iterable[str]) -> Iterator[list[str]]:
