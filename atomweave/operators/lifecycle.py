@@ -18,10 +18,10 @@ STALE_TYPES = (LESSON, "bug-root-cause", "feedback-rule", "pattern-gotcha")
 TRUNCATED = "\n\n[truncated]"
 
 
-def stale_documents(leaves: DataFrame, now: int, months: float, types: tuple[str, ...]) -> DataFrame:
-    """Enabled documents of eligible types without activity for more than so many months."""
+def stale_documents(leaves: DataFrame, now: int, months: float, types: tuple[str, ...], active: bool = True) -> DataFrame:
+    """Documents of eligible types without activity for more than so many months; enabled ones alone unless told otherwise."""
     last = D.last_activity(F.col("last_recalled_at"), F.col("created_at_ms"))
-    found = leaves.where(F.coalesce("enabled", F.lit(True))).withColumn("last_ms", last)
+    found = (leaves.where(F.coalesce("enabled", F.lit(True))) if active else leaves).withColumn("last_ms", last)
     return found.where(D.stale(F.col("atom_type"), F.col("last_ms"), now, months, types)).select("doc_id", "atom_type", "last_ms")
 
 

@@ -83,9 +83,9 @@ def archive_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 STALE = "('" + "', '".join(lifecycle.STALE_TYPES) + "')"
 
 
-@query(f"WITH {LEAF} SELECT doc_id, atom_type, created_at_ms AS last_ms FROM leaf WHERE enabled AND atom_type IN {STALE} AND {NOW} - created_at_ms > {STALE_MONTHS} * 2629800000")
+@query(f"WITH {LEAF} SELECT doc_id, atom_type, created_at_ms AS last_ms FROM leaf WHERE atom_type IN {STALE} AND {NOW} - created_at_ms > {STALE_MONTHS} * 2629800000")
 def stale_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.stale_documents(leaves(spark, sf_dir), NOW, STALE_MONTHS, lifecycle.STALE_TYPES)
+    return lifecycle.stale_documents(leaves(spark, sf_dir), NOW, STALE_MONTHS, lifecycle.STALE_TYPES, active=False)
 
 
 @query(f"""WITH {LEAF}, c AS (SELECT *, regexp_replace(left(body, {BODY_CHARS - len(lifecycle.TRUNCATED)}), '\\s+$', '') || chr(10) || chr(10) || '[truncated]' AS cut FROM leaf
