@@ -34,16 +34,16 @@ TRAIN_PAGES, TRAIN_CHARS, VARIANTS = 240, 60_000, 3
 PATH_DIM, WORD_DIM, SHAPES, HIDDEN = 64, 24, 6, 16
 EPOCHS, BATCH, RATE = 14, 24, 0.02
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-OUTSIDE_TAGS = frozenset("head title nav footer aside form button select option dialog menu figure fieldset".split())
+OUTSIDE_TAGS = frozenset("head title nav footer aside form button select option dialog menu".split())
 OUTSIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social "
     "comment comments reply replies discussion disqus respond sidebar widget rail menu navbar nav navigation breadcrumb breadcrumbs pagination pager toolbar footer header masthead topbar related recommended "
-    "trending tags meta byline print skip".split()
+    "trending".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_NAMES = frozenset("article content main post entry story articlebody maincontent text body".split())
