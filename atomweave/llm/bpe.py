@@ -23,14 +23,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import column_type
+from .common import column_type, give_back, sliced
 
 #: Pieces up to so many bytes are leaves of the tree, merged directly.
 LEAF_BYTES = 48
 #: Characters of a text that are split at a time.
 BLOCK_CHARS = 1 << 20
 #: Encoded pieces that a Python worker remembers; a full memory is emptied.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 #: The rank of two neighbours that no merge joins.
 NEVER = 1 << 62
 
@@ -41,7 +41,7 @@ class TreeBpe:
     def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF_BYTES):
         self.ranks, self.leaf = ranks, leaf
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.stable = lru_cache(200_000)(self._stable)
+        self.stable = lru_cache(50_000)(self._stable)
 
     def merge(self, data: bytes) -> list[int]:
         """Merges the pair of lowest rank, the leftmost of equals, until none is left."""
@@ -165,10 +165,13 @@ def encode_documents(docs: DataFrame, path: str, split: str, key: str = "doc_id"
     schema = f"{key} {column_type(docs, key)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = [digest(value.as_py() or "", path, split) for value in batch.column(1)]
             n, ids, decoded = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        for memory in worker(path, split)[2:]:  # the worker's next task may be of another kind
+            memory.clear()
+        give_back()
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -178,7 +181,7 @@ def token_ids(docs: DataFrame, path: str, split: str, key: str = "doc_id", text:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, pattern, _, _ = worker(path, split)
-        for batch in batches:
+        for batch in sliced(batches):
             out = [[t for pieces in split_blocks(pattern, v.as_py() or "") for p in pieces for t in coder.encode(p.encode("utf-8", "replace"))] for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=[key, "tokens"])
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is made of one at a time stays small. Memory that Arrow or the C library keep
+    is given back, as a worker lives on for later tasks of other kinds."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+        give_back()
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
+#: Rows that Spark hands to Python at a time; its default is ten times as many, which long documents make large.
+ARROW_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lowers the session's Arrow batches to ARROW_ROWS where they are larger, to bound the memory of both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+    return spark
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` into the shared folder and reads it again: a lost executor then costs no recomputation of what came before."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_type, cut
+from .common import column_type, cut, sliced
 
 WINDOW_WORDS = 10
 TABLE_WINDOWS = 500_000
@@ -133,7 +133,7 @@ def search_pass(df: DataFrame, table: dict[tuple[bytes, ...], list[str]], key: s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(table)
-        for batch in batches:
+        for batch in sliced(batches):
             n_words, spans, items = [], [], []
             for value, had, named in zip(batch.column(1), batch.column(3), batch.column(4), strict=True):
                 doc = words(value.as_py())
@@ -168,7 +168,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
     def keep(table: dict) -> object:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(table)
-            for batch in batches:
+            for batch in sliced(batches):
                 texts = (words((value.as_py() or "").encode("utf-8", "replace")) for value in batch.column(at))
                 yield batch.filter(pa.array([not any(True for t in searcher.tables for _ in t.search(doc)) for doc in texts], pa.bool_()))
 

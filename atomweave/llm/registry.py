@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, htmltext, licenses, secrets, setjoin, sharding, tokencount, topk, toxicity
-from .common import cut, shared_dir, sized
+from .common import cut, shared_dir, sized, small_batches
 
 N_SHARDS = 24
 BYTE_BPE, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,12 +122,14 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half."""
+    small_batches(spark)
     return toxicity.keep_clean(docs, toxicity_machine(spark, docs, sf_dir))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked or equal documents, the one with the smallest id. Rows that repeat an id and text leave one; documents
     without words, and rows without an id, stay."""
+    small_batches(spark)
     found = setjoin.link_components(docs).where((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
     found = cut(found, "copies")
     kept = docs.join(sized(found, found.count()), "doc_id", "left_anti").select(*docs.columns)
@@ -152,6 +154,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
+    small_batches(spark)
     return bpe.encode_documents(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_type, cut, sized
+from .common import column_type, cut, sized, sliced
 
 SHINGLE_WORDS = 5
 #: A link needs 100 * intersection >= LINK * union; a satellite needs the same with CLOSE.
@@ -89,17 +89,19 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.asarray(x, U64).view(np.int64))
 
 
-def sets_of(df: DataFrame, key: str) -> DataFrame:
-    """(all columns but the text, n, packed set); ``df`` has a binary column ``text``."""
+def sets_of(df: DataFrame) -> DataFrame:
+    """(all columns but the text, n, tokens); ``df`` has a binary column ``text``."""
     kept = [c for c in df.columns if c != "text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(v.as_py(), hashes) for v in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*kept, "n", "packed"])
+            sizes = np.array([len(s) for s in sets], np.int64)
+            tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), signed(np.concatenate([np.empty(0, U64), *sets])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sizes), tokens], names=[*kept, "n", "tokens"])
 
-    return df.mapInArrow(run, ", ".join(f"{c} {column_type(df, c)}" for c in kept) + ", n long, packed binary")
+    return df.mapInArrow(run, ", ".join(f"{c} {column_type(df, c)}" for c in kept) + ", n long, tokens array<long>")
 
 
 def signatures(docs: DataFrame, key: str, hot: np.ndarray) -> DataFrame:
@@ -107,7 +109,7 @@ def signatures(docs: DataFrame, key: str, hot: np.ndarray) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             n, f1, f2, least, prefix = [], [], [], [], []
             for value in batch.column(1):
                 s = shingles(value.as_py(), hashes)
@@ -122,19 +124,6 @@ def signatures(docs: DataFrame, key: str, hot: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, f"{key} {column_type(docs, key)}, n long, f1 long, f2 long, least long, prefix binary")
 
 
-def overlaps(pairs: DataFrame, kept: list[str]) -> DataFrame:
-    """The kept columns and ``common``, for rows with two packed sets."""
-    names = [*kept, "common"]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            common = [len(np.intersect1d(np.frombuffer(a.as_py(), U64), np.frombuffer(b.as_py(), U64), assume_unique=True)) for a, b in zip(batch.column("packed_a"), batch.column("packed_b"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(common, pa.int64())], names=names)
-
-    schema = ", ".join(f"{c} {column_type(pairs, c)}" for c in kept) + ", common long"
-    return pairs.select(*kept, "packed_a", "packed_b").mapInArrow(run, schema)
-
-
 def reaches(percent: int, common: str = "common", a: str = "n_a", b: str = "n_b"):
     return 100 * F.col(common) >= percent * (F.col(a) + F.col(b) - F.col(common))
 
@@ -148,9 +137,10 @@ def compare(docs: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """(a, b, n_a, n_b, common) of pairs of ids; sets are made again for these ids alone."""
     ids = cut(pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b").alias(key))).distinct(), "ids")
     # one shuffle by id serves the removal of repeated rows and both joins
-    sets = sets_of(fetch(docs, ids, key), key).repartition(F.col(key)).dropDuplicates([key, "n", "packed"])
-    side = lambda x: sets.select(F.col(key).alias(x), F.col("n").alias(f"n_{x}"), F.col("packed").alias(f"packed_{x}"))
-    return overlaps(pairs.join(side("a"), "a").join(side("b"), "b"), ["a", "b", "n_a", "n_b"])
+    sets = sets_of(fetch(docs, ids, key)).repartition(F.col(key)).dropDuplicates([key, "n", "tokens"])
+    side = lambda x: sets.select(F.col(key).alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
+    common = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long").alias("common")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", common)
 
 
 def frequent_tokens(docs: DataFrame) -> np.ndarray:
@@ -159,7 +149,7 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             for value in batch.column(0):
                 yield pa.RecordBatch.from_arrays([signed(shingles(value.as_py(), hashes))], names=["token"])
 
@@ -184,7 +174,7 @@ def postings(labelled: DataFrame, n_groups: int, every: int = 1) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in sliced(batches):
             label, component, low, high, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "component", "low", "high", "n"))
             for k, value in enumerate(batch.column("prefix")):
                 p = np.frombuffer(value.as_py(), U64)
@@ -217,8 +207,9 @@ def pack(held: list[tuple], n_groups: int) -> pa.RecordBatch:
 def rolled_up(rows: np.ndarray) -> np.ndarray:
     """Rows (a, b, shared, groups, low, high) with one column for each pair: tokens and groups of tokens are added up, low
     and high go with the pair."""
-    order = np.lexsort((rows[1], rows[0]))
-    rows = rows[:, order]
+    if not rows.shape[1]:
+        return rows
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
     at = np.flatnonzero(np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
     return np.vstack([rows[:2, at], np.add.reduceat(rows[2:4], at, axis=1), rows[4:, at]])
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_type
+from .common import column_type, sliced
 
 TRAIN_DOCS, TRAIN_CHARS = 5_000, 20_000
 LANDMARKS, CLEAN_LANDMARKS, CLEAN_WORDS = 128, 24, 12_000
@@ -303,7 +303,7 @@ def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             found = [scores(chunk, machine, cache) for chunk in in_chunks(v.as_py() or "" for v in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else [], pa.float64())], names=[key, "score"])
 
@@ -316,7 +316,7 @@ def keep_clean(docs: DataFrame, machine: Machine, limit: float = 0.5, text: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             found = [scores(chunk, machine, cache) for chunk in in_chunks(v.as_py() or "" for v in batch.column(at))]
             yield batch.filter(pa.array(np.concatenate(found) < limit)) if found else batch
 
