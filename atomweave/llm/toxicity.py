@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_type, sliced
+from .common import column_type, give_back, sliced
 
 TRAIN_DOCS, TRAIN_CHARS = 5_000, 20_000
 LANDMARKS, CLEAN_LANDMARKS, CLEAN_WORDS = 128, 24, 12_000
@@ -271,7 +271,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, key: st
     some = known.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(TRAIN_DOCS).dropDuplicates([key])
     rows = docs.where(F.length(text) <= TRAIN_CHARS).select(key, F.col(text).alias("t")).join(F.broadcast(some), key).select("t", "y").collect()  # TRAIN_DOCS rows by TRAIN_CHARS
     rows.sort()
-    return train([r["t"] for r in rows], [r["y"] for r in rows])
+    machine = train([r["t"] for r in rows], [r["y"] for r in rows])
+    del rows
+    give_back()  # the driver lives on for other stages
+    return machine
 
 
 def scores(texts: list[str], machine: Machine, cache: dict[str, float]) -> np.ndarray:
