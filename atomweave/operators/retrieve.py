@@ -124,24 +124,53 @@ def cross_references(scored: DataFrame, types: tuple[str, ...], module: str, thr
     return best(met, ["atom_type"], 1).select("atom_type", "doc_id", "score")
 
 
+#: The registered SQL alone still takes candidates from words so rare; ``likeness`` has no such cap.
 RARE = 20
-
-
-def likeness(leaves: DataFrame, chars: int, rare: int = RARE) -> DataFrame:
-    """(a, b, score) with a < b: Jaccard likeness of the words in the first ``chars`` characters, for documents of one slot
-    that share a word which at most ``rare`` documents of the slot have. A word so rare brings together at most rare² / 2
-    pairs, so pairs grow with the table and not with its square; exact copies are found by their hash instead."""
-    sets = leaves.select("slot", "doc_id", F.array_distinct(words(F.substring("body", 1, chars))).alias("words"))
-    terms = sets.select("slot", "doc_id", F.explode("words").alias("term"))
-    # partial sums on the map side; a common term ends as one row and its postings are dropped by the join
-    uncommon = terms.groupBy("slot", "term").count().where(F.col("count").between(2, rare)).drop("count")
-    listed = terms.join(uncommon, ["slot", "term"])
-    members = listed.groupBy("slot", "term").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))  # rare ids at most
-    pairs = members.select("slot", F.explode(F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("slot", "p.a", "p.b").distinct()
-    side = lambda x: sets.select("slot", F.col("doc_id").alias(x), F.col("words").alias(f"w_{x}"))
-    both = pairs.join(side("a"), ["slot", "a"]).join(side("b"), ["slot", "b"])
-    shared = F.size(F.array_intersect("w_a", "w_b"))
-    return both.select("slot", "a", "b", F.round(shared / (F.size("w_a") + F.size("w_b") - shared), DIGITS).alias("score"))
+#: Rows of a list that meet in one group, at most about; longer lists are dealt out in pairs of blocks.
+LIST = 500
+
+
+def meetings(rows: DataFrame, keys: list[str], id_: str, count: str, kept: list[str], good: Column | None = None) -> DataFrame:
+    """Pairs of ``rows`` that are equal in ``keys``, each once with the smaller id first, as columns ``a_…`` and ``b_…``.
+
+    ``count`` bounds the rows of a key. A long list is cut in blocks by hash, and each pair of its blocks is a group of its
+    own, so that a hot key is spread over many tasks."""
+    blocks = F.ceil(F.col(count) / LIST).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64(id_), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select(*keys, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", id_, *kept)
+    side = lambda x: dealt.select(*keys, "lo", "hi", *[F.col(c).alias(f"{x}_{c}") for c in ("own", id_, *kept)])
+    once = (F.col(f"a_{id_}") < F.col(f"b_{id_}")) & ((F.col("lo") == F.col("hi")) | (F.col("a_own") != F.col("b_own")))
+    met = side("a").join(side("b"), [*keys, "lo", "hi"]).where(once if good is None else once & good)
+    return met.drop("lo", "hi", "a_own", "b_own")
+
+
+def likeness(leaves: DataFrame, chars: int, least: float) -> DataFrame:
+    """(slot, a, b, score) with a < b: Jaccard likeness of the words in the first ``chars`` characters, for all pairs of
+    documents of one slot that reach ``least``. A text without words is like nothing.
+
+    Documents with equal words form a class, and representatives are joined by prefix filtering: with words in one order,
+    rare ones first, two sets that reach the score share one of their first ``n - ceil(least n) + 1`` words. They meet
+    at the first word that they share, if their sizes and what is left behind that word can still reach the score."""
+    t = least - 10.0**-DIGITS  # rounding may lift a score to the threshold
+    sets = leaves.select("slot", "doc_id", F.array_sort(F.array_distinct(words(F.substring("body", 1, chars)))).alias("words")).where(F.size("words") > 0)
+    classes = sets.groupBy("slot", "words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
+    terms = classes.select("slot", "rep", F.explode("words").alias("term"))
+    counted = terms.join(terms.groupBy("slot", "term").agg(F.count("*").alias("df")), ["slot", "term"])
+    ordered = counted.groupBy("slot", "rep").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("w")).withColumn("n", F.size("w"))
+    prefix = F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * t).cast("int") + 1)
+    posted = ordered.select("slot", "rep", "n", F.col("w.term").alias("words"), F.posexplode(prefix).alias("at", "e")).select("slot", F.col("e.term").alias("term"), F.col("e.df").alias("df"), "rep", "n", "at", "words")
+    reach = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= (F.col("a_n") + F.col("b_n")) * (t / (1 + t))
+    sizes = (F.col("a_n") >= F.col("b_n") * t) & (F.col("b_n") >= F.col("a_n") * t)
+    met = meetings(posted.where("df > 1"), ["slot", "term"], "rep", "df", ["n", "at", "words"], sizes & reach)
+    shared = met.withColumn("both", F.array_intersect("a_words", "b_words")).where(F.element_at("both", 1) == F.col("term"))
+    score = F.round(F.size("both") / (F.col("a_n") + F.col("b_n") - F.size("both")), DIGITS)
+    linked = shared.select("slot", F.col("a_rep").alias("rep"), F.col("b_rep").alias("rep_b"), score.alias("score")).where(F.col("score") >= least)
+    # classes back to documents: across linked classes, and within each
+    of_class = sets.join(classes, ["slot", "words"]).select("slot", "rep", "doc_id", "members")
+    across = linked.join(of_class.select("slot", "rep", F.col("doc_id").alias("x")), ["slot", "rep"]).join(of_class.select("slot", F.col("rep").alias("rep_b"), F.col("doc_id").alias("y")), ["slot", "rep_b"])
+    across = across.select("slot", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+    within = meetings(of_class.where("members > 1"), ["slot", "rep"], "doc_id", "members", []).select("slot", F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"), F.lit(1.0).alias("score"))
+    return across.unionByName(within)
 
 
 def clusters(edges: DataFrame, k: int, least: float) -> DataFrame:

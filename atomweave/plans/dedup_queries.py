@@ -36,13 +36,13 @@ pairs AS (
 retained AS (SELECT loser_id, keeper_id, source_pass FROM pairs QUALIFY row_number() OVER (PARTITION BY loser_id ORDER BY pass_rank, CAST(keeper_id AS BIGINT)) = 1)"""
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.likeness(leaves(spark, sf_dir), CLUSTER_QUERY_CHARS)
+def edges(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+    return retrieve.likeness(leaves(spark, sf_dir), CLUSTER_QUERY_CHARS, least)
 
 
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = leaves(spark, sf_dir)
-    alike = dedup.similarity_pairs(edges(spark, sf_dir), docs, MERGE_SCORE).drop("score")
+    alike = dedup.similarity_pairs(edges(spark, sf_dir, MERGE_SCORE), docs, MERGE_SCORE).drop("score")
     pairs = reduce(DataFrame.unionByName, [dedup.sha256_pairs(docs), dedup.lesson_key_pairs(docs), alike])
     return dedup.with_rank(pairs).withColumn("scan_idx", F.col("keeper_id").cast("long"))
 
@@ -59,13 +59,13 @@ def lesson_key_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LEAF}, {LIKE} SELECT * FROM alike")
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.similarity_pairs(edges(spark, sf_dir), leaves(spark, sf_dir), MERGE_SCORE)
+    return dedup.similarity_pairs(edges(spark, sf_dir, MERGE_SCORE), leaves(spark, sf_dir), MERGE_SCORE)
 
 
 @query(f"""WITH {LEAF}, {LIKE}, both_ways AS (SELECT a AS doc_id, b AS other, score FROM edges WHERE score >= {CLUSTER_SCORE} UNION ALL SELECT b, a, score FROM edges WHERE score >= {CLUSTER_SCORE})
 SELECT doc_id, CAST(row_number() OVER w AS INTEGER) AS rank, other, score FROM both_ways WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= {CLUSTER_RESULTS}""")
 def cluster_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.clusters(edges(spark, sf_dir), CLUSTER_RESULTS, CLUSTER_SCORE)
+    return retrieve.clusters(edges(spark, sf_dir, CLUSTER_SCORE), CLUSTER_RESULTS, CLUSTER_SCORE)
 
 
 @query(f"""WITH RECURSIVE {ALL_PAIRS},

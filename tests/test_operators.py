@@ -229,3 +229,26 @@ def test_provider_failures_and_reports(spark):
     report = healing.escalations(streak, 3, 3).select(healing.issue_report()).first()[0]
     assert report.startswith("# provider-unavailable\n\n- reason: pending-consecutive") and "1970-01-01T00:00:00Z" in report
     assert healing.due(None, 5, 1) and healing.due(0, DAY, 1) and not healing.due(1, DAY, 1)
+
+
+def test_likeness_finds_pairs_whose_words_are_all_common(spark):
+    words = [f"w{k}" for k in range(24)]
+    rows = [{"doc_id": str(k), "body": " ".join(words[:k] + words[k + 1 :])} for k in range(24)]  # 24 near copies; each word stands in 23 of them
+    rows += [{"doc_id": f"c{k}", "body": " ".join(reversed(words))} for k in range(30)] + [{"doc_id": "e", "body": "- -"}, {"doc_id": "n"}, {"doc_id": "o", "body": " ".join(words), "slot": "plans"}]
+    docs = leaves(spark, *rows)
+    sets = {r["doc_id"]: set((r.get("body") or "").split()) - {"-"} for r in rows if r["doc_id"] != "o"}
+    for least in (0.5, 0.88, 0.93, 0.958333):
+        want = {(a, b, score) for a, v in sets.items() for b, w in sets.items() if a < b and v and w and (score := round(len(v & w) / len(v | w), 6)) >= least}
+        found = retrieve.likeness(docs, 240, least).collect()
+        assert len(found) == len(want) and {(r["a"], r["b"], r["score"]) for r in found} == want
+
+
+def test_likeness_of_documents_equals_brute_force(spark, data):
+    import duckdb
+
+    from atomweave.operators.leaf import leaves as stored
+
+    sql = f"""WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 8 WHEN 6 THEN 's' WHEN 7 THEN 'p' ELSE 'k' END AS slot, list_distinct(regexp_extract_all(lower(left(text, 240)), '[a-z0-9]+')) AS w FROM '{data}/documents.parquet')
+    SELECT a.id, b.id, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS score FROM s a JOIN s b ON a.slot = b.slot AND a.id < b.id WHERE len(a.w) > 0 AND len(b.w) > 0 AND score >= 0.5"""
+    found = retrieve.likeness(stored(spark, data), 240, 0.5).collect()
+    assert sorted((r["a"], r["b"], r["score"]) for r in found) == sorted(duckdb.sql(sql).fetchall())
