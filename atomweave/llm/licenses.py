@@ -1,12 +1,14 @@
 """License scans by conditional compression.
 
 A text's lines and paragraphs that hold a word of licensing are candidate blocks. Each is compressed with zstandard alone
-and with every template as a raw dictionary; the template that saves most bytes tells most about the block. The best few
-are confirmed by exact wording: the template's words must occur in the block in order, with at most ``MISSING`` of them
-missing, and the differences are reported. Templates are short notices of public licences.
+and with every template as a raw dictionary; templates that save bytes tell something about the block. All of these are
+confirmed by exact wording: the template's words must occur in the block in order, with at most ``MISSING`` of them
+missing, and the differences are reported. Templates are short notices of public licences, and the passages by which full
+texts of some of them are known.
 
-Blocks are paragraphs (runs of lines that aren't blank) when a notice runs over lines, and single lines; a long block is
-read in overlapping windows of words, so that nothing behind a limit is left out. No shuffle; templates have a fixed size.
+Blocks are single lines and whole paragraphs (runs of lines that aren't blank), wherever a notice is wrapped; a long block
+is read in windows of words that overlap by more than a template has, so that nothing behind a limit is left out. No
+shuffle; templates have a fixed size.
 
 Edge cases: null and empty texts have no licences; a licence that occurs twice is named once; ties in savings go to the
 template that comes first by name; rows that repeat give rows that repeat.
@@ -44,10 +46,23 @@ TEMPLATES = {
     "Unlicense": "Released into the public domain under the Unlicense.",
     "all-rights-reserved": "All rights reserved.",
 }
-CUE = re.compile(r"licen[cs]e|public domain|rights reserved|creative commons|copyright|\bcc[ -]?(?:by|0)|spdx", re.I)
+#: What only the full text of a licence says, in at most half a window.
+PASSAGES = {
+    "Apache-2.0": "Apache License Version 2.0, January 2004",
+    "AGPL-3.0": "GNU Affero General Public License Version 3, 19 November 2007",
+    "GPL-2.0": "GNU General Public License Version 2, June 1991",
+    "GPL-3.0": "GNU General Public License Version 3, 29 June 2007",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "LGPL-3.0": "GNU Lesser General Public License Version 3, 29 June 2007",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+#: All templates by a name of their own, each with its licence.
+ALL = {name: (name, text) for name, text in TEMPLATES.items()} | {f"{name} (text)": (name, text) for name, text in PASSAGES.items()}
+CUE = re.compile(r"permission\s+(?:is|to)|hereby granted|unencumbered|licen[cs]e|public domain|rights reserved|creative commons|copyright|\bcc[ -]?(?:by|0)|spdx", re.I)
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
-#: Words of a window of a long block, templates that are confirmed, and the share of a template's words that may be missing.
-WINDOW, BEST, MISSING = 60, 4, 0.2
+#: Words of a window of a long block, and the share of a template's words that may be missing.
+WINDOW, MISSING = 60, 0.2
 #: Words that name a licence: they may not be missing or differ.
 FILLER = frozenset("a and dedicated domain general in into is licence license licensed of public released subject terms the this to under v version work".split())
 
@@ -56,7 +71,7 @@ FILLER = frozenset("a and dedicated domain general in into is licence license li
 def compressors() -> tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCompressor]]:
     parameters = lambda: zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_dict_id=False)
     with_template = lambda t: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters())
-    return zstandard.ZstdCompressor(compression_params=parameters()), {name: with_template(t) for name, t in sorted(TEMPLATES.items())}
+    return zstandard.ZstdCompressor(compression_params=parameters()), {name: with_template(t) for name, (_, t) in sorted(ALL.items())}
 
 
 def words(text: str) -> list[str]:
@@ -65,7 +80,7 @@ def words(text: str) -> list[str]:
 
 @lru_cache(1)
 def template_words() -> dict[str, list[str]]:
-    return {name: words(t) for name, t in TEMPLATES.items()}
+    return {name: words(t) for name, (_, t) in ALL.items()}
 
 
 def savings(block: str) -> list[tuple[int, str]]:
@@ -76,11 +91,18 @@ def savings(block: str) -> list[tuple[int, str]]:
     return sorted(((base - len(c.compress(data)), name) for name, c in given.items()), key=lambda x: (-x[0], x[1]))
 
 
+def places(name: str, found: list[str]) -> dict[int, int]:
+    """Where a template's words stand in a block's words: their places here and there."""
+    matcher = difflib.SequenceMatcher(None, template_words()[name], found, autojunk=False)
+    return {a + k: b + k for a, b, n in matcher.get_matching_blocks() for k in range(n)}
+
+
 def wording(name: str, found: list[str]) -> list[str] | None:
     """What a block's words lack of a template, or None if that is too much or a word that names the licence."""
     template = template_words()[name]
-    matcher = difflib.SequenceMatcher(None, template, found, autojunk=False)
-    here = {k for a, _, n in matcher.get_matching_blocks() for k in range(a, a + n)}
+    if not set(template) - FILLER <= set(found):
+        return None
+    here = places(name, found)
     lacks = [w for k, w in enumerate(template) if k not in here]
     if len(lacks) > MISSING * len(template) or any(w not in FILLER for w in lacks):
         return None
@@ -88,8 +110,8 @@ def wording(name: str, found: list[str]) -> list[str] | None:
 
 
 def parts(block: str) -> Iterator[str]:
-    """A block, in windows that overlap by half if it is long."""
-    found = block.split()
+    """A block, in windows that overlap by half if it is long. Marks without a letter or digit, as comments have them, don't count."""
+    found = [w for w in block.split() if WORD.search(w)]
     if len(found) <= WINDOW:
         yield block
         return
@@ -105,28 +127,32 @@ def scan_block(block: str) -> tuple[tuple[str, int, str], ...]:
     out: dict[str, tuple[str, int, str]] = {}
     for part in parts(block):
         found = words(part)
-        confirmed = [(len(lacks), -saved, name, lacks) for saved, name in savings(part)[:BEST] if saved > 0 and (lacks := wording(name, found)) is not None]
+        confirmed = [(len(lacks), -saved, name, lacks) for saved, name in savings(part) if saved > 0 and (lacks := wording(name, found)) is not None]
         for n, saved, name, lacks in sorted(confirmed):
-            # a shorter notice inside a longer one that is confirmed too says nothing more
-            if not any(o != name and set(template_words()[name]) <= set(template_words()[o]) and k <= n for k, _, o, _ in confirmed):
-                out.setdefault(name, (name, -saved, " ".join(lacks)))
+            # a shorter notice inside a longer one that is confirmed too says nothing more, unless it also stands elsewhere
+            longer = [o for k, _, o, _ in confirmed if o != name and set(template_words()[name]) < set(template_words()[o]) and k <= n]
+            taken = {b for o in longer for b in places(o, found).values()}
+            if not longer or wording(name, [w for b, w in enumerate(found) if b not in taken]) is not None:
+                licence = ALL[name][0]
+                out.setdefault(licence, (licence, -saved, " ".join(lacks)))
     return tuple(out[name] for name in sorted(out))
 
 
 def candidate_blocks(text: str) -> list[str]:
-    """Lines with a word of licensing, each together with its neighbours if these are lines of the same paragraph and the
-    notice may run on."""
+    """Lines and paragraphs with a word of licensing."""
     if not CUE.search(text):
         return []
-    out = []
-    lines = text.split("\n")
-    for k, line in enumerate(lines):
-        if CUE.search(line):
-            out.append(line)
-            around = [x for x in lines[max(0, k - 1) : k + 2] if x.strip()]
-            if len(around) > 1 and len(line.split()) < WINDOW // 4:
-                out.append(" ".join(x if x is line else " ".join(x.split()[-WINDOW:]) if n == 0 else " ".join(x.split()[:WINDOW]) for n, x in enumerate(around)))
-    return out
+    out: dict[str, None] = {}
+    paragraph: list[str] = []
+    for line in [*text.split("\n"), ""]:
+        if line.strip():
+            paragraph.append(line)
+            continue
+        whole = " ".join(paragraph)
+        if CUE.search(whole):
+            out |= dict.fromkeys([x for x in paragraph if CUE.search(x)] + [whole])
+        paragraph = []
+    return list(out)
 
 
 def scan_text(text: str) -> list[tuple[str, int, str]]:

@@ -346,3 +346,18 @@ def test_gradients_are_right():
         down, _ = model.gradients(x, mask, y)
         w[at] = was
         assert abs((up - down) / 2e-3 - g[at]) < 1e-3
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("word " * 15 + "and all of the text in these pages is licensed under CC\nBY 4.0 as stated", ["CC-BY-4.0"]),
+        ("# Licensed under\n# the Apache\n# License,\n# Version 2.0.", ["Apache-2.0"]),
+        (" ".join(licenses.TEMPLATES[n] for n in ("BSD-3-Clause", "CC-BY-4.0", "CC0-1.0", "ISC", "MIT", "Apache-2.0")), ["Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "CC0-1.0", "ISC", "MIT"]),
+        (licenses.TEMPLATES["GPL-3.0"] + " " + licenses.TEMPLATES["LGPL-3.0"], ["GPL-3.0", "LGPL-3.0"]),
+        ('Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n"Software"), to deal in the Software without restriction, including', ["MIT"]),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright", ["GPL-3.0"]),
+    ],
+)
+def test_licences_in_paragraphs_lists_and_full_texts(text, names):
+    assert [n for n, _, _ in licenses.scan_text(text)] == names
