@@ -76,15 +76,15 @@ def hybrid(vector: Column, keyword: Column) -> Column:
     return F.round(VECTOR_WEIGHT * F.coalesce(vector, F.lit(0.0)) + KEYWORD_WEIGHT * F.coalesce(keyword, F.lit(0.0)), DIGITS + 1)
 
 
-def search(scored: DataFrame, limit: int, threshold: float | None = None) -> DataFrame:
-    """The best of every slot, then the best of all: (rank, slot, doc_id, score, total); total counts before the last cut."""
+def search(scored: DataFrame, limit: int, threshold: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The best of every slot, then the best of all: (keys, rank, slot, doc_id, score, total), for each query that ``keys`` name;
+    total counts before the last cut."""
     if threshold is not None and 0 <= threshold <= 1:
         scored = scored.where(F.col("score") >= threshold)
-    found = best(scored, ["slot"], limit).drop("rank")
-    total = found.agg(F.count("*").alias("total"))
-    # at most limit rows of each slot reach the last, global rank
-    ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), "doc_id"))).where(F.col("rank") <= limit)
-    return ranked.join(F.broadcast(total)).select("rank", "slot", "doc_id", "score", "total")
+    found = best(scored, [*keys, "slot"], limit).drop("rank")
+    ranked = best(found.withColumn("total", F.count("*").over(Window.partitionBy(*keys))), [*keys], limit)
+    # at most limit rows of each slot reach the last rank
+    return ranked.select(*keys, "rank", "slot", "doc_id", "score", "total")
 
 
 LADDER = ("error_pattern", "language", "task_type")
@@ -100,28 +100,28 @@ def rungs(filters: dict[str, str]) -> list[dict[str, str]]:
     return out
 
 
-def ladder(scored: DataFrame, filters: dict[str, str], limit: int, threshold: float) -> DataFrame:
-    """(rung, doc_id, score): broader filters are tried until enough is found, in one pass.
+def ladder(scored: DataFrame, filters: dict[str, str], limit: int, threshold: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, rung, doc_id, score): for each query that ``keys`` name, broader filters are tried until enough is found, in one pass.
 
     Each row enters the rungs that it matches, four at most; every rung gives its best ``limit``; a document counts at its
-    first rung; the first rung at which min(3, limit) documents are found is the last."""
+    first rung; the first rung at which min(3, limit) documents of a query are found is its last."""
     steps = rungs(filters)
     match = lambda f: reduce(lambda a, b: a & b, [F.col(k) == v for k, v in f.items()], F.lit(True))
     entered = F.filter(F.array(*[F.when(match(f), F.lit(r)) for r, f in enumerate(steps)]), lambda r: r.isNotNull())
     hits = scored.where(match(steps[-1]) & (F.col("score") >= threshold)).withColumn("rung", F.explode(entered))
-    hits = best(hits, ["rung"], limit).groupBy("doc_id").agg(F.min("rung").alias("rung"), F.first("score").alias("score"))
-    # a row for each rung: four at most
-    counts = hits.groupBy("rung").agg(F.count("*").alias("n"))
-    so_far = counts.alias("a").join(F.broadcast(counts).alias("b"), F.col("b.rung") <= F.col("a.rung")).groupBy(F.col("a.rung").alias("rung")).agg(F.sum("b.n").alias("found"))
-    last = so_far.where(F.col("found") >= min(3, limit)).agg(F.coalesce(F.min("rung"), F.lit(len(steps))).alias("last"))
-    kept = hits.join(F.broadcast(last)).where(F.col("rung") <= F.col("last"))
-    return kept.orderBy("rung", F.desc("score"), "doc_id").limit(limit).select("rung", "doc_id", "score")
+    hits = best(hits, [*keys, "rung"], limit).groupBy(*keys, "doc_id").agg(F.min("rung").alias("rung"), F.first("score").alias("score"))
+    # four rungs of limit rows at most are left of each query
+    so_far = F.count("*").over(Window.partitionBy(*keys).orderBy("rung"))
+    last = F.min(F.when(F.col("found") >= min(3, limit), F.col("rung"))).over(Window.partitionBy(*keys))
+    kept = hits.withColumn("found", so_far).withColumn("last", F.coalesce(last, F.lit(len(steps)))).where("rung <= last")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("rung", F.desc("score"), "doc_id"))
+    return kept.withColumn("place", place).where(F.col("place") <= limit).orderBy(*keys, "place").select(*keys, "rung", "doc_id", "score")
 
 
-def cross_references(scored: DataFrame, types: tuple[str, ...], module: str, threshold: float) -> DataFrame:
-    """The best document of each type in one module."""
+def cross_references(scored: DataFrame, types: tuple[str, ...], module: str, threshold: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """For each query that ``keys`` name, the best document of each type in one module."""
     met = scored.where(F.col("atom_type").isin(*types) & (F.col("project_module") == module) & (F.col("score") >= threshold))
-    return best(met, ["atom_type"], 1).select("atom_type", "doc_id", "score")
+    return best(met, [*keys, "atom_type"], 1).select(*keys, "atom_type", "doc_id", "score")
 
 
 #: The registered SQL alone still takes candidates from words so rare; ``likeness`` has no such cap.

@@ -50,12 +50,12 @@ def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("query_id", "doc_id", retrieve.hybrid(F.col("vector"), F.col("keyword")).alias("score"))
 
 
-def one_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves with the likeness of their vector to that of number 6."""
-    asked = vectors(spark, sf_dir).where("vec_id = 6").select(F.lit(0).cast("long").alias("query_id"), F.col("embedding").alias("query_vector"))
-    scored = vectors(spark, sf_dir).join(F.broadcast(asked))  # one row
-    score = F.round(retrieve.clipped(retrieve.cosine(F.col("embedding"), F.col("query_vector"))), retrieve.DIGITS)
-    return leaves(spark, sf_dir).join(scored.select("doc_id", score.alias("score")), "doc_id")
+def queried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves with the likeness of their vector to that of each query: the vectors whose number 100 divides."""
+    known = vectors(spark, sf_dir)
+    asked = known.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    scored = retrieve.vector_scores(known, asked).select("query_id", "doc_id", F.col("vector").alias("score"))
+    return leaves(spark, sf_dir).join(scored, "doc_id")
 
 
 ONE = f"{LEAF}, {VEC}, one AS (SELECT l.*, round({COS.format(a='q.e', b='v.e')}, 6) AS score FROM leaf l JOIN v ON v.doc_id = l.doc_id, (SELECT e FROM v WHERE vec_id = 6) q)"
@@ -97,7 +97,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ONE}, f AS (SELECT * FROM one WHERE score >= {LOW_SCORE} QUALIFY row_number() OVER (PARTITION BY slot ORDER BY score DESC, doc_id) <= {SEARCH_RESULTS})
 SELECT CAST(row_number() OVER w AS INTEGER) AS rank, slot, doc_id, score, (SELECT count(*) FROM f) AS total FROM f WINDOW w AS (ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {SEARCH_RESULTS}""")
 def multi_slot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.search(one_query(spark, sf_dir), SEARCH_RESULTS, LOW_SCORE)
+    return retrieve.search(queried(spark, sf_dir), SEARCH_RESULTS, LOW_SCORE, ("query_id",))
 
 
 LESSON_FILTERS = {"atom_type": LESSON, "project_module": "src6", "error_pattern": "ep-0", "language": "en", "task_type": "planning"}
@@ -113,13 +113,13 @@ c AS (SELECT r.rung, (SELECT count(*) FROM h WHERE h.rung <= r.rung) AS n FROM (
 l AS (SELECT coalesce(min(rung), 9) AS last FROM c WHERE n >= 3)
 SELECT rung, doc_id, score FROM h, l WHERE rung <= last ORDER BY rung, score DESC, doc_id LIMIT {RECALL_RESULTS}""")
 def recall_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.ladder(one_query(spark, sf_dir), LESSON_FILTERS, RECALL_RESULTS, 0.0)
+    return retrieve.ladder(queried(spark, sf_dir), LESSON_FILTERS, RECALL_RESULTS, 0.0, ("query_id",))
 
 
 @query(f"""WITH {ONE} SELECT atom_type, doc_id, score FROM one WHERE atom_type IN ('bug-root-cause', 'feedback-rule') AND project_module = 'src1' AND score >= 0.0
 QUALIFY row_number() OVER (PARTITION BY atom_type ORDER BY score DESC, doc_id) = 1""")
 def knowledge_xref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.cross_references(one_query(spark, sf_dir), CROSS_REFERENCES, "src1", 0.0)
+    return retrieve.cross_references(queried(spark, sf_dir), CROSS_REFERENCES, "src1", 0.0, ("query_id",))
 
 
 @query(f"""WITH {LEAF}, {VEC}, x AS (SELECT l.*, v.e FROM leaf l JOIN v ON v.doc_id = l.doc_id),

@@ -252,3 +252,24 @@ def test_likeness_of_documents_equals_brute_force(spark, data):
     SELECT a.id, b.id, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS score FROM s a JOIN s b ON a.slot = b.slot AND a.id < b.id WHERE len(a.w) > 0 AND len(b.w) > 0 AND score >= 0.5"""
     found = retrieve.likeness(stored(spark, data), 240, 0.5).collect()
     assert sorted((r["a"], r["b"], r["score"]) for r in found) == sorted(duckdb.sql(sql).fetchall())
+
+
+@pytest.mark.parametrize("name", ["multi_slot_search", "recall_ladder", "knowledge_xref"])
+def test_searches_serve_every_query(spark, data, name):
+    """For each query what the SQL says for one."""
+    import duckdb
+
+    from atomweave.plans.catalog import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    ids = [r[0] for r in con.execute("SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0").fetchall()]
+    found = QUERIES[name](spark, data)
+    want = []
+    for q in ids:
+        theirs = con.execute(ORACLES[name].replace("vec_id = 6", f"vec_id = {q}"))
+        columns = [c[0] for c in theirs.description]
+        want += [(q, *row) for row in theirs.fetchall()]
+    assert len(ids) > 1 and len({r[0] for r in want}) > 1
+    assert sorted(tuple(r) for r in found.select("query_id", *columns).collect()) == sorted(want)
