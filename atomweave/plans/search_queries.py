@@ -42,11 +42,12 @@ def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id, score) of benchmark items against documents that have a vector; an item's vector has its number."""
+    """(query_id, doc_id, score) of benchmark items against documents that share a word or have a vector; an item's
+    vector has its number. A pair that lacks one of the scores has 0 for it."""
     known = vectors(spark, sf_dir)
     asked = known.join(questions(spark, sf_dir).select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     ours = known.join(leaves(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
-    scored = retrieve.vector_scores(ours, asked).select("query_id", "doc_id", "vector").join(keyword_scores(spark, sf_dir), ["query_id", "doc_id"], "left")
+    scored = retrieve.vector_scores(ours, asked).select("query_id", "doc_id", "vector").join(keyword_scores(spark, sf_dir), ["query_id", "doc_id"], "full")
     return scored.select("query_id", "doc_id", retrieve.hybrid(F.col("vector"), F.col("keyword")).alias("score"))
 
 

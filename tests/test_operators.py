@@ -273,3 +273,21 @@ def test_searches_serve_every_query(spark, data, name):
         want += [(q, *row) for row in theirs.fetchall()]
     assert len(ids) > 1 and len({r[0] for r in want}) > 1
     assert sorted(tuple(r) for r in found.select("query_id", *columns).collect()) == sorted(want)
+
+
+def test_hybrid_finds_documents_and_items_without_a_vector(spark, data, tmp_path):
+    import duckdb
+
+    from atomweave.plans.search_queries import BLEND, blended
+
+    con = duckdb.connect()
+    for t, kept in {"documents": "true", "embeddings": "vec_id % 3 <> 0", "benchmark": "true"}.items():
+        con.execute(f"COPY (SELECT * FROM '{data}/{t}.parquet' WHERE {kept}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    whole = BLEND[: BLEND.rindex("blend AS")] + "blend AS (SELECT query_id, doc_id, round(0.7 * coalesce(vector, 0) + 0.3 * coalesce(keyword, 0), 7) AS score FROM vs FULL JOIN kw USING (query_id, doc_id))"
+    want = con.execute(f"WITH {whole} SELECT query_id, doc_id, round(score, 6) FROM blend").fetchall()
+    found = [(r["query_id"], r["doc_id"], round(r["score"], 6)) for r in blended(spark, str(tmp_path)).collect()]
+    assert {(q, d) for q, d, _ in found} == {(q, d) for q, d, _ in want} and len(found) == len(want)
+    want_scores = {(q, d): s for q, d, s in want}
+    assert all(abs(s - want_scores[q, d]) < 3e-6 for q, d, s in found)
+    assert {q for q, _, _ in found} == {r[0] for r in con.execute("SELECT item_id FROM benchmark").fetchall()}
