@@ -96,7 +96,7 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {slug_sql('left(text, 90)')} AS slug FROM documents")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), X.slug(F.substring("text", 1, 90)).alias("slug"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), X.slug(F.col("text")).alias("slug"))
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'compile-document-timeout-after-n-ms-reading-str-in-' || lang AS signature FROM documents""")

@@ -291,3 +291,10 @@ def test_hybrid_finds_documents_and_items_without_a_vector(spark, data, tmp_path
     want_scores = {(q, d): s for q, d, s in want}
     assert all(abs(s - want_scores[q, d]) < 3e-6 for q, d, s in found)
     assert {q for q, _, _ in found} == {r[0] for r in con.execute("SELECT item_id FROM benchmark").fetchall()}
+
+
+def test_slugs_read_whole_texts(spark, tmp_path):
+    from atomweave.plans.catalog import QUERIES
+
+    spark.createDataFrame([(1, "-" * 100 + "Hello, World!"), (2, "!" * 80 + "x" * 200)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["slug"] for r in QUERIES["slugs"](spark, str(tmp_path)).collect()} == {"1": "hello-world", "2": "x" * 60}
