@@ -10,7 +10,7 @@ benchmark is searched table after table: what one pass found is written to the s
 pass adds to it, so that neither the driver nor a task holds more than one table, and nothing is left out.
 
 Edge cases: null or wordless texts have no words and no windows; items of fewer than ten words are one window each;
-equal windows of several items name all of them; rows that repeat give rows that repeat.
+equal windows of several items name all of them; words of an item without an id are hits and name nothing; rows that repeat give rows that repeat.
 """
 
 from __future__ import annotations
@@ -108,8 +108,9 @@ def read_items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -
             yield dict(table)
             table, given = defaultdict(list), True
         for window in windows(words(row[1])):
-            if row[0] is not None and row[0] not in table[window]:
-                table[window].append(row[0])
+            named = table[window]
+            if row[0] is not None and row[0] not in named:
+                named.append(row[0])
     if table or not given:
         yield dict(table)
 

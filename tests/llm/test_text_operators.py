@@ -361,3 +361,12 @@ def test_gradients_are_right():
 )
 def test_licences_in_paragraphs_lists_and_full_texts(text, names):
     assert [n for n, _, _ in licenses.scan_text(text)] == names
+
+
+def test_words_of_items_without_an_id_are_hits(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, text), (2, "something else")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text)], "item_id long, text string")
+    found = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.digests(decontaminate.find_overlaps(docs, items)).collect()}
+    assert found == {1: (11, 0, True), 2: (0, 0, False)}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()] == [2]
