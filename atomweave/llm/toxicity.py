@@ -1,27 +1,33 @@
-"""Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
+"""Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks, trained on labelled sentences.
 
-Two words are alike as far as they share subsequences of three characters, with gaps, weighted by ``DECAY`` to the power
-of the stretch they cover; a gap or an inserted character lowers a match and doesn't end it. The kernel is the cube of this normalised likeness, which leaves little of chance
-matches. It is evaluated between words and landmark words alone: with the landmarks' own kernel matrix K, a word x becomes
-``k(x, landmarks) K^(-1/2)``, and a linear machine with squared hinge loss is trained on that. Subsequences within
-``SPAN`` characters are listed and hashed; the executors get a table of fixed size: a column for each landmark.
+*Kernel.* Two words are alike as far as they share subsequences of three characters, with gaps, weighted by ``DECAY`` to
+the power of the stretch they cover (at most ``SPAN``), each word scaled to length one. A gap or an inserted character
+lowers a match and doesn't end it. A likeness of ``LEAST`` or more counts with its cube, which leaves little of chance
+matches; less counts as none.
 
-Training rows are labelled documents, split into sentences. A toxic document says only that some of its sentences are:
-in each, the word that most speaks for toxicity is its witness, first by counts and then by the machine itself, and
-witnesses are also shown with a character inserted or a gap. A sentence scores as its highest word does, words spelled out
-with separators included; a document's three highest sentences enter a logistic curve, fitted on the same rows.
+*Sentences.* A sentence is like a landmark as far as its nearest word is, words spelled out with separators included. With
+the landmarks' own kernel matrix K, the likenesses x of a sentence become ``x K^(-1/2)``, and a linear machine with squared
+hinge loss is trained on these vectors: the instances are sentences. Sentences of clean documents are clean. A toxic
+document says only that some of its sentences are toxic: at first all count, each with its share of the document, then
+those that the machine itself finds, or the document's highest. Toxic sentences are also shown with a character inserted
+into, or left out of, the word that gives them away.
+
+*Landmarks.* The words whose documents are toxic more often than chance has it, without those near a stronger one; and the
+frequent words of clean documents that are near one of these, so that the machine can tell them apart. What it takes to
+be a landmark falls, in ``BARS``, where labels are so few that no word reaches it.
+
+*Documents.* The three highest sentences of a text enter a logistic curve, fitted on the training documents.
 
 Training is done on at most ``TRAIN_DOCS`` labelled documents of at most ``TRAIN_CHARS`` characters, taken by hash of the
 id from those that ``train`` allows; ids, languages and sources are no input. Scoring reads every text whole.
 
-Edge cases: null, empty and wordless texts get the lowest score; without labels of both kinds, every score is 0; rows
-that repeat get the same score; null labels aren't used.
+Edge cases: null, empty and wordless texts get the lowest score; without labels of both kinds, or where toxic documents
+have no word that clean ones lack, every score is 0; rows that repeat get the same score; null labels aren't used.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -33,10 +39,14 @@ from pyspark.sql import functions as F
 from .common import column_type, give_back, sliced
 
 TRAIN_DOCS, TRAIN_CHARS = 5_000, 20_000
-LANDMARKS, CLEAN_LANDMARKS, CLEAN_WORDS = 128, 24, 12_000
+LANDMARKS, CLEAN_LANDMARKS = 128, 32
 DECAY, SPAN, BITS = 0.7, 5, 18
-#: Words beyond so many characters are read through windows that overlap by half.
-WINDOW = 24
+#: Likeness that counts at all.
+LEAST = 0.5
+#: What a landmark needs: toxic documents that have it, and standard deviations of their number above chance.
+BARS = ((3, 4.0), (3, 3.0), (2, 1.5), (1, 0.0))
+#: Words beyond so many characters are read through windows of PART characters, a new one after each STEP.
+WINDOW, PART, STEP = 24, 14, 5
 #: Distinct words that a worker remembers.
 CACHE_WORDS = 300_000
 LOW, HIGH = -2.0, 2.0
@@ -61,12 +71,12 @@ def spelled_out(text: str) -> list[str]:
 def windows(word: str) -> list[str]:
     if len(word) <= WINDOW:
         return [word] if word else []
-    return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+    return [word[i : i + PART] for i in range(0, len(word) - PART + STEP, STEP)]
 
 
 def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For words of each length: their places in the list, hashed subsequences (a row for each word) and weights, scaled
-    so that each word has unit length with subsequences that repeat taken together."""
+    so that each word has unit length. Of a subsequence that repeats the first place has all the weight."""
     by_length: dict[int, list[int]] = {}
     for at, word in enumerate(words):
         if word:
@@ -87,7 +97,13 @@ def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             starts = np.flatnonzero(new)
             sums = np.add.reduceat(weight.ravel(), starts)
             squares = np.add.reduceat(sums * sums, np.r_[0, np.cumsum(new.sum(axis=1))[:-1]])
-            yield places, hashed, weight / np.sqrt(squares)[:, None]
+            merged = np.zeros(hashed.size, np.float32)
+            merged[starts] = sums
+            yield places, hashed, merged.reshape(hashed.shape) / np.sqrt(squares)[:, None]
+
+
+#: What a word says: the margin of a sentence that has it alone, and its landmarks with their values; None if it has none.
+Hit = tuple[float, np.ndarray, np.ndarray] | None
 
 
 @dataclass
@@ -100,8 +116,8 @@ class Landmarks:
     @staticmethod
     def of(words: list[str]) -> Landmarks:
         found = list(features(words))
-        present = np.unique(np.concatenate([h.ravel() for _, h, _ in found]))
-        row = np.zeros(1 << BITS, np.int16)
+        present = np.unique(np.concatenate([h.ravel() for _, h, _ in found])) if found else np.empty(0, np.int32)
+        row = np.zeros(1 << BITS, np.int32)
         row[present] = np.arange(1, len(present) + 1)
         table = np.zeros((len(present) + 1, len(words)), np.float32)
         for places, hashed, weight in found:
@@ -109,42 +125,67 @@ class Landmarks:
         return Landmarks(row, table)
 
     def likeness(self, words: list[str]) -> np.ndarray:
-        """The kernel with each landmark. A word with less than half its length in subsequences that landmarks have can't
-        come near any, and counts as unlike all."""
+        """The kernel with each landmark. A word whose subsequences that landmarks have are shorter than LEAST can't reach
+        it with any, so the test before the product changes nothing."""
         out = np.zeros((len(words), self.table.shape[1]), np.float32)
         for places, hashed, weight in features(words):
             rows = self.row[hashed]
-            near = ((weight * (rows > 0)) ** 2).sum(axis=1) >= 0.25
+            near = ((weight * (rows > 0)) ** 2).sum(axis=1) >= LEAST**2 - 1e-6
             for k in range(0, int(near.sum()), 256):
                 at = np.flatnonzero(near)[k : k + 256]
                 out[places[at]] = np.einsum("rsm,rs->rm", self.table[rows[at]], weight[at])
-        return out**3
+        return np.where(out >= LEAST, out**3, np.float32(0))
 
 
 @dataclass
 class Machine:
-    """Landmarks, their weights and offset in the word machine, and the logistic curve of documents."""
+    """Landmarks, their weights and offset in the machine of sentences, and the logistic curve of documents."""
 
     landmarks: Landmarks
     weights: np.ndarray
     offset: float
     curve: np.ndarray
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        if len(words) > 8192:  # a table of words by landmarks is made for so many words at a time
-            return np.concatenate([self.margins(words[k : k + 8192]) for k in range(0, len(words), 8192)])
-        found = np.clip(self.landmarks.likeness(words) @ self.weights + np.float32(self.offset), LOW, HIGH)
-        for at, word in enumerate(words):
-            if not word:
-                found[at] = LOW
-            elif len(word) > WINDOW:
-                found[at] = self.margins(windows(word)).max()
-        return found
+    def margin(self, at: np.ndarray, value: np.ndarray) -> float:
+        return min(HIGH, max(LOW, float(value @ self.weights[at]) + self.offset))
+
+    def hits(self, words: list[str]) -> list[Hit]:
+        out: list[Hit] = []
+        for k in range(0, len(words), 8192):  # a table of words by landmarks is made for so many words at a time
+            some = words[k : k + 8192]
+            found = self.landmarks.likeness([w if len(w) <= WINDOW else "" for w in some])
+            for at, word in enumerate(some):
+                if len(word) > WINDOW:
+                    found[at] = self.landmarks.likeness(windows(word)).max(axis=0)
+            any_hit = found.any(axis=1)
+            for row, hit in zip(found, any_hit.tolist(), strict=True):
+                if not hit:
+                    out.append(None)
+                    continue
+                at = np.flatnonzero(row).astype(np.int16)
+                out.append((self.margin(at, row[at]), at, row[at].copy()))
+        return out
+
+    def sentence(self, hits: list[Hit]) -> float:
+        """The margin of a sentence from what its words say: of each landmark the nearest word counts."""
+        if not hits:
+            return min(HIGH, max(LOW, self.offset))
+        if len(hits) == 1:
+            return hits[0][0]
+        pooled = pool(hits, len(self.weights))
+        return min(HIGH, max(LOW, float(pooled @ self.weights) + self.offset))
 
     def score(self, tops: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(tops @ self.curve[:-1] + self.curve[-1])))
 
 
+def pool(hits: list[Hit], size: int) -> np.ndarray:
+    out = np.zeros(size, np.float32)
+    for _, at, value in hits:
+        out[at] = np.maximum(out[at], value)
+    return out
+
+
 def parsed(text: str) -> list[list[str]]:
     """The tokens of each sentence of a lower-case text; each spelled-out word is one more."""
     out = [tokens for s in SENTENCE.split(text) if (tokens := s.split())]
@@ -152,19 +193,19 @@ def parsed(text: str) -> list[list[str]]:
     return out
 
 
-def top_sentences(sentences: list[list[str]], margin_of: dict[str, float]) -> list[float]:
-    """The TOP highest sentence margins; margin_of knows all tokens."""
-    get = margin_of.__getitem__
-    found = [max(map(get, tokens)) for tokens in sentences]
+def top_sentences(sentences: list[list[str]], cache: dict[str, Hit], machine: Machine) -> list[float]:
+    """The TOP highest sentence margins; the cache knows all tokens."""
+    get = cache.__getitem__
+    found = [machine.sentence([h for h in map(get, tokens) if h is not None]) for tokens in sentences]
     found.sort(reverse=True)
     return found[:TOP] + [LOW] * (TOP - len(found))
 
 
-def remember(machine: Machine, texts: list[list[list[str]]], cache: dict[str, float]) -> None:
-    """Adds the margins of tokens that the cache lacks."""
+def remember(machine: Machine, texts: list[list[list[str]]], cache: dict[str, Hit]) -> None:
+    """Adds what tokens say that the cache lacks."""
     fresh = list({t for text in texts for tokens in text for t in tokens}.difference(cache))
     if fresh:
-        cache.update(zip(fresh, machine.margins([bare(t) for t in fresh]).tolist(), strict=True))
+        cache.update(zip(fresh, machine.hits([bare(t) for t in fresh]), strict=True))
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
@@ -200,68 +241,117 @@ def disguised(word: str, turn: np.random.Generator) -> list[str]:
     return [word[:i] + chr(turn.integers(97, 123)) + word[i:], word[: j - 1] + word[j:]]
 
 
-def train(texts: list[str], labels: list[int]) -> Machine:
-    never = Machine(Landmarks.of(["-"]), np.zeros(1, np.float32), LOW, np.array([0.0] * TOP + [-30.0]))
-    once = {t.lower(): int(y) for t, y in zip(texts, labels, strict=True)}  # copies teach nothing more
-    texts, y = list(once), np.array(list(once.values()), float)
-    if not texts or y.min() == y.max():
-        return never
-    same: dict[str, str] = {}  # one string for each distinct token, not for each occurrence
-    read = [[[same.setdefault(t, t) for t in tokens] for tokens in parsed(text)] for text in texts]
-    plain_of = {t: bare(t) for t in same}
-    sentences = [[[w for t in tokens if (w := plain_of[t])] for tokens in text] for text in read]
-    del once, texts, same, plain_of
-    toxic, clean = Counter(), Counter()
-    for doc, label in zip(sentences, y, strict=True):
-        found = {w for s in doc for w in s}
-        (toxic if label else clean).update(found)
-    n_toxic, n_clean = y.sum(), len(y) - y.sum()
-    speaks = {w: float(np.log((toxic[w] + 0.1) / (n_toxic + 0.2)) - np.log((clean[w] + 0.1) / (n_clean + 0.2))) for w in toxic if toxic[w] >= 3}
-    # how far the count in toxic documents lies above what chance gives
-    chance = lambda w: (toxic[w] + clean[w]) * n_toxic / len(y)
-    strength = {w: (toxic[w] - chance(w)) / np.sqrt(chance(w)) for w in speaks if len(w) <= WINDOW}
-    ranked = [w for w in sorted(strength, key=lambda w: (-strength[w], w)) if speaks[w] > 1.0 and strength[w] > 3.0][: 8 * LANDMARKS]
+@dataclass
+class Corpus:
+    """Training documents as numbers: the words of each sentence, the document of each sentence, and the label of each document."""
+
+    words: list[str]
+    sentences: list[np.ndarray]
+    document: np.ndarray
+    label: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str], labels: list[int]) -> Corpus:
+        once = {t.lower(): int(y) for t, y in zip(texts, labels, strict=True)}  # copies teach nothing more
+        number: dict[str, int] = {}
+        sentences, document = [], []
+        for k, text in enumerate(once):
+            for tokens in parsed(text):
+                found = {number.setdefault(w, len(number)) for t in tokens if (w := bare(t))}
+                if found:
+                    sentences.append(np.fromiter(found, np.int32, len(found)))
+                    document.append(k)
+        return Corpus(list(number), sentences, np.array(document, np.int32), np.array(list(once.values()), float))
+
+
+def landmark_words(corpus: Corpus) -> list[str]:
+    """Words that speak for toxicity, none near a stronger one, and clean words near one of them."""
+    n_words, n_docs = len(corpus.words), len(corpus.label)
+    toxic, clean = np.zeros(n_words), np.zeros(n_words)
+    starts = np.flatnonzero(np.r_[True, corpus.document[1:] != corpus.document[:-1]])
+    for a, b in zip(starts, [*starts[1:], len(corpus.sentences)], strict=True):
+        has = np.unique(np.concatenate(corpus.sentences[a:b]))
+        (toxic if corpus.label[corpus.document[a]] else clean)[has] += 1
+    chance = (toxic + clean) * corpus.label.sum() / n_docs
+    strength = (toxic - chance) / np.sqrt(chance)
+    short = np.array([len(w) <= WINDOW for w in corpus.words])
+    order = sorted(np.flatnonzero(short & (toxic > chance)), key=lambda w: (-strength[w], corpus.words[w]))
+    ranked: list[int] = []
+    for count, bar in BARS:
+        ranked = ranked or [w for w in order if toxic[w] >= count and strength[w] > bar][: 8 * LANDMARKS]
     if not ranked:
-        return never
-    alike = Landmarks.of(ranked).likeness(ranked)
+        return []
+    names = [corpus.words[w] for w in ranked]
+    alike = Landmarks.of(names).likeness(names)
     chosen: list[int] = []
-    for k in range(len(ranked)):  # the strongest words that aren't near one already chosen
+    for k in range(len(ranked)):
         if len(chosen) < LANDMARKS - CLEAN_LANDMARKS and (not chosen or alike[k, chosen].max() < 0.5):
             chosen.append(k)
-    plain = [w for w, _ in clean.most_common() if speaks.get(w, 0.0) < 1.0 and len(w) <= WINDOW][:CLEAN_WORDS]
-    names = [ranked[k] for k in chosen] + plain[:CLEAN_LANDMARKS]
+    insults = [names[k] for k in chosen]
+    taken = set(ranked)
+    common = [w for w in np.argsort(-clean, kind="stable")[: 100 * LANDMARKS].tolist() if clean[w] > 1 and short[w] and w not in taken]
+    near = Landmarks.of(insults).likeness([corpus.words[w] for w in common]).max(axis=1, initial=0)
+    return insults + [corpus.words[w] for w, x in zip(common, near, strict=True) if x > 0][:CLEAN_LANDMARKS]
+
+
+def train(texts: list[str], labels: list[int]) -> Machine:
+    never = Machine(Landmarks.of(["-"]), np.zeros(1, np.float32), LOW, np.array([0.0] * TOP + [-30.0]))
+    corpus = Corpus.of(texts, labels)
+    if not corpus.sentences or corpus.label.min() == corpus.label.max():
+        return never
+    names = landmark_words(corpus)
+    if not names:
+        return never
     landmarks = Landmarks.of(names)
     values, vectors = np.linalg.eigh(landmarks.likeness(names).astype(float) + 1e-3 * np.eye(len(names)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-
+    machine = Machine(landmarks, np.zeros(len(names), np.float32), 0.0, never.curve)
+    hits = machine.hits(corpus.words)
+
+    # sentences as vectors; those that are near no landmark are all alike, and are one instance with their number as weight
+    heard = [[(w, hits[w]) for w in s.tolist() if hits[w] is not None] for s in corpus.sentences]
+    told = np.array([bool(h) for h in heard])
+    label = corpus.label[corpus.document]
+    share = 1 / np.bincount(corpus.document, minlength=len(corpus.label))[corpus.document]
+    at = np.flatnonzero(told)
+    x = np.vstack([pool([h for _, h in heard[k]], len(names)) for k in at]) if len(at) else np.zeros((0, len(names)), np.float32)
     turn = np.random.default_rng(7)
-    pick = lambda word: speaks.get(word, -1.0) if strength.get(word, 0.0) > 3.0 else -1.0
-    machine = never
-    plain_map = landmarks.likeness(plain) @ root
-    plain_weight = [np.sqrt(clean[w]) for w in plain]
-    del toxic, clean, ranked, alike
-    for _ in range(2):
-        witness: Counter = Counter()
-        for doc, label in zip(sentences, y, strict=True):
-            if label:
-                witness.update(w for s in doc if s and pick(w := max(s, key=pick)) > 0 and len(w) <= WINDOW)
-        shown = [x for w, n in witness.items() for x in [(w, n), *((v, n / 4) for v in disguised(w, turn))]]
-        if not shown:
-            return never
-        x = np.vstack([landmarks.likeness([w for w, _ in shown]) @ root, plain_map])
-        target = np.r_[np.ones(len(shown)), -np.ones(len(plain))]
-        weight = np.r_[[np.sqrt(n) for _, n in shown], plain_weight]
-        weight[: len(shown)] *= weight[len(shown) :].sum() / weight[: len(shown)].sum() * 0.5
-        beta = squared_hinge(x, target, weight / weight.mean())
-        machine = Machine(landmarks, (root @ beta[:-1]).astype(np.float32), float(beta[-1]), never.curve)
-        words = list({w for doc, label in zip(sentences, y, strict=True) if label for s in doc for w in s})
-        margin = dict(zip(words, machine.margins(words).tolist(), strict=True))
-        pick = lambda word: margin.get(word, LOW) if speaks.get(word, 0.0) > 0.5 else LOW  # noqa: E731, B023
-    del sentences, words, margin
-    cache: dict[str, float] = {}
-    remember(machine, read, cache)
-    tops = np.array([top_sentences(text, cache) for text in read])
-    machine.curve = logistic(tops, y)
+    shown, of = [], []  # toxic sentences whose strongest word is disguised
+    for row, k in enumerate(at):
+        if label[k]:
+            word, strongest = max(heard[k], key=lambda h: float(h[1][2].max()))
+            others = [h for w, h in heard[k] if w != word]
+            for other in machine.hits(disguised(corpus.words[word], turn)):
+                shown.append(pool([*others, other] if other else others, len(names)))
+                of.append(row)
+    disguises = np.vstack(shown) if shown else np.zeros((0, len(names)), np.float32)
+    every = np.vstack([x, disguises, np.zeros((2, len(names)), np.float32)]) @ root
+    positive = label[at] == 1
+    weight = np.where(positive, share[at] * len(at) / max(1, len(corpus.label)), 1.0)
+    for _ in range(3):
+        sign = np.r_[np.where(positive, 1.0, -1.0), np.ones(len(disguises)), 1.0, -1.0]
+        left_out = (label[at] == 1) & ~positive
+        w = np.r_[np.where(left_out, 0.0, weight), 0.25 * np.where(positive, weight, 0.0)[np.array(of, int)], 0.0, (~told & (label == 0)).sum()]
+        for side in (1.0, -1.0):  # both kinds weigh alike
+            w[sign == side] *= len(at) / 2 / max(1e-9, w[sign == side].sum())
+        beta = squared_hinge(every, sign, w)
+        machine.weights, machine.offset = (root @ beta[:-1]).astype(np.float32), float(beta[-1])
+        margin = x @ machine.weights + machine.offset
+        best = np.full(len(corpus.label), -np.inf)
+        np.maximum.at(best, corpus.document[at], margin)
+        positive = (label[at] == 1) & ((margin > 0) | (margin >= best[corpus.document[at]]))
+        weight = np.ones(len(at))
+    # documents
+    of_sentence = np.full(len(corpus.sentences), machine.offset)
+    of_sentence[at] = x @ machine.weights + machine.offset
+    of_sentence = np.clip(of_sentence, LOW, HIGH)
+    order = np.lexsort((-of_sentence, corpus.document))
+    first = np.flatnonzero(np.r_[True, corpus.document[order][1:] != corpus.document[order][:-1]])
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    tops = np.full((len(corpus.label), TOP), LOW)
+    kept = nth < TOP
+    tops[corpus.document[order][kept], nth[kept]] = of_sentence[order][kept]
+    machine.curve = logistic(tops, corpus.label)
     return machine
 
 
@@ -277,12 +367,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, key: st
     return machine
 
 
-def scores(texts: list[str], machine: Machine, cache: dict[str, float]) -> np.ndarray:
+def scores(texts: list[str], machine: Machine, cache: dict[str, Hit]) -> np.ndarray:
     if len(cache) > CACHE_WORDS:
         cache.clear()
     read = [parsed(t.lower()) for t in texts]
     remember(machine, read, cache)
-    return machine.score(np.array([top_sentences(t, cache) for t in read]).reshape(len(texts), TOP))
+    return machine.score(np.array([top_sentences(t, cache, machine) for t in read]).reshape(len(texts), TOP))
 
 
 #: Characters of texts that are scored together.
@@ -305,7 +395,7 @@ def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "t
     """(key, score) of each row; no shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache: dict[str, Hit] = {}
         for batch in sliced(batches):
             found = [scores(chunk, machine, cache) for chunk in in_chunks(v.as_py() or "" for v in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else [], pa.float64())], names=[key, "score"])
@@ -318,7 +408,7 @@ def keep_clean(docs: DataFrame, machine: Machine, limit: float = 0.5, text: str
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache: dict[str, Hit] = {}
         for batch in sliced(batches):
             found = [scores(chunk, machine, cache) for chunk in in_chunks(v.as_py() or "" for v in batch.column(at))]
             yield batch.filter(pa.array(np.concatenate(found) < limit)) if found else batch
