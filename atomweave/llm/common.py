@@ -65,6 +65,14 @@ def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def column_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

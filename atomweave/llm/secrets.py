@@ -13,20 +13,25 @@ characters seldom change, is rejected and randomness is not. P-values are closed
 tails), so decisions err towards silence. Their distribution is gathered as counts for each length class and step of
 p: a table whose size is fixed, whatever the corpus.
 
-A marker character that texts may hold is first replaced by its neighbour, one for one, so positions stay right.
+Marker characters that texts may hold are first replaced by a stand-in, one for one, so positions stay right. Positions
+are running sums, taken in blocks, and texts are put together from pieces, so that work grows with a text's length.
 
 Edge cases: a null text is an empty text without spans; a table without candidates adds none; rows that repeat give rows
-that repeat; the scan joins nothing, so ids may be null or repeat.
+that repeat; the scan joins nothing, so ids may be null or repeat; what is added on the way is one column, under a name
+that the table doesn't have, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run that is too short can't hold a longer match, so that the least length may stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -36,7 +41,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 MIN_RUN = 20
 SYMBOLS = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{SYMBOLS}])(?=[A-Za-z+/_=-]*(?:[0-9]|[a-z][A-Z]))[{SYMBOLS}]{{{MIN_RUN},}}"
+#: A run that no found assignment has a part of: those are blotted out.
+CANDIDATE = rf"(?<![\x03{SYMBOLS}])(?=[A-Za-z+/_=-]*(?:[0-9]|[a-z][A-Z]))[{SYMBOLS}]{{{MIN_RUN},}}+(?!\x03)"
 #: Share of places in ordinary names at which a word or a number ends and another begins.
 TEXT_CHANGES = 0.12
 #: False-discovery rates: of setting aside what is random, and of finding what is text.
@@ -44,30 +50,57 @@ KEEP_RATE, FIND_RATE = 0.01, 0.01
 #: Steps of -ln p in one unit, and the last step of either p-value.
 STEPS, LAST_ODD, LAST_TOLD = 4, 100, 200
 
-MARK, STAND_IN = "\u0001", "\u0002"
+MARK, STAND_IN, BLOT = "\u0001", "\u0002", "\u0003"
+#: Values of a block of a running sum, and characters of a piece of text.
+BLOCK, PIECE = 64, 1024
 SPAN = "array<struct<start:int,k:int,stop:int,kind:string>>"
 REDACTED = "[SECRET]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with a value that is worked out once, and not wherever it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), MARK, STAND_IN)
+    return F.translate(F.coalesce(text, F.lit("")), MARK + BLOT, STAND_IN * 2)
 
 
 def marked(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, f"{MARK}$0{MARK}")
 
 
+def before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of the whole numbers what ``op`` (a sum or a maximum) makes of those before it, 0 for the first: within
+    blocks, and over blocks first, as an array grows by copying."""
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / BLOCK).cast("int") - 1, F.lit(0))), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
+    one_more = lambda acc, value: F.concat(acc, F.array(op(F.element_at(acc, -1), value)))
+    ahead = lambda of: F.aggregate(of, F.array(F.lit(0)), lambda acc, block: one_more(acc, F.aggregate(block, F.lit(0), op)))
+    inside = lambda block, start: F.slice(F.aggregate(block, F.array(start), one_more), F.lit(1), F.size(block))
+    return let(blocks, lambda of: let(ahead(of), lambda starts: F.flatten(F.transform(of, lambda block, i: inside(block, F.get(starts, i))))))
+
+
+def none_of(kind: str) -> Column:
+    return F.from_json(F.lit("[]"), f"array<{kind}>")
+
+
 def matches(marks: Column) -> Column:
-    """array<struct<start, stop, found>> of the marked matches, by adding up the lengths of the parts between marks."""
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,stop:int,found:string>>")
+    """array<struct<start, stop, found>> of the marked matches: of the parts between marks, every other one."""
+    starts = lambda parts: before(F.transform(parts, F.length), lambda a, b: a + b)
+    every = lambda parts: F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1)
+    one = lambda parts, at, i: F.struct(F.get(at, i).alias("start"), (F.get(at, i) + F.length(F.get(parts, i))).alias("stop"), F.get(parts, i).alias("found"))
+    found = lambda text: let(F.split(text, MARK), lambda parts: let(starts(parts), lambda at: F.transform(every(parts), lambda i: one(parts, at, i))))
+    return let(marks, lambda text: F.when(F.instr(text, MARK) > 0, found(text)).otherwise(none_of("struct<start:int,stop:int,found:string>")))
+
+
+def long_enough(assign: Column) -> Column:
+    return F.length(F.regexp_extract(assign, ASSIGN, 1)) >= ASSIGNED
 
-    def step(acc: Column, part: Column) -> Column:
-        stop = acc["at"] + F.length(part)
-        here = F.array(F.struct(acc["at"].alias("start"), stop.alias("stop"), part.alias("found")))
-        return F.struct(stop.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
-    return F.when(F.instr(marks, MARK) > 0, F.aggregate(F.split(marks, MARK), begin, step, lambda acc: acc["out"])).otherwise(none)
+def blotted(assign: Column) -> Column:
+    """The text of marked assignments, those that count blotted out, each character by one."""
+    out = F.transform(F.split(assign, MARK), lambda part, i: F.when((i % 2 == 1) & long_enough(part), F.repeat(F.lit(BLOT), F.length(part))).otherwise(part))
+    return F.when(F.instr(assign, MARK) > 0, F.array_join(out, "")).otherwise(assign)
 
 
 def spans(found: Column, kind: str) -> Column:
@@ -76,7 +109,7 @@ def spans(found: Column, kind: str) -> Column:
 
 
 def base_spans(assign: Column, access: Column, long_hex: Column) -> Column:
-    assigned = F.filter(matches(assign), lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 1)) >= ASSIGNED)
+    assigned = F.filter(matches(assign), lambda m: long_enough(m["found"]))
     return F.array_sort(F.concat(spans(assigned, "assign"), spans(matches(access), "access"), spans(matches(long_hex), "hex")))
 
 
@@ -143,9 +176,10 @@ def battery(c: Column) -> Column:
     return F.struct(c["start"].alias("start"), c["stop"].alias("stop"), size.alias("size"), step(odd, LAST_ODD).alias("odd"), step(told, LAST_TOLD).alias("told"))
 
 
-def candidates(marks: Column, base: Column) -> Column:
-    apart = lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    return F.transform(F.transform(F.transform(F.filter(matches(marks), apart), prepared), measured), battery)
+def candidates(marks: Column) -> Column:
+    """What the battery says of the marked runs that hold no access key or hexadecimal run; such lie within one run of symbols."""
+    plain = F.filter(matches(marks), lambda m: ~m["found"].rlike(f"{ACCESS}|{HEX}"))
+    return F.transform(F.transform(F.transform(plain, prepared), measured), battery)
 
 
 def stepped_up(counts: dict[int, int], rate: float, last: int) -> int:
@@ -180,17 +214,14 @@ def thresholds(scored: DataFrame) -> tuple[Column, Column]:
     return column(0), column(1)
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``__base`` and ``__added``: arrays of spans. Two passes over the table, no shuffle of texts."""
-    patterns = {"__assign": ASSIGN, "__access": ACCESS, "__hex": HEX, "__run": CANDIDATE}
-    t = clean(F.col(text))
-    seen = docs.withColumns({name: marked(t, pattern) for name, pattern in patterns.items()})
-    seen = seen.withColumn("__base", base_spans(F.col("__assign"), F.col("__access"), F.col("__hex")))
-    tested = seen.withColumn("__tested", candidates(F.col("__run"), F.col("__base"))).drop(*patterns)
-    odd, told = thresholds(tested.select(F.explode("__tested").alias("c")).select("c.size", "c.odd", "c.told"))
+def with_spans(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """``docs`` with one more column: struct<base, added>, both arrays of spans. Two passes over the table, no shuffle of texts."""
+    both = lambda t, assign: F.struct(base_spans(assign, marked(t, ACCESS), marked(t, HEX)).alias("base"), candidates(marked(blotted(assign), CANDIDATE)).alias("tested"))
+    tested = docs.withColumn(name, let(clean(F.col(text)), lambda t: let(marked(t, ASSIGN), lambda assign: both(t, assign))))
+    odd, told = thresholds(tested.select(F.explode(F.col(name)["tested"]).alias("c")).select("c.size", "c.odd", "c.told"))
     limit = lambda of, c, last: F.coalesce(F.element_at(of, c["size"]), F.lit(last + 1))
-    chosen = F.filter("__tested", lambda c: (c["odd"] < limit(odd, c, LAST_ODD)) & (c["told"] >= limit(told, c, LAST_TOLD)))
-    return tested.withColumn("__added", spans(chosen, "random")).drop("__tested")
+    chosen = F.filter(F.col(name)["tested"], lambda c: (c["odd"] < limit(odd, c, LAST_ODD)) & (c["told"] >= limit(told, c, LAST_TOLD)))
+    return tested.withColumn(name, F.struct(F.col(name)["base"].alias("base"), spans(chosen, "random").alias("added")))
 
 
 def written(found: Column) -> Column:
@@ -199,23 +230,40 @@ def written(found: Column) -> Column:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts and spans of each document."""
-    found = with_spans(docs.select(F.col(key), F.col(text)), text)
-    count = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    everything = F.array_sort(F.concat("__base", "__added"))
-    return found.select(key, count("assign"), count("access"), count("hex"), F.sha2(written(F.col("__base")), 256).alias("base_sha256"), written(everything).alias("spans"), F.size("__added").cast("long").alias("n_random"))
+    name = free_name(docs.select(key, text), "found")
+    found = with_spans(docs.select(F.col(key), F.col(text)), text, name)
+    base, added = F.col(name)["base"], F.col(name)["added"]
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    everything = F.array_sort(F.concat(base, added))
+    return found.select(key, count("assign"), count("access"), count("hex"), F.sha2(written(base), 256).alias("base_sha256"), written(everything).alias("spans"), F.size(added).cast("long").alias("n_random"))
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with each span, or group of spans that overlap, replaced by REDACTED; other columns stay."""
-    found = with_spans(docs, text)
-    whole = F.col(text)
+def replaced(text: Column, found: Column) -> Column:
+    """A text with each of the sorted spans, or group of spans that overlap, replaced by REDACTED. What lies between spans
+    is taken from pieces of the text, as a substring is counted from the beginning of what it is taken from."""
+
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / PIECE).cast("int")
+        some = F.array_join(F.slice(pieces, first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(some, a - first * PIECE + 1, b - a)).otherwise("")
+
+    begin = F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"))
+    pairs = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    end = F.struct(F.length(text).alias("start"), F.length(text).alias("stop"))
 
-    def step(acc: Column, s: Column) -> Column:
-        ahead = F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit(REDACTED))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], ahead).otherwise(acc["out"]).alias("out"))
+    def joined(pieces: Column, spans_of: Column, reach: Column) -> Column:
+        # a span that starts before an earlier one ends belongs to that one
+        apart = F.filter(F.sequence(F.lit(1), F.size(spans_of) - 1), lambda i: (F.get(spans_of, i)["start"] >= F.get(reach, i)) | (i == F.size(spans_of) - 1))
+        return F.array_join(F.transform(apart, lambda i: between(pieces, F.get(reach, i), F.greatest(F.get(spans_of, i)["start"], F.get(reach, i)))), REDACTED)
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    end = lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole)))
-    spans_of = F.array_sort(F.concat("__base", "__added"))
-    changed = F.when(F.size(spans_of) > 0, F.aggregate(spans_of, begin, step, end)).otherwise(whole)
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return let(cut, lambda pieces: let(F.concat(F.array(begin), pairs, F.array(end)), lambda all_of: let(before(F.transform(all_of, lambda s: s["stop"]), lambda a, b: F.greatest(a, b)), lambda reach: joined(pieces, all_of, reach))))
+
+
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with each span, or group of spans that overlap, replaced by REDACTED; other columns stay."""
+    name = free_name(docs, "found")
+    found = with_spans(docs, text, name)
+    spans_of = F.array_sort(F.concat(F.col(name)["base"], F.col(name)["added"]))
+    changed = F.when(F.size(spans_of) > 0, replaced(F.col(text), spans_of)).otherwise(F.col(text))
     return found.withColumn(text, changed).select(*docs.columns)
