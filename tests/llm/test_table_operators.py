@@ -182,8 +182,8 @@ def test_stages_keep_columns_and_bear_empty_tables(spark, small_corpus):
 
 def test_extra_columns_with_our_names(spark, small_corpus):
     path, _, _ = small_corpus
-    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id > 290").withColumns({c: F.lit(7) for c in ("n", "label", "component_id", "copy", "spans", "__base", "size", "token", "component")})
-    for name, stage in corpus_pipeline.STAGES[1:3]:
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id > 290").withColumns({c: F.lit(7) for c in ("n", "label", "component_id", "copy", "spans", "__base", "size", "token", "component", "found", "found_", "__run", "__assign", "base", "text_", "start", "tokens", "score")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, path)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
     assert setjoin.link_components(docs).count() == docs.count() and sharding.assign(docs, sharding.build_map(docs, 3, n_slots=16)).count() == docs.count()
