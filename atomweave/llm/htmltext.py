@@ -5,10 +5,11 @@ becomes a vector of its hashed tag path (tags, their classes and ids, and the in
 and of a few shapes (length, share of links, place). A bidirectional LSTM in numpy reads the sequence of a page's blocks,
 so that each label draws on the whole page, and says for every block whether it is main text.
 
-The model is trained here, on the driver, on at most ``TRAIN_PAGES`` pages taken by hash of the page id, of at most
-``TRAIN_CHARS`` characters, and on variants of them in which the same texts stand in other containers among other
+The model is trained here, on the driver, on at most ``TRAIN_PAGES`` different pages, taken by hash of their html, of at
+most ``TRAIN_CHARS`` characters, and on variants of them in which the same texts stand in other containers among other
 surroundings. No table has labels for blocks; the labels to learn from come from what tags and names declare (``declared``).
-The executors get the weights, whose size is fixed. Extraction reads every page whole; no shuffle.
+The executors get the weights, whose size is fixed. Extraction reads every page whole; no shuffle. Paths are nodes of a
+tree that know their parents, so that work follows a page's length, however deep it is.
 
 Edge cases: null and empty pages and pages without main text give an empty text; unclosed and stray tags are tolerated;
 an unfinished tag or comment ends the page; rows that repeat give rows that repeat; an empty table gives no rows.
@@ -33,6 +34,8 @@ from .common import column_type
 TRAIN_PAGES, TRAIN_CHARS, VARIANTS = 240, 60_000, 3
 PATH_DIM, WORD_DIM, SHAPES, HIDDEN = 64, 24, 6, 16
 EPOCHS, BATCH, RATE = 14, 24, 0.02
+#: Blocks, with padding, that are labelled at a time, unless one page has more.
+BATCH_BLOCKS = 50_000
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,45 +64,128 @@ def names_of(attributes: str) -> tuple[str, ...]:
     return tuple(NAME_PARTS.findall(found))
 
 
+@lru_cache(200_000)
+def slot(word: str, size: int) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace")) % size
+
+
+class Node:
+    """A path of tags with their names: the last of them, and the path above. Equal paths are one node of their tree."""
+
+    __slots__ = ("tag", "names", "parent", "children", "counts", "vector")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.children: dict[tuple, Node] = {}
+        self.counts = np.zeros(PATH_DIM, np.float32) if parent is None else parent.counts.copy()
+        self.vector: np.ndarray | None = None
+        if parent is not None:
+            self.counts[slot("<" + tag, PATH_DIM)] += 1
+            for name in names:
+                self.counts[slot("." + name, PATH_DIM)] += 1
+
+    def below(self, tag: str, names: tuple[str, ...]) -> Node:
+        node = self.children.get((tag, names))
+        if node is None:
+            Tree.nodes += 1
+            node = self.children[tag, names] = Node(tag, names, self)
+        return node
+
+    def path(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        out, node = [], self
+        while node.parent is not None:
+            out.append((node.tag, node.names))
+            node = node.parent
+        return tuple(reversed(out))
+
+    def described(self) -> np.ndarray:
+        """Hashed tags, names, and the innermost pair of tags."""
+        if self.vector is None:
+            out = self.counts.copy()
+            above = self.parent
+            pair = self.tag if above is None or above.parent is None else f"{above.tag}/{self.tag}"
+            out[slot(pair, PATH_DIM)] += 1
+            self.vector = np.minimum(out, 2)
+        return self.vector
+
+
+class Tree:
+    """The paths that this process has met; it starts anew beyond MOST, between pages."""
+
+    MOST = 20_000
+    nodes = 0
+    root: Node | None = None
+
+    @classmethod
+    def start(cls) -> Node:
+        if cls.root is None or cls.nodes > cls.MOST:
+            cls.root, cls.nodes = Node("", (), None), 0
+        return cls.root
+
+
+def node_of(path: tuple[tuple[str, tuple[str, ...]], ...]) -> Node:
+    node = Tree.start()
+    for tag, names in path:
+        node = node.below(tag, names)
+    return node
+
+
 @dataclass
 class Block:
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    node: Node
     text: str
     link_chars: int = 0
 
+    @property
+    def path(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        return self.node.path()
+
 
 @dataclass
 class Reader:
-    """Reads a page into blocks."""
+    """Reads a page into blocks. Each open element has the node of its path; where the open ones of a tag are, is kept by tag."""
 
-    stack: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
+    stack: list[tuple[str, Node]] = field(default_factory=list)
+    places: dict[str, list[int]] = field(default_factory=dict)
     pieces: list[str] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
     link_chars: int = 0
+    root: Node = field(default_factory=Tree.start)
+
+    def here(self) -> Node:
+        return self.stack[-1][1] if self.stack else self.root
+
+    def open(self, tag: str, names: tuple[str, ...] | None) -> None:
+        """Opens an element; inline ones, without names, add nothing to the path."""
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, self.here() if names is None else self.here().below(tag, names)))
 
     def end_block(self) -> None:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                self.blocks.append(Block(tuple(x for x in self.stack if x[0] not in INLINE), text, self.link_chars))
+                self.blocks.append(Block(self.here(), text, self.link_chars))
             self.pieces, self.link_chars = [], 0
 
+    def last(self, tags: Iterable[str]) -> int:
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=-1)
+
     def close(self, tags: set[str], stop: frozenset[str] = frozenset()) -> None:
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] in stop:
-                return
-            if self.stack[at][0] in tags:
-                del self.stack[at:]
-                return
+        """Closes the last open one of the tags with all inside, unless an element to stop at is inside."""
+        at = self.last(tags)
+        if at < 0 or self.last(stop) > at:
+            return
+        while len(self.stack) > at:
+            self.places[self.stack.pop()[0]].pop()
 
     def read(self, page: str) -> list[Block]:
-        at, raw = 0, None
+        at = 0
         while match := TOKEN.match(page, at):
             at = match.end()
             cdata, closing, tag, attributes, text = match.groups()
             if text is not None:
                 self.pieces.append(unescape(text))
-                if any(x[0] == "a" for x in self.stack):
+                if self.places.get("a"):
                     self.link_chars += len(text)
             elif cdata is not None:
                 self.pieces.append(cdata)
@@ -111,7 +197,7 @@ class Reader:
                     if closing:
                         self.close({tag}, TEXT_TAGS)
                     elif tag not in VOID:
-                        self.stack.append((tag, ()))
+                        self.open(tag, None)
                 else:
                     self.end_block()
                     if closing:
@@ -122,7 +208,7 @@ class Reader:
                             at = raw.end() if raw else len(page)
                     elif tag not in VOID:
                         self.close(CLOSES.get(tag, set()), frozenset(("ul", "ol", "dl", "table")) if tag != "p" else frozenset())
-                        self.stack.append((tag, names_of(attributes)))
+                        self.open(tag, names_of(attributes))
             if at >= len(page):
                 break
         self.end_block()
@@ -135,37 +221,21 @@ def blocks_of(page: str | None) -> list[Block]:
 
 def declared(blocks: list[Block]) -> list[bool]:
     """What tags and names declare to be main text."""
-    inside = [any(t in MAIN_TAGS or not MAIN_NAMES.isdisjoint(n) for t, n in b.path if t not in ("html", "body")) for b in blocks]
+    paths = [b.path for b in blocks]
+    inside = [any(t in MAIN_TAGS or not MAIN_NAMES.isdisjoint(n) for t, n in path if t not in ("html", "body")) for path in paths]
     some = any(inside)
     out = []
-    for block, within in zip(blocks, inside, strict=True):
-        main_at = max((k for k, (t, _) in enumerate(block.path) if t in MAIN_TAGS), default=-1)
-        outside = any(t in OUTSIDE_TAGS or (t == "header" and main_at < 0) or not OUTSIDE_NAMES.isdisjoint(n) for t, n in block.path)
-        out.append(not outside and (within if some else bool(block.path) and block.path[-1][0] in TEXT_TAGS))
+    for path, within in zip(paths, inside, strict=True):
+        main_at = max((k for k, (t, _) in enumerate(path) if t in MAIN_TAGS), default=-1)
+        outside = any(t in OUTSIDE_TAGS or (t == "header" and main_at < 0) or not OUTSIDE_NAMES.isdisjoint(n) for t, n in path)
+        out.append(not outside and (within if some else bool(path) and path[-1][0] in TEXT_TAGS))
     return out
 
 
-@lru_cache(200_000)
-def slot(word: str, size: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % size
-
-
-@lru_cache(20_000)
-def path_vector(path: tuple) -> np.ndarray:
-    """Hashed tags, names, and the innermost pair of tags."""
-    out = np.zeros(PATH_DIM, np.float32)
-    for tag, names in path:
-        out[slot("<" + tag, PATH_DIM)] += 1
-        for name in names:
-            out[slot("." + name, PATH_DIM)] += 1
-    out[slot("/".join(t for t, _ in path[-2:]), PATH_DIM)] += 1
-    return np.minimum(out, 2)
-
-
 def vectors(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), PATH_DIM + WORD_DIM + SHAPES), np.float32)
     for k, block in enumerate(blocks):
-        out[k, :PATH_DIM] = path_vector(block.path)
+        out[k, :PATH_DIM] = block.node.described()
         words = block.text.lower().split()
         counts = np.bincount([slot(w, WORD_DIM) for w in words], minlength=WORD_DIM)
         out[k, PATH_DIM : PATH_DIM + WORD_DIM] = counts / max(1, len(words)) ** 0.5 / 4
@@ -242,7 +312,7 @@ class Labeller:
         at = 0
         while at < len(order):
             some = order[at : at + 64]
-            while len(some) > 1 and len(pages[some[-1]]) > 2 * len(pages[some[0]]) + 16:
+            while len(some) > 1 and (len(pages[some[-1]]) > 2 * len(pages[some[0]]) + 16 or len(some) * len(pages[some[-1]]) > BATCH_BLOCKS):
                 some = some[: len(some) // 2]
             x, mask, _ = padded([pages[k] for k in some], None)
             p, _ = self.run(x, mask)
@@ -282,7 +352,7 @@ def variant(blocks: list[Block], main: list[bool], turn: np.random.Generator) ->
             words = pick(texts).split()
             text = " ".join(words[: turn.integers(1, 30)])
             linked = len(text) if where[-1][0] == "li" and turn.random() < 0.8 else 0
-            out.append(Block(where, text, linked))
+            out.append(Block(node_of(where), text, linked))
             labels.append(False)
 
     for _ in range(turn.integers(1, 4)):
@@ -291,7 +361,7 @@ def variant(blocks: list[Block], main: list[bool], turn: np.random.Generator) ->
         if is_main:
             if turn.random() < 0.1:
                 surround(body + holder)
-            out.append(Block(body + holder + ((block.path[-1][0] if block.path[-1][0] in TEXT_TAGS else "p", ()),), block.text, block.link_chars))
+            out.append(Block(node_of(body + holder + ((block.node.tag if block.node.tag in TEXT_TAGS else "p", ()),)), block.text, block.link_chars))
             labels.append(True)
     if turn.random() < 0.6:  # comments and notices often close an article inside its container
         surround(body + holder)
@@ -331,10 +401,12 @@ def train(pages: list[str]) -> Labeller:
     return model
 
 
-def fit(pages: DataFrame, key: str = "page_id", html: str = "html") -> Labeller:
-    """Trains on the driver with a bounded sample of pages."""
-    some = pages.where(F.col(html).isNotNull() & (F.length(html) <= TRAIN_CHARS)).select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(html).alias("page"))
-    rows = some.orderBy("h", "page").limit(TRAIN_PAGES).collect()  # TRAIN_PAGES rows by TRAIN_CHARS
+def fit(pages: DataFrame, html: str = "html") -> Labeller:
+    """Trains on the driver with a bounded sample of pages. Hashes alone are sorted; then the pages chosen are fetched, of
+    those with one hash one."""
+    short = pages.where(F.col(html).isNotNull() & (F.length(html) <= TRAIN_CHARS)).select(F.xxhash64(html).alias("h"), F.col(html).alias("page"))
+    chosen = [r["h"] for r in short.select("h").distinct().orderBy("h").limit(TRAIN_PAGES).collect()]  # TRAIN_PAGES numbers
+    rows = short.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("page").alias("page")).orderBy("h").collect()  # TRAIN_PAGES rows by TRAIN_CHARS
     return train([r["page"] for r in rows])
 
 
@@ -345,7 +417,7 @@ def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
 
 
 #: Characters of pages that are labelled together.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def extract(pages: DataFrame, model: Labeller, key: str = "page_id", html: str = "html", kept: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers as tokenizer_files
@@ -434,6 +435,21 @@ def test_reader_tolerates_broken_pages():
     assert text("") == [] and text("<p") == [] and text("<!-- never ends") == []
 
 
+@pytest.mark.parametrize("page", ["<div>x " * 16_000, "<div>" * 20_000 + "x" + "</p>" * 20_000, "<b><p>" + "<div>" * 10_000 + "x</b>" * 10_000, "<a href=x>y" * 20_000, f"<article>{'<p>Some words of a text.</p>' * 8_000}</article>"])
+def test_long_and_deep_pages(page, labeller):
+    began = time.time()
+    found = htmltext.main_texts([page], labeller)[0]
+    assert time.time() - began < 6 and (not page.startswith("<article>") or found == " ".join(["Some words of a text."] * 8_000))
+
+
+def test_sample_is_of_different_pages(spark, monkeypatch):
+    monkeypatch.setattr(htmltext, "TRAIN_PAGES", 3)
+    monkeypatch.setattr(htmltext, "train", lambda pages: pages)
+    pages = spark.createDataFrame([(None if k % 2 else 7, "u", f"<p>{k % 5}" if k % 7 else None) for k in range(200)], "page_id long, url string, html string")
+    found = htmltext.fit(pages)
+    assert len(found) == len(set(found)) == 3 and set(found) <= {f"<p>{k}" for k in range(5)}
+
+
 def test_extraction_of_odd_rows(spark, labeller):
     rows = [(1, "u", None), (2, None, ""), (3, "v", "<p"), (4, "w", SURROUNDED.replace("{main}", f"<article>{BODY}</article>")), (4, "w", SURROUNDED.replace("{main}", f"<article>{BODY}</article>"))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
