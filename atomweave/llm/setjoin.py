@@ -20,6 +20,8 @@ documents with a common passage don't. Any order gives the same result; frequent
 short. Which are frequent is estimated from distinct texts by hash, and at most ``HOT_TOKENS`` are told to the executors:
 that bounds a broadcast and changes the cost alone.
 
+``links`` gives the join itself, without what follows from components.
+
 5-grams are held as 64-bit hashes, compared only within a pair; classes are by 128 bits. What is shuffled are packed
 arrays of prefix tokens, and the sets of documents that have a candidate, never all pairs and never all sets.
 
@@ -47,6 +49,8 @@ LINK, CLOSE = 75, 90
 SAMPLE, HOT_COUNT, HOT_TOKENS = 16, 2, 500_000
 #: Partners of a set that are compared before all others, and the share of tokens (one in so many) that names them.
 FIRST_PARTNERS, FIRST_TOKENS = 10, 4
+#: Pairs of one id that meet in a task, and classes with one least hash that are joined to their leader by a shuffle.
+HOT_PAIRS, HOT_GROUP = 64, 256
 #: Prefix tokens in a group of index lists, entries of a block of a long list, and slices in which a group is sorted.
 GROUP_TOKENS, BLOCK, SLICES = 1_000_000, 256, 4
 
@@ -133,14 +137,28 @@ def fetch(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(sized(ids, ids.count()), key)
 
 
+def salted(pairs: DataFrame, x: str) -> DataFrame:
+    """(x, salts) of ids that stand on one side of more than HOT_PAIRS pairs: so many copies of their sets share the work."""
+    hot = pairs.groupBy(x).agg(F.ceil(F.count("*") / HOT_PAIRS).cast("int").alias("salts")).where("salts > 1")
+    hot = cut(hot, "hot")
+    return sized(hot, hot.count())
+
+
 def compare(docs: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """(a, b, n_a, n_b, common) of pairs of ids; sets are made again for these ids alone."""
+    """(a, b, n_a, n_b, common) of pairs of ids; sets are made again for these ids alone. A set that meets many others is
+    copied, so that no task gets all of its partners."""
+    pairs = cut(pairs.select("a", "b"), "compared")
     ids = cut(pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b").alias(key))).distinct(), "ids")
-    # one shuffle by id serves the removal of repeated rows and both joins
+    # one shuffle by id serves the removal of repeated rows
     sets = sets_of(fetch(docs, ids, key)).repartition(F.col(key)).dropDuplicates([key, "n", "tokens"])
-    side = lambda x: sets.select(F.col(key).alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
-    common = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long").alias("common")
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", common)
+    out = pairs
+    for x, other in (("a", "b"), ("b", "a")):
+        hot = salted(pairs, x)
+        side = sets.select(F.col(key).alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}")).join(hot, x, "left")
+        side = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        out = out.join(hot, x, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        out = out.join(side, [x, "salt"]).drop("salt")
+    return out.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long").alias("common"))
 
 
 def frequent_tokens(docs: DataFrame) -> np.ndarray:
@@ -344,6 +362,52 @@ def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
 
 
+def led(plain: DataFrame) -> DataFrame:
+    """(a, b): each class of ``plain`` (rep, least) with the leader of those that have its least hash, the smallest id. The
+    few large groups are told to all tasks, if their number allows, so that no task gets a whole one."""
+    groups = cut(plain.groupBy("least").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1"), "groups")
+    hot = groups.where(F.col("members") > HOT_GROUP).select("least", F.col("leader").alias("b"))
+    marked = plain.select(F.col("rep").alias("a"), "least").join(sized(hot, hot.count()), "least", "left")
+    few = groups.where(F.col("members") <= HOT_GROUP).select("least", F.col("leader").alias("b"))
+    return marked.where("b is not null").select("a", "b").union(marked.where("b is null").select("a", "least").join(few, "least").select("a", "b")).where("a <> b")
+
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join itself: (a, b, n_a, n_b, common) with a < b, each link between representatives of classes of equal sets, and
+    (key, rep), which documents they stand for. No pair is passed over because others join its components.
+
+    Answers of a satellite follow from its leader's: leaders are compared with leaders that the index names, and of their
+    satellites those pairs that the leaders' intersections leave open; satellites of one leader are compared with each other.
+    Ids must not repeat with other texts; null ids take no part."""
+    docs = docs.select(F.col(key), F.col(text).cast("binary").alias("text")).where(F.col(key).isNotNull())
+    sig = cut(signatures(docs, key, frequent_tokens(docs)).where("n > 0"), "signatures")
+    classes = cut(sig.groupBy("f1", "f2", "n", "least").agg(F.min(key).alias("rep")), "classes")
+    members = sig.join(classes, ["f1", "f2", "n", "least"]).select(key, "rep")
+    near = cut(compare(docs, led(classes), key).where(reaches(CLOSE)), "satellites")
+    satellites = near.select(F.col("a").alias("rep"), F.col("b").alias("label"), (F.col("n_a") - F.col("common")).alias("own"), F.col("n_a").alias("n"))
+    folk = cut(satellites.unionByName(classes.join(satellites, "rep", "left_anti").select("rep", F.col("rep").alias("label"), F.lit(0).cast("long").alias("own"), "n")), "folk")
+
+    # the index has every representative's prefix under its leader's name; sizes and gains are those of the whole family
+    sizes = folk.groupBy("label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("own").alias("own"))
+    rows = sig.select(F.col(key).alias("rep"), "prefix").join(folk.select("rep", "label", "n"), "rep").dropDuplicates(["rep"]).join(sizes, "label")
+    rows = cut(rows.select("label", F.col("label").alias("component"), "low", "high", "n", "prefix"), "labels")
+    n_groups = max(16, int((classes.agg(F.sum("n")).first()[0] or 0) * (100 - LINK) / 100 / GROUP_TOKENS) + 1)
+    leaders = cut(candidates(postings(rows, n_groups), n_groups).select("a", "b"), "pairs")
+    known = cut(compare(docs, leaders, key), "answers")
+
+    # a satellite shares with others at most what its leader does, and what either has beyond its leader
+    family = lambda x: folk.select(F.col("label").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("own").alias(f"own_{x}"), F.col("n").alias(f"size_{x}"))
+    most = lambda x: sizes.select(F.col("label").alias(x), F.col("own").alias(f"most_{x}"), F.col("low").alias(f"low_{x}"))
+    open_to = lambda n_a, n_b, shared: 7 * shared >= 3 * (n_a + n_b)
+    wide = known.join(most("a"), "a").join(most("b"), "b")
+    wide = wide.where(open_to(F.col("low_a"), F.col("low_b"), F.col("common") + F.col("most_a") + F.col("most_b"))).join(family("a"), "a")
+    wide = wide.where(open_to(F.col("size_a"), F.col("low_b"), F.col("common") + F.col("own_a") + F.col("most_b"))).join(family("b"), "b")
+    wide = wide.where(open_to(F.col("size_a"), F.col("size_b"), F.col("common") + F.col("own_a") + F.col("own_b")) & ((F.col("rep_a") != F.col("a")) | (F.col("rep_b") != F.col("b"))))
+    inside = family("a").join(folk.select(F.col("label").alias("a"), F.col("rep").alias("rep_b")), "a").where("rep_a < rep_b")
+    rest = wide.select("rep_a", "rep_b").union(inside.select("rep_a", "rep_b")).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    return known.unionByName(compare(docs, rest, key)).where(reaches(LINK)), members
+
+
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for each row of ``docs``."""
     docs = docs.select(F.col(key), F.col(text).cast("binary").alias("text"))
@@ -355,8 +419,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     plain = classes.groupBy("rep").agg(F.count("*").alias("texts"), F.first("least").alias("least"), F.first("n").alias("n")).where("texts = 1")
 
     # leaders: the smallest id among the classes with one least hash
-    groups = plain.groupBy("least").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
-    members = cut(plain.join(groups, "least").select(F.col("rep").alias("a"), F.col("leader").alias("b")).where("a <> b"), "members")
+    members = cut(led(plain), "members")
     tried = cut(compare(named, members, key), "leaders")
     near = tried.where(reaches(LINK)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     satellites = cut(tried.where(reaches(CLOSE)).select(F.col("a").alias("rep"), F.col("b").alias("label"), (7 * (F.col("n_a") - F.col("common")) - 3 * F.col("n_a")).alias("gain")), "satellites")
@@ -384,7 +447,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ways = cut(ways, "nearest")
     ways = ways.union(ways.select("b", "a", "shared"))
     closest = ways.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))).where(F.col("k") <= FIRST_PARTNERS)
-    known = cut(compare(named, cut(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "closest"), key), "answers")
+    known = cut(compare(named, closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), key), "answers")
     joined = components(near.union(linked(known)))
     pairs = cut(candidates(postings(labelled(joined), n_groups), n_groups).select("a", "b"), "pairs")
     known = known.union(cut(compare(named, pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), key), "answers"))
@@ -402,7 +465,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kept = lambda x: F.col(f"{x}.id").isNotNull()
     wide = side(ahead, "a").withColumn("x", F.explode(own("a"))).where(kept("x") & (7 * F.col("common") + F.col("x.gain") + best("b") >= 0)).select("a", "b", "n_b", "common", "x").distinct()
     wide = side(wide, "b").withColumn("y", F.explode(own("b"))).where(kept("y") & (7 * F.col("common") + F.col("x.gain") + F.col("y.gain") >= 0))
-    open_pairs = cut(wide.where("not (x.id = a and y.id = b)").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "open")
+    open_pairs = wide.where("not (x.id = a and y.id = b)").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = compare(named, open_pairs, key)
 
     same_id = sig.where("n > 0").join(classes, ["f1", "f2", "n", "least"]).where(F.col("rep") != F.col(key)).join(classes.select(F.col("rep").alias(key)).distinct(), key, "left_semi").select(F.col(key).alias("u"), F.col("rep").alias("v"))
