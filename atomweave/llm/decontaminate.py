@@ -35,10 +35,9 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_BYTES).split()
 
 
-def windows(item: list[bytes], size: int = WINDOW_WORDS) -> list[tuple[bytes, ...]]:
-    if not item:
-        return []
-    return [tuple(item[i : i + size]) for i in range(max(1, len(item) - size + 1))]
+def windows(item: list[bytes], size: int = WINDOW_WORDS) -> Iterator[tuple[bytes, ...]]:
+    if item:
+        yield from (tuple(item[i : i + size]) for i in range(max(1, len(item) - size + 1)))
 
 
 class ShiftTable:
@@ -81,7 +80,7 @@ class ShiftTable:
 class Searcher:
     """Tables for windows of all lengths, and the items of each window."""
 
-    def __init__(self, items: dict[tuple[bytes, ...], list[str]]):
+    def __init__(self, items: dict[tuple[bytes, ...], dict[str, None]]):
         self.items = items
         by_length: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
         for window in items:
@@ -99,20 +98,21 @@ class Searcher:
         return spans, found
 
 
-def read_items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[dict[tuple[bytes, ...], list[str]]]:
-    """Windows with their items, in tables that close once they have TABLE_WINDOWS windows. There is one table at least."""
-    table: dict[tuple[bytes, ...], list[str]] = defaultdict(list)
+def read_items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[dict[tuple[bytes, ...], dict[str, None]]]:
+    """Windows with their items, in tables that close once they have TABLE_WINDOWS windows, also within an item. There is
+    one table at least."""
+    table: dict[tuple[bytes, ...], dict[str, None]] = {}
     given = False
     for row in benchmark.select(F.col(key).cast("string"), F.col(text).cast("binary")).toLocalIterator():
-        if len(table) >= TABLE_WINDOWS:
-            yield dict(table)
-            table, given = defaultdict(list), True
         for window in windows(words(row[1])):
-            named = table[window]
-            if row[0] is not None and row[0] not in named:
-                named.append(row[0])
+            if window not in table and len(table) >= TABLE_WINDOWS:
+                yield table
+                table, given = {}, True
+            named = table.setdefault(window, {})
+            if row[0] is not None:
+                named[row[0]] = None
     if table or not given:
-        yield dict(table)
+        yield table
 
 
 def merge_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -129,7 +129,7 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 FOUND = "n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
 
 
-def search_pass(df: DataFrame, table: dict[tuple[bytes, ...], list[str]], key: str) -> DataFrame:
+def search_pass(df: DataFrame, table: dict[tuple[bytes, ...], dict[str, None]], key: str) -> DataFrame:
     """``df`` has (key, text binary, n_words, spans, items); the table's finds are added to the last two."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
