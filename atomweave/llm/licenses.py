@@ -3,8 +3,8 @@
 A text's lines and paragraphs that hold a word of licensing are candidate blocks. Each is compressed with zstandard alone
 and with every template as a raw dictionary; templates that save bytes tell something about the block. All of these are
 confirmed by exact wording: the template's words must occur in the block in order, with at most ``MISSING`` of them
-missing, and the differences are reported. Templates are short notices of public licences, and the passages by which full
-texts of some of them are known.
+missing, and the differences are reported. Templates are short notices of public licences, the passages by which
+their full texts are known, and lines that tag a file with an SPDX name.
 
 Blocks are single lines and whole paragraphs (runs of lines that aren't blank), wherever a notice is wrapped; a long block
 is read in windows of words that overlap by more than a template has, so that nothing behind a limit is left out. No
@@ -50,20 +50,34 @@ TEMPLATES = {
 PASSAGES = {
     "Apache-2.0": "Apache License Version 2.0, January 2004",
     "AGPL-3.0": "GNU Affero General Public License Version 3, 19 November 2007",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International Public License",
+    "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International Public License",
+    "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International Public License",
+    "CC0-1.0": "Creative Commons CC0 1.0 Universal",
     "GPL-2.0": "GNU General Public License Version 2, June 1991",
     "GPL-3.0": "GNU General Public License Version 3, 29 June 2007",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "LGPL-3.0": "GNU Lesser General Public License Version 3, 29 June 2007",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: A line that names a licence by its SPDX name; those of the GNU family may say which later versions are meant.
+TAG = "SPDX-License-Identifier"
+TAGGED = {f"{name}{end}": name for name in TEMPLATES if name != "all-rights-reserved" for end in (("", "-only", "-or-later") if "GPL" in name else ("",))}
 #: All templates by a name of their own, each with its licence.
-ALL = {name: (name, text) for name, text in TEMPLATES.items()} | {f"{name} (text)": (name, text) for name, text in PASSAGES.items()}
-CUE = re.compile(r"permission\s+(?:is|to)|hereby granted|unencumbered|licen[cs]e|public domain|rights reserved|creative commons|copyright|\bcc[ -]?(?:by|0)|spdx", re.I)
+ALL = {name: (name, text) for name, text in TEMPLATES.items()} | {f"{name} (text)": (name, text) for name, text in PASSAGES.items()} | {f"{tag} (tag)": (name, f"{TAG}: {tag}") for tag, name in TAGGED.items()}
+#: A text whose wording another licence's text has too, with more: it counts only where that one isn't found.
+PART_OF = {"BSD-2-Clause (text)": "BSD-3-Clause (text)"}
+CUE = re.compile(r"redistribution\s+and\s+use|endorse\s+or\s+promote|permission\s+(?:is|to)|hereby granted|unencumbered|licen[cs]e|public domain|rights reserved|creative commons|copyright|\bcc[ -]?(?:by|0)|spdx", re.I)
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 #: Words of a window of a long block, and the share of a template's words that may be missing.
 WINDOW, MISSING = 60, 0.2
-#: Words that name a licence: they may not be missing or differ.
+#: Characters of a block that is remembered.
+CACHED_CHARS = 400
+#: Words that don't name a licence; all others may not be missing or differ.
 FILLER = frozenset("a and dedicated domain general in into is licence license licensed of public released subject terms the this to under v version work".split())
 
 
@@ -86,9 +100,11 @@ def template_words() -> dict[str, list[str]]:
 def savings(block: str) -> list[tuple[int, str]]:
     """Templates by the bytes that they save when the block is compressed with them, the most first."""
     alone, given = compressors()
-    data = block.lower().encode("utf-8", "replace")
+    lowered = block.lower()
+    data = lowered.encode("utf-8", "replace")
     base = len(alone.compress(data))
-    return sorted(((base - len(c.compress(data)), name) for name, c in given.items()), key=lambda x: (-x[0], x[1]))
+    tagged = TAG.lower() in lowered  # templates of tags can't be confirmed without it
+    return sorted(((base - len(c.compress(data)), name) for name, c in given.items() if tagged or not name.endswith("(tag)")), key=lambda x: (-x[0], x[1]))
 
 
 def places(name: str, found: list[str]) -> dict[int, int]:
@@ -121,10 +137,16 @@ def parts(block: str) -> Iterator[str]:
             yield part
 
 
-@lru_cache(100_000)
-def scan_block(block: str) -> tuple[tuple[str, int, str], ...]:
-    """(licence, bytes saved, words lacking) of a block, each licence once."""
-    out: dict[str, tuple[str, int, str]] = {}
+Found = tuple[str, str, int, str]
+
+
+def scan_block(block: str) -> tuple[Found, ...]:
+    """(licence, template, bytes saved, words lacking) of a block, each licence once. Short blocks, which repeat, are remembered."""
+    return short_block(block) if len(block) <= CACHED_CHARS else whole_block(block)
+
+
+def whole_block(block: str) -> tuple[Found, ...]:
+    out: dict[str, Found] = {}
     for part in parts(block):
         found = words(part)
         confirmed = [(len(lacks), -saved, name, lacks) for saved, name in savings(part) if saved > 0 and (lacks := wording(name, found)) is not None]
@@ -134,10 +156,13 @@ def scan_block(block: str) -> tuple[tuple[str, int, str], ...]:
             taken = {b for o in longer for b in places(o, found).values()}
             if not longer or wording(name, [w for b, w in enumerate(found) if b not in taken]) is not None:
                 licence = ALL[name][0]
-                out.setdefault(licence, (licence, -saved, " ".join(lacks)))
+                out.setdefault(licence, (licence, name, -saved, " ".join(lacks)))
     return tuple(out[name] for name in sorted(out))
 
 
+short_block = lru_cache(50_000)(whole_block)
+
+
 def candidate_blocks(text: str) -> list[str]:
     """Lines and paragraphs with a word of licensing."""
     if not CUE.search(text):
@@ -156,12 +181,14 @@ def candidate_blocks(text: str) -> list[str]:
 
 
 def scan_text(text: str) -> list[tuple[str, int, str]]:
-    found: dict[str, tuple[str, int, str]] = {}
+    found: dict[str, Found] = {}
     for block in candidate_blocks(text):
-        for name, saved, lacks in scan_block(block):
-            if name not in found or (len(lacks), -saved) < (len(found[name][2]), -found[name][1]):
-                found[name] = (name, saved, lacks)
-    return [found[name] for name in sorted(found)]
+        for one in scan_block(block):
+            name, _, saved, lacks = one
+            if name not in found or (len(lacks), -saved) < (len(found[name][3]), -found[name][2]):
+                found[name] = one
+    seen = {template for _, template, _, _ in found.values()}
+    return [(name, saved, lacks) for name, template, saved, lacks in map(found.__getitem__, sorted(found)) if PART_OF.get(template) not in seen]
 
 
 KIND = pa.list_(pa.struct([("license", pa.string()), ("saved_bytes", pa.int64()), ("missing_words", pa.string())]))
