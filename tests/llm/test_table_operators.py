@@ -116,6 +116,23 @@ def test_small_groups_and_wide_families(spark, monkeypatch):
     assert {i: r["component_id"] for i, r in found.items()} == components(range(len(texts)), texts)
 
 
+@pytest.mark.parametrize(("seed", "edits", "words", "members"), [(1, 3, 60, 12), (2, 8, 120, 12), (3, 2, 14, 12), (9, 3, 40, 40)])
+def test_links_equal_brute_force(spark, monkeypatch, seed, edits, words, members):
+    monkeypatch.setattr(setjoin, "HOT_PAIRS", 5)
+    monkeypatch.setattr(setjoin, "HOT_GROUP", 6)
+    texts = [*near_copies(seed, edits=edits, words=words, members=members), None, "", "one two", "ONE\ttwo", "a b c d e", *["copy of one text that has more than five words"] * 4]
+    pairs, members_of = setjoin.links(frame(spark, texts))
+    of = {}
+    for r in members_of.collect():
+        of.setdefault(r["rep"], []).append(r["doc_id"])
+    rows = pairs.collect()
+    assert len(rows) == len({(r["a"], r["b"]) for r in rows}) and all(r["a"] < r["b"] for r in rows)
+    found = {(min(x, y), max(x, y)) for r in rows for x in of[r["a"]] for y in of[r["b"]]} | {(x, y) for m in of.values() for x in m for y in m if x < y}
+    sets = [shingle_set(t) for t in texts]
+    assert found == {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a and b and 100 * len(a & b) >= 75 * len(a | b)}
+    assert all(r["common"] == len(sets[r["a"]] & sets[r["b"]]) for r in rows)
+
+
 def test_ids_that_repeat_or_lack(spark):
     one, other = "a b c d e f g h i j", "k l m n o p q r s t"
     found = setjoin.link_components(frame(spark, [one, other, other, one, one, None], [5, 5, 9, None, 7, 3])).collect()

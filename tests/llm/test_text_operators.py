@@ -486,6 +486,10 @@ def test_gradients_are_right():
         (" ".join(licenses.TEMPLATES[n] for n in ("BSD-3-Clause", "CC-BY-4.0", "CC0-1.0", "ISC", "MIT", "Apache-2.0")), ["Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "CC0-1.0", "ISC", "MIT"]),
         (licenses.TEMPLATES["GPL-3.0"] + " " + licenses.TEMPLATES["LGPL-3.0"], ["GPL-3.0", "LGPL-3.0"]),
         ('Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n"Software"), to deal in the Software without restriction, including', ["MIT"]),
+        ("// SPDX-License-Identifier: Apache-2.0\nint x;", ["Apache-2.0"]), ("# SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]), ("see SPDX-License-Identifier lines", []),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. x", ["BSD-2-Clause"]),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\nNeither the name of the copyright holder nor the names of its contributors\nmay be used to endorse or promote products derived from this software", ["BSD-3-Clause"]),
+        ("Creative Commons Attribution-ShareAlike 4.0 International Public License\n\nBy exercising", ["CC-BY-SA-4.0"]), ("Mozilla Public License Version 2.0\n====", ["MPL-2.0"]),
         ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright", ["GPL-3.0"]),
     ],
 )
@@ -493,6 +497,46 @@ def test_licences_in_paragraphs_lists_and_full_texts(text, names):
     assert [n for n, _, _ in licenses.scan_text(text)] == names
 
 
+def plain_scan(text):
+    """Every template on every line and paragraph and, in long ones, on every run of words as long as a window."""
+    names = set()
+    for paragraph in re.split(r"\n[ \t]*\n", text):
+        for block in [paragraph.replace("\n", " "), *paragraph.split("\n")]:
+            tokens = [w for w in block.split() if licenses.WORD.search(w)]
+            runs = [" ".join(tokens[k : k + licenses.WINDOW]) for k in range(0, max(1, len(tokens) - licenses.WINDOW // 2), licenses.WINDOW // 2)] if len(tokens) > licenses.WINDOW else [block]
+            for run in runs:
+                for name, (licence, template) in licenses.ALL.items():
+                    if licenses.wording(name, licenses.words(run)) is not None:
+                        names.add((licence, name, template))
+    return names
+
+
+def test_licences_equal_every_template_on_every_block(spark, data):
+    texts = [r[0] for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect() if r[0]]
+    turn = random.Random(8)
+    notices = list(licenses.TEMPLATES.values())
+    texts += [" ".join(turn.choice(["word", "and", "\n", "\n\n", turn.choice(notices)]) for _ in range(60)) for _ in range(40)]
+    some = 0
+    for text in texts:
+        found, want = {n for n, _, _ in licenses.scan_text(text)}, plain_scan(text)
+        assert found <= {n for n, _, _ in want}
+        # a shorter notice inside a longer one says nothing more
+        whole = {licence for licence, name, template in want if not any(set(licenses.words(template)) < set(licenses.words(o)) for _, other, o in want if other != name)}
+        assert whole - {"BSD-2-Clause"} <= found, text[:300]
+        some += bool(found)
+    assert some > 30 and licenses.scan(frame(spark, [])).count() == 0
+
+
+def test_tables_close_within_an_item(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "TABLE_WINDOWS", 10)
+    words = [f"w{k}" for k in range(100)]
+    benchmark = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(words[50:]))], "item_id long, text string")
+    tables = list(decontaminate.read_items(benchmark))
+    assert max(map(len, tables)) == 10 and {w for t in tables for w in t} == set(decontaminate.windows(decontaminate.words(" ".join(words).encode())))
+    found = by_id(decontaminate.digests(decontaminate.find_overlaps(frame(spark, [" ".join(words[20:45]), "w1 w2"]), benchmark)))
+    assert (found[0]["n_hit"], found[0]["n_items"], found[1]["n_hit"]) == (25, 2, 0)
+
+
 def test_words_of_items_without_an_id_are_hits(spark):
     text = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, text), (2, "something else")], "doc_id long, text string")
