@@ -7,7 +7,7 @@ both ends fit, nothing outside the window can change: the join is proven and not
 encode to itself, which ``self_encoding`` checks. Joining is associative, so whole texts are joined from pieces, and
 pieces from halves, in any grouping; decoding concatenates bytes up the same tree.
 
-Edge cases: null and empty texts have no tokens; texts of any length are read in blocks, so that memory stays bounded;
+Edge cases: null and empty texts have no tokens; texts of any length are read in blocks, so that what a worker holds stays bounded;
 rows that repeat give rows that repeat; an empty table gives no rows.
 """
 
@@ -29,7 +29,7 @@ from .common import column_type, give_back, sliced
 LEAF_BYTES = 48
 #: Characters of a text that are split at a time.
 BLOCK_CHARS = 1 << 20
-#: Encoded pieces that a Python worker remembers; a full memory is emptied.
+#: Encoded pieces that a Python worker remembers; beyond that all are dropped.
 CACHE_PIECES = 300_000
 #: The rank of two neighbours that no merge joins.
 NEVER = 1 << 62
@@ -169,8 +169,8 @@ def encode_documents(docs: DataFrame, path: str, split: str, key: str = "doc_id"
             out = [digest(value.as_py() or "", path, split) for value in batch.column(1)]
             n, ids, decoded = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-        for memory in worker(path, split)[2:]:  # the worker's next task may be of another kind
-            memory.clear()
+        for known in worker(path, split)[2:]:  # the worker's next task may be of another kind
+            known.clear()
         give_back()
 
     return docs.select(key, text).mapInArrow(run, schema)

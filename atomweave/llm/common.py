@@ -3,30 +3,39 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import remove, shared_folder
+
 #: Largest side, in rows, that is sent to every executor; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-        shared_dir.own = found
-    return found.rstrip("/")
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder in the shared one for all that is cut inside; it is removed at the end, when what was made of it is written."""
+    path = f"{shared_folder(spark)}/atomweave/scratch-{uuid.uuid4().hex}"
+    token = _folder.set(path)
+    try:
+        yield path
+    finally:
+        _folder.reset(token)
+        remove(spark, path)
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that what is made of one at a time stays small. Memory that Arrow or the C library keep
-    is given back, as a worker lives on for later tasks of other kinds."""
+    """The batches in slices, so that what is made of one at a time stays small. Pages that Arrow or the C library keep
+    are given back, as a worker lives on for later tasks of other kinds."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
@@ -45,7 +54,7 @@ ARROW_ROWS = 1_000
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Lowers the session's Arrow batches to ARROW_ROWS where they are larger, to bound the memory of both sides."""
+    """Lowers the session's Arrow batches to ARROW_ROWS where they are larger, to bound the space of both sides."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
         spark.conf.set(name, ARROW_ROWS)
@@ -55,7 +64,7 @@ def small_batches(spark: SparkSession) -> SparkSession:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` into the shared folder and reads it again: a lost executor then costs no recomputation of what came before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/atomweave/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder.get() or shared_folder(spark) + '/atomweave'}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, htmltext, licenses, secrets, setjoin, sharding, tokencount, topk, toxicity
-from .common import cut, shared_dir, sized, small_batches
+from .common import cut, scratch, sized, small_batches
 
 N_SHARDS = 24
 BYTE_BPE, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -21,9 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    path = f"{shared_dir(spark)}/atomweave/slot_map-{sharding.uuid.uuid4().hex}"
-    sharding.build_map(docs, N_SHARDS).save(spark, path)
-    placed = sharding.assign(docs, sharding.SlotMap.load(spark, path))
+    with scratch(spark) as folder:
+        sharding.build_map(docs, N_SHARDS).save(spark, f"{folder}/slot_map")
+        slots = sharding.SlotMap.load(spark, f"{folder}/slot_map")  # in the driver, a row for each virtual slot
+    placed = sharding.assign(docs, slots)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 

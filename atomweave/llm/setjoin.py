@@ -312,7 +312,7 @@ def candidates(grouped: DataFrame, n_groups: int, partners: int = 0) -> DataFram
     def meet(table: pa.Table) -> pa.Table:
         """A group's pairs, packed by the part of the sums that they go to."""
         slices = []
-        for part in range(SLICES):  # tokens by tokens, so that sorting takes little memory
+        for part in range(SLICES):  # tokens by tokens, so that sorting takes little room
             chosen = [(np.frombuffer(block.as_py(), U64) >> U64(20)) % U64(SLICES) == part for block in table.column("token")]
             columns = [np.concatenate([np.frombuffer(v.as_py(), kind)[c] for v, c in zip(table.column(name), chosen, strict=True)]) for name, kind in ENTRY.items()]
             slices.append(list_pairs(*columns, partners=partners))

@@ -4,14 +4,13 @@ Rows are hashed by their key into thousands of virtual slots. Bytes and rows are
 versioned map says which shard owns each slot. Rebalancing edits the map: only slots that have to move change owner.
 What reaches the driver is one row for each virtual slot, a number fixed by a parameter and not by the data.
 
-Edge cases: a null text counts no bytes; a null key is replaced by the checksum of the text; equal keys share a slot;
-an empty table gives a map in which slots are dealt evenly, and no rows.
+Edge cases: a null text counts no bytes; a null key is replaced by the checksum of the text; equal keys share a slot, and
+a slot isn't divided, so shards are as even as the largest slot allows (ids that don't repeat spread well); an empty table gives a map in which slots are dealt evenly, and no rows.
 """
 
 from __future__ import annotations
 
 import heapq
-import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
