@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from atomweave.llm import registry
-from atomweave.llm.common import shared_dir
+from atomweave.llm.common import scratch
+from atomweave.session import remove, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -19,10 +20,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; what each keeps is written to the shared folder as Parquet and read by the next."""
-    path = f"{shared_dir(spark)}/atomweave/pipeline-{uuid.uuid4().hex}"
+    """Applies the stages to ``documents``; what each keeps is written to the shared folder as Parquet and read by the next.
+    What a stage wrote on its way, and its predecessor's rows, are removed once its own rows are written."""
+    path = f"{shared_folder(spark)}/atomweave/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}-{name}")
-        docs = spark.read.parquet(f"{path}/{k}-{name}")
+        here = f"{path}/{k}-{name}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before:
+            remove(spark, before)
+        before = here
     return docs
