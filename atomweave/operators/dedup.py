@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import LESSON
+from ..session import shared_folder
 
 PASS_RANK = {"sha256": 0, "lesson-key": 1, "similarity": 2}
 
@@ -14,10 +15,10 @@ PASS_RANK = {"sha256": 0, "lesson-key": 1, "similarity": 2}
 def keyed_pairs(docs: DataFrame, key: str, source: str) -> DataFrame:
     """(keeper_id, loser_id, source_pass): in each group of a key the newest is kept; of equals the smaller id as text.
 
-    The keeper is an aggregate with partial sums on the map side, joined back on the key, so that a hot key is one small
+    The keeper is one aggregate with partial results on the map side, joined back on the key, so that a hot key is one small
     row and not a sorted group; groups of one are gone before the join."""
-    newest_ms = docs.groupBy(key).agg(F.max("created_at_ms").alias("created_at_ms"), F.count("*").alias("members")).where("members > 1")
-    keepers = docs.select(key, "doc_id", "created_at_ms").join(newest_ms.drop("members"), [key, "created_at_ms"]).groupBy(key).agg(F.min("doc_id").alias("keeper_id"))
+    first = F.min(F.struct((-F.col("created_at_ms")).alias("age"), "doc_id"))
+    keepers = docs.groupBy(key).agg(first.alias("first"), F.count("*").alias("members")).where("members > 1").select(key, F.col("first.doc_id").alias("keeper_id"))
     return docs.select(key, F.col("doc_id").alias("loser_id")).join(keepers, key).where("loser_id <> keeper_id").select("keeper_id", "loser_id", F.lit(source).alias("source_pass"))
 
 
@@ -52,9 +53,7 @@ def ultimate_keepers(pairs: DataFrame) -> DataFrame:
     checkpoint folder each turn, so that plans stay short and a lost executor costs one turn."""
     spark = pairs.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     now = pairs.select("loser_id", "keeper_id", "source_pass").checkpoint()
     while True:
         ahead = now.select(F.col("loser_id").alias("keeper_id"), F.col("keeper_id").alias("next"))
@@ -64,12 +63,16 @@ def ultimate_keepers(pairs: DataFrame) -> DataFrame:
             return now
 
 
-def similarity_pairs(edges: DataFrame, leaves: DataFrame, least: float) -> DataFrame:
-    """Pairs (keeper_id, loser_id, source_pass, score) of edges (a, b, score) that reach the score, each once."""
-    side = lambda x: leaves.select(F.col("doc_id").alias(x), F.col("created_at_ms").alias(f"ms_{x}"))
+def similarity_pairs(edges: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(keeper_id, loser_id, source_pass, score): each edge (a, b, score) between class representatives that reaches the score,
+    once, and each other member of a class with its representative, which is the newest."""
+    reps = classes.where("doc_id = rep")
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("created_at_ms").alias(f"ms_{x}"))
     both = edges.where(F.col("score") >= least).join(side("a"), "a").join(side("b"), "b")
     a_kept = (F.col("ms_a") > F.col("ms_b")) | ((F.col("ms_a") == F.col("ms_b")) & (F.col("a") < F.col("b")))
-    return both.select(F.when(a_kept, F.col("a")).otherwise(F.col("b")).alias("keeper_id"), F.when(a_kept, F.col("b")).otherwise(F.col("a")).alias("loser_id"), F.lit("similarity").alias("source_pass"), "score")
+    across = both.select(F.when(a_kept, F.col("a")).otherwise(F.col("b")).alias("keeper_id"), F.when(a_kept, F.col("b")).otherwise(F.col("a")).alias("loser_id"), "score")
+    within = classes.where("doc_id <> rep").select(F.col("rep").alias("keeper_id"), F.col("doc_id").alias("loser_id"), F.lit(1.0).alias("score"))
+    return across.unionByName(within).select("keeper_id", "loser_id", F.lit("similarity").alias("source_pass"), "score")
 
 
 def deterministic(pairs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def stale_documents(leaves: DataFrame, now: int, months: float, types: tuple[str
     """Documents of eligible types without activity for more than so many months; enabled ones alone unless told otherwise."""
     last = D.last_activity(F.col("last_recalled_at"), F.col("created_at_ms"))
     found = (leaves.where(F.coalesce("enabled", F.lit(True))) if active else leaves).withColumn("last_ms", last)
-    return found.where(D.stale(F.col("atom_type"), F.col("last_ms"), now, months, types)).select("doc_id", "atom_type", "last_ms")
+    return found.where(D.stale(F.col("atom_type"), F.col("last_ms"), now, months, types)).select("doc_id", "slot", "atom_type", "last_ms")
 
 
 def stale_changes(leaves: DataFrame, now: int, months: float, types: tuple[str, ...]) -> DataFrame:
@@ -37,7 +37,7 @@ def compressible(leaves: DataFrame, now: int, most: int, days: int) -> DataFrame
     old = (~F.coalesce("enabled", F.lit(True))) & F.col("body").isNotNull() & (F.length("body") > most) & (F.col("created_at_ms") != 0) & (F.lit(now) - F.col("created_at_ms") > days * DAY_MS)
     cut = X.truncated(F.col("body"), most, TRUNCATED)
     freed = F.greatest(F.lit(0), F.octet_length("body") - F.octet_length(cut)).cast("long")
-    return leaves.where(old).select("doc_id", F.length("body").cast("long").alias("n_chars"), cut.alias("truncated"), freed.alias("freed_bytes"))
+    return leaves.where(old).select("doc_id", "slot", F.length("body").cast("long").alias("n_chars"), cut.alias("truncated"), freed.alias("freed_bytes"))
 
 
 def classify_daily(days: DataFrame, promoted: DataFrame, today: str, active: int) -> DataFrame:

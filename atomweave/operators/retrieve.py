@@ -1,12 +1,17 @@
 """Scored retrieval: keyword, vector and hybrid scores, best rows for each query, the broadening ladder, and clusters.
 
-Filters are predicates on columns and act before any score. Best rows for each query are ranked windows, which Spark
-limits on the map side first."""
+Filters are predicates on columns and act before any score. Documents and queries meet in groups of bounded size, which
+score each other as matrices and hand on the best rows of each query alone; the best of all are ranked windows, which
+Spark limits on the map side first."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +19,8 @@ from ..schema import KEYWORD_WEIGHT, VECTOR_WEIGHT
 
 #: Scores are rounded so that ties, and their order by id, don't hang on the last bits of a sum.
 DIGITS = 6
-#: Blocks of queries and parts of vectors that meet each other.
-BLOCKS, PARTS = 8, 64
+#: Documents and queries of a group, at most about.
+PART_ROWS, BLOCK_ROWS = 4_096, 256
 
 
 def words(text: Column) -> Column:
@@ -26,54 +31,115 @@ def clipped(score: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
-
-
 def best(scored: DataFrame, keys: list[str], k: int, score: str = "score", tie: str = "doc_id") -> DataFrame:
     """The k best of each group of keys, with their rank; null scores come last, ties by id."""
     order = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), tie)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def keyword_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, keyword): TF-IDF cosine of (doc_id, body) with (query_id, query), for pairs that share a word.
+def with_terms(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, …) and ``queries`` (query_id, …) with (terms, weights, norm) by TF-IDF over (doc_id, body) and
+    (query_id, query).
 
-    Queries choose the words: only postings of words that some query has are joined, whatever the corpus. Norms need all
-    words of a document, and come from one pass over term counts."""
+    Norms need all words of a document; of the words themselves only those that some query has are gathered."""
     terms = docs.select("doc_id", F.explode(words(F.col("body"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     n = docs.agg(F.count("*").cast("double").alias("n"))
-    idf = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # n is one row
-    weighted = terms.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    asked = asked.join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("qw"))
-    query_norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("query_norm"))
-    met = weighted.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = met.join(norms, "doc_id").join(query_norms, "query_id")
-    return scored.select("query_id", "doc_id", F.round(clipped(F.col("dot") / (F.col("norm") * F.col("query_norm"))), DIGITS).alias("keyword"))
-
-
-def vector_scores(vectors: DataFrame, queries: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """(query_id, doc_id, vector) of (doc_id, embedding) and a stated set of queries (query_id, query_vector).
-
-    Each vector meets each query: queries are gathered in blocks, and each block is sent to every part of the vectors, so
-    that blocks times parts groups of like size meet by a key. With ``on``, only rows that are equal there meet."""
-    if on:
-        met = vectors.join(queries, on)
-    else:
-        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-        blocks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(BLOCKS)).alias("block")).agg(F.collect_list(F.struct("query_id", "query_vector")).alias("asked")).withColumn("part", numbers(PARTS))
-        parted = vectors.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).withColumn("block", numbers(BLOCKS))
-        met = parted.join(blocks, ["block", "part"]).withColumn("q", F.explode("asked")).select("*", "q.query_id", "q.query_vector")
-    return met.withColumn("vector", F.round(clipped(cosine(F.col("embedding"), F.col("query_vector"))), DIGITS))
-
-
-def hybrid(vector: Column, keyword: Column) -> Column:
+    idf = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # n is one row
+    idf = idf.join(asked.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left")
+    listed = F.collect_list(F.when(F.col("asked"), F.struct("term", "w")))
+    weighted = lambda of, key: of.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")).groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), listed.alias("t")).select(key, F.col("t.term").alias("terms"), F.col("t.w").alias("weights"), "norm")
+    return docs.drop("body").join(weighted(terms, "doc_id"), "doc_id", "left"), queries.drop("query").join(weighted(asked, "query_id"), "query_id", "left")
+
+
+def stacked(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one as rows, noughts where there is none or it has no length, and which there are."""
+    known = vectors.notna().to_numpy()
+    width = max((len(v) for v in vectors[known]), default=0)
+    out = np.zeros((len(vectors), width))
+    for row, v in zip(out, vectors, strict=True):
+        if v is not None:
+            row[: len(v)] = v
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0), known
+
+
+def cosines(docs: pd.DataFrame, asked: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of vectors, a row for each query, and which pairs have both."""
+    (d, has_d), (q, has_q) = stacked(docs["embedding"]), stacked(asked["query_vector"])
+    width = min(d.shape[1], q.shape[1])
+    return np.round(np.clip(q[:, :width] @ d[:, :width].T, 0, 1), DIGITS), has_q[:, None] & has_d
+
+
+def overlaps(docs: pd.DataFrame, asked: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of words, a row for each query, and which pairs share a word."""
+    number: dict[str, int] = {}
+    for terms in asked["terms"]:
+        for term in terms if terms is not None else ():
+            number.setdefault(term, len(number))
+    q = np.zeros((len(asked), len(number)))
+    for row, terms, weights, norm in zip(q, asked["terms"], asked["weights"], asked["norm"], strict=True):
+        if terms is not None and len(terms):
+            row[[number[t] for t in terms]] = np.asarray(weights, float) / norm
+    score, shared = np.zeros((len(asked), len(docs))), np.zeros((len(asked), len(docs)), bool)
+    for k, (terms, weights, norm) in enumerate(zip(docs["terms"], docs["weights"], docs["norm"], strict=True)):
+        at = [(number[t], w) for t, w in zip(terms, weights, strict=True) if t in number] if terms is not None else []
+        if at:
+            some = q[:, [a for a, _ in at]]
+            score[:, k] = some @ (np.array([w for _, w in at]) / norm)
+            shared[:, k] = (some > 0).any(axis=1)
+    return np.round(np.clip(score, 0, 1), DIGITS), shared
+
+
+def hybrid(vector: np.ndarray, keyword: np.ndarray) -> np.ndarray:
     # parts of six digits by weights of one give seven
-    return F.round(VECTOR_WEIGHT * F.coalesce(vector, F.lit(0.0)) + KEYWORD_WEIGHT * F.coalesce(keyword, F.lit(0.0)), DIGITS + 1)
+    return np.round(VECTOR_WEIGHT * vector + KEYWORD_WEIGHT * keyword, DIGITS + 1)
+
+
+def scores(docs: DataFrame, queries: DataFrame, k: int, kind: str, keys: tuple[str, ...] = (), within: tuple[str, ...] = (), own: bool = True) -> DataFrame:
+    """(query_id, doc_id, within, score): the best ``k`` of each query among documents of each group of ``within``, or a few
+    more; ``kind`` is vector (embedding and query_vector), keyword (terms, weights, norm) or hybrid (both).
+
+    Only rows that are equal in ``keys`` meet, and unless ``own`` not those of one id. Rows of a key are cut in parts, and its
+    queries in blocks, by their number, so that each part and block meet in a group of bounded size; a group hands on its
+    best rows alone. Documents without a shared word or a vector on both sides are no candidates; a hybrid score takes
+    what is missing as 0."""
+    d_type, q_type = docs.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    per_key = lambda df, name, most: df.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("long").alias(name))
+    numbers = per_key(docs, "parts", PART_ROWS).join(per_key(queries, "blocks", BLOCK_ROWS), list(keys)) if keys else per_key(docs, "parts", PART_ROWS).join(F.broadcast(per_key(queries, "blocks", BLOCK_ROWS)))  # one row each
+    dealt = lambda df: df.join(numbers, list(keys)) if keys else df.join(F.broadcast(numbers))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = dealt(docs).where("blocks > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).withColumn("block", spread("blocks")).drop("parts", "blocks")
+    right = dealt(queries).where("parts > 0").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks")).withColumn("part", spread("parts")).drop("parts", "blocks")
+    group = [*keys, "part", "block"]
+
+    def meet(some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "doc_id", *within, "score"]
+        if not len(some) or not len(asked):
+            return pd.DataFrame({n: [] for n in names})
+        some = some.sort_values("doc_id").reset_index(drop=True)
+        if kind == "vector":
+            score, there = cosines(some, asked)
+        elif kind == "keyword":
+            score, there = overlaps(some, asked)
+        else:
+            (v, has_v), (w, has_w) = cosines(some, asked), overlaps(some, asked)
+            score, there = hybrid(v * has_v, w * has_w), has_v | has_w
+        ids = some["doc_id"].to_numpy()
+        slots = some.groupby(list(within), dropna=False).indices.values() if within else [np.arange(len(some))]
+        out = []
+        for row, query_id in enumerate(asked["query_id"]):
+            good = there[row] if own else there[row] & (ids.astype(str) != str(query_id))
+            for members in slots:
+                at = members[good[members]]
+                at = at[np.argsort(-score[row, at], kind="stable")[:k]]  # ids are in order, so ties go by id
+                out.append(some.loc[at, ["doc_id", *within]].assign(query_id=query_id, score=score[row, at]))
+        return pd.concat(out)[names]
+
+    kinds = ", ".join([f"query_id {q_type}", f"doc_id {d_type}", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in within), "score double"])
+    # both sides may come from one table: columns get identities of their own
+    anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
+    return anew(left).groupBy(*group).cogroup(anew(right).groupBy(*group)).applyInPandas(meet, kinds)
 
 
 def search(scored: DataFrame, limit: int, threshold: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -124,8 +190,6 @@ def cross_references(scored: DataFrame, types: tuple[str, ...], module: str, thr
     return best(met, [*keys, "atom_type"], 1).select(*keys, "atom_type", "doc_id", "score")
 
 
-#: The registered SQL alone still takes candidates from words so rare; ``likeness`` has no such cap.
-RARE = 20
 #: Rows of a list that meet in one group, at most about; longer lists are dealt out in pairs of blocks.
 LIST = 500
 
@@ -144,37 +208,84 @@ def meetings(rows: DataFrame, keys: list[str], id_: str, count: str, kept: list[
     return met.drop("lo", "hi", "a_own", "b_own")
 
 
-def likeness(leaves: DataFrame, chars: int, least: float) -> DataFrame:
-    """(slot, a, b, score) with a < b: Jaccard likeness of the words in the first ``chars`` characters, for all pairs of
-    documents of one slot that reach ``least``. A text without words is like nothing.
+#: Frequency is estimated from one in so many classes; a word seen HOT_COUNT times there comes late in the order. At most
+#: HOT_WORDS of these are told to the tasks, which bounds a broadcast and changes the cost alone.
+SAMPLE, HOT_COUNT, HOT_WORDS = 16, 2, 200_000
+
+
+def classed(leaves: DataFrame) -> DataFrame:
+    """(slot, doc_id, created_at_ms, rep, members, tokens): documents with the class of their set of words, in one slot. The
+    newest of a class, then the smallest id, stands for it. Texts without words are in none."""
+    sets = leaves.select("slot", "doc_id", "created_at_ms", F.array_sort(F.array_distinct(words(F.col("body")))).alias("words")).where(F.size("words") > 0)
+    sets = sets.select("slot", "doc_id", "created_at_ms", F.md5(F.array_join("words", " ")).alias("set"), F.transform("words", lambda w: F.xxhash64(w)).alias("tokens"))
+    first = F.min(F.struct((-F.col("created_at_ms")).alias("age"), "doc_id"))
+    reps = sets.groupBy("slot", "set").agg(first.alias("first"), F.count("*").alias("members")).select("slot", "set", F.col("first.doc_id").alias("rep"), "members")
+    return sets.join(reps, ["slot", "set"]).select("slot", "doc_id", "created_at_ms", "rep", "members", "tokens")
 
-    Documents with equal words form a class, and representatives are joined by prefix filtering: with words in one order,
-    rare ones first, two sets that reach the score share one of their first ``n - ceil(least n) + 1`` words. They meet
-    at the first word that they share, if their sizes and what is left behind that word can still reach the score."""
+
+def frequent_words(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words, as sorted hashes, that are frequent in a sample of sets, and how often they were seen."""
+    some = reps.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLE)) == 0).select(F.explode("tokens").alias("token"))
+    top = some.groupBy("token").count().where(F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "token").limit(HOT_WORDS).toArrow()
+    token, count = top.column("token").to_numpy(), top.column("count").to_numpy()
+    order = np.argsort(token)
+    return token[order], count[order]
+
+
+def prefixes(reps: DataFrame, least: float, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(slot, rep, n, prefix): the first ``n - ceil(least n) + 1`` words of each set, rare ones by hash, then by frequency."""
+    tokens, counts = hot
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, out = [], []
+            for value in batch.column("tokens"):
+                s = value.values.to_numpy()
+                seen = np.zeros(len(s), np.int64)
+                if len(tokens):
+                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                    seen = np.where(tokens[at] == s, counts[at], 0)
+                n.append(len(s))
+                out.append(s[np.lexsort((s, seen))][: len(s) - int(np.ceil(len(s) * least)) + 1])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in out])], pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *out])))
+            yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("rep"), pa.array(n, pa.int32()), lists], names=["slot", "rep", "n", "prefix"])
+
+    return reps.select("slot", "rep", "tokens").mapInArrow(run, "slot string, rep string, n int, prefix array<long>")
+
+
+def likeness(classes: DataFrame, least: float) -> DataFrame:
+    """(slot, a, b, score) with a < b: Jaccard likeness of the words of whole bodies, for all pairs of class representatives
+    of one slot that reach ``least``. Members of a class are as like others as their representative is.
+
+    Candidates come from prefix filtering: with words in one order, rare ones first, two sets that reach the score share
+    one of their first ``n - ceil(least n) + 1`` words. They meet at such a word if their sizes, and what is left behind it,
+    can still reach the score; the sets themselves are joined to the pairs that are left."""
     t = least - 10.0**-DIGITS  # rounding may lift a score to the threshold
-    sets = leaves.select("slot", "doc_id", F.array_sort(F.array_distinct(words(F.substring("body", 1, chars)))).alias("words")).where(F.size("words") > 0)
-    classes = sets.groupBy("slot", "words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
-    terms = classes.select("slot", "rep", F.explode("words").alias("term"))
-    counted = terms.join(terms.groupBy("slot", "term").agg(F.count("*").alias("df")), ["slot", "term"])
-    ordered = counted.groupBy("slot", "rep").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("w")).withColumn("n", F.size("w"))
-    prefix = F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * t).cast("int") + 1)
-    posted = ordered.select("slot", "rep", "n", F.col("w.term").alias("words"), F.posexplode(prefix).alias("at", "e")).select("slot", F.col("e.term").alias("term"), F.col("e.df").alias("df"), "rep", "n", "at", "words")
+    reps = classes.where("doc_id = rep").select("slot", "rep", "tokens")
+    posted = prefixes(reps, t, frequent_words(reps)).select("slot", "rep", "n", F.posexplode("prefix").alias("at", "token"))
+    several = posted.groupBy("slot", "token").agg(F.count("*").alias("df")).where("df > 1")
     reach = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= (F.col("a_n") + F.col("b_n")) * (t / (1 + t))
     sizes = (F.col("a_n") >= F.col("b_n") * t) & (F.col("b_n") >= F.col("a_n") * t)
-    met = meetings(posted.where("df > 1"), ["slot", "term"], "rep", "df", ["n", "at", "words"], sizes & reach)
-    shared = met.withColumn("both", F.array_intersect("a_words", "b_words")).where(F.element_at("both", 1) == F.col("term"))
-    score = F.round(F.size("both") / (F.col("a_n") + F.col("b_n") - F.size("both")), DIGITS)
-    linked = shared.select("slot", F.col("a_rep").alias("rep"), F.col("b_rep").alias("rep_b"), score.alias("score")).where(F.col("score") >= least)
-    # classes back to documents: across linked classes, and within each
-    of_class = sets.join(classes, ["slot", "words"]).select("slot", "rep", "doc_id", "members")
-    across = linked.join(of_class.select("slot", "rep", F.col("doc_id").alias("x")), ["slot", "rep"]).join(of_class.select("slot", F.col("rep").alias("rep_b"), F.col("doc_id").alias("y")), ["slot", "rep_b"])
-    across = across.select("slot", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
-    within = meetings(of_class.where("members > 1"), ["slot", "rep"], "doc_id", "members", []).select("slot", F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"), F.lit(1.0).alias("score"))
-    return across.unionByName(within)
-
-
-def clusters(edges: DataFrame, k: int, least: float) -> DataFrame:
-    """(doc_id, rank, other, score): the k most like of each document."""
+    met = meetings(posted.join(several, ["slot", "token"]), ["slot", "token"], "rep", "df", ["n", "at"], sizes & reach)
+    pairs = met.select("slot", F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
+    of = lambda x: reps.select(F.col("rep").alias(x), F.col("tokens").alias(f"tokens_{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    score = F.round(F.col("common") / (F.size("tokens_a") + F.size("tokens_b") - F.col("common")), DIGITS)
+    return both.select("slot", "a", "b", score.alias("score")).where(F.col("score") >= least)
+
+
+def clusters(edges: DataFrame, classes: DataFrame, k: int, least: float) -> DataFrame:
+    """(doc_id, rank, other, score): the k most like of each document, from edges between class representatives.
+
+    The k best of a document lie in the first k + 1 classes by likeness and smallest id, its own included, and there among
+    the first k + 1 ids: so many of each are joined, however large classes are."""
     good = edges.where(F.col("score") >= least)
-    both = good.select(F.col("a").alias("doc_id"), F.col("b").alias("other"), "score").union(good.select("b", "a", "score"))
-    return best(both, ["doc_id"], k, tie="other").select("doc_id", "rank", "other", "score")
+    both = good.select(F.col("a").alias("rep"), F.col("b").alias("near"), "score").union(good.select("b", "a", "score"))
+    members = classes.select("rep", "doc_id")
+    both = both.union(classes.where("members > 1 and doc_id = rep").select("rep", F.col("rep").alias("near"), F.lit(1.0).alias("score")))
+    smallest = members.groupBy("rep").agg(F.min("doc_id").alias("smallest"))
+    chosen = best(both.join(smallest.withColumnRenamed("rep", "near"), "near"), ["rep"], k + 1, tie="smallest").select("rep", "near", "score")
+    first = members.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("doc_id"))).where(F.col("nth") <= k + 1).select(F.col("rep").alias("near"), F.col("doc_id").alias("other"))
+    others = best(chosen.join(first, "near"), ["rep"], k + 1, tie="other").select("rep", "other", "score")  # one of them may be the document itself
+    found = members.join(others, "rep").where("doc_id <> other")
+    return best(found, ["doc_id"], k, tie="other").select("doc_id", "rank", "other", "score")

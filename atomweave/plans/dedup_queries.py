@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, dedup, lifecycle, retrieve, store
 from ..operators.leaf import leaves, resolved_policies, slots
-from ..schema import ARCHIVE_DAYS, BODY_CHARS, CLUSTER_QUERY_CHARS, CLUSTER_RESULTS, CLUSTER_SCORE, LORE_DAYS, MERGE_SCORE, METADATA_FIELDS, STALE_MONTHS
+from ..schema import ARCHIVE_DAYS, BODY_CHARS, CLUSTER_RESULTS, CLUSTER_SCORE, LORE_DAYS, MERGE_SCORE, METADATA_FIELDS, STALE_MONTHS
 from .base import LEAF, NOW, query
 
 SHA = """sha AS (
@@ -18,17 +18,15 @@ SHA = """sha AS (
 KEYED = """keyed AS (
   SELECT first_value(doc_id) OVER w AS keeper_id, doc_id AS loser_id, 'lesson-key' AS source_pass FROM leaf WHERE atom_type = 'self-improvement-lesson' AND enabled AND error_pattern IS NOT NULL
   WINDOW w AS (PARTITION BY lower(project_module || '|' || task_type || '|' || error_pattern) ORDER BY created_at_ms DESC, doc_id))"""
-LIKE = f"""sets AS (SELECT slot, doc_id, created_at_ms, list_distinct(regexp_extract_all(lower(left(body, {CLUSTER_QUERY_CHARS})), '[a-z0-9]+')) AS w FROM leaf),
-terms AS (SELECT slot, doc_id, unnest(w) AS term FROM sets),
-uncommon AS (SELECT slot, term FROM terms GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND {retrieve.RARE}),
-listed AS (SELECT t.slot, t.term, t.doc_id FROM terms t JOIN uncommon u ON u.slot = t.slot AND u.term = t.term),
-near AS (SELECT DISTINCT x.slot, x.doc_id AS a, y.doc_id AS b FROM listed x JOIN listed y ON x.slot = y.slot AND x.term = y.term AND x.doc_id < y.doc_id),
-edges AS (
-  SELECT a, b, round(len(list_intersect(p.w, q.w)) / (len(p.w) + len(q.w) - len(list_intersect(p.w, q.w))), 6) AS score, p.created_at_ms AS ms_a, q.created_at_ms AS ms_b
-  FROM near JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b),
+#: Classes of equal sets of words, and all pairs of their representatives that share a word; nothing is left out.
+LIKE = f"""sets AS (SELECT slot, doc_id, created_at_ms, list_sort(list_distinct(regexp_extract_all(lower(body), '[a-z0-9]+'))) AS w FROM leaf),
+classed AS (SELECT slot, doc_id, created_at_ms, w, first_value(doc_id) OVER (PARTITION BY slot, w ORDER BY created_at_ms DESC, doc_id) AS rep FROM sets WHERE len(w) > 0),
+terms AS (SELECT slot, doc_id, unnest(w) AS term FROM classed WHERE doc_id = rep),
+near AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM terms x JOIN terms y ON x.slot = y.slot AND x.term = y.term AND x.doc_id < y.doc_id GROUP BY 1, 2),
+edges AS (SELECT a, b, round(c / (len(p.w) + len(q.w) - c), 6) AS score, p.created_at_ms AS ms_a, q.created_at_ms AS ms_b FROM near JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b),
 alike AS (
   SELECT CASE WHEN ms_a > ms_b OR (ms_a = ms_b AND a < b) THEN a ELSE b END AS keeper_id, CASE WHEN ms_a > ms_b OR (ms_a = ms_b AND a < b) THEN b ELSE a END AS loser_id, 'similarity' AS source_pass, score
-  FROM edges WHERE score >= {MERGE_SCORE})"""
+  FROM edges WHERE score >= {MERGE_SCORE} UNION ALL SELECT rep, doc_id, 'similarity', 1.0 FROM classed WHERE rep <> doc_id)"""
 ALL_PAIRS = f"""{LEAF}, {SHA}, {KEYED}, {LIKE},
 pairs AS (
   SELECT keeper_id, loser_id, source_pass, 0 AS pass_rank FROM sha WHERE keeper_id <> loser_id UNION ALL SELECT keeper_id, loser_id, source_pass, 1 FROM keyed WHERE keeper_id <> loser_id
@@ -36,14 +34,14 @@ pairs AS (
 retained AS (SELECT loser_id, keeper_id, source_pass FROM pairs QUALIFY row_number() OVER (PARTITION BY loser_id ORDER BY pass_rank, CAST(keeper_id AS BIGINT)) = 1)"""
 
 
-def edges(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
-    return retrieve.likeness(leaves(spark, sf_dir), CLUSTER_QUERY_CHARS, least)
+def alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = retrieve.classed(leaves(spark, sf_dir))
+    return dedup.similarity_pairs(retrieve.likeness(classes, MERGE_SCORE), classes, MERGE_SCORE)
 
 
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = leaves(spark, sf_dir)
-    alike = dedup.similarity_pairs(edges(spark, sf_dir, MERGE_SCORE), docs, MERGE_SCORE).drop("score")
-    pairs = reduce(DataFrame.unionByName, [dedup.sha256_pairs(docs), dedup.lesson_key_pairs(docs), alike])
+    pairs = reduce(DataFrame.unionByName, [dedup.sha256_pairs(docs), dedup.lesson_key_pairs(docs), alike(spark, sf_dir).drop("score")])
     return dedup.with_rank(pairs).withColumn("scan_idx", F.col("keeper_id").cast("long"))
 
 
@@ -59,13 +57,15 @@ def lesson_key_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LEAF}, {LIKE} SELECT * FROM alike")
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.similarity_pairs(edges(spark, sf_dir, MERGE_SCORE), leaves(spark, sf_dir), MERGE_SCORE)
+    return alike(spark, sf_dir)
 
 
-@query(f"""WITH {LEAF}, {LIKE}, both_ways AS (SELECT a AS doc_id, b AS other, score FROM edges WHERE score >= {CLUSTER_SCORE} UNION ALL SELECT b, a, score FROM edges WHERE score >= {CLUSTER_SCORE})
-SELECT doc_id, CAST(row_number() OVER w AS INTEGER) AS rank, other, score FROM both_ways WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= {CLUSTER_RESULTS}""")
+@query(f"""WITH {LEAF}, s AS (SELECT slot, doc_id, list_distinct(regexp_extract_all(lower(body), '[a-z0-9]+')) AS w FROM leaf), t AS (SELECT slot, doc_id, len(w) AS n, unnest(w) AS term FROM s),
+met AS (SELECT x.doc_id, y.doc_id AS other, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS score FROM t x JOIN t y ON x.slot = y.slot AND x.term = y.term AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+SELECT doc_id, CAST(row_number() OVER w AS INTEGER) AS rank, other, score FROM met WHERE score >= {CLUSTER_SCORE} WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= {CLUSTER_RESULTS}""")
 def cluster_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.clusters(edges(spark, sf_dir, CLUSTER_SCORE), CLUSTER_RESULTS, CLUSTER_SCORE)
+    classes = retrieve.classed(leaves(spark, sf_dir))
+    return retrieve.clusters(retrieve.likeness(classes, CLUSTER_SCORE), classes, CLUSTER_RESULTS, CLUSTER_SCORE)
 
 
 @query(f"""WITH RECURSIVE {ALL_PAIRS},
@@ -85,7 +85,7 @@ STALE = "('" + "', '".join(lifecycle.STALE_TYPES) + "')"
 
 @query(f"WITH {LEAF} SELECT doc_id, atom_type, created_at_ms AS last_ms FROM leaf WHERE atom_type IN {STALE} AND {NOW} - created_at_ms > {STALE_MONTHS} * 2629800000")
 def stale_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.stale_documents(leaves(spark, sf_dir), NOW, STALE_MONTHS, lifecycle.STALE_TYPES, active=False)
+    return lifecycle.stale_documents(leaves(spark, sf_dir), NOW, STALE_MONTHS, lifecycle.STALE_TYPES, active=False).drop("slot")
 
 
 @query(f"""WITH {LEAF}, c AS (SELECT *, regexp_replace(left(body, {BODY_CHARS - len(lifecycle.TRUNCATED)}), '\\s+$', '') || chr(10) || chr(10) || '[truncated]' AS cut FROM leaf
@@ -101,7 +101,7 @@ def compress_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT slot, count(*) AS n, CAST(sum(greatest(0, strlen(body) - strlen(cut))) AS BIGINT) AS freed_bytes FROM c GROUP BY 1""")
 def freed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = leaves(spark, sf_dir)
-    found = lifecycle.compressible(docs, NOW, BODY_CHARS, ARCHIVE_DAYS).join(docs.select("doc_id", "slot"), "doc_id")
+    found = lifecycle.compressible(docs, NOW, BODY_CHARS, ARCHIVE_DAYS)
     return found.groupBy("slot").agg(F.count("*").alias("n"), F.sum("freed_bytes").alias("freed_bytes"))
 
 

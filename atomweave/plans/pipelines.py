@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import atoms, dedup, lifecycle
 from ..operators.leaf import leaves, slot_of
 from ..schema import ARCHIVE_DAYS, BODY_CHARS, SLOT_POLICIES, STALE_MONTHS
+from ..session import shared_folder
 from ..streaming import streams
 from .base import NOW, ORACLES, TICKS, query
 from .dedup_queries import ALL_PAIRS, STALE, all_pairs
@@ -27,12 +27,11 @@ def consolidated(docs: DataFrame, pairs: DataFrame, now: int) -> dict[str, DataF
     ours = docs.where(F.col("slot").isin(*REFINED))
     mine = ours.select(F.col("doc_id").alias("loser_id"), "slot")
     kept = dedup.deterministic(dedup.retained(pairs)).join(mine, "loser_id")
-    slot = ours.select("doc_id", "slot")
     return {
         "archive": kept.where("deterministic").withColumn("freed_bytes", F.lit(0).cast("long")),
         "flag": kept.where("not deterministic").withColumn("freed_bytes", F.lit(0).cast("long")),
-        "staleness": lifecycle.stale_documents(ours, now, STALE_MONTHS, lifecycle.STALE_TYPES).join(slot, "doc_id").withColumn("freed_bytes", F.lit(0).cast("long")),
-        "compress": lifecycle.compressible(ours, now, BODY_CHARS, ARCHIVE_DAYS).join(slot, "doc_id"),
+        "staleness": lifecycle.stale_documents(ours, now, STALE_MONTHS, lifecycle.STALE_TYPES).withColumn("freed_bytes", F.lit(0).cast("long")),
+        "compress": lifecycle.compressible(ours, now, BODY_CHARS, ARCHIVE_DAYS),
     }
 
 
@@ -75,8 +74,7 @@ def compile_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_stream(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All rows that a stream over the events gives, from what is there now; batches and state go to the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{shared.rstrip('/')}/atomweave/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/atomweave/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # a pattern, as a stream takes a plain path for a folder
     out = transform(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))

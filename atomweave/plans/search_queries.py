@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import leaf, retrieve
@@ -26,7 +26,8 @@ kw AS (SELECT qw.query_id, dw.doc_id, round(greatest(0, least(1, sum(qw.w * dw.w
        FROM qw JOIN dw USING (term) JOIN qn ON qn.query_id = qw.query_id JOIN dn ON dn.doc_id = dw.doc_id GROUP BY 1, 2)"""
 BLEND = f"""{VEC}, {KEYWORD},
 vs AS (SELECT q.vec_id AS query_id, c.doc_id, round({COS.format(a="q.e", b="c.e")}, 6) AS vector FROM v q JOIN benchmark ON item_id = q.vec_id JOIN v c ON c.vec_id IN (SELECT doc_id FROM documents)),
-blend AS (SELECT vs.query_id, vs.doc_id, round(0.7 * vector + 0.3 * coalesce(keyword, 0), 7) AS score FROM vs LEFT JOIN kw ON kw.query_id = vs.query_id AND kw.doc_id = vs.doc_id)"""
+blend AS (SELECT coalesce(vs.query_id, kw.query_id) AS query_id, coalesce(vs.doc_id, kw.doc_id) AS doc_id, round(0.7 * coalesce(vector, 0) + 0.3 * coalesce(keyword, 0), 7) AS score
+          FROM vs FULL JOIN kw ON kw.query_id = vs.query_id AND kw.doc_id = vs.doc_id)"""
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,29 +38,25 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "vec_id", "embedding")
 
 
-def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.keyword_scores(leaves(spark, sf_dir).select("doc_id", "body"), questions(spark, sf_dir))
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaves(spark, sf_dir).select("doc_id", "body")
 
 
-def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id, score) of benchmark items against documents that share a word or have a vector; an item's
-    vector has its number. A pair that lacks one of the scores has 0 for it."""
-    known = vectors(spark, sf_dir)
-    asked = known.join(questions(spark, sf_dir).select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    ours = known.join(leaves(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
-    scored = retrieve.vector_scores(ours, asked).select("query_id", "doc_id", "vector").join(keyword_scores(spark, sf_dir), ["query_id", "doc_id"], "full")
-    return scored.select("query_id", "doc_id", retrieve.hybrid(F.col("vector"), F.col("keyword")).alias("score"))
+def asked_vectors(known: DataFrame) -> DataFrame:
+    """The stated set of queries: the vectors whose number 100 divides."""
+    return known.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-def queried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves with the likeness of their vector to that of each query: the vectors whose number 100 divides."""
+def queried(spark: SparkSession, sf_dir: str, k: int, chosen: Column | None = None, *within: str) -> DataFrame:
+    """Leaves with the likeness of their vector to that of each query, the ``k`` best of each group of ``within``."""
     known = vectors(spark, sf_dir)
-    asked = known.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    scored = retrieve.vector_scores(known, asked).select("query_id", "doc_id", F.col("vector").alias("score"))
-    return leaves(spark, sf_dir).join(scored, "doc_id")
+    docs = leaves(spark, sf_dir).drop("body")
+    docs = (docs if chosen is None else docs.where(chosen)).join(known.select("doc_id", "embedding"), "doc_id")
+    return retrieve.scores(docs.select("doc_id", "embedding", *within), asked_vectors(known), k, "vector", within=within)
 
 
-ONE = f"{LEAF}, {VEC}, one AS (SELECT l.*, round({COS.format(a='q.e', b='v.e')}, 6) AS score FROM leaf l JOIN v ON v.doc_id = l.doc_id, (SELECT e FROM v WHERE vec_id = 6) q)"
+#: Leaves with their likeness to each query.
+EACH = f"{LEAF}, {VEC}, each AS (SELECT q.vec_id AS query_id, l.*, round({COS.format(a='q.e', b='v.e')}, 6) AS score FROM leaf l JOIN v ON v.doc_id = l.doc_id JOIN v q ON q.vec_id % 100 = 0)"
 
 
 @query(f"WITH {LEAF} SELECT doc_id, name FROM leaf WHERE project_module = 'src6' AND language = 'en' AND tags LIKE '%en,src%'")
@@ -76,61 +73,70 @@ def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {KEYWORD} SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, keyword AS score FROM kw
 WINDOW w AS (PARTITION BY query_id ORDER BY keyword DESC, doc_id) QUALIFY row_number() OVER w <= {SEARCH_RESULTS}""")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = keyword_scores(spark, sf_dir).withColumnRenamed("keyword", "score")
-    return retrieve.best(scored, ["query_id"], SEARCH_RESULTS).select("query_id", "rank", "doc_id", "score")
+    docs, asked = retrieve.with_terms(bodies(spark, sf_dir), questions(spark, sf_dir))
+    return retrieve.best(retrieve.scores(docs, asked, SEARCH_RESULTS, "keyword"), ["query_id"], SEARCH_RESULTS).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"""WITH {VEC}, s AS (SELECT q.vec_id AS query_id, c.doc_id, round({COS.format(a="q.e", b="c.e")}, 6) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {SEARCH_RESULTS}""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = vectors(spark, sf_dir)
-    asked = known.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    scored = retrieve.vector_scores(known, asked).where("vec_id <> query_id").select("query_id", "doc_id", F.col("vector").alias("score"))
+    scored = retrieve.scores(known.select("doc_id", "embedding"), asked_vectors(known), SEARCH_RESULTS, "vector", own=False)
     return retrieve.best(scored, ["query_id"], SEARCH_RESULTS).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"""WITH {BLEND} SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM blend
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {SEARCH_RESULTS}""")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.best(blended(spark, sf_dir), ["query_id"], SEARCH_RESULTS).select("query_id", "rank", "doc_id", "score")
+    """Benchmark items against all documents; an item's vector has its number. What lacks one of the scores has 0 for it."""
+    docs, asked = retrieve.with_terms(bodies(spark, sf_dir), questions(spark, sf_dir))
+    known = vectors(spark, sf_dir)
+    docs = docs.join(known.select("doc_id", "embedding"), "doc_id", "left")
+    asked = asked.join(known.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id", "left")
+    return retrieve.best(retrieve.scores(docs, asked, SEARCH_RESULTS, "hybrid"), ["query_id"], SEARCH_RESULTS).select("query_id", "rank", "doc_id", "score")
 
 
-@query(f"""WITH {ONE}, f AS (SELECT * FROM one WHERE score >= {LOW_SCORE} QUALIFY row_number() OVER (PARTITION BY slot ORDER BY score DESC, doc_id) <= {SEARCH_RESULTS})
-SELECT CAST(row_number() OVER w AS INTEGER) AS rank, slot, doc_id, score, (SELECT count(*) FROM f) AS total FROM f WINDOW w AS (ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {SEARCH_RESULTS}""")
+@query(f"""WITH {EACH}, f AS (SELECT * FROM each WHERE score >= {LOW_SCORE} QUALIFY row_number() OVER (PARTITION BY query_id, slot ORDER BY score DESC, doc_id) <= {SEARCH_RESULTS})
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, slot, doc_id, score, count(*) OVER (PARTITION BY query_id) AS total FROM f
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {SEARCH_RESULTS}""")
 def multi_slot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.search(queried(spark, sf_dir), SEARCH_RESULTS, LOW_SCORE, ("query_id",))
+    return retrieve.search(queried(spark, sf_dir, SEARCH_RESULTS, None, "slot"), SEARCH_RESULTS, LOW_SCORE, ("query_id",))
 
 
 LESSON_FILTERS = {"atom_type": LESSON, "project_module": "src6", "error_pattern": "ep-0", "language": "en", "task_type": "planning"}
 _BASE = "atom_type = 'self-improvement-lesson' AND project_module = 'src6'"
 
 
-@query(f"""WITH {ONE}, m AS (
-  SELECT doc_id, score, unnest(list_filter([CASE WHEN {_BASE} AND error_pattern = 'ep-0' AND language = 'en' AND task_type = 'planning' THEN 0 END, CASE WHEN {_BASE} AND language = 'en' AND task_type = 'planning' THEN 1 END,
-    CASE WHEN {_BASE} AND task_type = 'planning' THEN 2 END, CASE WHEN {_BASE} THEN 3 END], lambda x: x IS NOT NULL)) AS rung FROM one WHERE score >= 0.0),
-t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY rung ORDER BY score DESC, doc_id) <= {RECALL_RESULTS}),
-h AS (SELECT doc_id, min(rung) AS rung, any_value(score) AS score FROM t GROUP BY 1),
-c AS (SELECT r.rung, (SELECT count(*) FROM h WHERE h.rung <= r.rung) AS n FROM (SELECT DISTINCT rung FROM h) r),
-l AS (SELECT coalesce(min(rung), 9) AS last FROM c WHERE n >= 3)
-SELECT rung, doc_id, score FROM h, l WHERE rung <= last ORDER BY rung, score DESC, doc_id LIMIT {RECALL_RESULTS}""")
+@query(f"""WITH {EACH}, m AS (
+  SELECT query_id, doc_id, score, unnest(list_filter([CASE WHEN {_BASE} AND error_pattern = 'ep-0' AND language = 'en' AND task_type = 'planning' THEN 0 END, CASE WHEN {_BASE} AND language = 'en' AND task_type = 'planning' THEN 1 END,
+    CASE WHEN {_BASE} AND task_type = 'planning' THEN 2 END, CASE WHEN {_BASE} THEN 3 END], lambda x: x IS NOT NULL)) AS rung FROM each WHERE score >= 0.0),
+t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id, rung ORDER BY score DESC, doc_id) <= {RECALL_RESULTS}),
+h AS (SELECT query_id, doc_id, min(rung) AS rung, any_value(score) AS score FROM t GROUP BY 1, 2),
+c AS (SELECT r.query_id, r.rung, count(*) AS n FROM (SELECT DISTINCT query_id, rung FROM h) r JOIN h ON h.query_id = r.query_id AND h.rung <= r.rung GROUP BY 1, 2),
+l AS (SELECT query_id, coalesce(min(rung) FILTER (n >= 3), 9) AS last FROM c GROUP BY 1)
+SELECT h.query_id, rung, doc_id, score FROM h JOIN l ON l.query_id = h.query_id WHERE rung <= last QUALIFY row_number() OVER (PARTITION BY h.query_id ORDER BY rung, score DESC, doc_id) <= {RECALL_RESULTS}""")
 def recall_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.ladder(queried(spark, sf_dir), LESSON_FILTERS, RECALL_RESULTS, 0.0, ("query_id",))
+    wide = leaf.condition({k: LESSON_FILTERS[k] for k in ("atom_type", "project_module")})
+    # in each group of what the rungs tell apart the best are enough
+    scored = queried(spark, sf_dir, RECALL_RESULTS, wide, "atom_type", "project_module", "error_pattern", "language", "task_type")
+    return retrieve.ladder(scored, LESSON_FILTERS, RECALL_RESULTS, 0.0, ("query_id",))
 
 
-@query(f"""WITH {ONE} SELECT atom_type, doc_id, score FROM one WHERE atom_type IN ('bug-root-cause', 'feedback-rule') AND project_module = 'src1' AND score >= 0.0
-QUALIFY row_number() OVER (PARTITION BY atom_type ORDER BY score DESC, doc_id) = 1""")
+@query(f"""WITH {EACH} SELECT query_id, atom_type, doc_id, score FROM each WHERE atom_type IN ('bug-root-cause', 'feedback-rule') AND project_module = 'src1' AND score >= 0.0
+QUALIFY row_number() OVER (PARTITION BY query_id, atom_type ORDER BY score DESC, doc_id) = 1""")
 def knowledge_xref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.cross_references(queried(spark, sf_dir), CROSS_REFERENCES, "src1", 0.0, ("query_id",))
+    chosen = F.col("atom_type").isin(*CROSS_REFERENCES) & (F.col("project_module") == "src1")
+    return retrieve.cross_references(queried(spark, sf_dir, 1, chosen, "atom_type", "project_module"), CROSS_REFERENCES, "src1", 0.0, ("query_id",))
 
 
 @query(f"""WITH {LEAF}, {VEC}, x AS (SELECT l.*, v.e FROM leaf l JOIN v ON v.doc_id = l.doc_id),
 s AS (SELECT a.doc_id AS atom_id, b.doc_id, round({COS.format(a="a.e", b="b.e")}, 6) AS score FROM x a JOIN x b ON a.atom_type = b.atom_type AND a.project_module = b.project_module AND a.language = b.language AND a.n <> b.n WHERE a.n % 10 = 0)
 SELECT atom_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM s WINDOW w AS (PARTITION BY atom_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {PROMOTION_CANDIDATES}""")
 def promotion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    same = ["atom_type", "project_module", "language"]
+    same = ("atom_type", "project_module", "language")
     known = leaves(spark, sf_dir).select("doc_id", "n", *same).join(vectors(spark, sf_dir).select("doc_id", "embedding"), "doc_id")
-    asked = known.where("n % 10 = 0").select(*same, F.col("doc_id").alias("query_id"), F.col("n").alias("query_n"), F.col("embedding").alias("query_vector"))
-    scored = retrieve.vector_scores(known, asked, same).where("n <> query_n").select(F.col("query_id").alias("atom_id"), "doc_id", F.col("vector").alias("score"))
+    asked = known.where("n % 10 = 0").select(*same, F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    scored = retrieve.scores(known.drop("n"), asked, PROMOTION_CANDIDATES, "vector", keys=same, own=False).withColumnRenamed("query_id", "atom_id")
     return retrieve.best(scored, ["atom_id"], PROMOTION_CANDIDATES).select("atom_id", "rank", "doc_id", "score")
 
 

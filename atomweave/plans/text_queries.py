@@ -94,7 +94,7 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.sha2("clean", 256).alias("text_sha"), (F.col("clean") != F.col("text")).alias("changed"))
 
 
-@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {slug_sql('left(text, 90)')} AS slug FROM documents")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {slug_sql('text')} AS slug FROM documents")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), X.slug(F.col("text")).alias("slug"))
 

@@ -1,5 +1,7 @@
 """Operators on small hand-made tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,8 +49,8 @@ def test_long_chains_are_followed(spark):
 
 def test_similarity_reaches_the_threshold(spark):
     edges = spark.createDataFrame([("q", "a", 0.88), ("q", "b", 0.5)], "a string, b string, score double")
-    found = dedup.similarity_pairs(edges, leaves(spark, {"doc_id": "q", "created_at_ms": NOW + 5}, {"doc_id": "a"}, {"doc_id": "b"}), 0.88)
-    assert pairs(found) == [("q", "a")]
+    classes = retrieve.classed(leaves(spark, {"doc_id": "q", "created_at_ms": NOW + 5, "body": "x"}, {"doc_id": "a", "body": "y"}, {"doc_id": "b", "body": "z"}, {"doc_id": "c", "body": "Z, z"}))
+    assert pairs(dedup.similarity_pairs(edges, classes, 0.88)) == [("b", "c"), ("q", "a")]
 
 
 def test_staleness_is_strict(spark):
@@ -231,66 +233,93 @@ def test_provider_failures_and_reports(spark):
     assert healing.due(None, 5, 1) and healing.due(0, DAY, 1) and not healing.due(1, DAY, 1)
 
 
+def like_pairs(sets, least):
+    return {(a, b, score) for a, v in sets.items() for b, w in sets.items() if a < b and v and w and (score := round(len(v & w) / len(v | w), 6)) >= least}
+
+
+def expanded(spark, docs, least):
+    """All pairs of documents that edges between representatives and memberships stand for."""
+    classes = retrieve.classed(docs)
+    members = {}
+    for r in classes.collect():
+        members.setdefault(r["rep"], []).append(r["doc_id"])
+    edges = [(r["a"], r["b"], r["score"]) for r in retrieve.likeness(classes, least).collect()]
+    assert len(edges) == len(set(edges)) and all(a < b for a, b, _ in edges)
+    out = [(min(x, y), max(x, y), s) for a, b, s in edges for x in members[a] for y in members[b]]
+    return sorted(out + [(x, y, 1.0) for of in members.values() for x in of for y in of if x < y])
+
+
 def test_likeness_finds_pairs_whose_words_are_all_common(spark):
     words = [f"w{k}" for k in range(24)]
     rows = [{"doc_id": str(k), "body": " ".join(words[:k] + words[k + 1 :])} for k in range(24)]  # 24 near copies; each word stands in 23 of them
-    rows += [{"doc_id": f"c{k}", "body": " ".join(reversed(words))} for k in range(30)] + [{"doc_id": "e", "body": "- -"}, {"doc_id": "n"}, {"doc_id": "o", "body": " ".join(words), "slot": "plans"}]
+    rows += [{"doc_id": f"c{k}", "body": " ".join(reversed(words)), "created_at_ms": k} for k in range(30)] + [{"doc_id": "e", "body": "- -"}, {"doc_id": "n"}, {"doc_id": "o", "body": " ".join(words), "slot": "plans"}]
     docs = leaves(spark, *rows)
     sets = {r["doc_id"]: set((r.get("body") or "").split()) - {"-"} for r in rows if r["doc_id"] != "o"}
     for least in (0.5, 0.88, 0.93, 0.958333):
-        want = {(a, b, score) for a, v in sets.items() for b, w in sets.items() if a < b and v and w and (score := round(len(v & w) / len(v | w), 6)) >= least}
-        found = retrieve.likeness(docs, 240, least).collect()
-        assert len(found) == len(want) and {(r["a"], r["b"], r["score"]) for r in found} == want
-
-
-def test_likeness_of_documents_equals_brute_force(spark, data):
+        assert expanded(spark, docs, least) == sorted(like_pairs(sets, least))
+    classes = retrieve.classed(docs)
+    assert {r["rep"] for r in classes.where("doc_id like 'c%'").collect()} == {"c29"}
+    found = retrieve.clusters(retrieve.likeness(classes, 0.5), classes, 12, 0.5).collect()
+    want = {}
+    for a, b, score in like_pairs(sets, 0.5):
+        want.setdefault(a, []).append((-score, b))
+        want.setdefault(b, []).append((-score, a))
+    assert {(r["doc_id"], r["rank"], r["other"]) for r in found} == {(d, k + 1, other) for d, of in want.items() for k, (_, other) in enumerate(sorted(of)[:12])}
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.001", 0.3), ("sf0.01", 0.5), ("sf0.1", 0.88)])
+def test_likeness_of_documents_equals_brute_force(spark, sf, least):
+    """All pairs of a slot that share a word, by DuckDB; nothing is left out."""
     import duckdb
 
     from atomweave.operators.leaf import leaves as stored
 
-    sql = f"""WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 8 WHEN 6 THEN 's' WHEN 7 THEN 'p' ELSE 'k' END AS slot, list_distinct(regexp_extract_all(lower(left(text, 240)), '[a-z0-9]+')) AS w FROM '{data}/documents.parquet')
-    SELECT a.id, b.id, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS score FROM s a JOIN s b ON a.slot = b.slot AND a.id < b.id WHERE len(a.w) > 0 AND len(b.w) > 0 AND score >= 0.5"""
-    found = retrieve.likeness(stored(spark, data), 240, 0.5).collect()
-    assert sorted((r["a"], r["b"], r["score"]) for r in found) == sorted(duckdb.sql(sql).fetchall())
-
+    sql = f"""WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 8 WHEN 6 THEN 's' WHEN 7 THEN 'p' ELSE 'k' END AS slot, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM '/root/testdata/{sf}/documents.parquet'),
+    t AS (SELECT id, slot, len(w) AS n, unnest(w) AS term FROM s), c AS (SELECT slot, term FROM t GROUP BY 1, 2 HAVING count(*) <= 2000),
+    m AS (SELECT a.id AS a, b.id AS b, count(*) AS seen FROM t a JOIN c USING (slot, term) JOIN t b USING (slot, term) WHERE a.id < b.id AND b.n >= a.n * {least} AND a.n >= b.n * {least} GROUP BY 1, 2)
+    SELECT m.a, m.b, round(len(list_intersect(p.w, q.w)) / (len(p.w) + len(q.w) - len(list_intersect(p.w, q.w))), 6) AS score FROM m JOIN s p ON p.id = m.a JOIN s q ON q.id = m.b WHERE score >= {least}"""
+    assert expanded(spark, stored(spark, f"/root/testdata/{sf}"), least) == sorted(duckdb.sql(sql).fetchall())
+
+
+def test_blocks_of_any_size_give_the_same_best(spark, monkeypatch):
+    turn = random.Random(3)
+    docs = spark.createDataFrame([(str(k), [float(turn.randint(-2, 2)) for _ in range(4)] if k % 9 else None, turn.choice("abc")) for k in range(150)], "doc_id string, embedding array<float>, slot string")
+    queries = spark.createDataFrame([(str(k), [float(turn.randint(-2, 2)) for _ in range(4)]) for k in range(20)] + [("none", None)], "query_id string, query_vector array<float>")
+    best = lambda: sorted(map(tuple, retrieve.best(retrieve.scores(docs, queries, 3, "vector", within=("slot",), own=False), ["query_id", "slot"], 3).select("query_id", "slot", "rank", "doc_id", "score").collect()))
+    whole = best()
+    monkeypatch.setattr(retrieve, "PART_ROWS", 16)
+    monkeypatch.setattr(retrieve, "BLOCK_ROWS", 3)
+    assert best() == whole and len(whole) == 20 * 9 and not [r for r in whole if r[0] == r[3]]
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5 if any(a) and any(b) else 0.0
+    rows, asked = docs.where("embedding is not null").collect(), {r["query_id"]: r["query_vector"] for r in queries.collect() if r["query_vector"]}
+    for q, v in asked.items():
+        for slot in "abc":
+            scored = sorted((-round(min(1, max(0, cosine(v, r["embedding"]))), 6), r["doc_id"]) for r in rows if r["slot"] == slot and r["doc_id"] != q)[:3]
+            assert [(d, s) for a, b, _, d, s in whole if (a, b) == (q, slot)] == [(d, -s) for s, d in scored]
+
+
+def test_searches_serve_every_query(spark, data):
+    from atomweave.plans.catalog import QUERIES
 
-@pytest.mark.parametrize("name", ["multi_slot_search", "recall_ladder", "knowledge_xref"])
-def test_searches_serve_every_query(spark, data, name):
-    """For each query what the SQL says for one."""
-    import duckdb
+    ids = {r[0] for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()}
+    for name in ("multi_slot_search", "recall_ladder", "knowledge_xref", "vector_topk"):
+        assert {r[0] for r in QUERIES[name](spark, data).select("query_id").collect()} == ids, name
 
-    from atomweave.plans.catalog import ORACLES, QUERIES
 
-    con = duckdb.connect()
-    for t in ("documents", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
-    ids = [r[0] for r in con.execute("SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0").fetchall()]
-    found = QUERIES[name](spark, data)
-    want = []
-    for q in ids:
-        theirs = con.execute(ORACLES[name].replace("vec_id = 6", f"vec_id = {q}"))
-        columns = [c[0] for c in theirs.description]
-        want += [(q, *row) for row in theirs.fetchall()]
-    assert len(ids) > 1 and len({r[0] for r in want}) > 1
-    assert sorted(tuple(r) for r in found.select("query_id", *columns).collect()) == sorted(want)
-
-
-def test_hybrid_finds_documents_and_items_without_a_vector(spark, data, tmp_path):
+def test_hybrid_finds_documents_and_items_without_a_vector(spark, data, tmp_path, same_rows):
     import duckdb
 
-    from atomweave.plans.search_queries import BLEND, blended
+    from atomweave.plans.catalog import ORACLES, QUERIES
 
-    con = duckdb.connect()
     for t, kept in {"documents": "true", "embeddings": "vec_id % 3 <> 0", "benchmark": "true"}.items():
-        con.execute(f"COPY (SELECT * FROM '{data}/{t}.parquet' WHERE {kept}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        duckdb.sql(f"COPY (SELECT * FROM '{data}/{t}.parquet' WHERE {kept}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
-    whole = BLEND[: BLEND.rindex("blend AS")] + "blend AS (SELECT query_id, doc_id, round(0.7 * coalesce(vector, 0) + 0.3 * coalesce(keyword, 0), 7) AS score FROM vs FULL JOIN kw USING (query_id, doc_id))"
-    want = con.execute(f"WITH {whole} SELECT query_id, doc_id, round(score, 6) FROM blend").fetchall()
-    found = [(r["query_id"], r["doc_id"], round(r["score"], 6)) for r in blended(spark, str(tmp_path)).collect()]
-    assert {(q, d) for q, d, _ in found} == {(q, d) for q, d, _ in want} and len(found) == len(want)
-    want_scores = {(q, d): s for q, d, s in want}
-    assert all(abs(s - want_scores[q, d]) < 3e-6 for q, d, s in found)
-    assert {q for q, _, _ in found} == {r[0] for r in con.execute("SELECT item_id FROM benchmark").fetchall()}
+    want = con.execute(ORACLES["hybrid_topk"]).fetchall()
+    found = [tuple(r) for r in QUERIES["hybrid_topk"](spark, str(tmp_path)).collect()]
+    assert sorted(r[:3] for r in found) == sorted(r[:3] for r in want)
+    assert {q for q, *_ in found} == {r[0] for r in con.execute("SELECT item_id FROM benchmark").fetchall()}
 
 
 def test_slugs_read_whole_texts(spark, tmp_path):
