@@ -11,17 +11,23 @@ from ..schema import ATOM_CHARS, ATOM_TYPES, EVIDENCE_CHARS, LESSON, LESSON_FIEL
 ROLES = ("user", "assistant", "summary", "system")
 
 
-def source_material(turns: DataFrame, least: int = 1, most: int = TURNS, chars: int = TURN_CHARS) -> DataFrame:
+def source_material(turns: DataFrame, least: int = 1, most: int = TURNS, chars: int = TURN_CHARS, summaries: DataFrame | None = None) -> DataFrame:
     """(conv_id, turn_count, body, skip): the last turns of each conversation as text, secrets replaced, the last
-    characters kept. Turns beyond ``most`` are dropped by rank before they are gathered, so a group is of bounded size."""
+    characters kept. Turns beyond ``most`` are dropped by rank before they are gathered, so a group is of bounded size. A
+    summary in ``summaries`` (conv_id, summary), unless it is blank, stands for the turns, however few they are."""
     said = turns.where(F.col("role").isin(*ROLES) & ~X.blank(F.col("text")))
     label = F.when(F.col("role") == "user", "User").when(F.col("role") == "assistant", "Assistant").otherwise(F.col("role"))
     said = said.withColumn("block", F.concat(F.lit("### "), label, F.lit("\n\n"), X.trimmed(F.col("text"))))
     recent = said.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("back") <= most)
     joined = recent.groupBy("conv_id").agg(F.count("*").alias("turn_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "block"))), lambda x: x["block"]), "\n\n").alias("body"))
+    if summaries is not None:
+        told = summaries.where(~X.blank(F.col("summary"))).select("conv_id", "summary")
+        joined = joined.join(told, "conv_id", "full").select("conv_id", F.coalesce("turn_count", F.lit(0)).alias("turn_count"), F.coalesce("summary", "body").alias("body"), F.col("summary").isNotNull().alias("summed"))
+    else:
+        joined = joined.withColumn("summed", F.lit(False))
     body = X.trimmed(X.redacted(F.col("body")))
     shown = F.when(F.length("clean") <= chars, F.col("clean")).otherwise(F.concat(F.right("clean", F.lit(chars)), F.lit(f"\n\n[Truncated to last {chars} chars.]")))
-    skip = F.when(F.col("turn_count") < least, "too-few-turns").when(F.col("clean") == "", "no-content")
+    skip = F.when(~F.col("summed") & (F.col("turn_count") < least), "too-few-turns").when(F.col("clean") == "", "no-content")
     return joined.withColumn("clean", body).select("conv_id", "turn_count", shown.alias("body"), skip.alias("skip"))
 
 
@@ -91,6 +97,25 @@ def promoted_text(updated_at: Column, merged: Column | None = None) -> Column:
     )
 
 
+def stored_metadata() -> Column:
+    """The metadata under which an atom is stored: its type, its tags joined, and fields that aren't blank."""
+    tags = F.array_join(F.filter(F.transform("tags", X.trimmed), lambda t: t != ""), ",")
+    fields = [("tags", tags)] + [(f, X.trimmed(F.col(f))) for f in ("project_module", "language", "task_type", "error_pattern")]
+    every = F.create_map(F.lit("atom_type"), X.trimmed(F.col("type")), *[x for name, value in fields for x in (F.lit(name), value)])
+    return F.map_filter(every, lambda k, v: (k == "atom_type") | (F.coalesce(v, F.lit("")) != ""))
+
+
+def writes(decided: DataFrame, at: Column) -> DataFrame:
+    """(atom_id, action, name, supersedes) of decisions (atom_id, type, title, action, target_id, target_name, merged_name): a
+    creation is named by its title; an update by what it replaces, else by the name that was decided, else by its title, and
+    disables what it replaces. Other actions write nothing."""
+    slugs = F.coalesce(F.nullif(F.regexp_extract("target_name", r"^[a-z]+-(.+)-\d{4}-\d{2}-\d{2}-\d{9}\.md$", 1), F.lit("")), F.nullif(X.trimmed(F.col("merged_name")), F.lit("")), F.col("title"))
+    source = F.when(F.col("action") == "update", slugs).otherwise(F.col("title"))
+    family = F.when(F.col("type") == LESSON, "lesson").otherwise("knowledge")
+    name = F.concat(family, F.lit("-"), X.slug(source), F.lit("-"), F.date_format(at, "yyyy-MM-dd-HHmmssSSS"), F.lit(".md"))
+    return decided.where(F.col("action").isin("create", "update")).select("atom_id", "action", name.alias("name"), F.when(F.col("action") == "update", F.col("target_id")).alias("supersedes"))
+
+
 def lesson_document() -> Column:
     """The document of a saved lesson: a heading, its fields, the text, and evidence if there is any; null unless the
     fields that a lesson needs are given."""

@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..schema import FILE_BYTES, PLAN_BYTES
 
 
-def plan_specs(hooks: DataFrame, ascii_only: bool = False, most: int = PLAN_BYTES) -> DataFrame:
+def plan_specs(hooks: DataFrame, ascii_only: bool = False, most: int = PLAN_BYTES, origin: str = "a captured plan") -> DataFrame:
     """(…, skip, name, text) of approved plans (plan, approved): secrets replaced, fenced, named by title; or why not."""
     clean = X.trimmed(X.redacted(F.col("plan")))
     seen = hooks.withColumn("clean", clean)
@@ -22,7 +22,7 @@ def plan_specs(hooks: DataFrame, ascii_only: bool = False, most: int = PLAN_BYTE
     named = seen.withColumn("skip", skip).withColumn("title", X.title_of(F.col("clean")))
     name = F.concat(F.lit("plan-"), X.slug(F.col("title"), ascii_only=ascii_only), F.lit(".md"))
     kept = F.col("skip").isNull()
-    return named.select(*[c for c in hooks.columns if c != "plan"], "skip", F.when(kept, name).alias("name"), F.when(kept, X.fenced(F.col("clean"))).alias("text"))
+    return named.select(*[c for c in hooks.columns if c != "plan"], "skip", F.when(kept, name).alias("name"), F.when(kept, X.fenced(F.col("clean"), origin)).alias("text"))
 
 
 def url_path(url: Column) -> Column:

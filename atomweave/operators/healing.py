@@ -34,6 +34,37 @@ def escalations(streak: DataFrame, after: int, entities: int, shown: int = 5) ->
     return grouped.withColumn("reason", reason).where("reason is not null").join(ids, "signature").select("signature", "reason", "attempts", "first_ms", "last_ms", "n_entities", "entities")
 
 
+def history(ticks: DataFrame, after: int) -> DataFrame:
+    """The last ticks of each entity, so many as an escalation may ask about."""
+    nth = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("tick")))
+    return ticks.withColumn("nth", nth).where(F.col("nth") <= max(after + 2, 5)).drop("nth")
+
+
+def evidence(failures: DataFrame, shown: int = 5) -> DataFrame:
+    """(signature, n_excerpts, excerpts, n_logs, logs) of failures (signature, excerpt, log_path): so many different excerpts, the
+    first by text, and the last log paths by name; all are counted."""
+
+    def first(column: str, order: Column, count: str, listed: str) -> DataFrame:
+        once = failures.where(F.col(column).isNotNull() & (F.col(column) != "")).select("signature", column).distinct()
+        few = once.withColumn("nth", F.row_number().over(Window.partitionBy("signature").orderBy(order))).where(F.col("nth") <= shown)
+        texts = few.groupBy("signature").agg(F.sort_array(F.collect_list(column)).alias(listed))
+        return once.groupBy("signature").agg(F.count("*").alias(count)).join(texts, "signature")
+
+    return first("excerpt", F.col("excerpt"), "n_excerpts", "excerpts").join(first("log_path", F.desc("log_path"), "n_logs", "logs"), "signature", "full")
+
+
+def occurrences(before: DataFrame, escalated: DataFrame, at_ms: int, most: int = 50) -> DataFrame:
+    """(signature, at_ms, attempts, n_entities): what was noted of each issue with what this run notes, the last ``most``."""
+    now = escalated.select("signature", F.lit(at_ms).cast("long").alias("at_ms"), "attempts", "n_entities")
+    nth = F.row_number().over(Window.partitionBy("signature").orderBy(F.desc("at_ms"), F.desc("attempts")))
+    return before.unionByName(now).withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+
+
+def off_cycle(escalated: DataFrame, streak: DataFrame, attempted: tuple[str, ...]) -> DataFrame:
+    """Escalations that a run between cycles may note: those of signatures on which entities that it attempted fail."""
+    return escalated.join(streak.where(F.col("entity").isin(*attempted)).select("signature").distinct(), "signature", "left_semi")
+
+
 def issues(known: DataFrame, live: DataFrame, escalated: DataFrame) -> DataFrame:
     """(signature, version, status): issues as they stand after a run. Known issues (signature, version, status) without a
     live signature are resolved; escalated ones are opened, or opened again with the next version."""

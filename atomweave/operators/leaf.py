@@ -82,6 +82,55 @@ def chunked(df: DataFrame, size: int, overlap: int, separator: str) -> DataFrame
     return cut.select("doc_id", F.col("part").cast("long").alias("part"), F.col("c.i").cast("long").alias("run"), F.size("c.run").cast("long").alias("n_words"), F.array_join("c.run", " ").alias("content"))
 
 
+def assembled(segments: DataFrame, order: tuple[str, ...] = ("position",), separator: str = "\n\n") -> DataFrame:
+    """(doc_id, body) of documents from their own segments (doc_id, position, content), in order."""
+    of = F.array_sort(F.collect_list(F.struct(*order, "content")))
+    return segments.groupBy("doc_id").agg(F.array_join(F.transform(of, lambda s: s["content"]), separator).alias("body"))
+
+
+def named(df: DataFrame, name: str) -> DataFrame:
+    """The document of exactly this name, the first by id, or none."""
+    return df.where(F.col("name") == name).orderBy("doc_id").limit(1)
+
+
+def working_set(df: DataFrame) -> DataFrame:
+    """Every document, enabled or not, with its metadata as a map and without its body, which the scan then leaves out."""
+    fields = [f for f in METADATA_FIELDS if f in df.columns]
+    metadata = F.map_filter(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))]), lambda k, v: v.isNotNull())
+    return df.select("doc_id", "slot", "name", F.coalesce("enabled", F.lit(True)).alias("enabled"), "created_at_ms", metadata.alias("metadata"))
+
+
+def filter_key(filters: Column) -> Column:
+    """One text for equal filters, in whatever order they are given: JSON by name, without blanks."""
+    kept = F.map_filter(filters, lambda k, v: F.trim(v) != "")
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept))))
+
+
+def compact(hits: DataFrame) -> DataFrame:
+    """What a caller sees of search hits: missing columns are null, scores that aren't numbers too, keywords an empty list."""
+    given = lambda name, kind: (F.col(name).try_cast(kind) if name in hits.columns else F.lit(None).cast(kind)).alias(name)
+    keywords = F.coalesce(F.col("keywords"), F.array().cast("array<string>")) if "keywords" in hits.columns else F.array().cast("array<string>")
+    score = F.when(~F.isnan(F.col("score").try_cast("double")), F.col("score").try_cast("double"))
+    return hits.select("slot", score.alias("score"), given("segment_id", "string"), "doc_id", given("name", "string"), given("position", "long"), given("enabled", "boolean"), keywords.alias("keywords"), given("n_words", "long"), F.coalesce(given("content", "string"), F.lit("")).alias("content"))
+
+
+def resolved_ids(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(asked, slot_id) of names or ids: a slot (slot, slot_id) in any case, else what looks like an id, else empty."""
+    name = F.trim("asked")
+    of = known.select(F.lower("slot").alias("low"), "slot_id").where("slot_id <> ''")
+    joined = asked.join(of, F.lower(name) == F.col("low"), "left")
+    return joined.select("asked", F.coalesce("slot_id", F.when(name.rlike("(?i)^[0-9a-f-]{20,}$"), name), F.lit("")).alias("slot_id"))
+
+
+def created_slots(wanted: DataFrame, failed: DataFrame) -> DataFrame:
+    """(slot, position, name, ok, complete) of the fields that new slots (slot) get; (slot, name) that could not be added fail,
+    and a slot is complete without such."""
+    every = wanted.select("slot").distinct().crossJoin(F.broadcast(metadata_fields(wanted.sparkSession)))  # 13 rows for each slot
+    told = every.join(failed.select("slot", "name").distinct().withColumn("bad", F.lit(True)), ["slot", "name"], "left").withColumn("ok", F.col("bad").isNull())
+    whole = told.groupBy("slot").agg(F.min("ok").alias("complete"))
+    return told.join(whole, "slot").select("slot", "position", "name", "ok", "complete")
+
+
 def slots(df: DataFrame) -> DataFrame:
     """(slot, policy, n_docs) of declared slots, those without documents included."""
     rows = [(slot, policy) for slot, policy in SLOT_POLICIES.items()]

@@ -184,6 +184,12 @@ def ladder(scored: DataFrame, filters: dict[str, str], limit: int, threshold: fl
     return kept.withColumn("place", place).where(F.col("place") <= limit).orderBy(*keys, "place").select(*keys, "rung", "doc_id", "score")
 
 
+def rung_counts(found: DataFrame, filters: dict[str, str]) -> DataFrame:
+    """(rung, filters, hits): how many hits each rung of a ladder added, with the names it filtered by."""
+    steps = found.sparkSession.createDataFrame([(r, ",".join(sorted(f))) for r, f in enumerate(rungs(filters))], "rung int, filters string")
+    return F.broadcast(steps).join(found.groupBy("rung").agg(F.count("*").alias("hits")), "rung", "left").select("rung", "filters", F.coalesce("hits", F.lit(0)).alias("hits"))  # four rows at most
+
+
 def cross_references(scored: DataFrame, types: tuple[str, ...], module: str, threshold: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """For each query that ``keys`` name, the best document of each type in one module."""
     met = scored.where(F.col("atom_type").isin(*types) & (F.col("project_module") == module) & (F.col("score") >= threshold))

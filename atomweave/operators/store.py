@@ -8,6 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def saved(incoming: DataFrame, fields: DataFrame, most: int) -> DataFrame:
+    """(slot, name, document_ok, metadata_ok, ok) of documents (slot, name, text, metadata) to be saved: a document needs a name
+    and a text of at most ``most`` characters; its metadata need fields that the slot has in (slot, names)."""
+    document_ok = (F.trim(F.coalesce("name", F.lit(""))) != "") & (F.trim(F.coalesce("text", F.lit(""))) != "") & (F.length("text") <= most)
+    joined = incoming.join(fields, "slot", "left")
+    asked = F.map_keys(F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+    unknown = F.array_except(asked, F.coalesce("names", F.array().cast("array<string>")))
+    told = joined.withColumn("document_ok", F.coalesce(document_ok, F.lit(False))).withColumn("metadata_ok", (F.size(asked) == 0) | (F.col("document_ok") & (F.size(unknown) == 0)))
+    return told.select("slot", "name", "document_ok", "metadata_ok", (F.col("document_ok") & F.col("metadata_ok")).alias("ok"))
+
+
 def document_id(slot: Column, name: Column, version: Column) -> Column:
     """A new id for each version of a document, the same wherever it is computed."""
     return F.sha2(F.concat_ws("|", slot, name, version.cast("string")), 256)
@@ -27,6 +38,14 @@ def superseded(base: DataFrame, incoming: DataFrame, action: str = "disable") ->
     return created(left, incoming.drop("supersedes")), old.join(base.select("doc_id"), "doc_id", "left_anti")
 
 
+def superseded_or_refused(base: DataFrame, incoming: DataFrame, action: str = "disable") -> tuple[DataFrame, DataFrame]:
+    """As ``superseded`` for updates, which must name what they replace: a new document whose old one isn't named or isn't there
+    is refused, and told apart."""
+    known = base.select(F.col("doc_id").alias("supersedes"))
+    good = incoming.join(known, "supersedes", "left_semi").select(*incoming.columns)
+    return superseded(base, good, action)[0], incoming.join(known, "supersedes", "left_anti").select(*incoming.columns)
+
+
 def latest_by_name(versions: DataFrame) -> DataFrame:
     """Of (slot, name, version, …) the last version of each name: the row is chosen by an aggregate and not a sort."""
     others = [c for c in versions.columns if c not in ("slot", "name")]

@@ -103,3 +103,12 @@ def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
         return streams.failure_streaks(events.select(F.col("user_id").cast("string").alias("entity"), F.col("event_id").alias("tick"), at_ms().alias("at_ms"), (F.col("event_type") != "error").alias("ok"), F.concat(F.lit("sig-"), (k % 5).cast("string")).alias("signature")))
 
     return run_stream(spark, sf_dir, folded).where("failures > 0").select("entity", "failures", "signature")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_entries, CAST(sum(length(props)) AS BIGINT) AS n_chars FROM events GROUP BY 1")
+def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def counted(events: DataFrame) -> DataFrame:
+        return streams.daily_counts(events.select(F.timestamp_millis(at_ms()).alias("at"), F.col("props").alias("text")), "at")
+
+    found = run_stream(spark, sf_dir, counted)
+    return found.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.max("n_entries").alias("n_entries"), F.max("n_chars").alias("n_chars"))

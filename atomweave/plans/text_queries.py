@@ -99,11 +99,24 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), X.slug(F.col("text")).alias("slug"))
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'compile-document-timeout-after-n-ms-reading-str-in-' || lang AS signature FROM documents""")
+#: Messages around whole texts: quoted words, times, paths, files and numbers, and the words of the text itself.
+MESSAGES = (
+    "'Timeout after ' || n_chars || ' ms reading \"the file ' || source || '\" ' || text", "'ENOENT: /srv/' || source || '/' || doc_id || '.txt: ' || text",
+    "'2024-01-02T03:04:05Z worker ' || doc_id || ' failed: ' || text", "'cannot parse data.' || lang || '.json (line ' || doc_id || '), ' || text", "text",
+)
+_KINDS = " ".join(f"WHEN regexp_matches(w, '{p}') THEN 'any-{k}'" for k, p in X.WORD_KINDS).replace("^\u0001$", "^\\x01$")
+
+
+@query(f"""WITH m AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE doc_id % 5 {" ".join(f"WHEN {k} THEN {m}" for k, m in enumerate(MESSAGES))} END AS raw FROM documents),
+w AS (SELECT doc_id, list_transform(regexp_split_to_array(regexp_replace(lower({redacted_sql("coalesce(raw, '')")}), '"[^"]*"|''[^'']*''|`[^`]*`', ' ' || chr(1) || ' ', 'g'), '[ \\t\\n\\x0b\\f\\r]+'),
+  lambda w: regexp_replace(w, '^[(\\[{{<,;:.!?]+|[)\\]}}>,;:.!?]+$', '', 'g')) AS ws FROM m),
+k AS (SELECT doc_id, list_filter(list_transform(ws, lambda w: CASE {_KINDS} ELSE regexp_replace(w, '[^\\pL]+', '-', 'g') END), lambda w: NOT regexp_matches(w, '^-*$')) AS ks FROM w),
+o AS (SELECT doc_id, array_to_string(list_filter(ks, lambda x, i: i = 1 OR NOT starts_with(x, 'any-') OR x <> ks[i - 1]), ' ') AS told FROM k)
+SELECT doc_id, {slug_sql("'compile document ' || CASE WHEN told = '' THEN 'unknown-error' ELSE told END", 80)} AS signature FROM o""")
 def error_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    message = F.concat(F.lit("Timeout after "), F.col("n_chars").cast("string"), F.lit('  ms reading "/data/'), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit('.json"\n in '), "lang")
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), X.error_signature(message, F.lit("document"), F.lit("compile"), ascii_only=True).alias("signature"))
+    message = F.expr(f"CASE doc_id % 5 {' '.join(f'WHEN {k} THEN {m}' for k, m in enumerate(MESSAGES))} END")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), X.error_signature(message, F.lit("document"), F.lit("compile")).alias("signature"))
 
 
 TITLE = "left(trim(list_filter(string_split(clean, chr(10)), lambda x: trim(x) <> '')[1], chr(32) || chr(9) || chr(10) || chr(13)), 80)"
@@ -111,7 +124,7 @@ TITLE = "left(trim(list_filter(string_split(clean, chr(10)), lambda x: trim(x) <
 
 @query(f"""WITH {LEAF}, p AS (SELECT doc_id, n, trim({redacted_sql("body")}, chr(32) || chr(9) || chr(10) || chr(13)) AS clean FROM leaf WHERE slot = 'plans')
 SELECT doc_id, CASE WHEN n % 3 = 1 THEN 'not-approved' WHEN clean = '' THEN 'empty-plan' END AS skip, CASE WHEN n % 3 <> 1 AND clean <> '' THEN 'plan-' || {slug_sql(TITLE)} || '.md' END AS name,
-  CASE WHEN n % 3 <> 1 AND clean <> '' THEN sha256('{X.FENCE_HEAD}' || chr(10) || chr(10) || clean || chr(10) || chr(10) || '{X.FENCE_FOOT}') END AS text_sha FROM p""")
+  CASE WHEN n % 3 <> 1 AND clean <> '' THEN sha256('{X.fence_head('a captured plan')}' || chr(10) || chr(10) || clean || chr(10) || chr(10) || '{X.FENCE_FOOT}') END AS text_sha FROM p""")
 def plan_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     hooks = leaves(spark, sf_dir).where("slot = 'plans'").select("doc_id", F.col("body").alias("plan"), (F.col("n") % 3 != 1).alias("approved"))
     return capture.plan_specs(hooks).select("doc_id", "skip", "name", F.sha2("text", 256).alias("text_sha"))

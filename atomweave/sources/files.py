@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import globs as G
 from ..functions import names as N
@@ -27,30 +30,48 @@ def plan_files(spark: SparkSession, root: str) -> DataFrame:
     return found.select("rel_path", "modified", F.decode("content", "UTF-8").alias("plan"), F.lit(True).alias("approved")).orderBy("modified")
 
 
-def _texts(value: Column, depth: int) -> Column:
-    """Texts in a JSON value, to a fixed depth: a string, the ``text`` of an object, or what its known fields hold; tool
-    calls and their results are passed over. Strings come without quotes, as Spark hands on parts of JSON."""
-    empty = F.array().cast("array<string>")
-    if depth == 0:
-        return F.when(value.isNull() | value.startswith("{") | value.startswith("["), empty).otherwise(F.array(value))
-    listed = F.flatten(F.transform(F.from_json(value, "array<string>"), lambda item: _texts(item, depth - 1)))
-    inside = [F.coalesce(_texts(F.get_json_object(value, f"$.{f}"), depth - 1), empty) for f in ("message", "content", "prompt", "compact_summary", "summary")]
-    kind, text = F.get_json_object(value, "$.type"), F.get_json_object(value, "$.text")
-    fields = F.when(kind.isin("tool_use", "tool_result"), empty).when(text.isNotNull(), F.array(text)).otherwise(F.flatten(F.array(*inside)))
-    parsed = F.when(value.startswith("["), listed).when(value.startswith("{") & F.try_parse_json(value).isNotNull(), fields)
-    return F.when(value.isNull(), empty).otherwise(F.coalesce(parsed, F.array(value)))
-
-
-def transcripts(spark: SparkSession, path: str, depth: int = 2) -> DataFrame:
+#: How deep texts in a transcript may be nested.
+DEPTH = 8
+_INSIDE = ("message", "content", "prompt", "compact_summary", "summary")
+
+
+def texts_in(value: object, depth: int = DEPTH) -> list[str]:
+    """Texts in a JSON value: a string, the ``text`` of an object, or what its known fields hold; tool calls and their results
+    are passed over."""
+    if depth < 0 or value is None:
+        return []
+    if isinstance(value, str):
+        return [value]
+    if isinstance(value, list):
+        return [t for item in value for t in texts_in(item, depth - 1)]
+    if not isinstance(value, dict) or value.get("type") in ("tool_use", "tool_result"):
+        return []
+    if isinstance(value.get("text"), str):
+        return [value["text"]]
+    return [t for name in _INSIDE for t in texts_in(value.get(name), depth - 1)]
+
+
+@F.pandas_udf(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
+def _entries(lines: pd.Series) -> pd.DataFrame:
+    """Role and text of each line, null where it isn't JSON. Texts nest to a depth that SQL functions can't follow."""
+    out = []
+    for line in lines:
+        try:
+            entry = json.loads(line)
+        except (TypeError, ValueError, RecursionError):
+            entry = None
+        message = entry.get("message") if isinstance(entry, dict) else None
+        inner = message if isinstance(message, dict) else {}
+        role = next((str(x) for x in (inner.get("role"), entry.get("role"), entry.get("type")) if x), "entry") if isinstance(entry, dict) else None
+        out.append((role, "\n".join(texts_in(entry)).strip() if role else None))
+    return pd.DataFrame(out, columns=["role", "text"])
+
+
+def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(conv_id, turn, role, text) of JSON lines: one conversation for each file, lines that aren't JSON or whose role is
     none of the known are passed over."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("conv_id"), F.monotonically_increasing_id().alias("line"), F.col("value"))
-    good = lines.where(F.try_parse_json("value").isNotNull())
-    field = lambda name: F.get_json_object("value", f"$.{name}")
-    role = F.coalesce(field("message.role"), field("role"), field("type"), F.lit("entry"))
-    content = F.coalesce(field("message.content"), field("message"), field("content"), field("prompt"), field("compact_summary"), field("summary"), field("text"))
-    text = F.trim(F.array_join(_texts(content, depth), "\n"))
-    return good.select("conv_id", F.col("line").alias("turn"), role.alias("role"), text.alias("text")).where(F.col("role").isin("user", "assistant", "summary", "system") & (F.col("text") != ""))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("conv_id"), F.monotonically_increasing_id().alias("turn"), _entries("value").alias("e"))
+    return lines.select("conv_id", "turn", "e.role", "e.text").where(F.col("role").isin("user", "assistant", "summary", "system") & (F.col("text") != ""))
 
 
 ATTEMPT = "ts timestamp, kind string, ok boolean, durationMs long, error string, logPath string"
@@ -68,6 +89,11 @@ def append_log(entries: DataFrame, path: str) -> None:
     entries.withColumn("year", F.date_format(at, "yyyy")).withColumn("month", F.date_format(at, "MM")).write.mode("append").partitionBy("year", "month").json(path)
 
 
+def kept_last(entries: DataFrame, most: int = 50, order: str = "ts") -> DataFrame:
+    """The last so many attempts, by time; the others may be pruned."""
+    return entries.orderBy(F.desc_nulls_last(order)).limit(most)
+
+
 def kept_logs(listing: DataFrame, now_ms: int, days: int) -> DataFrame:
     """Logs whose name says that they are younger than so many days."""
     epoch = F.regexp_extract("path", r"cron-(\d+)\.json$", 1).try_cast("long")

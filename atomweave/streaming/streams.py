@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,10 +17,9 @@ def recall_stamps(hits: DataFrame, debounce_ms: int) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count, last = state.get if state.exists else (0, None)
-        times = sorted({int(t) for batch in batches for t in batch["at_ms"].dropna()})
-        for at in times:
+        for at in heapq.merge(*[sorted(set(batch["at_ms"].dropna().astype("int64"))) for batch in batches]):
             if last is None or at - last >= debounce_ms:
-                count, last = count + 1, at
+                count, last = count + 1, int(at)
         if last is not None:
             state.update((count, last))
             yield pd.DataFrame({"doc_id": [key[0]], "stamps": [count], "last_ms": [last]})
@@ -33,14 +33,14 @@ def failure_streaks(ticks: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         failures, first, last, signature = state.get if state.exists else (0, 0, 0, "")
-        rows = pd.concat(list(batches))
-        for _, tick in rows.groupby("tick", sort=True):
-            bad = tick[~tick["ok"].astype(bool)]
-            if len(bad):
-                at = int(tick["at_ms"].min())
-                failures, first, last, signature = failures + 1, first if failures else at, at, str(bad["signature"].max())
-            else:
-                failures, first, last, signature = 0, 0, 0, ""
+        told: dict[int, tuple[int, bool, str]] = {}  # one entry for each tick, whatever the number of its rows
+        for batch in batches:
+            for tick, at, ok, said in zip(batch["tick"], batch["at_ms"], batch["ok"], batch["signature"], strict=True):
+                was = told.get(tick, (at, True, ""))
+                told[tick] = min(was[0], at), was[1] and bool(ok), was[2] if ok else max(was[2], str(said))
+        for tick in sorted(told):
+            at, ok, said = told[tick]
+            failures, first, last, signature = (0, 0, 0, "") if ok else (failures + 1, first if failures else int(at), int(at), said)
         state.update((failures, first, last, signature))
         yield pd.DataFrame({"entity": [key[0]], "failures": [failures], "first_ms": [first], "last_ms": [last], "signature": [signature]})
 
@@ -49,6 +49,8 @@ def failure_streaks(ticks: DataFrame) -> DataFrame:
 
 
 def daily_counts(events: DataFrame, at: str, watermark: str = "8 days") -> DataFrame:
-    """(day, n_entries, n_chars) of captured entries by UTC day; a day is closed a week and a day after its end."""
+    """(day, n_entries, n_chars) of captured entries (…, text) by UTC day; a day is closed a week and a day after its end."""
     windowed = events.withWatermark(at, watermark).groupBy(F.window(at, "1 day").alias("w"))
-    return windowed.agg(F.count("*").alias("n_entries"), F.sum(F.length("text")).alias("n_chars")).select(F.to_date("w.start").alias("day"), "n_entries", "n_chars")
+    counted = windowed.agg(F.count("*").alias("n_entries"), F.sum(F.length("text")).alias("n_chars"))
+    # the window starts at midnight UTC, whatever the session's zone is
+    return counted.select(F.date_from_unix_date(F.floor(F.unix_seconds("w.start") / 86_400).cast("int")).alias("day"), "n_entries", "n_chars")

@@ -69,6 +69,8 @@ def test_signatures_group_one_bug(spark):
     sign = text.error_signature(F.col("v"), F.lit("leaf"), F.lit("merge"))
     a = one(spark, sign, "ENOENT: /tmp/a/b.txt at 2024-01-02T03:04:05Z id 12345")
     b = one(spark, sign, "ENOENT: /var/c at 2023-11-12T00:00:00Z id 99")
+    for given, want in (("bad file notes.md, line 7", "bad-file-any-file-line-any-number"), ("no 'such thing' as `x y`", "no-any-quoted-as-any-quoted"), ("deadbeef01 0xff 12", "any-number"), ("", "unknown-error"), ("12:30 up (C:\\x) e.g. three-part", "any-time-up-any-path-any-file-three-part")):
+        assert one(spark, text.error_signature(F.col("v")), given) == want, given
     assert a == b and a.startswith("merge-leaf-enoent")
     assert one(spark, sign, "timeout after 5 s") != a
     assert one(spark, text.error_signature(F.col("v")), None) == "unknown-error"
@@ -104,7 +106,7 @@ def test_names(spark):
 
 @pytest.mark.parametrize(
     ("path", "expected"),
-    [("a.md", True), ("docs/x/y.txt", True), ("node_modules/p/readme.md", False), ("src/build/x.md", False), ("a.py", False), ("x/.git/y.md", False), ("notes.bak", False), ("memory/a.md", False)],
+    [("a.md", True), ("docs/x/y.txt", True), ("node_modules/p/readme.md", False), ("src/build/x.md", False), ("a.py", False), ("x/.git/y.md", False), ("notes.bak", False), ("x/.mypy_cache/a.md", False), ("a/__pycache__/b.txt", False)],
 )
 def test_default_globs(spark, path, expected):
     assert one(spark, globs.wanted(F.col("v")), path) is expected

@@ -18,6 +18,15 @@ def test_scan_files(spark, tmp_path):
     assert [r["rel_path"] for r in files.scan_files(spark, str(tmp_path), include=["**/*.py"]).collect()] == ["d.py"]
 
 
+def test_texts_nest_deeply(spark, tmp_path):
+    inner = "deep"
+    for _ in range(3):
+        inner = {"content": [inner]}
+    lines = [{"type": "user", "message": {"role": "user", "content": inner}}, {"type": "summary", "summary": "told"}, {"role": "assistant", "content": [{"type": "tool_use", "text": "no"}, {"type": "text", "text": "yes"}, [[["in lists"]]]]}]
+    (tmp_path / "t.jsonl").write_text("\n".join([*map(json.dumps, lines), "{broken", '["a"]', '{"type": "odd", "text": "x"}']))
+    assert [(r["role"], r["text"]) for r in files.transcripts(spark, str(tmp_path / "t.jsonl")).orderBy("turn").collect()] == [("user", "deep"), ("summary", "told"), ("assistant", "yes\nin lists")]
+
+
 def test_transcripts(spark, tmp_path):
     lines = [{"message": {"role": "user", "content": "hi"}}, {"role": "assistant", "content": [{"type": "text", "text": "one"}, {"type": "tool_use", "text": "no"}, {"type": "text", "text": "two"}]}, {"role": "tool", "content": "no"}]
     (tmp_path / "t.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\nnot json\n")
