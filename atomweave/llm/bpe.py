@@ -160,8 +160,16 @@ def digest(text: str, path: str, split: str) -> tuple[int, str, str]:
     return n, ids_hash.hexdigest(), bytes_hash.hexdigest()
 
 
+@lru_cache(4)
+def proven(path: str) -> None:
+    """Fails unless the proof of joins holds for a vocabulary; asked once by the driver, before it encodes with it."""
+    if not TreeBpe(read_ranks(path)).self_encoding():
+        raise ValueError(f"in {path} some token isn't the encoding of its own bytes, so halves can't be joined safely")
+
+
 def encode_documents(docs: DataFrame, path: str, split: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Token counts and digests of ids and of decoded bytes for each document; no shuffle."""
+    proven(path)
     schema = f"{key} {column_type(docs, key)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
