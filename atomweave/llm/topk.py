@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import column_type
 
 K, SCALE, QUERY_EVERY = 10, 1024, 100
-#: Candidates and queries of a block, and levels of quantised impact.
-CANDIDATE_BLOCK, QUERY_BLOCK, LEVELS = 16_384, 2_048, 24
+#: Candidates and queries of a block, and levels of quantised impact. Each block of queries needs a copy of all candidates.
+CANDIDATE_BLOCK, QUERY_BLOCK, LEVELS = 8_192, 8_192, 24
 #: Segments between tests for a stop, and the share of candidates that may be left for exact scores.
 TEST_EVERY, LEFT = 48, 0.02
 
@@ -50,39 +50,46 @@ class ImpactIndex:
                 of_sign.append((order, np.r_[starts, n], -found))
             self.lists.append(of_sign)
 
-    def search(self, query: np.ndarray, own: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    def members(self, sign: int, d: int, s: int) -> np.ndarray:
+        of, starts, _ = self.lists[sign][d]
+        return of[starts[s] : starts[s + 1]]
+
+    def parts(self, d: int, weight: int, sign: int) -> tuple[np.ndarray, ...]:
+        """Of a dimension's segments, best first: the upper end of the gain, the sure gain, dimension, place, and by how much a
+        segment that is done lowers what candidates may still gain: down to a step, or to the next level's upper end."""
+        levels = self.lists[sign][d][2]
+        step = int(weight) * int(self.step[d])
+        upper = step * (levels + 1)
+        after = np.r_[np.maximum(step, upper[1:]), step]
+        return upper, step * levels, np.full(len(levels), d), np.arange(len(levels)), np.r_[upper[0], after[:-1]] - after
+
+    def search(self, query: np.ndarray, own: int, k_best: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the k best, own id left out."""
         n, allowed = len(self.ids), self.ids != own
         if not allowed.any():
             return np.empty(0, np.int64), np.empty(0, np.int64)
         weight, sign = np.abs(query), (query < 0).astype(int)
         used = np.flatnonzero(weight)
-        # (dimension, nth segment) by descending upper end of what a member gains
-        parts = [(weight[d] * (levels + 1) * self.step[d], np.full(len(levels), d), np.arange(len(levels))) for d in used for levels in [self.lists[sign[d]][d][2]]]
         sure = np.where(allowed, 0, np.iinfo(np.int64).min // 4)
         candidates = np.flatnonzero(allowed)
-        if parts:
-            gain, dim, nth = (np.concatenate([p[x] for p in parts]) for x in range(3))
-            order = np.argsort(-gain, kind="stable")
-            # what a candidate may gain in each dimension beyond the sure part: a step if its segment is done, else the next level
-            ahead = {int(d): int(weight[d] * (self.lists[sign[d]][d][2][0] + 1) * self.step[d]) for d in used}
-            open_gain = sum(ahead.values())
-            for count, at in enumerate(order, 1):
-                d, s = int(dim[at]), int(nth[at])
-                members, starts, levels = self.lists[sign[d]][d]
-                if levels[s]:
-                    sure[members[starts[s] : starts[s + 1]]] += weight[d] * levels[s] * self.step[d]
-                beyond = int(weight[d] * self.step[d] * (max(1, levels[s + 1] + 1) if s + 1 < len(levels) else 1))
-                open_gain += beyond - ahead[d]
-                ahead[d] = beyond
-                if count % TEST_EVERY == 0 and n > 4 * k:
-                    kth = np.partition(sure, n - k)[n - k]
-                    if (sure + open_gain >= kth).sum() <= max(4 * k, LEFT * n):
-                        break
-            kth = np.partition(sure, max(0, n - k))[max(0, n - k)]
-            candidates = np.flatnonzero(allowed & (sure + open_gain >= kth))
+        # segments (dimension, nth) by descending upper end of what a member gains, and what each surely gives
+        gain, given, dim, nth, less = (np.concatenate([part[x] for part in map(self.parts, used, weight[used], sign[used])]) if len(used) else np.empty(0, np.int64) for x in range(5))
+        order = np.argsort(-gain, kind="stable")
+        open_gain = sum(int(weight[d] * (self.lists[sign[d]][d][2][0] + 1) * self.step[d]) for d in used)
+        for k in range(0, len(order), TEST_EVERY):
+            some = order[k : k + TEST_EVERY]
+            members = [self.members(sign[d], d, s) for d, s in zip(dim[some].tolist(), nth[some].tolist(), strict=True)]
+            # sums of whole numbers far below 2^53 are exact in doubles
+            sure += np.bincount(np.concatenate(members), np.repeat(given[some], [len(m) for m in members]).astype(float), n).astype(np.int64)
+            open_gain -= int(less[some].sum())
+            if n > 4 * k_best:
+                kth = np.partition(sure, n - k_best)[n - k_best]
+                if (sure + open_gain >= kth).sum() <= max(4 * k_best, LEFT * n):
+                    break
+        kth = np.partition(sure, max(0, n - k_best))[max(0, n - k_best)]
+        candidates = np.flatnonzero(allowed & (sure + open_gain >= kth))
         score = self.vectors[candidates] @ query
-        best = np.lexsort((self.ids[candidates], -score))[:k]
+        best = np.lexsort((self.ids[candidates], -score))[:k_best]
         return self.ids[candidates[best]], score[best]
 
 
