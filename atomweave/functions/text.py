@@ -65,9 +65,13 @@ REDACTIONS = (
 )
 
 
+#: Every rule needs one of these, so that a text without any is passed over after one look.
+SECRET_CUES = r"(?i:api[_-]?key|secret|token|password)|Bearer\s|sk-|ghp_|github_pat_|AKIA|xox|AIza|_live_|eyJ|npm_|discord|-----BEGIN|://|AccountKey|(?i:sig=)"
+
+
 def redacted(text: Column) -> Column:
     """Secrets replaced, rule after rule; doing it twice changes nothing more."""
-    return reduce(lambda out, rule: F.regexp_replace(out, *rule), REDACTIONS, text)
+    return F.when(text.rlike(SECRET_CUES), reduce(lambda out, rule: F.regexp_replace(out, *rule), REDACTIONS, text)).otherwise(text)
 
 
 def title_of(body: Column, most: int = 80) -> Column:

@@ -24,6 +24,10 @@ SECRETS = [
     ("sk-short", "sk-short"),
     ("sk-ant-" + "z" * 24, "sk-ant-[REDACTED]"),
     ("ghp_" + "a" * 24, "ghp_[REDACTED]"),
+    ("github_pat_" + "a1_" * 8, "github_pat_[REDACTED]"),
+    ("ctx7sk-" + "a" * 20, "ctx7sk-[REDACTED]"),
+    ("REDIS://u:p@host", "REDIS://[REDACTED]:[REDACTED]@host"),
+    ("?SIG=" + "f" * 24, "?SIG=[REDACTED]"),
     ("éghp_" + "a" * 24, "éghp_[REDACTED]"),
     ("AKIA" + "A" * 16, "AKIA[REDACTED]"),
     ("xoxb-1234567890", "xox-[REDACTED]"),
