@@ -50,7 +50,7 @@ SAMPLE, HOT_COUNT, HOT_TOKENS = 16, 2, 500_000
 #: Partners of a set that are compared before all others, and the share of tokens (one in so many) that names them.
 FIRST_PARTNERS, FIRST_TOKENS = 10, 4
 #: Pairs of one id that meet in a task, and classes with one least hash that are joined to their leader by a shuffle.
-HOT_PAIRS, HOT_GROUP = 64, 256
+HOT_PAIRS, HOT_GROUP = 256, 256
 #: Prefix tokens in a group of index lists, entries of a block of a long list, and slices in which a group is sorted.
 GROUP_TOKENS, BLOCK, SLICES = 1_000_000, 256, 4
 
@@ -137,28 +137,36 @@ def fetch(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(sized(ids, ids.count()), key)
 
 
-def salted(pairs: DataFrame, x: str) -> DataFrame:
-    """(x, salts) of ids that stand on one side of more than HOT_PAIRS pairs: so many copies of their sets share the work."""
-    hot = pairs.groupBy(x).agg(F.ceil(F.count("*") / HOT_PAIRS).cast("int").alias("salts")).where("salts > 1")
-    hot = cut(hot, "hot")
-    return sized(hot, hot.count())
-
-
 def compare(docs: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """(a, b, n_a, n_b, common) of pairs of ids; sets are made again for these ids alone. A set that meets many others is
-    copied, so that no task gets all of its partners."""
+    """(a, b, n_a, n_b, common) of pairs of ids; sets are made again for these ids alone. A set that meets more than HOT_PAIRS
+    others is copied, so that no task gets all of its partners; the other pairs need no copies."""
     pairs = cut(pairs.select("a", "b"), "compared")
+    count = lambda x: pairs.groupBy(F.col(x).alias("id")).agg(F.ceil(F.count("*") / HOT_PAIRS).cast("int").alias("salts")).where("salts > 1")
+    hot = cut(count("a").union(count("b")).groupBy("id").agg(F.max("salts").alias("salts")), "hot")
+    n_hot = hot.count()
+    if not n_hot:
+        return intersections(docs, pairs, key, None)
+    hot = sized(hot, n_hot)
+    side = lambda x: hot.select(F.col("id").alias(x), F.col("salts").alias(f"salts_{x}"))
+    told = cut(pairs.join(side("a"), "a", "left").join(side("b"), "b", "left"), "told")
+    few = intersections(docs, told.where("salts_a is null and salts_b is null").select("a", "b"), key, None)
+    return few.unionByName(intersections(docs, told.where("salts_a is not null or salts_b is not null"), key, hot))
+
+
+def intersections(docs: DataFrame, pairs: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """What ``compare`` gives, for pairs of ids of which none is ``hot``, or for those of which one is."""
     ids = cut(pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b").alias(key))).distinct(), "ids")
-    # one shuffle by id serves the removal of repeated rows
+    # one shuffle by id serves the removal of repeated rows and, without copies, both joins
     sets = sets_of(fetch(docs, ids, key)).repartition(F.col(key)).dropDuplicates([key, "n", "tokens"])
-    out = pairs
-    for x, other in (("a", "b"), ("b", "a")):
-        hot = salted(pairs, x)
-        side = sets.select(F.col(key).alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}")).join(hot, x, "left")
-        side = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-        out = out.join(hot, x, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-        out = out.join(side, [x, "salt"]).drop("salt")
-    return out.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long").alias("common"))
+    side = lambda x: sets.select(F.col(key).alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
+    if hot is None:
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+    else:
+        both = pairs
+        for x, other in (("a", "b"), ("b", "a")):
+            copies = side(x).join(hot.select(F.col("id").alias(x), "salts"), x, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+            both = both.withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce(f"salts_{x}", F.lit(1))).cast("int")).join(copies, [x, "salt"]).drop("salt")
+    return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long").alias("common"))
 
 
 def frequent_tokens(docs: DataFrame) -> np.ndarray:
