@@ -16,12 +16,13 @@ into, or left out of, the word that gives them away.
 frequent words of clean documents that are near one of these, so that the machine can tell them apart. What it takes to
 be a landmark falls, in ``BARS``, where labels are so few that no word reaches it.
 
-*Documents.* The three highest sentences of a text enter a logistic curve, fitted on the training documents.
+*Documents.* The three highest sentences of a text enter a logistic curve, fitted on the training documents; those that a
+short text lacks count as sentences that are near no landmark.
 
 Training is done on at most ``TRAIN_DOCS`` labelled documents of at most ``TRAIN_CHARS`` characters, taken by hash of the
 id from those that ``train`` allows; ids, languages and sources are no input. Scoring reads every text whole.
 
-Edge cases: null, empty and wordless texts get the lowest score; without labels of both kinds, or where toxic documents
+Edge cases: null, empty and wordless texts score as texts near no landmark do; without labels of both kinds, or where toxic documents
 have no word that clean ones lack, every score is 0; rows that repeat get the same score; null labels aren't used.
 """
 
@@ -49,7 +50,7 @@ BARS = ((3, 4.0), (3, 3.0), (2, 1.5), (1, 0.0))
 WINDOW, PART, STEP = 24, 14, 5
 #: Distinct words that a worker remembers.
 CACHE_WORDS = 300_000
-LOW, HIGH = -2.0, 2.0
+LOW, HIGH = -2.0, 5.0
 TOP = 3
 
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -198,7 +199,7 @@ def top_sentences(sentences: list[list[str]], cache: dict[str, Hit], machine: Ma
     get = cache.__getitem__
     found = [machine.sentence([h for h in map(get, tokens) if h is not None]) for tokens in sentences]
     found.sort(reverse=True)
-    return found[:TOP] + [LOW] * (TOP - len(found))
+    return found[:TOP] + [machine.sentence([])] * (TOP - len(found))
 
 
 def remember(machine: Machine, texts: list[list[list[str]]], cache: dict[str, Hit]) -> None:
@@ -348,7 +349,7 @@ def train(texts: list[str], labels: list[int]) -> Machine:
     order = np.lexsort((-of_sentence, corpus.document))
     first = np.flatnonzero(np.r_[True, corpus.document[order][1:] != corpus.document[order][:-1]])
     nth = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-    tops = np.full((len(corpus.label), TOP), LOW)
+    tops = np.full((len(corpus.label), TOP), machine.sentence([]))
     kept = nth < TOP
     tops[corpus.document[order][kept], nth[kept]] = of_sentence[order][kept]
     machine.curve = logistic(tops, corpus.label)
