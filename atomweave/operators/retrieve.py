@@ -96,17 +96,20 @@ def hybrid(vector: np.ndarray, keyword: np.ndarray) -> np.ndarray:
     return np.round(VECTOR_WEIGHT * vector + KEYWORD_WEIGHT * keyword, DIGITS + 1)
 
 
-def scores(docs: DataFrame, queries: DataFrame, k: int, kind: str, keys: tuple[str, ...] = (), within: tuple[str, ...] = (), own: bool = True) -> DataFrame:
+def scores(docs: DataFrame, queries: DataFrame, k: int, kind: str, keys: tuple[str, ...] = (), within: tuple[str, ...] = (), own: bool = True, counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, doc_id, within, score): the best ``k`` of each query among documents of each group of ``within``, or a few
     more; ``kind`` is vector (embedding and query_vector), keyword (terms, weights, norm) or hybrid (both).
 
     Only rows that are equal in ``keys`` meet, and unless ``own`` not those of one id. Rows of a key are cut in parts, and its
     queries in blocks, by their number, so that each part and block meet in a group of bounded size; a group hands on its
     best rows alone. Documents without a shared word or a vector on both sides are no candidates; a hybrid score takes
-    what is missing as 0."""
+    what is missing as 0. ``counted`` are cheaper tables with the rows of both sides, to be counted in their stead."""
+    counted = counted or (docs, queries)
     d_type, q_type = docs.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     per_key = lambda df, name, most: df.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("long").alias(name))
-    numbers = per_key(docs, "parts", PART_ROWS).join(per_key(queries, "blocks", BLOCK_ROWS), list(keys)) if keys else per_key(docs, "parts", PART_ROWS).join(F.broadcast(per_key(queries, "blocks", BLOCK_ROWS)))  # one row each
+    numbers = per_key(counted[0], "parts", PART_ROWS)
+    blocks = per_key(counted[1], "blocks", BLOCK_ROWS)
+    numbers = numbers.join(blocks, list(keys)) if keys else numbers.join(F.broadcast(blocks))  # without keys, one row each
     dealt = lambda df: df.join(numbers, list(keys)) if keys else df.join(F.broadcast(numbers))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = dealt(docs).where("blocks > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).withColumn("block", spread("blocks")).drop("parts", "blocks")

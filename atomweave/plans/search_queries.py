@@ -74,7 +74,8 @@ def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 WINDOW w AS (PARTITION BY query_id ORDER BY keyword DESC, doc_id) QUALIFY row_number() OVER w <= {SEARCH_RESULTS}""")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = retrieve.with_terms(bodies(spark, sf_dir), questions(spark, sf_dir))
-    return retrieve.best(retrieve.scores(docs, asked, SEARCH_RESULTS, "keyword"), ["query_id"], SEARCH_RESULTS).select("query_id", "rank", "doc_id", "score")
+    counted = bodies(spark, sf_dir).select("doc_id"), questions(spark, sf_dir).select("query_id")
+    return retrieve.best(retrieve.scores(docs, asked, SEARCH_RESULTS, "keyword", counted=counted), ["query_id"], SEARCH_RESULTS).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"""WITH {VEC}, s AS (SELECT q.vec_id AS query_id, c.doc_id, round({COS.format(a="q.e", b="c.e")}, 6) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
@@ -93,7 +94,8 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = vectors(spark, sf_dir)
     docs = docs.join(known.select("doc_id", "embedding"), "doc_id", "left")
     asked = asked.join(known.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id", "left")
-    return retrieve.best(retrieve.scores(docs, asked, SEARCH_RESULTS, "hybrid"), ["query_id"], SEARCH_RESULTS).select("query_id", "rank", "doc_id", "score")
+    counted = bodies(spark, sf_dir).select("doc_id"), questions(spark, sf_dir).select("query_id")
+    return retrieve.best(retrieve.scores(docs, asked, SEARCH_RESULTS, "hybrid", counted=counted), ["query_id"], SEARCH_RESULTS).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"""WITH {EACH}, f AS (SELECT * FROM each WHERE score >= {LOW_SCORE} QUALIFY row_number() OVER (PARTITION BY query_id, slot ORDER BY score DESC, doc_id) <= {SEARCH_RESULTS})

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from atomweave.operators import atoms, audit, capture, dedup, healing, leaf, lifecycle, retrieve, store
+from atomweave.operators import atoms, audit, capture, decisions, dedup, healing, leaf, lifecycle, retrieve, store
 from atomweave.schema import MONTH_MS
 
 NOW, DAY = 1_700_000_000_000, 86_400_000
@@ -327,3 +327,51 @@ def test_slugs_read_whole_texts(spark, tmp_path):
 
     spark.createDataFrame([(1, "-" * 100 + "Hello, World!"), (2, "!" * 80 + "x" * 200)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["slug"] for r in QUERIES["slugs"](spark, str(tmp_path)).collect()} == {"1": "hello-world", "2": "x" * 60}
+
+
+def test_decisions_on_merges(spark):
+    names = "keeper_id string, loser_id string, source_pass string"
+    pairs = spark.createDataFrame([("k", c, "similarity" if c < "h" else "sha256") for c in "abcdefghij"] + [("m", "z", "similarity")], names)
+    rows = [  # what was said of each loser of k
+        ("k", "a", "k", "a", "merge", "both of it", True), ("k", "b", "k", "b", "merge", "x" * 50, True), ("k", "c", "k", "other", "merge", "x", True), ("k", "d", "k", "d", "merge", "", True),
+        ("k", "e", "k", "e", "merge", "x", False), ("k", "f", "k", "f", "skip", None, True), ("k", "g", "k", "g", "drop", None, True), ("k", "h", "k", "h", "keep-keeper-unchanged", None, True), ("m", "z", "m", "z", "merge", "y" * 60, None),
+    ]
+    given = spark.createDataFrame(rows, "keeper_id string, loser_id string, said_keeper string, said_loser string, action string, merged_body string, written boolean")
+    out = decisions.merges(pairs, given, 40, "now")
+    assert {r["loser_id"]: r["outcome"] for r in out.collect()} == {"a": "merge", "b": "wait", "c": "error", "d": "error", "e": "error", "f": "flag", "g": "error", "h": "archive", "i": "archive", "j": "archive", "z": "merge"}
+    body = {r["loser_id"]: r["body"] for r in out.collect()}
+    assert body["a"] == "both of it" and len(body["z"]) == 40 and body["z"].endswith(decisions.cut_marker("now")) and body["b"] is None
+    base = spark.createDataFrame([(c, "old", {"t": "x"}, True) for c in "abkmzf"], "doc_id string, body string, metadata map<string,string>, enabled boolean")
+    state = {r["doc_id"]: r for r in decisions.merged(base, out, "now").collect()}
+    assert state["k"]["body"] == "both of it" and state["k"]["metadata"] == {"t": "x", "consolidated_at": "now"} and state["k"]["enabled"]
+    assert not state["a"]["enabled"] and state["a"]["metadata"]["superseded_by"] == "k" and state["b"]["enabled"] and state["f"]["enabled"]
+    counted = decisions.totals(out, []).first()
+    assert (counted["merged"], counted["archived"], counted["errors"], counted["flagged"], counted["waiting"]) == (2, 3, 4, 1, 1)
+
+
+def test_decisions_on_refreshes(spark):
+    stale = spark.createDataFrame([(c,) for c in "abcdefg"], "doc_id string")
+    rows = [("a", "a", "keep", False, None), ("b", "b", "keep", None, None), ("c", "x", "keep", False, None), ("d", "d", "rewrite", None, "new"), ("e", "e", "rewrite", None, ""), ("f", "f", "archive", None, None)]
+    out = decisions.refreshes(stale, spark.createDataFrame(rows, "doc_id string, said_id string, action string, stale_after boolean, rewritten_body string"), 40, "now")
+    assert {r["doc_id"]: (r["outcome"], r["stale"]) for r in out.collect()} == {"a": ("keep", "false"), "b": ("keep", "true"), "c": ("error", None), "d": ("refresh", "false"), "e": ("error", None), "f": ("archive", "true"), "g": ("wait", None)}
+    base = spark.createDataFrame([(c, "old", {}, True) for c in "abcdefgh"], "doc_id string, body string, metadata map<string,string>, enabled boolean")
+    state = {r["doc_id"]: r for r in decisions.refreshed(base, out, "now").collect()}
+    assert state["d"]["body"] == "new" and state["d"]["metadata"] == {"stale": "false", "last_refreshed_at": "now", "consolidated_at": "now"} and not state["f"]["enabled"] and state["h"]["metadata"] == {} and state["e"]["body"] == "old"
+
+
+def test_evidence_and_occurrences(spark):
+    failed = spark.createDataFrame([("s", f"e{k % 8}", f"log{k % 9}") for k in range(40)] + [("t", None, "log1"), ("u", "", None)], "signature string, excerpt string, log_path string")
+    found = {r["signature"]: r for r in healing.evidence(failed).collect()}
+    assert found["s"]["excerpts"] == ["e0", "e1", "e2", "e3", "e4"] and found["s"]["n_excerpts"] == 8 and found["s"]["logs"] == ["log4", "log5", "log6", "log7", "log8"] and found["t"]["n_excerpts"] is None and "u" not in found
+    before = spark.createDataFrame([("s", k, 1, 1) for k in range(60)], "signature string, at_ms long, attempts long, n_entities long")
+    raised = spark.createDataFrame([("s", 9, 2)], "signature string, attempts long, n_entities long")
+    kept = healing.occurrences(before, raised, 100).collect()
+    assert len(kept) == 50 and max(r["at_ms"] for r in kept) == 100 and min(r["at_ms"] for r in kept) == 11
+
+
+def test_saved_documents_tell_what_failed(spark):
+    rows = [("s", "a", "text", None), ("s", "b", " ", None), ("s", "c", "text", {"tags": "x"}), ("s", "d", "text", {"odd": "x"}), ("none", "e", "text", {"tags": "x"}), ("s", None, "text", {"tags": "x"}), ("s", "g", "x" * 11, {})]
+    fields = spark.createDataFrame([("s", ["tags"])], "slot string, names array<string>")
+    out = store.saved(spark.createDataFrame(rows, "slot string, name string, text string, metadata map<string,string>"), fields, 10).collect()
+    assert [(r["name"], r["document_ok"], r["metadata_ok"], r["ok"]) for r in sorted(out, key=lambda r: r["name"] or "z")] == [
+        ("a", True, True, True), ("b", False, True, False), ("c", True, True, True), ("d", True, False, False), ("e", True, False, False), ("g", False, True, False), (None, False, False, False)]
