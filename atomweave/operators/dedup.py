@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import LESSON
-from ..session import shared_folder
+from ..session import checkpointed
 
 PASS_RANK = {"sha256": 0, "lesson-key": 1, "similarity": 2}
 
@@ -51,13 +51,10 @@ def ultimate_keepers(pairs: DataFrame) -> DataFrame:
     """Retained pairs, re-pointed to the keeper at the end of each loser's chain, by doubling: each turn halves every chain
     that is left. Chains are acyclic, as keepers are newer, or equal and smaller. Pointers are written to the session's
     checkpoint folder each turn, so that plans stay short and a lost executor costs one turn."""
-    spark = pairs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    now = pairs.select("loser_id", "keeper_id", "source_pass").checkpoint()
+    now = checkpointed(pairs.select("loser_id", "keeper_id", "source_pass"))
     while True:
         ahead = now.select(F.col("loser_id").alias("keeper_id"), F.col("keeper_id").alias("next"))
-        stepped = now.join(ahead, "keeper_id", "left").select("loser_id", F.coalesce("next", "keeper_id").alias("keeper_id"), "source_pass", F.col("next").isNotNull().alias("moved")).checkpoint()
+        stepped = checkpointed(now.join(ahead, "keeper_id", "left").select("loser_id", F.coalesce("next", "keeper_id").alias("keeper_id"), "source_pass", F.col("next").isNotNull().alias("moved")))
         now = stepped.drop("moved")
         if not stepped.where("moved").limit(1).count():
             return now

@@ -222,14 +222,24 @@ def meetings(rows: DataFrame, keys: list[str], id_: str, count: str, kept: list[
 SAMPLE, HOT_COUNT, HOT_WORDS = 16, 2, 200_000
 
 
-def classed(leaves: DataFrame) -> DataFrame:
-    """(slot, doc_id, created_at_ms, rep, members, tokens): documents with the class of their set of words, in one slot. The
-    newest of a class, then the smallest id, stands for it. Texts without words are in none."""
+def word_sets(leaves: DataFrame) -> DataFrame:
+    """(slot, doc_id, created_at_ms, set, tokens): the words of each body as a checksum of them all and as sorted hashes. Texts
+    without words have none."""
     sets = leaves.select("slot", "doc_id", "created_at_ms", F.array_sort(F.array_distinct(words(F.col("body")))).alias("words")).where(F.size("words") > 0)
-    sets = sets.select("slot", "doc_id", "created_at_ms", F.md5(F.array_join("words", " ")).alias("set"), F.transform("words", lambda w: F.xxhash64(w)).alias("tokens"))
+    return sets.select("slot", "doc_id", "created_at_ms", F.md5(F.array_join("words", " ")).alias("set"), F.transform("words", lambda w: F.xxhash64(w)).alias("tokens"))
+
+
+def representatives(leaves: DataFrame) -> DataFrame:
+    """(slot, set, rep, members, tokens) of classes of documents of one slot with equal sets of words. The newest of a class,
+    then the smallest id, stands for it. Copies are put together before the shuffle."""
     first = F.min(F.struct((-F.col("created_at_ms")).alias("age"), "doc_id"))
-    reps = sets.groupBy("slot", "set").agg(first.alias("first"), F.count("*").alias("members")).select("slot", "set", F.col("first.doc_id").alias("rep"), "members")
-    return sets.join(reps, ["slot", "set"]).select("slot", "doc_id", "created_at_ms", "rep", "members", "tokens")
+    found = word_sets(leaves).groupBy("slot", "set").agg(first.alias("first"), F.count("*").alias("members"), F.first("tokens").alias("tokens"))
+    return found.select("slot", "set", F.col("first.doc_id").alias("rep"), "members", "tokens")
+
+
+def classed(leaves: DataFrame, reps: DataFrame) -> DataFrame:
+    """(slot, doc_id, created_at_ms, rep, members): documents with their class; those without words are in none."""
+    return word_sets(leaves).drop("tokens").join(reps.select("slot", "set", "rep", "members"), ["slot", "set"]).drop("set")
 
 
 def frequent_words(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +272,7 @@ def prefixes(reps: DataFrame, least: float, hot: tuple[np.ndarray, np.ndarray])
     return reps.select("slot", "rep", "tokens").mapInArrow(run, "slot string, rep string, n int, prefix array<long>")
 
 
-def likeness(classes: DataFrame, least: float) -> DataFrame:
+def likeness(reps: DataFrame, least: float) -> DataFrame:
     """(slot, a, b, score) with a < b: Jaccard likeness of the words of whole bodies, for all pairs of class representatives
     of one slot that reach ``least``. Members of a class are as like others as their representative is.
 
@@ -270,7 +280,7 @@ def likeness(classes: DataFrame, least: float) -> DataFrame:
     one of their first ``n - ceil(least n) + 1`` words. They meet at such a word if their sizes, and what is left behind it,
     can still reach the score; the sets themselves are joined to the pairs that are left."""
     t = least - 10.0**-DIGITS  # rounding may lift a score to the threshold
-    reps = classes.where("doc_id = rep").select("slot", "rep", "tokens")
+    reps = reps.select("slot", "rep", "tokens")
     posted = prefixes(reps, t, frequent_words(reps)).select("slot", "rep", "n", F.posexplode("prefix").alias("at", "token"))
     several = posted.groupBy("slot", "token").agg(F.count("*").alias("df")).where("df > 1")
     reach = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= (F.col("a_n") + F.col("b_n")) * (t / (1 + t))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, dedup, lifecycle, retrieve, store
 from ..operators.leaf import leaves, resolved_policies, slots
 from ..schema import ARCHIVE_DAYS, BODY_CHARS, CLUSTER_RESULTS, CLUSTER_SCORE, LORE_DAYS, MERGE_SCORE, METADATA_FIELDS, STALE_MONTHS
+from ..session import checkpointed
 from .base import LEAF, NOW, query
 
 SHA = """sha AS (
@@ -35,8 +36,9 @@ retained AS (SELECT loser_id, keeper_id, source_pass FROM pairs QUALIFY row_numb
 
 
 def alike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = retrieve.classed(leaves(spark, sf_dir))
-    return dedup.similarity_pairs(retrieve.likeness(classes, MERGE_SCORE), classes, MERGE_SCORE)
+    docs = leaves(spark, sf_dir)
+    reps = checkpointed(retrieve.representatives(docs))
+    return dedup.similarity_pairs(retrieve.likeness(reps, MERGE_SCORE), retrieve.classed(docs, reps), MERGE_SCORE)
 
 
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +66,9 @@ def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 met AS (SELECT x.doc_id, y.doc_id AS other, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS score FROM t x JOIN t y ON x.slot = y.slot AND x.term = y.term AND x.doc_id <> y.doc_id GROUP BY 1, 2)
 SELECT doc_id, CAST(row_number() OVER w AS INTEGER) AS rank, other, score FROM met WHERE score >= {CLUSTER_SCORE} WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= {CLUSTER_RESULTS}""")
 def cluster_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = retrieve.classed(leaves(spark, sf_dir))
-    return retrieve.clusters(retrieve.likeness(classes, CLUSTER_SCORE), classes, CLUSTER_RESULTS, CLUSTER_SCORE)
+    docs = leaves(spark, sf_dir)
+    reps = checkpointed(retrieve.representatives(docs))
+    return retrieve.clusters(retrieve.likeness(reps, CLUSTER_SCORE), retrieve.classed(docs, reps), CLUSTER_RESULTS, CLUSTER_SCORE)
 
 
 @query(f"""WITH RECURSIVE {ALL_PAIRS},

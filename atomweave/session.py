@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own: list[str] = []
@@ -25,6 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that what follows doesn't compute it again, nor does the loss of an executor."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any store that Spark knows."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -49,7 +49,8 @@ def test_long_chains_are_followed(spark):
 
 def test_similarity_reaches_the_threshold(spark):
     edges = spark.createDataFrame([("q", "a", 0.88), ("q", "b", 0.5)], "a string, b string, score double")
-    classes = retrieve.classed(leaves(spark, {"doc_id": "q", "created_at_ms": NOW + 5, "body": "x"}, {"doc_id": "a", "body": "y"}, {"doc_id": "b", "body": "z"}, {"doc_id": "c", "body": "Z, z"}))
+    docs = leaves(spark, {"doc_id": "q", "created_at_ms": NOW + 5, "body": "x"}, {"doc_id": "a", "body": "y"}, {"doc_id": "b", "body": "z"}, {"doc_id": "c", "body": "Z, z"})
+    classes = retrieve.classed(docs, retrieve.representatives(docs))
     assert pairs(dedup.similarity_pairs(edges, classes, 0.88)) == [("b", "c"), ("q", "a")]
 
 
@@ -239,11 +240,12 @@ def like_pairs(sets, least):
 
 def expanded(spark, docs, least):
     """All pairs of documents that edges between representatives and memberships stand for."""
-    classes = retrieve.classed(docs)
+    reps = retrieve.representatives(docs)
+    classes = retrieve.classed(docs, reps)
     members = {}
     for r in classes.collect():
         members.setdefault(r["rep"], []).append(r["doc_id"])
-    edges = [(r["a"], r["b"], r["score"]) for r in retrieve.likeness(classes, least).collect()]
+    edges = [(r["a"], r["b"], r["score"]) for r in retrieve.likeness(reps, least).collect()]
     assert len(edges) == len(set(edges)) and all(a < b for a, b, _ in edges)
     out = [(min(x, y), max(x, y), s) for a, b, s in edges for x in members[a] for y in members[b]]
     return sorted(out + [(x, y, 1.0) for of in members.values() for x in of for y in of if x < y])
@@ -257,9 +259,10 @@ def test_likeness_finds_pairs_whose_words_are_all_common(spark):
     sets = {r["doc_id"]: set((r.get("body") or "").split()) - {"-"} for r in rows if r["doc_id"] != "o"}
     for least in (0.5, 0.88, 0.93, 0.958333):
         assert expanded(spark, docs, least) == sorted(like_pairs(sets, least))
-    classes = retrieve.classed(docs)
+    reps = retrieve.representatives(docs)
+    classes = retrieve.classed(docs, reps)
     assert {r["rep"] for r in classes.where("doc_id like 'c%'").collect()} == {"c29"}
-    found = retrieve.clusters(retrieve.likeness(classes, 0.5), classes, 12, 0.5).collect()
+    found = retrieve.clusters(retrieve.likeness(reps, 0.5), classes, 12, 0.5).collect()
     want = {}
     for a, b, score in like_pairs(sets, 0.5):
         want.setdefault(a, []).append((-score, b))
