@@ -209,20 +209,30 @@ def remember(machine: Machine, texts: list[list[list[str]]], cache: dict[str, Hi
         cache.update(zip(fresh, machine.hits([bare(t) for t in fresh]), strict=True))
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Newton's method on the active set; the last component is the offset."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    penalty = ridge * np.eye(x.shape[1])
+def squared_hinge(x: np.ndarray, root: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> tuple[np.ndarray, float]:
+    """Newton's method on the active set, for the rows of ``x @ root`` and an offset. Sums of products are taken from a few
+    thousand rows at a time and turned by the root afterwards, so that no second table as large as ``x`` is made. Gives the
+    weights of x's columns, and the offset."""
+    n = x.shape[1]
+    turned = np.eye(n + 1)
+    turned[:n, :n] = root
+    penalty = ridge * np.eye(n + 1)
     penalty[-1, -1] = 1e-6
-    beta, active = np.zeros(x.shape[1]), np.ones(len(x), bool)
+    active = np.ones(len(x), bool)
     for _ in range(rounds):
-        xa = x[active] * weight[active, None]
-        beta = np.linalg.solve(penalty + xa.T @ x[active], xa.T @ y[active])
-        now = y * (x @ beta) < 1
+        gram, right = np.zeros((n + 1, n + 1)), np.zeros(n + 1)
+        for k in range(0, len(x), 4096):
+            at = k + np.flatnonzero(active[k : k + 4096])
+            some = np.hstack([x[at], np.ones((len(at), 1))])
+            weighted = some.T * weight[at]
+            gram += weighted @ some
+            right += weighted @ y[at]
+        beta = turned @ np.linalg.solve(penalty + turned.T @ gram @ turned, turned.T @ right)
+        now = y * (x @ beta[:-1].astype(np.float32) + beta[-1]) < 1
         if (now == active).all():
             break
         active = now
-    return beta
+    return beta[:-1], float(beta[-1])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
@@ -244,34 +254,39 @@ def disguised(word: str, turn: np.random.Generator) -> list[str]:
 
 @dataclass
 class Corpus:
-    """Training documents as numbers: the words of each sentence, the document of each sentence, and the label of each document."""
+    """Training documents as numbers: words, the words of all sentences one after the other, where each sentence starts and the
+    document it is of, and the label of each document."""
 
     words: list[str]
-    sentences: list[np.ndarray]
+    tokens: np.ndarray
+    starts: np.ndarray
     document: np.ndarray
     label: np.ndarray
 
     @staticmethod
-    def of(texts: list[str], labels: list[int]) -> Corpus:
+    def of(texts: Iterable[str], labels: Iterable[int]) -> Corpus:
         once = {t.lower(): int(y) for t, y in zip(texts, labels, strict=True)}  # copies teach nothing more
         number: dict[str, int] = {}
-        sentences, document = [], []
+        tokens, sizes, document = [], [], []
         for k, text in enumerate(once):
-            for tokens in parsed(text):
-                found = {number.setdefault(w, len(number)) for t in tokens if (w := bare(t))}
+            of_text: list[int] = []
+            for sentence in parsed(text):
+                found = {number.setdefault(w, len(number)) for t in sentence if (w := bare(t))}
                 if found:
-                    sentences.append(np.fromiter(found, np.int32, len(found)))
+                    of_text += found
+                    sizes.append(len(found))
                     document.append(k)
-        return Corpus(list(number), sentences, np.array(document, np.int32), np.array(list(once.values()), float))
+            tokens.append(np.array(of_text, np.int32))
+        return Corpus(list(number), np.concatenate([np.empty(0, np.int32), *tokens]), np.r_[0, np.cumsum(sizes, dtype=np.int64)].astype(np.int64), np.array(document, np.int32), np.array(list(once.values()), float))
 
 
 def landmark_words(corpus: Corpus) -> list[str]:
     """Words that speak for toxicity, none near a stronger one, and clean words near one of them."""
     n_words, n_docs = len(corpus.words), len(corpus.label)
     toxic, clean = np.zeros(n_words), np.zeros(n_words)
-    starts = np.flatnonzero(np.r_[True, corpus.document[1:] != corpus.document[:-1]])
-    for a, b in zip(starts, [*starts[1:], len(corpus.sentences)], strict=True):
-        has = np.unique(np.concatenate(corpus.sentences[a:b]))
+    first = np.flatnonzero(np.r_[True, corpus.document[1:] != corpus.document[:-1]])
+    for a, b in zip(first, [*first[1:], len(corpus.document)], strict=True):
+        has = np.unique(corpus.tokens[corpus.starts[a] : corpus.starts[b]])
         (toxic if corpus.label[corpus.document[a]] else clean)[has] += 1
     chance = (toxic + clean) * corpus.label.sum() / n_docs
     strength = (toxic - chance) / np.sqrt(chance)
@@ -296,9 +311,34 @@ def landmark_words(corpus: Corpus) -> list[str]:
 
 
 def train(texts: list[str], labels: list[int]) -> Machine:
+    return learned(Corpus.of(texts, labels))
+
+
+def sentence_vectors(corpus: Corpus, machine: Machine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sentences that are near a landmark, the vectors of these and of disguised toxic ones, and which sentence each disguise is of."""
+    hits = machine.hits(corpus.words)
+    label = corpus.label[corpus.document]
+    told = np.array([h is not None for h in hits], bool)[corpus.tokens]
+    at = np.unique(np.searchsorted(corpus.starts, np.flatnonzero(told), side="right") - 1)
+    turn = np.random.default_rng(7)
+    size = len(machine.weights)
+    plain = np.zeros((len(at), size), np.float32)
+    shown, of = [], []
+    for row, k in enumerate(at.tolist()):
+        heard = [(w, hits[w]) for w in corpus.tokens[corpus.starts[k] : corpus.starts[k + 1]].tolist() if hits[w] is not None]
+        plain[row] = pool([h for _, h in heard], size)
+        if label[k]:  # the strongest word disguised
+            word, _ = max(heard, key=lambda h: float(h[1][2].max()))
+            others = [h for w, h in heard if w != word]
+            for other in machine.hits(disguised(corpus.words[word], turn)):
+                shown.append(pool([*others, other] if other else others, size))
+                of.append(row)
+    return at, np.vstack([plain, *shown, np.zeros((2, size), np.float32)]), np.array(of, int)
+
+
+def learned(corpus: Corpus) -> Machine:
     never = Machine(Landmarks.of(["-"]), np.zeros(1, np.float32), LOW, np.array([0.0] * TOP + [-30.0]))
-    corpus = Corpus.of(texts, labels)
-    if not corpus.sentences or corpus.label.min() == corpus.label.max():
+    if not len(corpus.document) or corpus.label.min() == corpus.label.max():
         return never
     names = landmark_words(corpus)
     if not names:
@@ -307,43 +347,30 @@ def train(texts: list[str], labels: list[int]) -> Machine:
     values, vectors = np.linalg.eigh(landmarks.likeness(names).astype(float) + 1e-3 * np.eye(len(names)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     machine = Machine(landmarks, np.zeros(len(names), np.float32), 0.0, never.curve)
-    hits = machine.hits(corpus.words)
 
-    # sentences as vectors; those that are near no landmark are all alike, and are one instance with their number as weight
-    heard = [[(w, hits[w]) for w in s.tolist() if hits[w] is not None] for s in corpus.sentences]
-    told = np.array([bool(h) for h in heard])
+    # sentences that are near no landmark are all alike, and are one instance with their number as weight
+    at, every, of = sentence_vectors(corpus, machine)
+    x = every[: len(at)]
     label = corpus.label[corpus.document]
     share = 1 / np.bincount(corpus.document, minlength=len(corpus.label))[corpus.document]
-    at = np.flatnonzero(told)
-    x = np.vstack([pool([h for _, h in heard[k]], len(names)) for k in at]) if len(at) else np.zeros((0, len(names)), np.float32)
-    turn = np.random.default_rng(7)
-    shown, of = [], []  # toxic sentences whose strongest word is disguised
-    for row, k in enumerate(at):
-        if label[k]:
-            word, strongest = max(heard[k], key=lambda h: float(h[1][2].max()))
-            others = [h for w, h in heard[k] if w != word]
-            for other in machine.hits(disguised(corpus.words[word], turn)):
-                shown.append(pool([*others, other] if other else others, len(names)))
-                of.append(row)
-    disguises = np.vstack(shown) if shown else np.zeros((0, len(names)), np.float32)
-    every = np.vstack([x, disguises, np.zeros((2, len(names)), np.float32)]) @ root
     positive = label[at] == 1
     weight = np.where(positive, share[at] * len(at) / max(1, len(corpus.label)), 1.0)
+    untold = (label == 0).sum() - (label[at] == 0).sum()
     for _ in range(3):
-        sign = np.r_[np.where(positive, 1.0, -1.0), np.ones(len(disguises)), 1.0, -1.0]
+        sign = np.r_[np.where(positive, 1.0, -1.0), np.ones(len(of)), 1.0, -1.0]
         left_out = (label[at] == 1) & ~positive
-        w = np.r_[np.where(left_out, 0.0, weight), 0.25 * np.where(positive, weight, 0.0)[np.array(of, int)], 0.0, (~told & (label == 0)).sum()]
+        w = np.r_[np.where(left_out, 0.0, weight), 0.25 * np.where(positive, weight, 0.0)[of], 0.0, untold]
         for side in (1.0, -1.0):  # both kinds weigh alike
             w[sign == side] *= len(at) / 2 / max(1e-9, w[sign == side].sum())
-        beta = squared_hinge(every, sign, w)
-        machine.weights, machine.offset = (root @ beta[:-1]).astype(np.float32), float(beta[-1])
+        weights, machine.offset = squared_hinge(every, root, sign, w)
+        machine.weights = weights.astype(np.float32)
         margin = x @ machine.weights + machine.offset
         best = np.full(len(corpus.label), -np.inf)
         np.maximum.at(best, corpus.document[at], margin)
         positive = (label[at] == 1) & ((margin > 0) | (margin >= best[corpus.document[at]]))
         weight = np.ones(len(at))
     # documents
-    of_sentence = np.full(len(corpus.sentences), machine.offset)
+    of_sentence = np.full(len(corpus.document), machine.offset)
     of_sentence[at] = x @ machine.weights + machine.offset
     of_sentence = np.clip(of_sentence, LOW, HIGH)
     order = np.lexsort((-of_sentence, corpus.document))
@@ -362,8 +389,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, key: st
     some = known.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(TRAIN_DOCS).dropDuplicates([key])
     rows = docs.where(F.length(text) <= TRAIN_CHARS).select(key, F.col(text).alias("t")).join(F.broadcast(some), key).select("t", "y").collect()  # TRAIN_DOCS rows by TRAIN_CHARS
     rows.sort()
-    machine = train([r["t"] for r in rows], [r["y"] for r in rows])
+    corpus = Corpus.of((r["t"] for r in rows), (r["y"] for r in rows))
     del rows
+    give_back()
+    machine = learned(corpus)
+    del corpus
     give_back()  # the driver lives on for other stages
     return machine
 
