@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fim, htmltext, licenses, secrets, setjoin, sharding, tokencount, topk, toxicity
+from . import bpe, decontaminate, fim, htmltext, licenses, secrets, setjoin, sharding, tokencount, topk, toxicity, vptree
 from .common import cut, scratch, sized, small_batches
 
 N_SHARDS = 24
@@ -83,9 +83,34 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.transform(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_toxicity, op4_exact_topk, op5_ngram_jaccard, op6_token_counts, op7_secrets, op8_decontaminate, op9_licenses, op10_html_text, op11_fill_in_middle)}
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_toxicity, op4_exact_topk, op5_ngram_jaccard, op6_token_counts, op7_secrets, op8_decontaminate, op9_licenses, op10_html_text, op11_fill_in_middle, op12_centroid_clusters)}
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_INNER = "list_sum(list_transform(range(1, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i])))"
+
+
+def cluster_sql(rounds: int) -> str:
+    """Rounds one after the other, each over all pairs of vectors and centroids."""
+    nearest = "n{r} AS (SELECT vec_id, x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, row, x, c, {inner} AS d FROM v, c{r}) GROUP BY vec_id, row, x)"
+    steps = [nearest.format(r=0, inner=_INNER)]
+    for r in range(rounds):
+        steps.append(f"""m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS y FROM (SELECT c, pos, sum(e) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS e, generate_subscripts(x, 1) AS pos FROM n{r}) GROUP BY 1, 2) GROUP BY 1),
+c{r + 1} AS (SELECT c{r}.c, coalesce(CAST(m{r}.y AS BIGINT[]), c{r}.y) AS y FROM c{r} LEFT JOIN m{r} ON m{r}.c = c{r}.c)""")
+        steps.append(nearest.format(r=r + 1, inner=_INNER))
+    return f"""
+WITH v AS (SELECT vec_id, row_number() OVER () AS row, CAST(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS BIGINT[]) AS x FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS y FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v ORDER BY h, x LIMIT 16)),
+{", ".join(steps)}
+SELECT vec_id, CAST(n{rounds}.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY n{rounds}.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(y, ',')) AS centroid_sha256 FROM n{rounds} JOIN c{rounds} ON c{rounds}.c = n{rounds}.c
+"""
+
+
 ORACLES: dict[str, str] = {
     "op4_exact_topk": """
 WITH v AS (SELECT vec_id, CAST(list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS e FROM embeddings
@@ -132,6 +157,7 @@ o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
        sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o
 """,
+    "op12_centroid_clusters": cluster_sql(3),
 }
 
 
