@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fim, htmltext, licenses, secrets, setjoin, sharding, tokencount, topk, toxicity, vptree
+from ..session import checkpointed
+from . import bpe, decontaminate, fim, htmltext, licenses, secrets, setjoin, sharding, tokencount, topk, toxicity, vptree, warc
 from .common import cut, scratch, sized, small_batches
 
 N_SHARDS = 24
@@ -87,7 +88,14 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_toxicity, op4_exact_topk, op5_ngram_jaccard, op6_token_counts, op7_secrets, op8_decontaminate, op9_licenses, op10_html_text, op11_fill_in_middle, op12_centroid_clusters)}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    with scratch(spark) as folder:
+        warc.write_archives(pages, f"{folder}/archives")
+        return checkpointed(warc.digests(warc.read_records(spark, f"{folder}/archives", payloads=False), pages))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_toxicity, op4_exact_topk, op5_ngram_jaccard, op6_token_counts, op7_secrets, op8_decontaminate, op9_licenses, op10_html_text, op11_fill_in_middle, op12_centroid_clusters, op13_warc)}
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _INNER = "list_sum(list_transform(range(1, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i])))"
@@ -158,6 +166,13 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
        sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o
 """,
     "op12_centroid_clusters": cluster_sql(3),
+    "op13_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((CAST('0x' || h[5 * (i // 4) + 1:5 * (i // 4) + 5] AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1]), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+""",
 }
 
 
