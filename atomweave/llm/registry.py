@@ -183,18 +183,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked or equal documents, the one with the smallest id. Rows that repeat an id and text leave one; documents
-    without words, and rows without an id, stay."""
+    """Of linked or equal documents, the one with the smallest id. Rows that repeat an id and text leave one, whatever their other
+    columns; documents without words, and rows without an id, stay."""
     small_batches(spark)
     found = setjoin.link_components(docs).where((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
     found = cut(found, "copies")
     kept = docs.join(sized(found, found.count()), "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates() if repeats(kept) else kept
+    several = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    several = cut(several, "repeated")
+    n = several.count()
+    return first_of_repeats(kept, sized(several, n)) if n else kept
 
 
-def repeats(docs: DataFrame) -> bool:
-    """Whether any id occurs twice."""
-    return bool(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count())
+def first_of_repeats(docs: DataFrame, several: DataFrame) -> DataFrame:
+    """One row for each id and text of the ids in ``several``: the first by the text form of all columns; other rows as they are. Rows are put together
+    where they are read, before they are shuffled, so a row that repeats often costs little."""
+    again = docs.join(several, "doc_id", "left_semi")
+    other = docs.join(several, "doc_id", "left_anti").select(*docs.columns)
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    form = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(docs.columns)])), 256)
+    first = again.groupBy("doc_id", F.sha2(F.coalesce("text", F.lit("\0")), 256).alias("text_")).agg(F.min_by(whole, form).alias("row_"))
+    return other.unionByName(first.select("row_.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -203,8 +212,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced in their texts and lengths brought up to date."""
+    """All documents, with secrets replaced in their texts and lengths, where there is a column of them, brought up to date."""
     out = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return out.select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -10,13 +10,21 @@ All candidates that can be members are then scored exactly, so that neither quan
 Query blocks meet candidate blocks in a keyed shuffle; each pair of blocks is one group of bounded size and returns at
 most k rows for each query, of which the best k are kept. Blocks have a fixed size, so their number grows with the table.
 
+Sums of a block whose components are small enough for any bound to stay below 2^53 are taken in 64 bits, where they are exact. A pair of
+blocks with larger components is scored whole in integers of any length. A component beyond 2^62 after quantising is an error; a score that
+doesn't fit in a long is null, but ranked by its exact value.
+
 Edge cases: vectors that are null, or hold null or components that aren't finite, take no part; shorter vectors count as
 padded by noughts; a query's own row, that is every row with its vec_id, isn't a candidate; fewer candidates than k give
-fewer rows; ties go to the smaller vec_id; rows that repeat are candidates each; queries that repeat count once.
+fewer rows; ties go to the smaller vec_id; rows that repeat are candidates each; queries that repeat count once, the first of an id by its vector. Blocks go by hash of id and vector, and where one id has
+many rows, equal rows are put together before and counted, so that no block grows with them.
 """
 
 from __future__ import annotations
 
+import heapq
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -29,6 +37,8 @@ K, SCALE, QUERY_EVERY = 10, 1024, 100
 CANDIDATE_BLOCK, QUERY_BLOCK, LEVELS = 8_192, 8_192, 24
 #: Segments between tests for a stop, and the share of candidates that may be left for exact scores.
 TEST_EVERY, LEFT = 48, 0.02
+#: Quantised components at most; sums that doubles hold exactly; what fits in a long.
+WIDE, EXACT, LONG = 2**62, 2**53, 2**63 - 1
 
 
 class ImpactIndex:
@@ -95,7 +105,9 @@ class ImpactIndex:
 
 def usable(vectors: DataFrame, vector: str) -> DataFrame:
     fine = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(fine).withColumn(vector, F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE)))
+    too_wide = F.raise_error(F.lit("a component is beyond 2^62 after quantising")).cast("long")
+    scaled = lambda x: x.cast("double") * SCALE
+    return vectors.where(fine).withColumn(vector, F.transform(vector, lambda x: F.when(F.abs(scaled(x)) > float(WIDE), too_wide).otherwise(F.floor(scaled(x)))))
 
 
 def stacked(values: pd.Series, width: int) -> np.ndarray:
@@ -105,27 +117,54 @@ def stacked(values: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def narrow(queries: np.ndarray, candidates: np.ndarray) -> bool:
+    """Whether every sum over a query's weights times ranges and steps of the candidates stays exact in doubles."""
+    largest = [max((int(x.max(initial=0)), -int(x.min(initial=0)))) + 1 for x in (queries, candidates)]
+    return 8 * largest[0] * largest[1] * max(1, queries.shape[1]) < EXACT
+
+
+def all_scores(query: list[int], ids: np.ndarray, vectors: list[list[int]], own: int, k: int) -> list[tuple[int, int]]:
+    """(id, score) of the k best, in integers of any length."""
+    scored = ((-sum(a * b for a, b in zip(query, v, strict=True)), i) for i, v in zip(ids.tolist(), vectors, strict=True) if i != own)
+    return [(i, -s) for s, i in heapq.nsmallest(k, scored)]
+
+
 def search(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", every: int = QUERY_EVERY) -> DataFrame:
     """(query_id, rank, key, score) for the rows whose id is divisible by ``every``, against all other rows."""
-    rows = usable(vectors.select(key, vector).where(F.col(key).isNotNull()), vector)
-    n = rows.count()
-    n_candidates, n_queries = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-n // (QUERY_BLOCK * every)))
-    block = lambda count: F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(count)).cast("int")
-    queries = rows.where(F.col(key) % every == 0).dropDuplicates([key]).withColumn("qb", block(n_queries)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
-    candidates = rows.withColumn("cb", block(n_candidates)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+    named = vectors.select(key, vector).where(F.col(key).isNotNull())
+    rows = usable(named, vector)
+    asked = F.col(key) % every == 0
+    n, n_asked, most = rows.count(), named.where(asked).select(key).distinct().count(), named.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    times = F.lit(1)
+    if most > CANDIDATE_BLOCK // 8:
+        rows, times = rows.groupBy(key, vector).agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times")), F.col("times")  # more than k of a row are never seen
+    n_candidates, n_queries = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
+    block = lambda count, *of: F.pmod(F.xxhash64(*of), F.lit(count)).cast("int")
+    queries = rows.where(asked).groupBy(key).agg(F.min(vector).alias(vector)).withColumn("qb", block(n_queries, key)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
+    candidates = rows.select(key, vector, times.alias("times"), block(n_candidates, key, vector).alias("cb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", key, "score"]
+        names = ["query_id", key, "score", "exact"]
         if not len(left) or not len(right):
             return pd.DataFrame({name: np.empty(0, np.int64) for name in names})
         width = max(left[vector].map(len).max(), right[vector].map(len).max())
-        index = ImpactIndex(right[key].to_numpy(np.int64), stacked(right[vector], width))
+        right = right.loc[right.index.repeat(right["times"])]
+        asked, there, ids = stacked(left[vector], width), stacked(right[vector], width), right[key].to_numpy(np.int64)
         out = []
-        for query_id, query in zip(left[key].to_numpy(np.int64), stacked(left[vector], width), strict=True):
-            ids, scores = index.search(query, query_id, k)
-            out.append(pd.DataFrame({"query_id": query_id, key: ids, "score": scores}))
-        return pd.concat(out)
-
-    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(pair, f"query_id long, {key} {column_type(vectors, key)}, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
+        if narrow(asked, there):
+            index = ImpactIndex(ids, there)
+            for query_id, query in zip(left[key].to_numpy(np.int64), asked, strict=True):
+                found, scores = index.search(query, query_id, k)
+                out.append(pd.DataFrame({"query_id": query_id, key: found, "score": scores}))
+            return pd.concat(out).assign(exact=None)[names]
+        whole = there.tolist()
+        for query_id, query in zip(left[key].tolist(), asked.tolist(), strict=True):
+            out += [(query_id, i, s) for i, s in all_scores(query, ids, whole, query_id, k)]
+        fits = pd.array([s if -LONG - 1 <= s <= LONG else None for _, _, s in out], "Int64")
+        return pd.DataFrame({"query_id": pd.array([x[0] for x in out], "int64"), key: pd.array([x[1] for x in out], "int64"), "score": fits, "exact": [Decimal(x[2]) for x in out]})
+
+    anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides come from one table
+    found = anew(queries).groupBy("qb", "cb").cogroup(anew(candidates).groupBy("qb", "cb")).applyInPandas(pair, f"query_id long, {key} {column_type(vectors, key)}, score long, exact decimal(38,0)")
+    by_score = F.coalesce("exact", F.col("score").cast("decimal(38,0)"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(by_score.desc(), key)))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", key, "score")

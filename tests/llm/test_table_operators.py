@@ -76,6 +76,48 @@ def test_search_is_exact_with_ties(spark, monkeypatch, n, d, step):
     assert got == best_by_brute_force(rows, 10)
 
 
+def scored_plainly(rows, k, every=100):
+    """In integers of any length: {query: [(rank, id, score)]}, scores beyond a long as None."""
+    whole = [(i, [int(np.floor(x * 1024.0)) for x in v]) for i, v in rows]
+    out = {}
+    for q, x in {i: v for i, v in sorted(whole, reverse=True) if i % every == 0}.items():
+        scored = sorted((-sum(a * b for a, b in zip(x, v, strict=False)), i) for i, v in whole if i != q)[:k]
+        out[q] = [(n + 1, i, -s if -(2**63) <= -s < 2**63 else None) for n, (s, i) in enumerate(scored)]
+    return out
+
+
+def found_by_search(frame_, k=10):
+    got = {}
+    for r in sorted(topk.search(frame_, k).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return got
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e3, 1e6, 1e9, 1e12, 1e15])
+def test_search_is_exact_at_any_scale(spark, monkeypatch, scale):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 64)
+    turn = np.random.default_rng(3)
+    values = turn.normal(size=(205, 5)) * scale
+    values[::7] *= 1e-3 / scale  # some small among large
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(values)]
+    assert found_by_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == scored_plainly(rows, 10)
+
+
+def test_large_components(spark):
+    rows = [(0, [3e6]), (1, [2e6]), (2, [-1e6]), (3, [1.0])]
+    assert found_by_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == scored_plainly(rows, 10)
+    with pytest.raises(Exception, match="beyond 2\\^62"):
+        topk.search(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_one_id_on_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    turn = np.random.default_rng(5)
+    rows = [(7, [1.0, 2.0])] * 60 + [(7, [float(x) for x in turn.integers(-3, 4, 2)]) for _ in range(40)] + [(100 * k, [float(x) for x in turn.integers(-3, 4, 2)]) for k in range(30)]
+    assert found_by_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == scored_plainly(rows, 10)
+
+
 def test_odd_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.5]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0]), (6, []), (7, [-1.0, 2.0]), (7, [-1.0, 2.0]), (100, [0.0, 0.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -133,6 +175,24 @@ def test_links_equal_brute_force(spark, monkeypatch, seed, edits, words, members
     assert all(r["common"] == len(sets[r["a"]] & sets[r["b"]]) for r in rows)
 
 
+def test_repeated_rows_leave_one(spark):
+    from pyspark.sql import types as T
+
+    text = "one two three four five six seven eight nine ten"
+    docs = frame(spark, [text, text, text, "other words that stand alone here", "", None, None], [4, 4, 9, 4, 5, 5, 5])
+    docs = docs.withColumn("source", F.concat(F.lit("s"), F.monotonically_increasing_id().cast("string"))).withColumn("extra", F.create_map("source", "lang")).withColumn("row_", F.lit(1)).withColumn("n", F.lit(2))
+    kept = registry.keep_one_of_each_group(spark, docs.repartition(3), None)
+    assert kept.columns == docs.columns and kept.schema["extra"].dataType == T.MapType(T.StringType(), T.StringType(), True)
+    rows = kept.collect()
+    assert sorted((r["doc_id"], str(r["text"])) for r in rows) == sorted([(4, text), (4, "other words that stand alone here"), (5, ""), (5, "None")])
+
+
+def test_secrets_stage_without_lengths(spark):
+    docs = frame(spark, ["password = hunter2hunter2", None], [1, 2]).drop("n_chars")
+    out = registry.redact_secrets(spark, docs, None)
+    assert out.columns == docs.columns and by_id(out)[1]["text"].endswith("[SECRET]") and by_id(out)[2]["text"] is None
+
+
 def test_ids_that_repeat_or_lack(spark):
     one, other = "a b c d e f g h i j", "k l m n o p q r s t"
     found = setjoin.link_components(frame(spark, [one, other, other, one, one, None], [5, 5, 9, None, 7, 3])).collect()
