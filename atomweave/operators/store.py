@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import remove
+from ..sources.journal import Journal, LostRace
+
 
 def saved(incoming: DataFrame, fields: DataFrame, most: int) -> DataFrame:
     """(slot, name, document_ok, metadata_ok, ok) of documents (slot, name, text, metadata) to be saved: a document needs a name
@@ -98,33 +102,100 @@ def archived(base: DataFrame, pairs: DataFrame, at: str) -> DataFrame:
 
 
 class Snapshots:
-    """Versions of a table under one folder. A version counts once its number stands in the pointer table, which is
-    written last; readers see whole versions, and a writer that dies leaves none behind."""
+    """Versions of a table under one folder. A version's rows are written first, under a name of their own; the version counts
+    once its entry stands in the journal, so readers see whole versions, and a writer that dies leaves none behind.
+
+    A writer says which version its rows were made from. If another version came in between, ``commit`` raises LostRace and
+    removes what it wrote, so that no change is lost unseen. An entry keeps the number of the last batch of each stream; a batch
+    that comes again commits nothing.
+
+    ``buckets`` = (number, columns): rows are kept in so many files by hash of the columns, sorted by them, and read back as a bucketed
+    table, so that joins on these columns don't shuffle what is stored."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: tuple[int, tuple[str, ...]] | None = None):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.journal = Journal(spark, f"{self.path}/journal")
 
     def versions(self) -> list[int]:
-        try:
-            rows = self.spark.read.schema("version long, folder string").parquet(f"{self.path}/pointer").collect()  # one row for each commit
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return []
-            raise
-        self._folders = {r["version"]: r["folder"] for r in rows}
-        return sorted(self._folders)
+        return self.journal.versions()
+
+    def last(self) -> int:
+        return self.journal.last()
 
     def read(self, version: int | None = None) -> DataFrame:
-        known = self.versions()
+        known = self.last() if version is None else version
         if not known:
             raise ValueError(f"no version in {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{self._folders[known[-1] if version is None else version]}")
-
-    def commit(self, state: DataFrame, partition_by: str | None = None) -> int:
-        known = self.versions()
+        entry = self.journal.entry(known)
+        place = f"{self.path}/{entry['folder']}"
+        if self.buckets is None:
+            return self.spark.read.parquet(place)
+        number, columns = self.buckets
+        name, listed = f"v_{entry['folder'].removeprefix('data-')}", ", ".join(f"`{c}`" for c in columns)
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} ({entry['schema']}) USING parquet CLUSTERED BY ({listed}) SORTED BY ({listed}) INTO {number} BUCKETS LOCATION '{place}'")
+        return self.spark.table(name)
+
+    def seen(self, stream: str, batch: int) -> int | None:
+        """The last version, if this batch of the stream is in it already."""
+        known = self.last()
+        return known if known and self.journal.entry(known)["batches"].get(stream, -1) >= batch else None
+
+    def commit(self, state: DataFrame, partition_by: str | None = None, base: int | None = None, batch: tuple[str, int] | None = None, told: dict[str, int] | Callable[[], dict[str, int]] | None = None) -> int:
+        """Writes ``state`` as the next version and gives its number. ``base`` is the version it was made from, by default the last
+        one now; ``batch`` names a stream and a number; ``told`` are counts to keep with the version, or a function that gives them once the
+        rows are written."""
+        base = self.last() if base is None else base
+        if batch is not None and (done := self.seen(*batch)) is not None:
+            return done
+        before = self.journal.entry(base) if base else {"batches": {}}
         folder = f"data-{uuid.uuid4().hex}"
-        writer = state.write.partitionBy(partition_by) if partition_by else state.write
-        writer.parquet(f"{self.path}/{folder}")
-        version = (known[-1] if known else 0) + 1
-        self.spark.createDataFrame([(version, folder)], "version long, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
-        return version
+        place = f"{self.path}/{folder}"
+        if self.buckets is not None:
+            number, columns = self.buckets
+            # a task of the write holds one bucket if the rows come from a join with the version before; else they are dealt out first
+            dealt = state if base else state.repartition(number, *columns)
+            name = f"v_{folder.removeprefix('data-')}"
+            dealt.write.format("parquet").bucketBy(number, *columns).sortBy(*columns).option("path", place).saveAsTable(name)
+        else:
+            writer = state.write.partitionBy(partition_by) if partition_by else state.write
+            writer.parquet(place)
+        entry = {"folder": folder, "schema": state.schema.toDDL(), "batches": before["batches"] | ({batch[0]: batch[1]} if batch else {}), "told": (told() if callable(told) else told) or {}}
+        try:
+            return self.journal.append(entry, base)
+        except LostRace:
+            if self.buckets is not None:
+                self.spark.sql(f"DROP TABLE IF EXISTS v_{folder.removeprefix('data-')}")
+            remove(self.spark, place)
+            raise
+
+    def told(self, version: int | None = None) -> dict[str, int]:
+        known = self.last() if version is None else version
+        return self.journal.entry(known)["told"] if known else {}
+
+    def keep_last(self, most: int) -> list[int]:
+        """Removes the rows of all but the last ``most`` versions; their entries stay. Gives the versions whose rows went."""
+        gone = []
+        for version in self.versions()[:-most]:
+            entry = self.journal.entry(version)
+            if self.buckets is not None:
+                self.spark.sql(f"DROP TABLE IF EXISTS v_{entry['folder'].removeprefix('data-')}")
+            remove(self.spark, f"{self.path}/{entry['folder']}")
+            gone.append(version)
+        return gone
+
+
+def upserted_by_join(base: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ("slot", "name")) -> DataFrame:
+    """As ``upserted``, in one join on the keys: where the base is stored in buckets by them it isn't shuffled."""
+    last = latest_by_name(incoming) if "version" in incoming.columns else incoming
+    others = [c for c in base.columns if c not in keys]
+    new = last.select(*keys, *[F.col(c).alias(f"new_{c}") for c in others], F.lit(True).alias("new_"))
+    return base.join(new, list(keys), "full").select(*[F.col(c) if c in keys else F.when(F.col("new_"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in base.columns])
+
+
+def patched_by_name(base: DataFrame, patches: DataFrame, known: tuple[str, ...], keys: tuple[str, ...] = ("slot", "name")) -> DataFrame:
+    """The base with metadata merged with patches (slot, name, patch), the later of a name winning by ``version`` if there is one;
+    fields that aren't known are passed over. The join is on the keys, and so doesn't shuffle a base in buckets."""
+    last = latest_by_name(patches) if "version" in patches.columns else patches
+    allowed = last.select(*keys, F.map_filter("patch", lambda k, v: k.isin(*known)).alias("patch"))
+    return base.join(allowed, list(keys), "left").withColumn("metadata", F.when(F.col("patch").isNull(), F.col("metadata")).otherwise(merged_metadata(F.col("metadata"), F.col("patch")))).select(*base.columns)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +56,13 @@ def ship_package(spark: SparkSession) -> None:
             out.write(source, source.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own in the shared one, removed at the end."""
+    path = f"{shared_folder(spark)}/atomweave/scratch-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        remove(spark, path)
