@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, dedup, lifecycle, retrieve, store
 from ..operators.leaf import leaves, resolved_policies, slots
-from ..schema import ARCHIVE_DAYS, BODY_CHARS, CLUSTER_RESULTS, CLUSTER_SCORE, LORE_DAYS, MERGE_SCORE, METADATA_FIELDS, STALE_MONTHS
-from ..session import checkpointed
+from ..operators.likeness import LikenessIndex
+from ..schema import ARCHIVE_DAYS, BODY_CHARS, CLUSTER_RESULTS, CLUSTER_SCORE, DAY_MS, LORE_DAYS, MERGE_SCORE, METADATA_FIELDS, STALE_MONTHS
+from ..session import checkpointed, scratch_folder
 from .base import LEAF, NOW, query
 
 SHA = """sha AS (
@@ -62,6 +63,19 @@ def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike(spark, sf_dir)
 
 
+@query(f"WITH {LEAF}, {LIKE} SELECT * FROM alike")
+def similarity_pairs_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of a stored index that got the older documents first, then the others."""
+    docs = leaves(spark, sf_dir)
+    old = F.col("created_at_ms") < NOW - 200 * DAY_MS
+    with scratch_folder(spark) as folder:
+        index = LikenessIndex(spark, f"{folder}/index", MERGE_SCORE, folders=32)
+        for batch in (old, ~old):
+            index.add(docs.where(batch))
+        classes = index.classes()
+        return checkpointed(dedup.similarity_pairs(index.edges(classes), classes, MERGE_SCORE))
+
+
 @query(f"""WITH {LEAF}, s AS (SELECT slot, doc_id, list_distinct(regexp_extract_all(lower(body), '[a-z0-9]+')) AS w FROM leaf), t AS (SELECT slot, doc_id, len(w) AS n, unnest(w) AS term FROM s),
 met AS (SELECT x.doc_id, y.doc_id AS other, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS score FROM t x JOIN t y ON x.slot = y.slot AND x.term = y.term AND x.doc_id <> y.doc_id GROUP BY 1, 2)
 SELECT doc_id, CAST(row_number() OVER w AS INTEGER) AS rank, other, score FROM met WHERE score >= {CLUSTER_SCORE} WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= {CLUSTER_RESULTS}""")
