@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import leaf, retrieve
+from ..operators import leaf, retrieve, vectors
+from ..operators.keywords import KeywordIndex
 from ..operators.leaf import leaves, table
 from ..schema import CHUNK_OVERLAP, CHUNK_SEPARATOR, CHUNK_WORDS, CROSS_REFERENCES, LESSON, PROMOTION_CANDIDATES, RECALL_RESULTS, SEARCH_RESULTS
+from ..session import checkpointed, scratch_folder
 from .base import LEAF, query
 
 #: Scores of the test vectors seldom reach the defaults, so queries on them ask for less.
@@ -34,7 +36,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "vec_id", "embedding")
 
 
@@ -49,7 +51,7 @@ def asked_vectors(known: DataFrame) -> DataFrame:
 
 def queried(spark: SparkSession, sf_dir: str, k: int, chosen: Column | None = None, *within: str) -> DataFrame:
     """Leaves with the likeness of their vector to that of each query, the ``k`` best of each group of ``within``."""
-    known = vectors(spark, sf_dir)
+    known = embedded(spark, sf_dir)
     docs = leaves(spark, sf_dir).drop("body")
     docs = (docs if chosen is None else docs.where(chosen)).join(known.select("doc_id", "embedding"), "doc_id")
     return retrieve.scores(docs.select("doc_id", "embedding", *within), asked_vectors(known), k, "vector", within=within)
@@ -78,20 +80,42 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.best(retrieve.scores(docs, asked, SEARCH_RESULTS, "keyword", counted=counted), ["query_id"], SEARCH_RESULTS).select("query_id", "rank", "doc_id", "score")
 
 
+@query(f"""WITH {KEYWORD} SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, keyword AS score FROM kw
+WINDOW w AS (PARTITION BY query_id ORDER BY keyword DESC, doc_id) QUALIFY row_number() OVER w <= {SEARCH_RESULTS}""")
+def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As keyword_topk, from a stored index with bounds for blocks of documents of one language."""
+    with scratch_folder(spark) as folder:
+        index = KeywordIndex(spark, f"{folder}/words", folders=32)
+        index.build(leaves(spark, sf_dir), "language")
+        return checkpointed(index.search(questions(spark, sf_dir), SEARCH_RESULTS)[0])
+
+
 @query(f"""WITH {VEC}, s AS (SELECT q.vec_id AS query_id, c.doc_id, round({COS.format(a="q.e", b="c.e")}, 6) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {SEARCH_RESULTS}""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = vectors(spark, sf_dir)
+    known = embedded(spark, sf_dir)
     scored = retrieve.scores(known.select("doc_id", "embedding"), asked_vectors(known), SEARCH_RESULTS, "vector", own=False)
     return retrieve.best(scored, ["query_id"], SEARCH_RESULTS).select("query_id", "rank", "doc_id", "score")
 
 
+@query("SELECT count(*) AS queries, true AS nine_tenths_found FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a search of as many lists as the sample needed finds nine tenths of what an exact one finds, over all queries."""
+    known = embedded(spark, sf_dir)
+    with scratch_folder(spark) as folder:
+        index = vectors.VectorIndex(spark, f"{folder}/vectors")
+        index.build(known.select("doc_id", "embedding"), "first")
+        found = index.search(asked_vectors(known), SEARCH_RESULTS)
+        told = vectors.recall(found, vector_topk(spark, sf_dir))
+        return checkpointed(told.select("queries", (F.col("recall") >= 0.9).alias("nine_tenths_found")))
+
+
 @query(f"""WITH {BLEND} SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM blend
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {SEARCH_RESULTS}""")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items against all documents; an item's vector has its number. What lacks one of the scores has 0 for it."""
     docs, asked = retrieve.with_terms(bodies(spark, sf_dir), questions(spark, sf_dir))
-    known = vectors(spark, sf_dir)
+    known = embedded(spark, sf_dir)
     docs = docs.join(known.select("doc_id", "embedding"), "doc_id", "left")
     asked = asked.join(known.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id", "left")
     counted = bodies(spark, sf_dir).select("doc_id"), questions(spark, sf_dir).select("query_id")
@@ -136,7 +160,7 @@ s AS (SELECT a.doc_id AS atom_id, b.doc_id, round({COS.format(a="a.e", b="b.e")}
 SELECT atom_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM s WINDOW w AS (PARTITION BY atom_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {PROMOTION_CANDIDATES}""")
 def promotion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = ("atom_type", "project_module", "language")
-    known = leaves(spark, sf_dir).select("doc_id", "n", *same).join(vectors(spark, sf_dir).select("doc_id", "embedding"), "doc_id")
+    known = leaves(spark, sf_dir).select("doc_id", "n", *same).join(embedded(spark, sf_dir).select("doc_id", "embedding"), "doc_id")
     asked = known.where("n % 10 = 0").select(*same, F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     scored = retrieve.scores(known.drop("n"), asked, PROMOTION_CANDIDATES, "vector", keys=same, own=False).withColumnRenamed("query_id", "atom_id")
     return retrieve.best(scored, ["atom_id"], PROMOTION_CANDIDATES).select("atom_id", "rank", "doc_id", "score")
