@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -43,12 +43,19 @@ def compressible(leaves: DataFrame, now: int, most: int, days: int) -> DataFrame
 def classify_daily(days: DataFrame, promoted: DataFrame, today: str, active: int) -> DataFrame:
     """(name, verb) of daily documents (name, word_count) against what was promoted (name, word_count): today's and unreadable
     ones are left, old ones retire, new or changed ones are promoted. A change is promoted before a day retires."""
-    age = D.days_between(N.daily_date(F.col("name")), F.lit(today))
-    joined = days.join(promoted.select("name", F.col("word_count").alias("was"), F.lit(True).alias("known")), "name", "left").withColumn("age", age)
-    verb = F.when(F.col("age").isNull() | (F.col("age") <= 0), "skip-today").when(F.col("age") >= active, "retire").when(F.col("known").isNull() | ~F.col("word_count").eqNullSafe(F.col("was")), "promote").otherwise("skip-promoted")
+    joined = days.join(promoted.select("name", F.col("word_count").alias("was"), F.lit(True).alias("known")), "name", "left").withColumn("age", daily_age(F.col("name"), today))
+    verb = daily_verb(F.col("age"), F.col("known").isNotNull(), F.col("word_count"), F.col("was"), active)
     return joined.select("name", F.col("age").cast("long").alias("age"), verb.alias("verb"))
 
 
+def daily_age(name: Column, today: str) -> Column:
+    return D.days_between(N.daily_date(name), F.lit(today))
+
+
+def daily_verb(age: Column, known: Column, words: Column, was: Column, active: int) -> Column:
+    return F.when(age.isNull() | (age <= 0), "skip-today").when(age >= active, "retire").when(~known | ~words.eqNullSafe(was), "promote").otherwise("skip-promoted")
+
+
 def refresh_queue(stale: DataFrame, most: int) -> DataFrame:
     """The stale documents to refresh first: last recalled latest, then by id."""
     recalled = F.coalesce(D.epoch_ms(F.col("last_recalled_at")), F.lit(0))

@@ -183,10 +183,14 @@ def certain_pairs(docs: DataFrame) -> DataFrame:
 def merge_decisions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs and a decision of each kind on them; the merged text is the loser's."""
     pairs = certain_pairs(docs)
+    return pairs, decided_on(pairs, docs)
+
+
+def decided_on(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     k = F.col("loser_id").cast("long") % 7
     asked = pairs.join(docs.select(F.col("doc_id").alias("loser_id"), "body"), "loser_id").where(k != 0)
     action = F.when(k == 2, "skip").when(k == 3, "delete-both").when(k.isin(1, 4, 5), "merge").otherwise("keep-keeper-unchanged")
-    return pairs, asked.select("keeper_id", "loser_id", F.when(k == 1, "other").otherwise(F.col("keeper_id")).alias("said_keeper"), F.col("loser_id").alias("said_loser"), action.alias("action"), F.when(k == 4, F.col("body")).when(k == 1, "x").alias("merged_body"), F.lit(True).alias("written"))
+    return asked.select("keeper_id", "loser_id", F.when(k == 1, "other").otherwise(F.col("keeper_id")).alias("said_keeper"), F.col("loser_id").alias("said_loser"), action.alias("action"), F.when(k == 4, F.col("body")).when(k == 1, "x").alias("merged_body"), F.lit(True).alias("written"))
 
 
 def merge_outcomes_of(docs: DataFrame) -> DataFrame:
@@ -220,10 +224,13 @@ outcomes AS (SELECT doc_id, CASE k WHEN 0 THEN 'wait' WHEN 1 THEN 'error' WHEN 2
 
 def refresh_outcomes_of(docs: DataFrame) -> DataFrame:
     stale = lifecycle.stale_documents(docs, NOW, STALE_MONTHS, lifecycle.STALE_TYPES)
+    return decisions.refreshes(stale, refreshes_given(docs), BODY_CHARS, AT)
+
+
+def refreshes_given(docs: DataFrame) -> DataFrame:
     k = F.floor(F.col("n") / 8) % 7
     action = F.when(k.isin(1, 2, 3), "keep").when(k == 4, "rewrite").when(k == 5, "archive").otherwise("rename")
-    given = docs.where(k != 0).select("doc_id", F.when(k == 1, "other").otherwise(F.col("doc_id")).alias("said_id"), action.alias("action"), F.when(k == 2, False).alias("stale_after"), F.when(k == 4, F.col("body")).alias("rewritten_body"))
-    return decisions.refreshes(stale, given, BODY_CHARS, AT)
+    return docs.where(k != 0).select("doc_id", F.when(k == 1, "other").otherwise(F.col("doc_id")).alias("said_id"), action.alias("action"), F.when(k == 2, False).alias("stale_after"), F.when(k == 4, F.col("body")).alias("rewritten_body"))
 
 
 @query(f"WITH {REFRESH} SELECT doc_id, outcome, stale, sha256(body) AS body_sha FROM outcomes")
