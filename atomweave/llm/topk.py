@@ -3,9 +3,10 @@
 Vectors become whole numbers, ``floor(1024 x)``. Candidates are dealt by hash into blocks, each with its own index: for
 every dimension and sign, the candidates in segments of equal quantised impact, where impact is how far a component lies
 from the end of its range that is worst for a query of that sign. For a query, segments of all dimensions are processed
-by descending weight times impact, adding the sure part to accumulators. What a candidate can still gain is known at any
-time; processing stops once the k-th best sure score proves that few candidates can be members, or when all is processed.
-All candidates that can be members are then scored exactly, so that neither quantising nor stopping changes a result.
+by descending weight times impact, in rounds, adding the sure part to accumulators. After some rounds the candidates that are ahead are scored exactly; the
+k-th best of these is a floor that the results reach. What a candidate can still gain is bounded by the next level of each list in which it
+wasn't met yet; processing stops once that proves that few candidates can reach the floor, or when all is processed. All candidates that can reach
+it are then scored exactly, so that neither quantising nor stopping changes a result.
 
 Query blocks meet candidate blocks in a keyed shuffle; each pair of blocks is one group of bounded size and returns at
 most k rows for each query, of which the best k are kept. Blocks have a fixed size, so their number grows with the table.
@@ -34,9 +35,9 @@ from .common import column_type
 
 K, SCALE, QUERY_EVERY = 10, 1024, 100
 #: Candidates and queries of a block, and levels of quantised impact. Each block of queries needs a copy of all candidates.
-CANDIDATE_BLOCK, QUERY_BLOCK, LEVELS = 8_192, 8_192, 24
-#: Segments between tests for a stop, and the share of candidates that may be left for exact scores.
-TEST_EVERY, LEFT = 48, 0.02
+CANDIDATE_BLOCK, QUERY_BLOCK, LEVELS = 8_192, 8_192, 128
+#: Rounds in which all segments are processed, the first after which a stop is tried, and the share of candidates that may be left for exact scores.
+ROUNDS, TRY_FROM, LEFT = 8, 3, 0.4
 #: Quantised components at most; sums that doubles hold exactly; what fits in a long.
 WIDE, EXACT, LONG = 2**62, 2**53, 2**63 - 1
 
@@ -46,61 +47,67 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors.astype(np.int64)
-        n, d = vectors.shape
         self.low, self.high = self.vectors.min(axis=0), self.vectors.max(axis=0)
         self.step = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS))
-        #: For each sign and dimension: members by descending level, where each level starts, and the levels present.
-        self.lists: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
+        #: For each sign and dimension: members by descending level and the level of each; where each level starts, and the levels present.
+        self.lists: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = []
         for impact in (self.vectors - self.low, self.high - self.vectors):
             level = impact // self.step
             of_sign = []
-            for k in range(d):
-                order = np.argsort(-level[:, k], kind="stable").astype(np.int32)
-                found, starts = np.unique(-level[order, k], return_index=True)
-                of_sign.append((order, np.r_[starts, n], -found))
+            for k in range(vectors.shape[1]):
+                members = np.argsort(-level[:, k], kind="stable")
+                found, starts = np.unique(-level[members, k], return_index=True)
+                of_sign.append((members, level[members, k], np.r_[starts, len(ids)], -found))
             self.lists.append(of_sign)
 
-    def members(self, sign: int, d: int, s: int) -> np.ndarray:
-        of, starts, _ = self.lists[sign][d]
-        return of[starts[s] : starts[s + 1]]
-
-    def parts(self, d: int, weight: int, sign: int) -> tuple[np.ndarray, ...]:
-        """Of a dimension's segments, best first: the upper end of the gain, the sure gain, dimension, place, and by how much a
-        segment that is done lowers what candidates may still gain: down to a step, or to the next level's upper end."""
-        levels = self.lists[sign][d][2]
-        step = int(weight) * int(self.step[d])
-        upper = step * (levels + 1)
-        after = np.r_[np.maximum(step, upper[1:]), step]
-        return upper, step * levels, np.full(len(levels), d), np.arange(len(levels)), np.r_[upper[0], after[:-1]] - after
-
     def search(self, query: np.ndarray, own: int, k_best: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the k best, own id left out."""
         n, allowed = len(self.ids), self.ids != own
         if not allowed.any():
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        weight, sign = np.abs(query), (query < 0).astype(int)
-        used = np.flatnonzero(weight)
-        sure = np.where(allowed, 0, np.iinfo(np.int64).min // 4)
-        candidates = np.flatnonzero(allowed)
-        # segments (dimension, nth) by descending upper end of what a member gains, and what each surely gives
-        gain, given, dim, nth, less = (np.concatenate([part[x] for part in map(self.parts, used, weight[used], sign[used])]) if len(used) else np.empty(0, np.int64) for x in range(5))
-        order = np.argsort(-gain, kind="stable")
-        open_gain = sum(int(weight[d] * (self.lists[sign[d]][d][2][0] + 1) * self.step[d]) for d in used)
-        for k in range(0, len(order), TEST_EVERY):
-            some = order[k : k + TEST_EVERY]
-            members = [self.members(sign[d], d, s) for d, s in zip(dim[some].tolist(), nth[some].tolist(), strict=True)]
-            # sums of whole numbers far below 2^53 are exact in doubles
-            sure += np.bincount(np.concatenate(members), np.repeat(given[some], [len(m) for m in members]).astype(float), n).astype(np.int64)
-            open_gain -= int(less[some].sum())
-            if n > 4 * k_best:
-                kth = np.partition(sure, n - k_best)[n - k_best]
-                if (sure + open_gain >= kth).sum() <= max(4 * k_best, LEFT * n):
-                    break
-        kth = np.partition(sure, max(0, n - k_best))[max(0, n - k_best)]
-        candidates = np.flatnonzero(allowed & (sure + open_gain >= kth))
-        score = self.vectors[candidates] @ query
-        best = np.lexsort((self.ids[candidates], -score))[:k_best]
-        return self.ids[candidates[best]], score[best]
+        used = np.flatnonzero(query)
+        weight = np.abs(query)[used]
+        lists = [self.lists[int(query[d] < 0)][d] for d in used]
+        unit = weight * self.step[used]
+        # segments by descending upper end of what a member gains there
+        dim = np.repeat(np.arange(len(used)), [len(x[3]) for x in lists])
+        gain = np.concatenate([u * (x[3] + 1) for u, x in zip(unit, lists, strict=True)]) if len(used) else np.empty(0, np.int64)
+        dim = dim[np.argsort(-gain, kind="stable")]
+        # what is sure so far, and the place up to which each list is done; levels of one list are done in order
+        sure, done, floor, possible = np.zeros(n, np.int64), np.zeros(len(used), int), None, np.flatnonzero(allowed)
+        for turn in range(1, ROUNDS + 1):
+            levels = np.bincount(dim[: -(-len(dim) * turn // ROUNDS)], minlength=len(used))
+            ends = [int(x[2][c]) for x, c in zip(lists, levels, strict=True)]
+            for x, u, start, end in zip(lists, unit, done, ends, strict=True):
+                if end > start:
+                    sure[x[0][start:end]] += u * x[1][start:end]
+            done = np.array(ends)
+            if turn < TRY_FROM or n <= 4 * k_best:
+                continue
+            if floor is None:
+                floor = self.floor(query, sure, allowed, k_best)
+            # a member of a list that is done gains less than a step more; any other what the next level gives at most
+            ahead = np.array([u * (x[3][c] + 1) if c < len(x[3]) else u for u, x, c in zip(unit, lists, levels, strict=True)])
+            most = sure + int(ahead.sum())
+            for x, u, a, end in zip(lists, unit, ahead, ends, strict=True):
+                if a != u:
+                    most[x[0][:end]] -= a - u
+            possible = np.flatnonzero(allowed & (most >= floor))
+            if len(possible) <= LEFT * n:
+                break
+        score = self.vectors[possible] @ query
+        best = np.lexsort((self.ids[possible], -score))[:k_best]
+        return self.ids[possible[best]], score[best]
+
+    def floor(self, query: np.ndarray, sure: np.ndarray, allowed: np.ndarray, k_best: int) -> int:
+        """The k-th best exact score among candidates that are ahead: a score that the k best of all reach."""
+        ahead = np.argpartition(np.where(allowed, sure, -1), len(sure) - 8 * k_best if len(sure) > 8 * k_best else 0)[-8 * k_best :]
+        score = np.sort(self.vectors[ahead[allowed[ahead]]] @ query)[::-1]
+        return int(score[k_best - 1]) - int(self.base(query)) if len(score) >= k_best else -1
+
+    def base(self, query: np.ndarray) -> np.int64:
+        """The score of a candidate that is worst in every dimension, from which gains count."""
+        return np.where(query < 0, self.high, self.low) @ query
 
 
 def usable(vectors: DataFrame, vector: str) -> DataFrame:
