@@ -509,34 +509,53 @@ def test_licences_in_paragraphs_lists_and_full_texts(text, names):
     assert [n for n, _, _ in licenses.scan_text(text)] == names
 
 
-def plain_scan(text):
-    """Every template on every line and paragraph and, in long ones, on every run of words as long as a window."""
-    names = set()
-    for paragraph in re.split(r"\n[ \t]*\n", text):
-        for block in [paragraph.replace("\n", " "), *paragraph.split("\n")]:
-            tokens = [w for w in block.split() if licenses.WORD.search(w)]
-            runs = [" ".join(tokens[k : k + licenses.WINDOW]) for k in range(0, max(1, len(tokens) - licenses.WINDOW // 2), licenses.WINDOW // 2)] if len(tokens) > licenses.WINDOW else [block]
-            for run in runs:
-                for name, (licence, template) in licenses.ALL.items():
-                    if licenses.wording(name, licenses.words(run)) is not None:
-                        names.add((licence, name, template))
-    return names
-
-
-def test_licences_equal_every_template_on_every_block(spark, data):
-    texts = [r[0] for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect() if r[0]]
+#: Usual short forms, each with the licences it names; none is looked up in the operator's own tables.
+SHORT_FORMS = [
+    ("The MIT License (MIT)", "MIT"), ("MIT License", "MIT"), ("License: MIT", "MIT"), ("Licensed under MIT.", "MIT"), ("license = 'MIT'", "MIT"), ("Apache License 2.0", "Apache-2.0"), ("Licensed under Apache-2.0", "Apache-2.0"), ("Apache Software License, Version 2.0", "Apache-2.0"), ("GPLv3", "GPL-3.0"), ("License: GPL-3.0", "GPL-3.0"),
+    ("GNU General Public License v3.0", "GPL-3.0"), ("licensed under the GNU GPL version 2", "GPL-2.0"), ("GPL-2.0-only", "GPL-2.0"), ("CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC-BY-4.0", "CC-BY-4.0"), ("Creative Commons Attribution 4.0 International", "CC-BY-4.0"), ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "CC-BY-NC-ND-4.0"),
+    ("Creative Commons Attribution Share Alike 3.0", "CC-BY-SA-3.0"), ("CC0", "CC0-1.0"), ("GNU Lesser General Public License version 2.1", "LGPL-2.1"), ("LGPLv3", "LGPL-3.0"), ("GNU Affero GPL v3", "AGPL-3.0"), ("AGPL-3.0-or-later", "AGPL-3.0"), ("GNU Library General Public License v2", "LGPL-2.0"), ("Boost Software License - Version 1.0", "BSL-1.0"), ("zlib License", "Zlib"), ("The zlib/libpng License", "Zlib"),
+    ("3-Clause BSD", "BSD-3-Clause"), ("BSD-2-Clause", "BSD-2-Clause"), ("New BSD License", "BSD-3-Clause"), ("0BSD", "0BSD"), ("Mozilla Public License, v. 2.0", "MPL-2.0"), ("MPL 1.1", "MPL-1.1"), ("Eclipse Public License - v 2.0", "EPL-2.0"), ("EUPL-1.2", "EUPL-1.2"), ("SIL Open Font License, Version 1.1", "OFL-1.1"), ("CDDL-1.0", "CDDL-1.0"), ("ODbL 1.0", "ODbL-1.0"),
+    ("Artistic License 2.0", "Artistic-2.0"), ("WTFPL", "WTFPL"), ("ISC License", "ISC"), ("Released under the ISC licence", "ISC"), ("MIT No Attribution", "MIT-0"), ("All rights reserved.", "all-rights-reserved"), ("released under the MIT and Apache 2.0 licences", "Apache-2.0 MIT"), ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0 MIT"), ("(SPDX-License-Identifier: Apache-2.0 OR MIT)", "Apache-2.0 MIT"),
+    ("GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version", "GPL-3.0"), ("Why not. Released under the MIT License.", "MIT"), ("There is no warranty. GPLv2 applies", "GPL-2.0"),
+]
+OTHERS = ["Not licensed under the MIT License.", "It is no longer released under the GPLv2.", "the MIT press has public readers", "Mit und ohne", "a driving licence", "an example reply", "general public", "the GPL", "common creative minds", "copyright 2020", "Apache helicopters", "version 2.0", "public license 3", "licensed by MIT graduates"]
+
+
+@pytest.mark.parametrize(("text", "names"), SHORT_FORMS + [(t, "") for t in OTHERS])
+def test_usual_forms(text, names):
+    for around in ("{}", "word word\n{}\nmore words", "# x\n\n* {} *\n\ny", "so " * 200 + "and. {}. " + "then " * 300):
+        assert [n for n, _, _ in licenses.scan_text(around.format(text))] == names.split(), around
+
+
+def test_texts_of_many_forms():
+    """Texts put together from known forms name just these, however they are mixed, in long lines and paragraphs."""
     turn = random.Random(8)
-    notices = list(licenses.TEMPLATES.values())
-    texts += [" ".join(turn.choice(["word", "and", "\n", "\n\n", turn.choice(notices)]) for _ in range(60)) for _ in range(40)]
-    some = 0
-    for text in texts:
-        found, want = {n for n, _, _ in licenses.scan_text(text)}, plain_scan(text)
-        assert found <= {n for n, _, _ in want}
-        # a shorter notice inside a longer one says nothing more
-        whole = {licence for licence, name, template in want if not any(set(licenses.words(template)) < set(licenses.words(o)) for _, other, o in want if other != name)}
-        assert whole - {"BSD-2-Clause"} <= found, text[:300]
-        some += bool(found)
-    assert some > 30 and licenses.scan(frame(spark, [])).count() == 0
+    for _ in range(60):
+        chosen = turn.sample(SHORT_FORMS, turn.randint(0, 5))
+        pieces = [t.strip(".") + "." for t, _ in chosen] + [turn.choice(OTHERS).strip(".") + "." for _ in range(3)] + ["Prose " * turn.randint(1, 90) + "ends." for _ in range(4)]
+        turn.shuffle(pieces)
+        text = "".join(p + turn.choice([" ", "\n\n", "\n\n\n"]) for p in pieces)
+        assert {n for n, _, _ in licenses.scan_text(text)} == {n for _, names in chosen for n in names.split()}, text
+
+
+def bsd_text(further):
+    """The shorter and the longer text, with own words changed."""
+    head = "Redistribution and use in source or binary forms, with or without modification, are permitted provided that these following conditions are met:\n\n1. Keep the notice.\n\n"
+    return head + ("3. Neither the name of ACME Inc nor the names of its contributors may be used to endorse or promote products derived from this software.\n\n" if further else "")
+
+
+@pytest.mark.parametrize("order", [(0,), (1,), (0, 1), (1, 0), (0, 0, 1), (1, 1), (1, 0, 1)])
+def test_bsd_texts_are_told_apart_by_place(order):
+    found = licenses.scan_text("x\n\n" + "code\n\n".join(map(bsd_text, order)))
+    assert [n for n, _, _ in found] == sorted({("BSD-2-Clause", "BSD-3-Clause")[k] for k in order}) and all(lacks for _, _, lacks in found)
+
+
+def test_no_names_in_documents_without_a_licence_line(spark):
+    texts = [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    line = re.compile("(?i)licensed under|released under|rights reserved")
+    found = [bool(licenses.scan_text(t)) for t in texts]
+    assert found == [bool(line.search(t)) for t in texts] and sum(found) > 30
+    assert licenses.scan(frame(spark, [])).count() == 0
 
 
 def test_tables_close_within_an_item(spark, monkeypatch):
