@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..schema import LESSON
 from ..session import checkpointed
+from .joins import looked_up
 
 PASS_RANK = {"sha256": 0, "lesson-key": 1, "similarity": 2}
 
@@ -15,11 +16,12 @@ PASS_RANK = {"sha256": 0, "lesson-key": 1, "similarity": 2}
 def keyed_pairs(docs: DataFrame, key: str, source: str) -> DataFrame:
     """(keeper_id, loser_id, source_pass): in each group of a key the newest is kept; of equals the smaller id as text.
 
-    The keeper is one aggregate with partial results on the map side, joined back on the key, so that a hot key is one small
-    row and not a sorted group; groups of one are gone before the join."""
+    The keeper is one aggregate with partial results on the map side, so that a hot key is one small row and not a sorted group; groups of one are gone before
+    the lookup, which spreads the documents of hot keys over all tasks."""
     first = F.min(F.struct((-F.col("created_at_ms")).alias("age"), "doc_id"))
-    keepers = docs.groupBy(key).agg(first.alias("first"), F.count("*").alias("members")).where("members > 1").select(key, F.col("first.doc_id").alias("keeper_id"))
-    return docs.select(key, F.col("doc_id").alias("loser_id")).join(keepers, key).where("loser_id <> keeper_id").select("keeper_id", "loser_id", F.lit(source).alias("source_pass"))
+    keepers = docs.groupBy(key).agg(first.alias("first"), F.count("*").alias("members")).where("members > 1").select(key, "members", F.col("first.doc_id").alias("keeper_id"))
+    found = looked_up(docs.select(key, F.col("doc_id").alias("loser_id")), checkpointed(keepers), key, "members", F.xxhash64("loser_id"))
+    return found.where("loser_id <> keeper_id").select("keeper_id", "loser_id", F.lit(source).alias("source_pass"))
 
 
 def sha256_pairs(leaves: DataFrame) -> DataFrame:

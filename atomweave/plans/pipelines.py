@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import atoms, dedup, lifecycle
 from ..operators.leaf import leaves, slot_of
 from ..schema import ARCHIVE_DAYS, BODY_CHARS, SLOT_POLICIES, STALE_MONTHS
-from ..session import shared_folder
+from ..session import checkpointed, scratch_folder
 from ..streaming import streams
 from .base import NOW, ORACLES, TICKS, query
 from .dedup_queries import ALL_PAIRS, STALE, all_pairs
@@ -73,18 +72,19 @@ def compile_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_stream(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All rows that a stream over the events gives, from what is there now; batches and state go to the shared folder."""
-    path = f"{shared_folder(spark)}/atomweave/stream-{uuid.uuid4().hex}"
+    """All rows that a stream over the events gives, from what is there now; batches and state go to the shared folder, and are removed once
+    the rows are checkpointed."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    # a pattern, as a stream takes a plain path for a folder
-    out = transform(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
+    with scratch_folder(spark) as path:
+        # a pattern, as a stream takes a plain path for a folder
+        out = transform(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    query = out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(out.schema).option("basePath", f"{path}/out").parquet(f"{path}/out/*")
+        query = out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return checkpointed(spark.read.schema(out.schema).option("basePath", f"{path}/out").parquet(f"{path}/out/*"))
 
 
 @query(ORACLES["recall_stamp_debounce"])
@@ -112,3 +112,21 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = run_stream(spark, sf_dir, counted)
     return found.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.max("n_entries").alias("n_entries"), F.max("n_chars").alias("n_chars"))
+
+
+@query("""SELECT 'daily-' || strftime(ts, '%Y-%m-%d') || '.md' AS name, count(*) AS n_entries, sha256(string_agg(props, chr(10) || chr(10) ORDER BY epoch_us(ts) // 1000, CAST(event_id AS VARCHAR))) AS text_sha FROM events GROUP BY 1""")
+def stream_day_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last text of every day, whether it has closed by then or not."""
+
+    def texts(events: DataFrame) -> DataFrame:
+        at = F.timestamp_millis(at_ms())
+        return streams.day_texts(events.select(at.alias("captured_at"), at.alias("arrived_at"), F.col("event_id").cast("string").alias("entry_id"), F.col("props").alias("text")))
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        found = run_stream(spark, sf_dir, texts)
+    finally:
+        spark.conf.set(name, before)
+    return found.where("kind <> 'late'").groupBy("name").agg(F.max("n_entries").alias("n_entries"), F.sha2(F.max_by("text", "n_entries"), 256).alias("text_sha"))

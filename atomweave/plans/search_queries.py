@@ -67,9 +67,9 @@ def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves(spark, sf_dir).where(leaf.condition(filters)).select("doc_id", "name")
 
 
-@query(f"WITH {LEAF} SELECT doc_id, name, slot FROM leaf WHERE name LIKE '%src4%' AND enabled")
+@query(f"WITH {LEAF} SELECT doc_id, name, slot FROM leaf WHERE name LIKE '%src1%' AND enabled")
 def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaf.listed(leaves(spark, sf_dir), "src4", True).select("doc_id", "name", "slot")
+    return leaf.listed(leaves(spark, sf_dir), "src1", True).select("doc_id", "name", "slot")
 
 
 @query(f"""WITH {KEYWORD} SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, keyword AS score FROM kw

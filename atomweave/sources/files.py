@@ -12,16 +12,16 @@ from pyspark.sql import types as T
 
 from ..functions import globs as G
 from ..functions import names as N
+from . import tree
 
 
 def scan_files(spark: SparkSession, root: str, include: Iterable[str] | None = None, ignore: Iterable[str] = (), content: bool = False) -> DataFrame:
-    """(rel_path, doc_name, path, size, modified[, content]) below a folder, by relative path. Contents are read only if
-    they are asked for: the source prunes the column."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.split("://", 1)[-1].rstrip("/") + "/"
-    rel = F.substring_index(F.col("path"), base, -1)
-    found = files.select(rel.alias("rel_path"), N.flat_name(rel).alias("doc_name"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
-    return found.where(G.wanted(F.col("rel_path"), include, ignore)).orderBy("rel_path")
+    """(rel_path, doc_name, path, size, modified[, content]) below a folder, by relative path. Ignored folders aren't listed, links not followed;
+    contents are read only if they are asked for."""
+    ignored = [*G.default_ignored(), *ignore]
+    found, _ = tree.walked(spark, root, ignored)
+    chosen = found.where(G.wanted(F.col("rel_path"), include, ignore)).select("rel_path", N.flat_name(F.col("rel_path")).alias("doc_name"), "path", "size", "modified")
+    return (tree.with_content(chosen) if content else chosen).orderBy("rel_path")
 
 
 def plan_files(spark: SparkSession, root: str) -> DataFrame:
