@@ -53,7 +53,8 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setjoin.link_components(table(spark, sf_dir, "documents"))
+    with scratch(spark):
+        return checkpointed(setjoin.link_components(table(spark, sf_dir, "documents")))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +66,9 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontaminate.digests(found)
+    with scratch(spark):
+        found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+        return checkpointed(decontaminate.digests(found))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

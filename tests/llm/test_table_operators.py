@@ -264,3 +264,12 @@ def test_extra_columns_with_our_names(spark, small_corpus):
         out = stage(spark, docs, path)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
     assert setjoin.link_components(docs).count() == docs.count() and sharding.assign(docs, sharding.build_map(docs, 3, n_slots=16)).count() == docs.count()
+
+
+@pytest.mark.parametrize("name", ["op5_ngram_jaccard", "op8_decontaminate"])
+def test_queries_leave_no_folders(spark, data, tmp_path, monkeypatch, name):
+    from atomweave.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    assert registry.QUERIES[name](spark, data).count() == spark.read.parquet(f"{data}/documents.parquet").count()
+    assert [p for p in (tmp_path / "shared").rglob("*") if p.is_dir() and p.name != "atomweave"] == []
