@@ -103,3 +103,38 @@ def health(attempts: DataFrame, open_counts: DataFrame) -> DataFrame:
     joined = last.join(open_counts, "kind", "left")
     verdict = F.when(F.coalesce("open", F.lit(0)) > 0, "unhealthy: open escalation").when(~F.col("last_ok"), "unhealthy: last attempt failed").otherwise("healthy")
     return joined.select("kind", verdict.alias("verdict"), "last_failure_ms")
+
+
+# the same, batch by batch -------------------------------------------------------------------------------------------
+
+#: State of entities and of issues in one table, so that a commit changes both or neither.
+STATE = "kind string, id string, failures long, first_ms long, last_ms long, signature string, version long, status string"
+ISSUE_KINDS = ("issue-opened", "issue-reopened", "issue-resolved", "entity-failing")
+
+
+def advanced(before: DataFrame, ticks: DataFrame) -> DataFrame:
+    """``streaks`` of all ticks so far, from those ``before`` and the ticks of a batch, which come after all earlier ones: what a success in the batch
+    doesn't end goes on. Entities without failures are gone, so the state follows those that fail."""
+    healed = ticks.groupBy("entity", "tick").agg(F.min("ok").alias("ok")).where("ok").select("entity").distinct().withColumn("healed", F.lit(True))
+    new = streaks(ticks).select("entity", *[F.col(c).alias(f"new_{c}") for c in ("failures", "first_ms", "last_ms", "signature")])
+    both = before.join(new, "entity", "full").join(healed, "entity", "left")
+    going_on = F.col("healed").isNull() & F.col("failures").isNotNull()
+    failures = F.coalesce("new_failures", F.lit(0)) + F.when(going_on, F.col("failures")).otherwise(0)
+    out = both.select("entity", failures.cast("long").alias("failures"), F.when(going_on, F.col("first_ms")).otherwise(F.col("new_first_ms")).alias("first_ms"), F.coalesce("new_last_ms", "last_ms").alias("last_ms"), F.coalesce("new_signature", "signature").alias("signature"))
+    return out.where("failures > 0")
+
+
+def healing_pass(state: DataFrame, ticks: DataFrame, after: int, entities: int, idle_days: int = 90) -> DataFrame:
+    """The next state (STATE) and what was ``done``, from a batch of ticks (entity, tick, at_ms, ok, signature): failing entities go on, those idle for so many days
+    before the batch's last tick are forgotten, and issues are opened, opened again or resolved."""
+    old = state.where("kind = 'entity'").select(F.col("id").alias("entity"), "failures", "first_ms", "last_ms", "signature")
+    now = ticks.agg(F.max("at_ms").alias("now"))
+    failing = advanced(old, ticks).crossJoin(F.broadcast(now)).where(F.col("now").isNull() | (F.col("now") - F.col("last_ms") <= idle_days * DAY_MS)).drop("now")  # one row
+    known = state.where("kind = 'issue'").select(F.col("id").alias("signature"), "version", "status")
+    after_it = issues(known, failing.select("signature"), escalations(failing, after, entities))
+    was = known.select("signature", F.col("version").alias("old_version"), F.col("status").alias("old_status"))
+    done = F.when(F.col("old_version").isNull(), "issue-opened").when(F.col("version") > F.col("old_version"), "issue-reopened").when((F.col("status") == "resolved") & (F.col("old_status") == "open"), "issue-resolved")
+    none = lambda *names: [F.lit(None).cast(kind).alias(c) for c, kind in names]
+    told = after_it.join(was, "signature", "left").select(F.lit("issue").alias("kind"), F.col("signature").alias("id"), *none(("failures", "long"), ("first_ms", "long"), ("last_ms", "long"), ("signature", "string")), "version", "status", done.alias("done"))
+    rows = failing.select(F.lit("entity").alias("kind"), F.col("entity").alias("id"), "failures", "first_ms", "last_ms", "signature", *none(("version", "long"), ("status", "string")), F.lit("entity-failing").alias("done"))
+    return rows.unionByName(told)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import atoms, lifecycle, passes, store
-from ..operators.leaf import leaves
+from ..operators import atoms, healing, lifecycle, passes, store
+from ..operators.leaf import leaves, table
 from ..schema import ACTIVE_DAYS, ARCHIVE_DAYS, BODY_CHARS, DAY_MS, LESSON, PROMOTION_TRIES, STALE_MONTHS
 from ..session import checkpointed, scratch_folder
 from .base import LEAF, NOW, query, slug_sql
 from .dedup_queries import KEYED, SHA, STALE
+from .state_queries import at_ms
 from .store_queries import _CUT, AT, STAMP, decided_on, metadata, refreshes_given
 from .text_queries import RAW, raw_atoms
 
@@ -142,3 +143,39 @@ def promoted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         passes.committed(shelf, promote, passes.DAY_KINDS)
         body: Column = F.when(F.col("created_at_ms") == NOW, F.sha2("body", 256))
         return checkpointed(shelf.read().select("doc_id", "slot", "name", body.alias("body_sha"), "enabled", F.map_contains_key("metadata", F.lit(passes.PROMOTED_WORDS)).alias("is_promoted"), F.element_at("metadata", passes.TRIES).alias("tries")))
+
+
+# issues, by stream --------------------------------------------------------------------------------------------------
+
+BATCHES, AFTER, ENTITIES = 4, 2, 3
+_ALIKE = "'sig-' || CAST(user_id % 150 AS VARCHAR) || '-' || CAST(event_id % 2 AS VARCHAR)"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT user_id, event_id AS tick, event_type <> 'error' AS ok, {_ALIKE} AS signature, ntile({BATCHES}) OVER (ORDER BY event_id) AS b FROM events),
+s AS (SELECT r.b, user_id, max(tick) FILTER (ok) AS healed FROM range(1, {BATCHES + 1}) r(b) JOIN t ON t.b <= r.b GROUP BY 1, 2),
+streak AS (SELECT s.b, t.user_id, count(*) AS failures, arg_max(signature, tick) AS signature FROM s JOIN t ON t.user_id = s.user_id AND t.b <= s.b WHERE NOT ok AND (healed IS NULL OR tick > healed) GROUP BY 1, 2),
+flags AS (SELECT b, signature, max(failures) >= {AFTER} OR count(*) >= {ENTITIES} AS raised FROM streak GROUP BY 1, 2),
+sigs AS (SELECT DISTINCT signature FROM flags),
+steps(b, signature, version, status) AS (SELECT 0, signature, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM sigs UNION ALL
+  SELECT s.b + 1, s.signature, CASE WHEN f.raised AND version IS NULL THEN 1 WHEN f.raised AND status = 'resolved' THEN version + 1 ELSE version END,
+    CASE WHEN f.raised THEN 'open' WHEN status = 'open' AND f.signature IS NULL THEN 'resolved' ELSE status END FROM steps s LEFT JOIN flags f ON f.b = s.b + 1 AND f.signature = s.signature WHERE s.b < {BATCHES})
+SELECT signature, version, status FROM steps WHERE b = {BATCHES} AND version IS NOT NULL""")
+def stream_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues after a stream of ticks in four batches, each of which commits the state of entities and issues."""
+    ticks = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("entity"), F.col("event_id").alias("tick"), at_ms().alias("at_ms"), (F.col("event_type") != "error").alias("ok"),
+        F.concat(F.lit("sig-"), (F.col("user_id") % 150).cast("string"), F.lit("-"), (F.col("event_id") % 2).cast("string")).alias("signature"),
+    )
+    n = ticks.count()
+    long, short = n % BATCHES, n // BATCHES
+    with scratch_folder(spark) as folder:
+        shelf = store.Snapshots(spark, f"{folder}/state")
+        shelf.commit(spark.createDataFrame([], healing.STATE))
+        seen, first = 0, ticks.agg(F.min("tick")).first()[0]
+        for k in range(BATCHES):  # the log grows by a part, and the stream takes what is new
+            size = short + (k < long)
+            ticks.where(F.col("tick").between(first + seen, first + seen + size - 1)).write.mode("append").parquet(f"{folder}/log")
+            seen += size
+            log = spark.readStream.schema(ticks.schema).parquet(f"{folder}/log")
+            passes.by_stream(log, shelf, lambda state, batch: healing.healing_pass(state, batch, AFTER, ENTITIES), healing.ISSUE_KINDS, "ticks", f"{folder}/checkpoint").awaitTermination()
+        return checkpointed(shelf.read().where("kind = 'issue'").select(F.col("id").alias("signature"), "version", "status"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from atomweave.operators import dedup, keywords, passes, retrieve, store, vectors
+from atomweave.operators import dedup, healing, keywords, passes, retrieve, store, vectors
 from atomweave.operators.joins import looked_up
 from atomweave.operators.likeness import LikenessIndex
 from atomweave.sources.journal import Journal, LostRace
@@ -318,3 +318,53 @@ def test_promotion_of_days(spark):
     new = [r for r in out if r["doc_id"] not in state]
     assert sorted((r["slot"], r["atom_type"], r["done"]) for r in new) == [("knowledge", "decision", "atom-create"), ("knowledge", "decision", "atom-create"), ("self_improvement", "self-improvement-lesson", "atom-update")]
     assert all(r["enabled"] and r["body"].startswith("# ") and r["metadata"]["tags"] == "a" for r in new)
+
+
+# issues batch by batch ----------------------------------------------------------------------------------------------
+
+TICKS = "entity string, tick long, at_ms long, ok boolean, signature string"
+
+
+def folded_plainly(ticks):
+    """Failures since the last success of each entity, tick by tick."""
+    out = {}
+    for entity, tick, at, ok, said in sorted(ticks, key=lambda t: t[1]):
+        n, first, _, _ = out.get(entity, (0, None, None, None))
+        out[entity] = (0, None, None, None) if ok else (n + 1, at if n == 0 else first, at, said)
+    return {e: v for e, v in out.items() if v[0]}
+
+
+def test_streaks_and_issues_follow_batches(spark):
+    turn = random.Random(6)
+    ticks = [(f"e{turn.randrange(7)}", k, 1000 * k, turn.random() < 0.45, f"s{turn.randrange(3)}") for k in range(60)]
+    state, issues, seen = spark.createDataFrame([], healing.STATE), {}, []
+    for k in range(0, 60, 12):
+        seen += ticks[k : k + 12]
+        state = spark.createDataFrame(healing.healing_pass(state, spark.createDataFrame(ticks[k : k + 12], TICKS), 3, 3).drop("done").collect(), healing.STATE)
+        want = folded_plainly(seen)
+        assert {r["id"]: (r["failures"], r["first_ms"], r["last_ms"], r["signature"]) for r in state.where("kind = 'entity'").collect()} == want
+        live = {}
+        for n, _, _, said in want.values():
+            live.setdefault(said, []).append(n)
+        for said in {*issues, *live}:
+            raised = said in live and (max(live[said]) >= 3 or len(live[said]) >= 3)
+            version, status = issues.get(said, (0, None))
+            if raised:
+                issues[said] = (version + (status != "open"), "open")
+            elif status == "open" and said not in live:
+                issues[said] = (version, "resolved")
+        assert {r["id"]: (r["version"], r["status"]) for r in state.where("kind = 'issue'").collect()} == issues
+    assert issues
+
+
+def test_idle_entities_are_forgotten_and_issues_come_again(spark):
+    batch = lambda rows: spark.createDataFrame(rows, TICKS)
+    empty = spark.createDataFrame([], healing.STATE)
+    step = lambda state, rows: healing.healing_pass(state, batch(rows), 1, 9)
+    one = step(empty, [("a", 1, 0, False, "x")])
+    assert {(r["id"], r["done"]) for r in one.collect()} == {("a", "entity-failing"), ("x", "issue-opened")}
+    two = step(one.drop("done"), [("b", 2, 91 * DAY, False, "y")])
+    assert {(r["id"], r["status"], r["done"]) for r in two.where("kind = 'issue'").collect()} == {("x", "resolved", "issue-resolved"), ("y", "open", "issue-opened")} and [r["id"] for r in two.where("kind = 'entity'").collect()] == ["b"]
+    three = step(two.drop("done"), [("c", 3, 92 * DAY, False, "x"), ("b", 3, 92 * DAY, True, "")])
+    assert {(r["id"], r["version"], r["status"], r["done"]) for r in three.where("kind = 'issue'").collect()} == {("x", 2, "open", "issue-reopened"), ("y", 1, "resolved", "issue-resolved")}
+    assert sorted(r["id"] for r in step(three.drop("done"), []).where("kind = 'entity'").collect()) == ["c"]
