@@ -145,6 +145,21 @@ def scores(docs: DataFrame, queries: DataFrame, k: int, kind: str, keys: tuple[s
     return anew(left).groupBy(*group).cogroup(anew(right).groupBy(*group)).applyInPandas(meet, kinds)
 
 
+def with_patterns(docs: DataFrame, asked: DataFrame, always: tuple[str, ...], optional: tuple[str, ...]) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
+    """(docs, queries, keys) for scores among documents that equal a query in ``always`` and in those of ``optional`` that the query has set (not null, not blank).
+
+    What a query has set is its pattern; a document stands under each pattern that occurs among the queries, at most two to the power of ``optional``, with
+    the other fields blank. So rows meet by equality of keys, and no pair of rows is looked at for nothing."""
+    value = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
+    pattern = F.concat(*[F.when(value(c) != "", "1").otherwise("0") for c in optional])
+    found = sorted(r[0] for r in asked.select(pattern).distinct().collect())
+    keys = (*always, "pattern", *[f"key_{c}" for c in optional])
+    mine = asked.withColumn("pattern", pattern).select("*", *[value(c).alias(f"key_{c}") for c in optional])
+    each = docs.withColumn("pattern", F.explode(F.array(*map(F.lit, found)))) if found else docs.where("false").withColumn("pattern", F.lit(""))
+    theirs = each.select("*", *[F.when(F.substring("pattern", k + 1, 1) == "1", value(c)).otherwise("").alias(f"key_{c}") for k, c in enumerate(optional)])
+    return theirs, mine, keys
+
+
 def search(scored: DataFrame, limit: int, threshold: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """The best of every slot, then the best of all: (keys, rank, slot, doc_id, score, total), for each query that ``keys`` name;
     total counts before the last cut."""

@@ -156,13 +156,16 @@ def knowledge_xref(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LEAF}, {VEC}, x AS (SELECT l.*, v.e FROM leaf l JOIN v ON v.doc_id = l.doc_id),
-s AS (SELECT a.doc_id AS atom_id, b.doc_id, round({COS.format(a="a.e", b="b.e")}, 6) AS score FROM x a JOIN x b ON a.atom_type = b.atom_type AND a.project_module = b.project_module AND a.language = b.language AND a.n <> b.n WHERE a.n % 10 = 0)
+s AS (SELECT a.doc_id AS atom_id, b.doc_id, round({COS.format(a="a.e", b="b.e")}, 6) AS score FROM x a JOIN x b ON a.atom_type = b.atom_type AND (a.project_module IS NULL OR a.project_module = b.project_module) AND (a.error_pattern IS NULL OR a.error_pattern = b.error_pattern) AND (a.n % 30 = 0 OR a.language = b.language) AND a.n <> b.n WHERE a.n % 10 = 0)
 SELECT atom_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM s WINDOW w AS (PARTITION BY atom_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {PROMOTION_CANDIDATES}""")
 def promotion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    same = ("atom_type", "project_module", "language")
-    known = leaves(spark, sf_dir).select("doc_id", "n", *same).join(embedded(spark, sf_dir).select("doc_id", "embedding"), "doc_id")
-    asked = known.where("n % 10 = 0").select(*same, F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    scored = retrieve.scores(known.drop("n"), asked, PROMOTION_CANDIDATES, "vector", keys=same, own=False).withColumnRenamed("query_id", "atom_id")
+    """Candidates of the type of each atom, and of the module, language and error pattern that it has; every third atom has no language."""
+    optional = ("project_module", "language", "error_pattern")
+    known = leaves(spark, sf_dir).select("doc_id", "n", "atom_type", *optional).join(embedded(spark, sf_dir).select("doc_id", "embedding"), "doc_id")
+    atoms = known.where("n % 10 = 0").withColumn("language", F.when(F.col("n") % 30 != 0, F.col("language")))
+    asked = atoms.select("atom_type", *optional, F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    docs, asked, keys = retrieve.with_patterns(known.drop("n"), asked, ("atom_type",), optional)
+    scored = retrieve.scores(docs.select("doc_id", "embedding", *keys), asked.select("query_id", "query_vector", *keys), PROMOTION_CANDIDATES, "vector", keys=keys, own=False).withColumnRenamed("query_id", "atom_id")
     return retrieve.best(scored, ["atom_id"], PROMOTION_CANDIDATES).select("atom_id", "rank", "doc_id", "score")
 
 
