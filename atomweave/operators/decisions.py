@@ -80,8 +80,3 @@ def refreshed(base: DataFrame, outcomes: DataFrame, at: str) -> DataFrame:
 def totals(outcomes: DataFrame, keys: list[str]) -> DataFrame:
     """Counts of outcomes for each of the keys, under the names of a report."""
     return outcomes.groupBy(*keys).agg(*[F.count_if(F.col("outcome") == name).alias(column) for name, column in COUNTED.items()])
-
-
-def added_up(before: DataFrame, run: DataFrame, key: str, count: str) -> DataFrame:
-    """Counters (key, count) of earlier runs with those of this one."""
-    return before.unionByName(run).groupBy(key).agg(F.sum(count).alias(count))

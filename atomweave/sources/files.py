@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import globs as G
 from ..functions import names as N
+from ..session import checkpointed
 from . import tree
 
 
@@ -67,10 +69,33 @@ def _entries(lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["role", "text"])
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): lines of text files with their numbers in the file, from 0.
+
+    Spark reads a file in blocks, each by one task and in order. Lines are counted within a block where they are read; what stands before a block is a sum over
+    the blocks of its file, of which only those of files with several blocks are joined."""
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, 0
+        for batch in batches:
+            keys = list(zip(batch.column("path").to_pylist(), batch.column("block").to_pylist(), strict=True))
+            numbers = []
+            for key in keys:
+                now, seen = key, seen + 1 if key == now else 0
+                numbers.append(seen)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "nth"])
+
+    counted = read.mapInArrow(count, "path string, block long, value string, nth long")
+    blocks = counted.groupBy("path", "block").agg((F.max("nth") + 1).alias("n"))
+    ahead = blocks.withColumn("before", F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).where("before > 0").select("path", "block", "before")
+    return counted.join(checkpointed(ahead), ["path", "block"], "left").select("path", (F.col("nth") + F.coalesce("before", F.lit(0))).alias("line"), "value")
+
+
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(conv_id, turn, role, text) of JSON lines: one conversation for each file, lines that aren't JSON or whose role is
+    """(conv_id, turn, role, text) of JSON lines: one conversation for each file, with the line as its turn; lines that aren't JSON or whose role is
     none of the known are passed over."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("conv_id"), F.monotonically_increasing_id().alias("turn"), _entries("value").alias("e"))
+    lines = numbered_lines(spark, path).select(F.col("path").alias("conv_id"), F.col("line").alias("turn"), _entries("value").alias("e"))
     return lines.select("conv_id", "turn", "e.role", "e.text").where(F.col("role").isin("user", "assistant", "summary", "system") & (F.col("text") != ""))
 
 

@@ -90,3 +90,20 @@ def test_logs_are_appended_by_month(spark, tmp_path):
     files.append_log(rows, str(tmp_path / "log"))
     assert sorted({(p.parent.parent.name, p.parent.name) for p in (tmp_path / "log").rglob("*.json")}) == [("year=1970", "month=01"), ("year=1970", "month=02")]
     assert spark.read.json(str(tmp_path / "log")).count() == 4
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {k} of a\n" for k in range(500)))
+    (tmp_path / "b.txt").write_text("only\n\nthird")
+    (tmp_path / "c.txt").write_text("")
+    before = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = files.numbered_lines(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 5
+        rows = sorted((r["path"].rsplit("/", 1)[1], r["line"], r["value"]) for r in found.collect())
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert rows == sorted([("a.txt", k, f"line {k} of a") for k in range(500)] + [("b.txt", 0, "only"), ("b.txt", 1, ""), ("b.txt", 2, "third")])
