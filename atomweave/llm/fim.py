@@ -11,7 +11,7 @@ first of each mark in an output is the one that was put there, and ``restored``
 Edge cases: a null text counts as empty; empty texts, and texts with a mark, are plain, with null lengths; a null id is
 hashed as empty text; cuts may fall together, so parts may be empty; rows that repeat give the same rows again; only the
 id and the text are read, so other columns, whatever their names, aren't passed on. A row is handled by itself, and one
-text in memory takes about 80 bytes for each of its lines.
+text takes about 80 bytes for each of its lines while it is cut.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ So each record is read once, whatever the ranges are. Tasks open files by pyarro
 Edge cases: a null payload is empty; payloads of fewer than ``least`` bytes are always responses; rows that repeat the smallest id of a
 payload are all responses; a null id is written as empty and read as null, counts as larger than others, and a payload with null ids alone has
 responses only; a null URL is left out, and line ends in one are escaped; other columns aren't written, whatever their names; an empty
-table gives no record. A record is as large in memory as its page. Not read: files that aren't gzip, members that hold several records, heads
+table gives no record. A record takes as much space as its page. Not read: files that aren't gzip, members that hold several records, heads
 of more than HEAD_BYTES. A payload that is itself an archive and doesn't shrink shows its own members: if a range starts inside of it, they count as records.
 """
 
