@@ -107,9 +107,11 @@ def stored_metadata() -> Column:
 
 def writes(decided: DataFrame, at: Column) -> DataFrame:
     """(atom_id, action, name, supersedes) of decisions (atom_id, type, title, action, target_id, target_name, merged_name): a
-    creation is named by its title; an update by what it replaces, else by the name that was decided, else by its title, and
+    creation is named by its title; an update by what it replaces, if that has a name of the same family, else by the name that was decided, else by its title, and
     disables what it replaces. Other actions write nothing."""
-    slugs = F.coalesce(F.nullif(F.regexp_extract("target_name", r"^[a-z]+-(.+)-\d{4}-\d{2}-\d{2}-\d{9}\.md$", 1), F.lit("")), F.nullif(X.trimmed(F.col("merged_name")), F.lit("")), F.col("title"))
+    slug_in = lambda family: F.regexp_extract("target_name", rf"^{family}-(.+)-\d{{4}}-\d{{2}}-\d{{2}}-\d{{9}}\.md$", 1)
+    replaced = F.when(F.col("type") == LESSON, slug_in("lesson")).otherwise(slug_in("knowledge"))
+    slugs = F.coalesce(F.nullif(replaced, F.lit("")), F.nullif(X.trimmed(F.col("merged_name")), F.lit("")), F.col("title"))
     source = F.when(F.col("action") == "update", slugs).otherwise(F.col("title"))
     family = F.when(F.col("type") == LESSON, "lesson").otherwise("knowledge")
     name = F.concat(family, F.lit("-"), X.slug(source), F.lit("-"), F.date_format(at, "yyyy-MM-dd-HHmmssSSS"), F.lit(".md"))

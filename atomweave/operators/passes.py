@@ -111,7 +111,8 @@ def promotion(base: DataFrame, candidates: DataFrame, given: DataFrame, failed:
     at = F.lit(store_time(now)[:-1]).cast("timestamp_ntz")
     target = base.select(F.col("doc_id").alias("target_id"), F.col("name").alias("target_name"))
     named = atoms.writes(writes.join(target, "target_id", "left"), at)
-    text = writes.select("atom_id", leaf.slot_of(F.col("type")).alias("slot"), F.col("type").alias("atom_type"), atoms.stored_metadata().alias("metadata"), atoms.promoted_text(F.lit(store_time(now)), F.when(F.col("action") == "update", F.col("merged_text"))).alias("body"))
+    titled = writes.withColumn("title", F.when(F.col("action") == "update", F.coalesce(F.nullif(X.trimmed(F.col("merged_name")), F.lit("")), "title")).otherwise(F.col("title")))
+    text = titled.select("atom_id", leaf.slot_of(F.col("type")).alias("slot"), F.col("type").alias("atom_type"), atoms.stored_metadata().alias("metadata"), atoms.promoted_text(F.lit(store_time(now)), F.when(F.col("action") == "update", F.col("merged_text"))).alias("body"))
     new = named.join(text, "atom_id")
     made = new.select(store.document_id(F.col("slot"), F.col("name"), F.col("atom_id")).alias("doc_id"), "slot", "name", "atom_type", F.lit(True).alias("enabled"), F.lit(now).cast("long").alias("created_at_ms"), F.lit(None).cast("string").alias("last_recalled_at"), "metadata", "body", F.concat(F.lit("atom-"), "action").alias("done"))
     replaced = new.where(F.col("supersedes").isNotNull()).select(F.col("supersedes").alias("doc_id")).distinct()

@@ -283,7 +283,7 @@ def atom_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RAW}, d AS (SELECT *, conv_id || '-' || turn AS atom_id, turn % 5 AS k FROM good WHERE turn % 5 < 4)
 SELECT atom_id, CASE WHEN k = 0 THEN 'create' ELSE 'update' END AS action, CASE WHEN type = 'self-improvement-lesson' THEN 'lesson' ELSE 'knowledge' END || '-' ||
-  CASE WHEN k = 1 THEN 'old-name' WHEN k = 2 THEN 'another-name' ELSE {slug_sql("title")} END || '-{STAMP}.md' AS name, CASE WHEN k > 0 THEN 'doc-' || conv_id END AS supersedes FROM d""")
+  CASE WHEN k = 1 AND type <> 'self-improvement-lesson' THEN 'old-name' WHEN k = 2 THEN 'another-name' ELSE {slug_sql("title")} END || '-{STAMP}.md' AS name, CASE WHEN k > 0 THEN 'doc-' || conv_id END AS supersedes FROM d""")
 def atom_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("turn") % 5
     target = F.concat(F.lit("doc-"), "conv_id")

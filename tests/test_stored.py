@@ -368,3 +368,13 @@ def test_idle_entities_are_forgotten_and_issues_come_again(spark):
     three = step(two.drop("done"), [("c", 3, 92 * DAY, False, "x"), ("b", 3, 92 * DAY, True, "")])
     assert {(r["id"], r["version"], r["status"], r["done"]) for r in three.where("kind = 'issue'").collect()} == {("x", 2, "open", "issue-reopened"), ("y", 1, "resolved", "issue-resolved")}
     assert sorted(r["id"] for r in step(three.drop("done"), []).where("kind = 'entity'").collect()) == ["c"]
+
+
+def test_names_and_titles_of_updates(spark):
+    from atomweave.operators import atoms
+
+    old = "2020-01-02-030405678.md"
+    rows = [("1", "decision", "My title", "update", "t", f"knowledge-old-one-{old}", None), ("2", "decision", "My title", "update", "t", f"lesson-old-one-{old}", "New Name"), ("3", "self-improvement-lesson", "My title", "update", "t", f"lesson-old-one-{old}", None), ("4", "self-improvement-lesson", "My title", "update", "t", f"knowledge-old-one-{old}", " "), ("5", "decision", "My title", "create", None, None, "x"), ("6", "decision", "T", "skip", None, None, None)]
+    decided = spark.createDataFrame(rows, "atom_id string, type string, title string, action string, target_id string, target_name string, merged_name string")
+    found = {r["atom_id"]: (r["name"].rsplit("-2023", 1)[0], r["supersedes"]) for r in atoms.writes(decided, F.lit("2023-11-14T22:13:20").cast("timestamp_ntz")).collect()}
+    assert found == {"1": ("knowledge-old-one", "t"), "2": ("knowledge-new-name", "t"), "3": ("lesson-old-one", "t"), "4": ("lesson-my-title", "t"), "5": ("knowledge-my-title", None)}
