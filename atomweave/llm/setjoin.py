@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_type, cut, sized, sliced
+from .common import column_type, cut, give_back, sized, sliced
 
 SHINGLE_WORDS = 5
 #: A link needs 100 * intersection >= LINK * union; a satellite needs the same with CLOSE.
@@ -53,6 +53,8 @@ FIRST_PARTNERS, FIRST_TOKENS = 10, 4
 HOT_PAIRS, HOT_GROUP = 256, 256
 #: Prefix tokens in a group of index lists, entries of a block of a long list, and slices in which a group is sorted.
 GROUP_TOKENS, BLOCK, SLICES = 1_000_000, 256, 4
+#: Pairs that a task holds before it hands them on, at most about (48 bytes each, a few times over while they are sorted).
+HELD_PAIRS = 250_000
 
 U64 = np.uint64
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U64)
@@ -246,12 +248,13 @@ def needed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return 3 * low - 7 * ((3 * high + 3) // 4 - 1)
 
 
-def list_pairs(token: np.ndarray, label: np.ndarray, component: np.ndarray, low: np.ndarray, high: np.ndarray, partners: int = 0) -> np.ndarray:
+def list_pairs(token: np.ndarray, label: np.ndarray, component: np.ndarray, low: np.ndarray, high: np.ndarray, partners: int = 0) -> Iterator[np.ndarray]:
     """Pairs of labels in different components that the index lists of a group of tokens name: rows a, b, shared, groups, low, high.
-    With ``partners``, a few of the nearest of each label, and neighbours alone in long lists; else all."""
+    With ``partners``, a few of the nearest of each label, and neighbours alone in long lists; else all, in pieces as soon as there
+    are more than HELD_PAIRS, of which several may name one pair."""
     none = np.empty((6, 0), np.int64)
     if not len(token):
-        return none
+        return
     order = np.lexsort((label, token))
     order = order[np.r_[True, (token[order][1:] != token[order][:-1]) | (label[order][1:] != label[order][:-1])]]
     # each list by component and size, so that blocks by position are of few components and of like sizes
@@ -259,45 +262,47 @@ def list_pairs(token: np.ndarray, label: np.ndarray, component: np.ndarray, low:
     token, label, component, low, high = (x[order] for x in (token, label, component, low.astype(np.int64), high.astype(np.int64)))
     first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     length = np.diff(np.r_[first, len(token)])
+
+    def met() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of entries that meet, some at a time."""
+        for size in np.unique(length[(length > 1) & (length <= 48)]):
+            starts = first[length == size]
+            i, j = np.triu_indices(size, 1)
+            step = max(1, 400_000 // len(i))
+            for k in range(0, len(starts), step):
+                s = starts[k : k + step, None]
+                yield (s + i).ravel(), (s + j).ravel()
+        for start, size in zip(first[length > 48], length[length > 48], strict=True):
+            if partners:
+                at = np.arange(start, start + size)
+                for gap in range(1, partners + 1):
+                    yield at[:-gap], at[gap:]
+                continue
+            blocks = [np.arange(start + k, min(start + size, start + k + BLOCK)) for k in range(0, size, BLOCK)]
+            # a block's sizes, and its component if it has but one
+            ends = [(low[b].min(), high[b].max(), component[b[0]] if component[b[0]] == component[b[-1]] else None) for b in blocks]
+            for x, a in enumerate(blocks):
+                for y in range(x, len(blocks)):
+                    if 4 * ends[x][1] < 3 * ends[y][0] or 4 * ends[y][1] < 3 * ends[x][0] or (ends[x][2] is not None and ends[x][2] == ends[y][2]):
+                        continue
+                    i, j = np.meshgrid(a, blocks[y], indexing="ij")
+                    i, j = i.ravel(), j.ravel()
+                    yield (i[i < j], j[i < j]) if x == y else (i, j)
+
     out: list[np.ndarray] = []
     size_out = 0
-
-    def emit(i: np.ndarray, j: np.ndarray) -> None:
-        nonlocal size_out
+    for i, j in met():
         good = (4 * high[j] >= 3 * low[i]) & (4 * high[i] >= 3 * low[j]) & (component[i] != component[j])
         i, j = i[good], j[good]
-        if len(i):
-            out.append(rolled_up(np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j]), np.ones(len(i), np.int64), np.zeros(len(i), np.int64), low[i] + low[j], np.maximum(high[i], high[j])])))
-            size_out += out[-1].shape[1]
-            if size_out > 500_000:
-                out[:] = [rolled_up(np.concatenate(out, axis=1))]
-                size_out = 0
-
-    for size in np.unique(length[(length > 1) & (length <= 48)]):
-        starts = first[length == size]
-        i, j = np.triu_indices(size, 1)
-        step = max(1, 400_000 // len(i))
-        for k in range(0, len(starts), step):
-            s = starts[k : k + step, None]
-            emit((s + i).ravel(), (s + j).ravel())
-    for start, size in zip(first[length > 48], length[length > 48], strict=True):
-        if partners:
-            at = np.arange(start, start + size)
-            for gap in range(1, partners + 1):
-                emit(at[:-gap], at[gap:])
+        if not len(i):
             continue
-        blocks = [np.arange(start + k, min(start + size, start + k + BLOCK)) for k in range(0, size, BLOCK)]
-        # a block's sizes, and its component if it has but one
-        ends = [(low[b].min(), high[b].max(), component[b[0]] if component[b[0]] == component[b[-1]] else None) for b in blocks]
-        for x, a in enumerate(blocks):
-            for y in range(x, len(blocks)):
-                if 4 * ends[x][1] < 3 * ends[y][0] or 4 * ends[y][1] < 3 * ends[x][0] or (ends[x][2] is not None and ends[x][2] == ends[y][2]):
-                    continue
-                i, j = np.meshgrid(a, blocks[y], indexing="ij")
-                i, j = i.ravel(), j.ravel()
-                if x == y:
-                    i, j = i[i < j], j[i < j]
-                emit(i, j)
+        out.append(rolled_up(np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j]), np.ones(len(i), np.int64), np.zeros(len(i), np.int64), low[i] + low[j], np.maximum(high[i], high[j])])))
+        size_out += out[-1].shape[1]
+        if size_out > HELD_PAIRS:
+            out[:] = [rolled_up(np.concatenate(out, axis=1))]
+            size_out = 0
+            if not partners and out[0].shape[1] > HELD_PAIRS:
+                yield out.pop()
     found = rolled_up(np.concatenate(out, axis=1)) if out else none
     if partners and found.shape[1]:
         near = np.zeros(found.shape[1], bool)
@@ -307,7 +312,7 @@ def list_pairs(token: np.ndarray, label: np.ndarray, component: np.ndarray, low:
             nth = np.arange(len(order)) - np.repeat(new, np.diff(np.r_[new, len(order)]))
             near[order[nth < partners]] = True
         found = found[:, near]
-    return found
+    yield found
 
 
 def candidates(grouped: DataFrame, n_groups: int, partners: int = 0) -> DataFrame:
@@ -315,23 +320,47 @@ def candidates(grouped: DataFrame, n_groups: int, partners: int = 0) -> DataFram
     ``partners``, of the nearest few of each.
 
     Where many tokens are needed, some group has its share of them, so that only groups with that share name the pair;
-    where few are needed, all groups do and the sum is exact."""
-
-    def meet(table: pa.Table) -> pa.Table:
+    where few are needed, all groups do and the sum is exact. A group hands its pairs on in pieces, of which the last alone
+    counts as a group: what others leave out then stays below their share as well. Pairs are dealt by both ids."""
+    n_parts = n_groups * SLICES
+
+    def packed(found: np.ndarray) -> pa.RecordBatch:
+        part = (mix(mix(found[0].view(U64)) ^ found[1].view(U64)) % U64(n_parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        parts, starts = np.unique(part[order], return_index=True)
+        cells = [np.ascontiguousarray(found[:, order[a:b]]).tobytes() for a, b in zip(starts, [*starts[1:], len(order)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(cells, pa.binary())], names=["h", "pairs"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A group's pairs, packed by the part of the sums that they go to."""
-        slices = []
+        blocks = [batch.select(list(ENTRY)) for batch in batches]
+        last: list[np.ndarray] = []
         for part in range(SLICES):  # tokens by tokens, so that sorting takes little room
-            chosen = [(np.frombuffer(block.as_py(), U64) >> U64(20)) % U64(SLICES) == part for block in table.column("token")]
-            columns = [np.concatenate([np.frombuffer(v.as_py(), kind)[c] for v, c in zip(table.column(name), chosen, strict=True)]) for name, kind in ENTRY.items()]
-            slices.append(list_pairs(*columns, partners=partners))
-        found = rolled_up(np.concatenate(slices, axis=1))
+            columns: dict[str, list[np.ndarray]] = {name: [] for name in ENTRY}
+            for row in (dict(zip(ENTRY, values, strict=True)) for block in blocks for values in zip(*block.columns, strict=True)):
+                chosen = (np.frombuffer(row["token"].as_py(), U64) >> U64(20)) % U64(SLICES) == part
+                for name, kind in ENTRY.items():
+                    columns[name].append(np.frombuffer(row[name].as_py(), kind)[chosen])
+            pieces = list_pairs(*(np.concatenate(v) for v in columns.values()), partners=partners)
+            before = None
+            for found in pieces:
+                if before is not None:
+                    yield packed(before)
+                before = found
+            if before is not None:
+                last.append(before)
+            if not partners and sum(x.shape[1] for x in last) > HELD_PAIRS:
+                last = [rolled_up(np.concatenate(last, axis=1))]
+                if last[0].shape[1] > HELD_PAIRS:
+                    yield packed(last.pop())
+        found = rolled_up(np.concatenate([np.empty((6, 0), np.int64), *last], axis=1))
         found[3] = 1
         if not partners:
             need = needed(found[4], found[5])
             found = found[:, (need <= 14 * n_groups) | (7 * found[2] * n_groups >= need)]
-        part = (mix(found[0].view(U64)) % U64(n_groups)).astype(np.int64)
-        parts = np.unique(part)
-        return pa.table({"h": pa.array(parts, pa.int32()), "pairs": pa.array([np.ascontiguousarray(found[:, part == h]).tobytes() for h in parts], pa.binary())})
+        if found.shape[1]:
+            yield packed(found)
+        give_back()
 
     def add_up(table: pa.Table) -> pa.Table:
         """The pairs of a part with their sums over all groups, where these suffice."""

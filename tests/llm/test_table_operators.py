@@ -158,6 +158,26 @@ def test_small_groups_and_wide_families(spark, monkeypatch):
     assert {i: r["component_id"] for i, r in found.items()} == components(range(len(texts)), texts)
 
 
+def test_pairs_of_long_lists_come_in_pieces(monkeypatch):
+    """A task hands on the pairs of frequent tokens before it has them all; their sums are those of one piece."""
+    rng = np.random.default_rng(1)
+    token = np.r_[np.zeros(300, np.uint64), rng.integers(1, 40, 900).astype(np.uint64)]
+    label = np.r_[np.arange(300), rng.integers(0, 300, 900)]
+    size = np.full(1200, 50, np.int32)
+    want = {}
+    for t in np.unique(token):
+        members = sorted(set(label[token == t].tolist()))
+        for k, a in enumerate(members):
+            for b in members[k + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    monkeypatch.setattr(setjoin, "HELD_PAIRS", 500)
+    monkeypatch.setattr(setjoin, "BLOCK", 16)
+    pieces = list(setjoin.list_pairs(token, label, label, size, size))
+    assert len(pieces) > 10 and max(x.shape[1] for x in pieces) < 30_000 < len(want)
+    found = setjoin.rolled_up(np.concatenate(pieces, axis=1))
+    assert {(a, b): n for a, b, n in found[:3].T.tolist()} == want
+
+
 @pytest.mark.parametrize(("seed", "edits", "words", "members"), [(1, 3, 60, 12), (2, 8, 120, 12), (3, 2, 14, 12), (9, 3, 40, 40)])
 def test_links_equal_brute_force(spark, monkeypatch, seed, edits, words, members):
     monkeypatch.setattr(setjoin, "HOT_PAIRS", 5)
