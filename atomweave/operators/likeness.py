@@ -91,7 +91,7 @@ class LikenessIndex:
             return base
         name = uuid.uuid4().hex
         t = self.least - 10.0**-retrieve.DIGITS
-        sets = retrieve.word_sets(leaves).select("slot", "set", "doc_id", "created_at_ms", "tokens")
+        sets = checkpointed(retrieve.word_sets(leaves)).select("slot", "set", "doc_id", "created_at_ms", "tokens")
         wordless = leaves.select("doc_id").join(sets.select("doc_id"), "doc_id", "left_anti")
         out = wordless if gone is None else wordless.unionByName(gone.select(F.col("doc_id").cast("string").alias("doc_id")).join(leaves.select("doc_id"), "doc_id", "left_anti"))
         nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("slot", "string"), ("set", "string"), ("created_at_ms", "long"))]
@@ -108,12 +108,11 @@ class LikenessIndex:
 
         reach = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= (F.col("a_n") + F.col("b_n")) * (t / (1 + t))
         good = (F.col("a_n") >= F.col("b_n") * t) & (F.col("b_n") >= F.col("a_n") * t) & reach
-        several = posted.groupBy("slot", "token").agg(F.count("*").alias("df")).where("df > 1")
-        within = retrieve.meetings(posted.join(several, ["slot", "token"]), ["slot", "token"], "set", "df", ["n", "at"], good).select("slot", F.col("a_set").alias("a"), F.col("b_set").alias("b"))
+        within = retrieve.candidates(new.withColumn("rep", F.col("set")), t, hot)
         word_folders = self.folders_of(posted, "token") if base else []
         asked = posted.select("slot", "token").distinct()
         there = old_postings.where(F.col("folder").isin(word_folders)).join(asked, ["slot", "token"], "left_semi")
-        pairs = checkpointed(within.union(met_across(posted, there, good)).distinct() if base else within.distinct())
+        pairs = checkpointed(within.union(met_across(posted, there, good)).distinct() if base else within)
 
         tokens = new.select("slot", "set", "tokens")
         set_folders = self.folders_of(pairs.select(F.explode(F.array("a", "b")).alias("set")), "set") if base else []

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +271,23 @@ def test_likeness_finds_pairs_whose_words_are_all_common(spark):
     assert {(r["doc_id"], r["rank"], r["other"]) for r in found} == {(d, k + 1, other) for d, of in want.items() for k, (_, other) in enumerate(sorted(of)[:12])}
 
 
+def test_signatures_keep_sets_apart_before_they_are_shuffled(spark):
+    """Sets that share rare words alone don't become candidates; like sets do, also in long lists that are cut in blocks."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.r_[np.arange(4), rng.integers(10, 1 << 60, 60)]) for _ in range(60)]
+    sets += [np.unique(np.r_[s[:-2], rng.integers(10, 1 << 60, 1)]) for s in sets[:20]]
+    reps = spark.createDataFrame([("s", f"{k:03d}", s.tolist()) for k, s in enumerate(sets)], "slot string, rep string, tokens array<long>")
+    share = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    want = {(f"{i:03d}", f"{j:03d}") for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and share(a, b) >= 0.88}
+    assert len(want) == 20
+    hot = np.arange(4), np.full(4, retrieve.LONG_LIST // 4)  # lists of these come in five blocks
+    for least in (0.88, 0.05):
+        found = [(r["a"], r["b"]) for r in retrieve.candidates(reps, least, hot).collect()]
+        assert len(found) == len(set(found)) and set(found) >= {(f"{i:03d}", f"{j:03d}") for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and share(a, b) >= least}
+        assert least < 0.5 or set(found) == want
+    assert all(np.bitwise_count(retrieve.signature(a) ^ retrieve.signature(b)).sum() <= len(np.setxor1d(a, b)) for a in sets[:10] for b in sets)
+
+
 @pytest.mark.parametrize(("sf", "least"), [("sf0.001", 0.3), ("sf0.01", 0.5), ("sf0.1", 0.88)])
 def test_likeness_of_documents_equals_brute_force(spark, sf, least):
     """All pairs of a slot that share a word, by DuckDB; nothing is left out."""
