@@ -396,3 +396,20 @@ def test_saved_documents_tell_what_failed(spark):
     out = store.saved(spark.createDataFrame(rows, "slot string, name string, text string, metadata map<string,string>"), fields, 10).collect()
     assert [(r["name"], r["document_ok"], r["metadata_ok"], r["ok"]) for r in sorted(out, key=lambda r: r["name"] or "z")] == [
         ("a", True, True, True), ("b", False, True, False), ("c", True, True, True), ("d", True, False, False), ("e", True, False, False), ("g", False, True, False), (None, False, False, False)]
+
+
+def test_low_likeness_meets_by_size_in_parts(spark, monkeypatch):
+    """Pairs at one half, across octaves of sizes and pairs of parts, equal those of all pairs; a word in every set makes no list."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(retrieve, "PART_SETS", 7)
+    sets = [set(map(int, rng.choice(4_000, size, replace=False))) | {-1} for size in (1, 2, 3, 7, 8, 15, 16, 31, 40, 63, 64, 100, 127, 128, 200, 255, 256, 300)]
+    for base in list(sets):
+        ordered = sorted(base)
+        sets += [set(ordered[: (len(ordered) + 1) // 2]) | {-1}, base | {5_000 + k for k in range(len(base))}, base | {9_000 + k for k in range(len(base) + 1)}, set(ordered[len(ordered) // 5 :]) | {20_000 + len(base)}]
+    sets = [list(t) for t in sorted({tuple(sorted(s)) for s in sets})]
+    rows = [("one" if k % 5 else "two", f"{k:03d}", s) for k, s in enumerate(sets)]
+    reps = spark.createDataFrame(rows, "slot string, rep string, tokens array<long>")
+    monkeypatch.setattr(retrieve, "candidates", None)
+    found = {(r["slot"], r["a"], r["b"], r["score"]) for r in retrieve.likeness(reps, 0.5).collect()}
+    want = {(s, a, b, round(len(x & y) / len(x | y), 6)) for s, a, x in [(s, a, set(x)) for s, a, x in rows] for t, b, y in [(t, b, set(y)) for t, b, y in rows] if s == t and a < b and len(x & y) / len(x | y) >= 0.5 - 5e-7}
+    assert found == want and len(want) > 30
