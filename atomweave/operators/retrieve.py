@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import KEYWORD_WEIGHT, VECTOR_WEIGHT
+from ..session import checkpointed
+from .terms import document_counts, weighted
 
 #: Scores are rounded so that ties, and their order by id, don't hang on the last bits of a sum.
 DIGITS = 6
@@ -41,15 +43,14 @@ def with_terms(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFram
     """``docs`` (doc_id, …) and ``queries`` (query_id, …) with (terms, weights, norm) by TF-IDF over (doc_id, body) and
     (query_id, query).
 
-    Norms need all words of a document; of the words themselves only those that some query has are gathered."""
-    terms = docs.select("doc_id", F.explode(words(F.col("body"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    Norms need all words of a document; of the words themselves only those that some query has are gathered. Documents are counted row by row."""
     n = docs.agg(F.count("*").cast("double").alias("n"))
     asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    idf = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # n is one row
-    idf = idf.join(asked.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left")
-    listed = F.collect_list(F.when(F.col("asked"), F.struct("term", "w")))
-    weighted = lambda of, key: of.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")).groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), listed.alias("t")).select(key, F.col("t.term").alias("terms"), F.col("t.w").alias("weights"), "norm")
-    return docs.drop("body").join(weighted(terms, "doc_id"), "doc_id", "left"), queries.drop("query").join(weighted(asked, "query_id"), "query_id", "left")
+    idf = document_counts(docs).join(F.broadcast(n)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # n is one row
+    idf = checkpointed(idf.join(asked.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left"))
+    of = asked.join(idf.where("asked"), "term").withColumn("w", F.col("tf") * F.col("idf")).groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("t"))
+    of = of.select("query_id", F.col("t.term").alias("terms"), F.col("t.w").alias("weights"), "norm")
+    return weighted(docs, idf, asked_alone=True), queries.drop("query").join(of, "query_id", "left")
 
 
 def stacked(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
