@@ -16,10 +16,12 @@ def saved(incoming: DataFrame, fields: DataFrame, most: int) -> DataFrame:
     """(slot, name, document_ok, metadata_ok, ok) of documents (slot, name, text, metadata) to be saved: a document needs a name
     and a text of at most ``most`` characters; its metadata need fields that the slot has in (slot, names)."""
     document_ok = (F.trim(F.coalesce("name", F.lit(""))) != "") & (F.trim(F.coalesce("text", F.lit(""))) != "") & (F.length("text") <= most)
-    joined = incoming.join(fields, "slot", "left")
+    # texts are judged where they stand; slots are few, and most documents may be of one
+    told = incoming.withColumn("document_ok", F.coalesce(document_ok, F.lit(False))).drop("text")
+    told = told.join(F.broadcast(fields), "slot", "left")
     asked = F.map_keys(F.coalesce("metadata", F.create_map().cast("map<string,string>")))
     unknown = F.array_except(asked, F.coalesce("names", F.array().cast("array<string>")))
-    told = joined.withColumn("document_ok", F.coalesce(document_ok, F.lit(False))).withColumn("metadata_ok", (F.size(asked) == 0) | (F.col("document_ok") & (F.size(unknown) == 0)))
+    told = told.withColumn("metadata_ok", (F.size(asked) == 0) | (F.col("document_ok") & (F.size(unknown) == 0)))
     return told.select("slot", "name", "document_ok", "metadata_ok", (F.col("document_ok") & F.col("metadata_ok")).alias("ok"))
 
 

@@ -413,3 +413,13 @@ def test_low_likeness_meets_by_size_in_parts(spark, monkeypatch):
     found = {(r["slot"], r["a"], r["b"], r["score"]) for r in retrieve.likeness(reps, 0.5).collect()}
     want = {(s, a, b, round(len(x & y) / len(x | y), 6)) for s, a, x in [(s, a, set(x)) for s, a, x in rows] for t, b, y in [(t, b, set(y)) for t, b, y in rows] if s == t and a < b and len(x & y) / len(x | y) >= 0.5 - 5e-7}
     assert found == want and len(want) > 30
+
+
+def test_saving_moves_no_texts(spark):
+    """Slots are few, so that a join by slot would put most texts into one task."""
+    fields = spark.createDataFrame([("knowledge", ["tags"])], "slot string, names array<string>")
+    incoming = spark.createDataFrame([("knowledge", f"n{k}", "t" * (k % 4), {"tags": "x"}) for k in range(20)], "slot string, name string, text string, metadata map<string,string>")
+    found = store.saved(incoming, fields, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sorted((r["name"], r["ok"]) for r in found.collect()) == sorted((f"n{k}", k % 4 in (1, 2)) for k in range(20))
