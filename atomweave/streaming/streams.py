@@ -62,11 +62,10 @@ GRACE_MS = 3_600_000
 
 
 def day_text(entries: list[tuple[int, str, str]]) -> str:
-    """Entries (at_ms, entry_id, text) in order, as they are merged into a day's text."""
-    out = ""
-    for _, _, text in sorted(entries):
-        out = text if not out.strip() else f"{out.rstrip()}\n\n{text}"
-    return out
+    """Entries (at_ms, entry_id, text) in order, as they are merged into a day's text: blank ones vanish but for the last, and each loses the
+    white space at its end before the next. The text is put together once, so that the work is as long as the text."""
+    texts = [text for _, _, text in sorted(entries)]
+    return "\n\n".join([*(text.rstrip() for text in texts[:-1] if text.strip()), *texts[-1:]])
 
 
 class DayTexts(StatefulProcessor):

@@ -107,3 +107,16 @@ def test_lines_are_numbered_across_blocks(spark, tmp_path):
         for n, v in before.items():
             spark.conf.set(n, v)
     assert rows == sorted([("a.txt", k, f"line {k} of a") for k in range(500)] + [("b.txt", 0, "only"), ("b.txt", 1, ""), ("b.txt", 2, "third")])
+
+
+def test_the_text_of_a_long_day_takes_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    text = streams.day_text([(k, str(k), f"entry {k} " + "x" * 60) for k in range(150_000)])
+    assert text.count("\n\n") == 149_999 and time.process_time() - began < 10
+    for texts in ([], [" "], ["a ", " ", "b"], [" ", "\n", " c "], ["a", " "], [" ", "a\n\n", "", "b "]):
+        out = ""
+        for t in texts:
+            out = t if not out.strip() else f"{out.rstrip()}\n\n{t}"
+        assert streams.day_text([(k, "", t) for k, t in enumerate(texts)]) == out
