@@ -110,6 +110,10 @@ def truncated(text: Column, cap: int, marker: str) -> Column:
 WORD_KINDS = (("quoted", "^$"), ("time", r"\d{4}-\d{2}-\d{2}|\d{1,2}:\d{2}"), ("path", r"[/\\]"), ("file", r"^[\w-]+(?:\.\w+)*\.[a-z]\w*$"), ("number", r"\d"))
 
 
+#: Words of a message that are read before it is known whether more are needed.
+FIRST_WORDS = 64
+
+
 def error_signature(raw: Column, kind: Column | None = None, step: Column | None = None, most: int = 80, ascii_only: bool = False) -> Column:
     """One slug for one error: a message is read word by word, and words that change from case to case (quoted text, times,
     paths, files, anything with a digit) give way to the name of their kind. Neighbours of one kind count once."""
@@ -121,10 +125,16 @@ def error_signature(raw: Column, kind: Column | None = None, step: Column | None
             out = F.when(word.rlike(pattern), f"any-{name}").otherwise(out)
         return out
 
-    words = F.filter(F.transform(F.split(message, r"\s+"), lambda w: read(F.regexp_replace(w, r"^[(\[{<,;:.!?]+|[)\]}>,;:.!?]+$", ""))), lambda w: ~w.rlike("^-*$"))
-    told = F.regexp_replace(F.array_join(words, " "), r"\b(any-[a-z]+)(?: \1\b)+", "$1")
+    def told(words: Column) -> Column:
+        kept = F.filter(F.transform(words, lambda w: read(F.regexp_replace(w, r"^[(\[{<,;:.!?]+|[)\]}>,;:.!?]+$", ""))), lambda w: ~w.rlike("^-*$"))
+        return F.regexp_replace(F.array_join(kept, " "), r"\b(any-[a-z]+)(?: \1\b)+", "$1")
+
+    # what the first words tell begins what all words tell; if it has more letters than are kept the others change nothing, else all are read
+    enough = lambda head: F.length(F.regexp_replace(head, "[^a-z0-9]+", "")) > most
+    head = told(F.slice(F.split(message, r"\s+", FIRST_WORDS + 1), 1, FIRST_WORDS))
+    told_all = F.coalesce(F.get(F.filter(F.array(head), enough), F.lit(0)), told(F.split(message, r"\s+")))
     given = [F.nullif(c, F.lit("")) for c in (step, kind) if c is not None]
-    return slug(F.concat_ws(" ", *given, F.regexp_replace(told, "^$", "unknown-error")), most, ascii_only)
+    return slug(F.concat_ws(" ", *given, F.regexp_replace(told_all, "^$", "unknown-error")), most, ascii_only)
 
 
 def masked(secret: Column) -> Column:

@@ -125,3 +125,17 @@ def test_glob_forms(spark):
 @pytest.mark.parametrize(("given", "expected"), [(None, True), ("garbage", True), ("2023-11-14T21:13:20Z", False), ("2023-11-13T21:13:20Z", True), ("2023-11-13T22:13:20Z", True)])
 def test_stamps_are_due_at_the_debounce(spark, given, expected):
     assert one(spark, times.due_for_stamp(F.col("v"), F.lit(1_700_000_000_000), 24), given) is expected
+
+
+def test_signatures_read_on_where_the_first_words_tell_too_little(spark, monkeypatch):
+    """However many words are read first, a signature is that of the whole message."""
+    from atomweave.functions import text as texts
+
+    said = ["7 " * 100 + "end of it", "ж ш щ " * 50 + "last", "a 1 2 'x y' 3 b " + "word " * 30, "", None, "x" * 90, "any-number 5 6 any-numbers " + "/a/b " * 70 + "fin", "token: abc " + "plain words here " * 40]
+    found = []
+    for first in (10_000, 1, 2, 5, 64):
+        monkeypatch.setattr(texts, "FIRST_WORDS", first)
+        rows = spark.createDataFrame(list(enumerate(said)), "k int, m string").select("k", texts.error_signature(F.col("m"), F.lit("kind"), F.lit("step")).alias("s")).orderBy("k").collect()
+        found.append([r["s"] for r in rows])
+    assert all(f == found[0] for f in found)
+    assert found[0][0] == "step-kind-any-number-end-of-it" and found[0][1].endswith("-last") and found[0][6].endswith("-fin")
