@@ -175,11 +175,19 @@ class Snapshots:
         known = self.last() if version is None else version
         return self.journal.entry(known)["told"] if known else {}
 
+    def put_back(self, version: int, told: dict[str, int] | None = None) -> int:
+        """A next version with the rows of an older one, which stay where they are: nothing is written but the entry."""
+        base = self.last()
+        return self.journal.append(self.journal.entry(version) | {"batches": self.journal.entry(base)["batches"], "told": told or {}}, base)
+
     def keep_last(self, most: int) -> list[int]:
         """Removes the rows of all but the last ``most`` versions; their entries stay. Gives the versions whose rows went."""
         gone = []
+        kept = {self.journal.entry(version)["folder"] for version in self.versions()[-most:]}
         for version in self.versions()[:-most]:
             entry = self.journal.entry(version)
+            if entry["folder"] in kept:
+                continue
             if self.buckets is not None:
                 self.spark.sql(f"DROP TABLE IF EXISTS v_{entry['folder'].removeprefix('data-')}")
             remove(self.spark, f"{self.path}/{entry['folder']}")

@@ -61,3 +61,14 @@ def test_index_hands_on_the_best_of_each_block_alone(spark, tmp_path):
         assert sorted(map(tuple, index.search(queries, 4)[0].collect())) == sorted(map(tuple, want.collect()))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_version_is_put_back_without_writing_rows(spark, tmp_path):
+    from atomweave.operators import store
+
+    shelf = store.Snapshots(spark, str(tmp_path / "shelf"))
+    shelf.commit(spark.range(3))
+    shelf.commit(spark.range(5))
+    assert shelf.put_back(1, {"x": 2}) == 3 and shelf.read().count() == 3 and shelf.told() == {"x": 2}
+    assert len(list((tmp_path / "shelf").glob("data-*"))) == 2
+    assert shelf.keep_last(1) == [2] and shelf.read().count() == 3
