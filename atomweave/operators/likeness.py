@@ -1,50 +1,144 @@
 """Likeness over a store that grows: a stored prefix index, and the join of each batch with what was there before.
 
-The index keeps classes of documents with equal sets of words, not documents. For each class it has the words of its prefix, with the set's size and the
-word's place, in folders by hash of the word; the set itself, in folders by hash of the set; who is a member; and every pair of classes that reaches the
+The index keeps classes of documents with equal sets of words, not documents. For each class it has the words of its prefix, with the set's size, signature and the
+word's place, packed, in folders by hash of the word; the set itself, in folders by hash of the set; who is a member; and every pair of classes that reaches the
 score. All of it is written once for each batch and never changed; a batch counts once its entry stands in the journal.
 
 A batch brings documents that are new, changed or gone. Its sets that the index lacks get prefixes in the order of words that the first batch fixed (any
 order is right; a stale one costs candidates alone, and ``rebuilt`` makes a new one). They meet each other, and the stored prefixes
 of the same words: only folders of such words are read, and only folders of sets that met. So the work follows the new rows and those they meet, and
-pairs of stored sets aren't looked at again."""
+pairs of stored sets aren't looked at again. A pair is shuffled only if its signatures allow the score, and then as two numbers. Sets are shuffled
+once in a batch to be stored, and those in such pairs again to be compared; what a batch puts aside goes when it is done."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, remove
+from ..session import checkpointed, remove, tidied
 from ..sources.journal import Journal, LostRace
 from . import retrieve
 
 SETS = "slot string, set string, n int, tokens array<long>, folder int"
-POSTINGS = "slot string, token long, set string, n int, at int, folder int"
+POSTINGS = "slot_hash long, entries int, " + ", ".join(f"{x} binary" for x in (*retrieve.WORD, "signature")) + ", folder int"
 MEMBERS = "doc_id string, slot string, set string, created_at_ms long"
 EDGES = "slot string, a string, b string, score double"
-#: Files of a folder that a batch writes at most, so that a hot word is spread.
-SPREAD = 8
+#: Files of a folder that a batch writes at most, so that a hot word is spread. Sets whose copies a task knows, at most.
+SPREAD, KNOWN_SETS = 8, 200_000
+#: A batch of at most so many entries tells the tasks which words it asks for; a larger one asks for nearly all of what it reads.
+ASKED = 200_000
+#: Sets of a group in which pairs are compared, at most about. Labels that are told to all tasks, at most; of more, sets are joined to them.
+GROUP_SETS, TOLD_LABELS = 2_048, 1_000_000
 
 
 def folder_of(key: Column, folders: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(folders)).cast("int")
 
 
-def met_across(new: DataFrame, old: DataFrame, good: Column) -> DataFrame:
-    """Pairs (slot, a, b) of new and stored postings at one word, as columns of ``a_`` and ``b_``; both lists of a word are cut in blocks by
-    hash, and each pair of blocks is a key of its own, so that a frequent word is spread over tasks."""
-    keys = ["slot", "token"]
-    counts = new.groupBy(*keys).agg(F.count("*").alias("x")).join(old.groupBy(*keys).agg(F.count("*").alias("y")), keys)
-    counts = counts.select(*keys, *[F.ceil(F.col(c) / retrieve.LIST).cast("int").alias(c) for c in ("x", "y")])
-    deal = lambda rows, own, other: (
-        rows.join(counts, keys).withColumn(f"{own}_block", F.pmod(F.xxhash64("set"), own).cast("int")).withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-    )
-    side = lambda rows, name: rows.select(*keys, "x_block", "y_block", *[F.col(c).alias(f"{name}_{c}") for c in ("set", "n", "at")])
-    met = side(deal(new, "x", "y"), "a").join(side(deal(old, "y", "x"), "b"), [*keys, "x_block", "y_block"]).where(good)
-    return met.select("slot", F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b"))
+def label_of() -> Column:
+    return F.xxhash64("slot", "set").alias("label")
+
+
+def without_copies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each set (slot, set, …) of a task, now and then one more."""
+    seen: set[tuple[str, str]] = set()
+    for batch in batches:
+        kept = []
+        for k, key in enumerate(zip(batch.column("slot").to_pylist(), batch.column("set").to_pylist(), strict=True)):
+            if key not in seen:
+                seen.add(key)
+                kept.append(k)
+        if len(seen) > KNOWN_SETS:
+            seen.clear()
+        yield batch.take(pa.array(kept, pa.int64()))
+
+
+def posted(sets: DataFrame, least: float, hot: tuple[np.ndarray, np.ndarray], folders: int) -> DataFrame:
+    """Rows of POSTINGS from sets (label, slot_hash, tokens): entries of one slot and folder of words, packed."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, bits, slot in retrieve.prefixed(batches, least, hot):
+            slots, number = np.unique(slot, return_inverse=True)
+            part = number * folders + (retrieve.mixed(columns["token"]) % np.uint64(folders)).astype(np.int64)
+            present, packed = retrieve.cells(columns, bits, part, least)
+            own = {"slot_hash": pa.array(slots[present // folders]), "entries": pa.array([len(x) // 8 for x in packed["token"]], pa.int32())}
+            yield pa.RecordBatch.from_pydict(own | {name: pa.array(x, pa.binary()) for name, x in packed.items()} | {"folder": pa.array(present % folders, pa.int32())})
+
+    return sets.select("label", "slot_hash", "tokens").mapInArrow(run, POSTINGS)
+
+
+def dealt(postings: DataFrame, least: float, hot: tuple[np.ndarray, np.ndarray], n_groups: int, asked: np.ndarray | None = None) -> DataFrame:
+    """Packed entries by group of lists, of rows of POSTINGS; of the words in ``asked`` alone, if they are told."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            columns = {name: np.concatenate([h[0][name] for h in held]) for name in retrieve.WORD}
+            slot = np.concatenate([np.full(len(h[0]["token"]), h[2]) for h in held])
+            return pa.RecordBatch.from_pydict(retrieve.by_group(columns, np.concatenate([h[1] for h in held]), slot, least, hot, n_groups))
+
+        for batch in batches:
+            for k in range(len(batch)):
+                columns, bits = retrieve.gathered([batch.slice(k, 1)], retrieve.WORD)
+                if asked is not None:
+                    at = np.flatnonzero(np.isin(columns["token"], asked))
+                    bits, columns = retrieve.rows_of(bits, retrieve.widths(columns["n"], least), at), {name: c[at] for name, c in columns.items()}
+                if len(columns["token"]):
+                    held.append((columns, bits, batch.column("slot_hash")[k].as_py()))
+                    size += len(columns["token"])
+                if size > retrieve.GROUP_ENTRIES:
+                    yield packed()
+                    held, size = [], 0
+        if held:
+            yield packed()
+
+    return postings.select("slot_hash", *retrieve.WORD, "signature").mapInArrow(run, f"g int, {retrieve.PACKED}")
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(slot, set_x, set_y, n_x, n_y, common): sizes of two sets and of what they share, of pairs (x, y) of labels, each once, and sets (slot, set, tokens).
+
+    Sets that are like one another stand in one group, by the smallest label that each meets, so that a set goes to few groups and not to each of its
+    pairs. Where a label is met by many, its sets are dealt out to several groups. Sets in no pair aren't shuffled."""
+    met = pairs.select("x", "y").union(pairs.select("y", "x")).toDF("label", "other").groupBy("label").agg(F.least(F.first("label"), F.min("other")).alias("leader"))
+    met = checkpointed(met)
+    n = met.count()
+    parts = met.groupBy("leader").agg(F.ceil(F.count("*") / GROUP_SETS).alias("parts"))
+    group = F.pmod(F.xxhash64("leader", F.pmod(F.xxhash64("label"), "parts")), F.lit(n // GROUP_SETS + 1)).cast("int")
+    placed = checkpointed(met.join(parts, "leader").select("label", group.alias("group")))
+    told = F.broadcast(placed) if n <= TOLD_LABELS else placed
+    here = sets.select(label_of(), "slot", "set", "tokens").join(told, "label")
+    wanted = pairs.join(placed.withColumnRenamed("label", "y"), "y").groupBy("x", "group").agg(F.collect_list("y").alias("ys"))
+    asking = here.drop("group").join(wanted.withColumnRenamed("x", "label"), "label")
+
+    def meet(xs: pa.Table, ys: pa.Table) -> pa.Table:
+        at: dict[int, list[int]] = {}
+        for k, label in enumerate(ys.column("label").to_pylist()):
+            at.setdefault(label, []).append(k)  # two sets may have one label
+        theirs = [np.sort(value.values.to_numpy()) for value in ys.column("tokens")]
+        slots, names = ys.column("slot").to_pylist(), ys.column("set").to_pylist()
+        out: dict[str, list] = {name: [] for name in ("slot", "set_x", "set_y", "n_x", "n_y", "common")}
+        for label, slot, name, value, asked in zip(xs.column("label").to_pylist(), xs.column("slot").to_pylist(), xs.column("set").to_pylist(), xs.column("tokens"), xs.column("ys"), strict=True):
+            mine = value.values.to_numpy()
+            for y in asked.values.to_numpy().tolist():
+                for k in at.get(y, ()):
+                    if slots[k] == slot and names[k] != name and (y != label or name < names[k]):
+                        near = theirs[k][np.minimum(np.searchsorted(theirs[k], mine), len(theirs[k]) - 1)]
+                        row = slot, name, names[k], len(mine), len(theirs[k]), int(np.count_nonzero(near == mine))
+                        for of, x in zip(out.values(), row, strict=True):
+                            of.append(x)
+        kinds = pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()
+        return pa.table({c: pa.array(of, kind) for (c, of), kind in zip(out.items(), kinds, strict=True)})
+
+    anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
+    return anew(asking).groupBy("group").cogroup(anew(here).groupBy("group")).applyInArrow(meet, "slot string, set_x string, set_y string, n_x long, n_y long, common long")
 
 
 class LikenessIndex:
@@ -79,9 +173,9 @@ class LikenessIndex:
         found = self.spark.read.schema("token long, count long").parquet(self.place("order", self.journal.entry(1)["batch"])).orderBy("token").toArrow()
         return found.column("token").to_numpy(), found.column("count").to_numpy()
 
-    def folders_of(self, rows: DataFrame, key: str) -> list[int]:
+    def folders_of(self, rows: DataFrame, key: Column) -> list[int]:
         """Numbers of folders that hold these keys: as many as there are folders, at most."""
-        return sorted(r[0] for r in rows.select(folder_of(F.col(key), self.folders)).distinct().collect())
+        return sorted(r[0] for r in rows.select(folder_of(key, self.folders)).distinct().collect())
 
     def add(self, leaves: DataFrame, gone: DataFrame | None = None, stream: tuple[str, int] | None = None) -> int:
         """Adds documents (slot, doc_id, created_at_ms, body), each in its newest form, and takes out those in ``gone`` (doc_id). Gives the version; a
@@ -91,44 +185,42 @@ class LikenessIndex:
             return base
         name = uuid.uuid4().hex
         t = self.least - 10.0**-retrieve.DIGITS
-        sets = checkpointed(retrieve.word_sets(leaves)).select("slot", "set", "doc_id", "created_at_ms", "tokens")
+        aside = self.place("aside", name)
+        retrieve.word_sets(leaves).select("slot", "set", "doc_id", "created_at_ms", "tokens").write.parquet(aside)
+        sets = self.spark.read.parquet(aside)
         wordless = leaves.select("doc_id").join(sets.select("doc_id"), "doc_id", "left_anti")
         out = wordless if gone is None else wordless.unionByName(gone.select(F.col("doc_id").cast("string").alias("doc_id")).join(leaves.select("doc_id"), "doc_id", "left_anti"))
         nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("slot", "string"), ("set", "string"), ("created_at_ms", "long"))]
         members = sets.select("doc_id", "slot", "set", "created_at_ms").unionByName(out.select("doc_id", *nothing)).dropDuplicates(["doc_id"])
         members.write.parquet(self.place("members", name))
 
-        batch = checkpointed(sets.groupBy("slot", "set").agg(F.first("tokens").alias("tokens")))
         old_sets, old_postings = self.stored("sets", SETS, base), self.stored("postings", POSTINGS, base)
-        known = old_sets.where(F.col("folder").isin(self.folders_of(batch, "set"))).select("slot", "set")
-        new = checkpointed(batch.join(known, ["slot", "set"], "left_anti"))
-        hot = self.order(new.withColumn("rep", F.col("set")), self.place("order", name))
-        posted = retrieve.prefixes(new.withColumn("rep", F.col("set")), t, hot).select("slot", F.col("rep").alias("set"), "n", F.posexplode("prefix").alias("at", "token"))
-        posted = checkpointed(posted)
-
-        reach = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= (F.col("a_n") + F.col("b_n")) * (t / (1 + t))
-        good = (F.col("a_n") >= F.col("b_n") * t) & (F.col("b_n") >= F.col("a_n") * t) & reach
-        within = retrieve.candidates(new.withColumn("rep", F.col("set")), t, hot)
-        word_folders = self.folders_of(posted, "token") if base else []
-        asked = posted.select("slot", "token").distinct()
-        there = old_postings.where(F.col("folder").isin(word_folders)).join(asked, ["slot", "token"], "left_semi")
-        pairs = checkpointed(within.union(met_across(posted, there, good)).distinct() if base else within)
-
-        tokens = new.select("slot", "set", "tokens")
-        set_folders = self.folders_of(pairs.select(F.explode(F.array("a", "b")).alias("set")), "set") if base else []
-        if base:
-            asked_sets = pairs.select("slot", F.explode(F.array("a", "b")).alias("set")).distinct()
-            tokens = tokens.unionByName(old_sets.where(F.col("folder").isin(set_folders)).join(asked_sets, ["slot", "set"], "left_semi").select("slot", "set", "tokens"))
-        of = lambda x: tokens.select("slot", F.col("set").alias(x), F.col("tokens").alias(f"tokens_{x}"))
-        both = pairs.join(of("a"), ["slot", "a"]).join(of("b"), ["slot", "b"]).withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
-        score = F.round(F.col("common") / (F.size("tokens_a") + F.size("tokens_b") - F.col("common")), retrieve.DIGITS)
-        both.select("slot", "a", "b", score.alias("score")).where(F.col("score") >= self.least).write.parquet(self.place("edges", name))
-
-        spread = lambda rows, key: rows.withColumn("folder", folder_of(F.col(key), self.folders)).repartition(F.col("folder"), F.pmod(F.xxhash64("set"), F.lit(SPREAD)))
-        spread(new.withColumn("n", F.size("tokens")), "set").write.partitionBy("folder").parquet(self.place("sets", name))
-        spread(posted, "token").sortWithinPartitions("folder", "token").write.partitionBy("folder").parquet(self.place("postings", name))
+        self._new_sets(sets, old_sets).write.partitionBy("folder").parquet(self.place("sets", name))
+        remove(self.spark, aside)
+        mine = self.spark.read.schema(SETS).parquet(self.place("sets", name))
+        hot = self.order(mine.withColumn("rep", F.col("set")), self.place("order", name))
+        named = mine.select(label_of(), F.xxhash64("slot").alias("slot_hash"), "tokens")
+        spread = posted(named, t, hot, self.folders).repartition(F.col("folder"), F.pmod(F.xxhash64("token"), F.lit(SPREAD)))
+        spread.write.partitionBy("folder").parquet(self.place("postings", name))
+
+        new = self.spark.read.schema(POSTINGS).parquet(self.place("postings", name))
+        word_folders = sorted(r[0] for r in new.select("folder").distinct().collect()) if base else []
+        there = old_postings.where(F.col("folder").isin(word_folders))
+        pairs = checkpointed(self._met(new, there, t, hot))
+        tidied(self.spark)
+
+        set_folders = self.folders_of(pairs.select(F.explode(F.array("x", "y")).alias("label")), F.col("label")) if base else []
+        known = old_sets.where(F.col("folder").isin(set_folders)).select("slot", "set", "tokens")
+        tokens = mine.select("slot", "set", "tokens").unionByName(known)
+        found = compared(pairs, tokens)
+        score = F.round(F.col("common") / (F.col("n_x") + F.col("n_y") - F.col("common")), retrieve.DIGITS)
+        edges = found.select("slot", F.least("set_x", "set_y").alias("a"), F.greatest("set_x", "set_y").alias("b"), score.alias("score"))
+        edges.where(F.col("score") >= self.least).write.parquet(self.place("edges", name))
+
         streams = (self.journal.entry(base)["streams"] if base else {}) | ({stream[0]: stream[1]} if stream else {})
-        entry = {"batch": name, "streams": streams, "least": self.least, "folders": self.folders, "told": {"sets": new.count(), "pairs": pairs.count(), "word_folders": len(word_folders), "set_folders": len(set_folders)}}
+        entry = {"batch": name, "streams": streams, "least": self.least, "folders": self.folders, "told": {"sets": mine.count(), "pairs": pairs.count(), "word_folders": len(word_folders), "set_folders": len(set_folders)}}
+        del pairs
+        tidied(self.spark)
         try:
             return self.journal.append(entry, base)
         except LostRace:
@@ -136,6 +228,40 @@ class LikenessIndex:
                 remove(self.spark, self.place(table, name))
             raise
 
+    def _new_sets(self, sets: DataFrame, old_sets: DataFrame) -> DataFrame:
+        """Rows of SETS that aren't stored yet. What is stored meets what came in the files that are written, so that sets are shuffled once."""
+        came = sets.select("slot", "set", "tokens").mapInArrow(without_copies, "slot string, set string, tokens array<long>").withColumn("known", F.lit(False))
+        if self.journal.last():
+            known = old_sets.where(F.col("folder").isin(self.folders_of(sets, label_of())))
+            came = came.unionByName(known.select("slot", "set", F.lit(None).cast("array<long>").alias("tokens"), F.lit(True).alias("known")))
+        keys = ["folder", "salt"]
+        came = came.withColumns({"folder": folder_of(label_of(), self.folders), "salt": F.pmod(F.xxhash64("set"), F.lit(SPREAD))}).repartition(*keys)
+        one = came.groupBy(*keys, "slot", "set").agg(F.first("tokens", ignorenulls=True).alias("tokens"), F.bool_or("known").alias("known"))
+        return one.where(~F.col("known")).select("slot", "set", F.size("tokens").alias("n"), "tokens", "folder")
+
+    def _met(self, new: DataFrame, there: DataFrame, least: float, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+        """(x, y): pairs of labels that may reach ``least``, of new entries with each other and with those ``there``, each once."""
+        count = lambda rows: rows.agg(F.sum("entries")).first()[0] or 0
+        n, known = count(new), count(there)
+        n_groups = max(16, (n + known) // retrieve.GROUP_ENTRIES + 1)
+        asked = None
+        if known and n <= ASKED:
+            asked = np.unique(np.frombuffer(b"".join(new.select("token").toArrow().column(0).to_pylist()), np.int64))
+        rows = dealt(new, least, hot, n_groups).withColumn("old", F.lit(False))
+        if known:
+            rows = rows.unionByName(dealt(there, least, hot, n_groups, asked).withColumn("old", F.lit(True)))
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sides: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
+            for batch in batches:
+                for old, of in sides.items():
+                    of.append(batch.filter(pc.equal(batch.column("old"), old)))
+            mine, theirs = (retrieve.gathered(of, retrieve.ENTRY) for of in sides.values())
+            yield from retrieve.pair_batches(retrieve.list_pairs(mine, None, least))
+            yield from retrieve.pair_batches(retrieve.list_pairs(mine, theirs, least))
+
+        return rows.groupBy("g").applyInArrow(meet, "x long, y long").distinct()
+
     def told(self, version: int) -> dict[str, int]:
         """Counts of a batch: new sets, pairs that met, and folders read of what was stored."""
         return self.journal.entry(version)["told"]

@@ -269,32 +269,14 @@ def frequent_words(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], count[order]
 
 
-def prefixes(reps: DataFrame, least: float, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(slot, rep, n, prefix): the first ``n - ceil(least n) + 1`` words of each set, rare ones by hash, then by frequency."""
-    tokens, counts = hot
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, out = [], []
-            for value in batch.column("tokens"):
-                s = value.values.to_numpy()
-                seen = np.zeros(len(s), np.int64)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    seen = np.where(tokens[at] == s, counts[at], 0)
-                n.append(len(s))
-                out.append(s[np.lexsort((s, seen))][: len(s) - int(np.ceil(len(s) * least)) + 1])
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in out])], pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *out])))
-            yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("rep"), pa.array(n, pa.int32()), lists], names=["slot", "rep", "n", "prefix"])
-
-    return reps.select("slot", "rep", "tokens").mapInArrow(run, "slot string, rep string, n int, prefix array<long>")
-
-
 #: Entries of a group of lists, at most about; those of one list that meet in one task; pairs that a task holds before it hands them on.
 GROUP_ENTRIES, LONG_LIST, HELD_PAIRS = 250_000, 20_000, 400_000
-#: A set's signature: for each of so many times 64 classes of hashes whether the set has an odd number of them.
+#: A set's signature: for each of so many times 64 classes of hashes, at most, whether the set has an odd number of them.
 SIGNATURE = 8
-ENTRY = {"list": np.int64, "label": np.int64, "n": np.int32, "at": np.int32, "own": np.int32, "signature": np.uint64}  # bits are counted without a sign
+#: Entries of words' lists, and of lists that are cut in blocks; their signatures stand beside them, one after the other.
+WORD = {"token": np.int64, "label": np.int64, "n": np.int32, "at": np.int32}
+ENTRY = {"list": np.int64, "label": np.int64, "n": np.int32, "at": np.int32, "own": np.int32}
+Entries = tuple[dict[str, np.ndarray], np.ndarray]  # columns, and the words of signatures, which are counted without a sign
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -304,53 +286,112 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(tokens: np.ndarray) -> np.ndarray:
-    """Sets that differ in d words differ in at most d places of their signatures."""
-    odd = np.bincount((mixed(tokens) % np.uint64(64 * SIGNATURE)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+def signature(tokens: np.ndarray, words: int = SIGNATURE) -> np.ndarray:
+    """A signature of so many 64-bit words. Sets that differ in d words differ in at most d places, whatever its width is; halves of a signature, one
+    laid on the other by exclusive or, are the signature of half its width."""
+    odd = np.bincount((mixed(tokens) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def widths(n: np.ndarray, least: float) -> np.ndarray:
+    """Words of signatures of sets of n words: four places for each word in which one of like size may differ, as a power of two up to SIGNATURE."""
+    wanted = np.maximum(np.asarray(n) * (8 * (1 - least) / (1 + least) / 64), 1)
+    return np.minimum(2 ** np.ceil(np.log2(wanted)).astype(np.int64), SIGNATURE)
+
+
+def seen_of(tokens: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How often the sample has each word."""
+    known, counts = hot
+    if not len(known):
+        return np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return np.where(known[at] == tokens, counts[at], 0)
+
+
+def prefixed(batches: Iterable[pa.RecordBatch], least: float, hot: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """Entries (WORD), their signatures and their slots, in pieces of about GROUP_ENTRIES, of sets (label, slot_hash, tokens): the first
+    ``n - ceil(least n) + 1`` words of each, rare ones by hash, then by frequency."""
+    held, size = [], 0
+
+    def piece() -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        kept, label, n, slot, bits = zip(*held, strict=True)
+        times = np.array([len(k) for k in kept])
+        of = lambda x, kind: np.repeat(np.array(x, kind), times)
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        columns = {"token": np.concatenate(kept), "label": of(label, np.int64), "n": of(n, np.int32), "at": at.astype(np.int32)}
+        return columns, np.concatenate([np.tile(b, k) for b, k in zip(bits, times, strict=True)]), of(slot, np.int64)
+
+    for batch in batches:
+        for label, slot, value in zip(batch.column("label").to_pylist(), batch.column("slot_hash").to_pylist(), batch.column("tokens"), strict=True):
+            s = value.values.to_numpy()
+            kept = s[np.lexsort((s, seen_of(s, hot)))][: len(s) - int(np.ceil(len(s) * least)) + 1]
+            held.append((kept, label, len(s), slot, signature(s, int(widths(len(s), least)))))
+            size += len(kept)
+            if size > GROUP_ENTRIES:
+                yield piece()
+                held, size = [], 0
+    if held:
+        yield piece()
+
+
+def cut(columns: dict[str, np.ndarray], slot: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Entries (ENTRY) of entries (WORD), and of which each is. A list that is long by the sample is cut in blocks by label, of which each pair
+    makes a list of its own; ``own`` is an entry's block there, -1 where both are one."""
+    blocks = seen_of(columns["token"], hot) * SAMPLE // LONG_LIST + 1
+    of = np.repeat(np.arange(len(blocks)), blocks)
+    other = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own = (mixed(columns["label"]) >> np.uint64(8)).astype(np.int64)[of] % blocks[of]
+    place = np.minimum(own, other) * 1_000_003 + np.maximum(own, other)
+    key = mixed(mixed(columns["token"] ^ slot)[of] + place.astype(np.uint64)).view(np.int64)
+    return of, {"list": key, **{name: columns[name][of] for name in ("label", "n", "at")}, "own": np.where(own == other, -1, own).astype(np.int32)}
+
+
+def rows_of(bits: np.ndarray, wide: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Words of signatures of the widths ``wide``, of the rows ``order`` in this order."""
+    w = wide[order]
+    return bits[np.repeat((np.cumsum(wide) - wide)[order] - (np.cumsum(w) - w), w) + np.arange(w.sum())]
+
+
+def cells(columns: dict[str, np.ndarray], bits: np.ndarray, part: np.ndarray, least: float) -> tuple[np.ndarray, dict[str, list[bytes]]]:
+    """Parts that there are, and the bytes of each column and of the signatures for each of them."""
+    order = np.argsort(part, kind="stable")
+    present, starts = np.unique(part[order], return_index=True)
+    ends = [*starts[1:], len(order)]
+    wide = widths(columns["n"], least)
+    edge, words = np.r_[0, np.cumsum(wide[order])], rows_of(bits, wide, order)
+    out = {name: [c[order[x:y]].tobytes() for x, y in zip(starts, ends, strict=True)] for name, c in columns.items()}
+    return present, out | {"signature": [words[edge[x] : edge[y]].tobytes() for x, y in zip(starts, ends, strict=True)]}
+
+
+def by_group(columns: dict[str, np.ndarray], bits: np.ndarray, slot: np.ndarray, least: float, hot: tuple[np.ndarray, np.ndarray], n_groups: int) -> dict[str, pa.Array]:
+    """Columns of a batch (g and ENTRY, signature as bytes) from entries (WORD)."""
+    of, lists = cut(columns, slot, hot)
+    group = (lists["list"].view(np.uint64) % np.uint64(n_groups)).astype(np.int64)
+    present, out = cells(lists, rows_of(bits, widths(columns["n"], least), of), group, least)
+    return {"g": pa.array(present, pa.int32()), **{name: pa.array(c, pa.binary()) for name, c in out.items()}}
+
+
+PACKED = ", ".join(f"{x} binary" for x in (*ENTRY, "signature"))
+
+
 def entries(reps: DataFrame, least: float, hot: tuple[np.ndarray, np.ndarray], n_groups: int) -> DataFrame:
-    """Packed list entries of the prefixes of sets (label, slot_hash, tokens), by group of lists. A list that is long by the sample is
-    cut in blocks by label, of which each pair makes a list of its own; ``own`` is an entry's block there, -1 where both are one."""
-    tokens, counts = hot
-
-    def of(label: int, slot: int, s: np.ndarray) -> tuple[np.ndarray, ...]:
-        seen = np.zeros(len(s), np.int64)
-        if len(tokens):
-            at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-            seen = np.where(tokens[at] == s, counts[at], 0)
-        kept = np.lexsort((s, seen))[: len(s) - int(np.ceil(len(s) * least)) + 1]
-        blocks = seen[kept] * SAMPLE // LONG_LIST + 1
-        at = np.repeat(np.arange(len(kept)), blocks)
-        other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        own = (int(mixed(np.array([label]))[0]) >> 8) % blocks[at]
-        place = np.minimum(own, other) * 1_000_003 + np.maximum(own, other)
-        key = mixed(mixed(s[kept][at] ^ np.int64(slot)) + place.astype(np.uint64)).view(np.int64)
-        return key, np.full(len(at), label), np.full(len(at), len(s), np.int32), at.astype(np.int32), np.where(own == other, -1, own).astype(np.int32), np.repeat(signature(s)[None], len(at), axis=0)
-
-    def pack(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        group = (columns[0].view(np.uint64) % np.uint64(n_groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        present, starts = np.unique(group[order], return_index=True)
-        ends = [*starts[1:], len(order)]
-        cells = [[c[order[x:y]].tobytes() for x, y in zip(starts, ends, strict=True)] for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names=["g", *ENTRY])
+    """Packed list entries of the prefixes of sets (label, slot_hash, tokens), by group of lists."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for label, slot, value in zip(batch.column("label").to_pylist(), batch.column("slot_hash").to_pylist(), batch.column("tokens"), strict=True):
-                held.append(of(label, slot, value.values.to_numpy()))
-                size += len(held[-1][0])
-                if size > GROUP_ENTRIES:
-                    yield pack(held)
-                    held, size = [], 0
-        if size:
-            yield pack(held)
+        for columns, bits, slot in prefixed(batches, least, hot):
+            yield pa.RecordBatch.from_pydict(by_group(columns, bits, slot, least, hot, n_groups))
+
+    return reps.select("label", "slot_hash", "tokens").mapInArrow(run, f"g int, {PACKED}")
 
-    return reps.select("label", "slot_hash", "tokens").mapInArrow(run, "g int, " + ", ".join(f"{x} binary" for x in ENTRY))
+
+def gathered(batches: Iterable[pa.RecordBatch | pa.Table], kinds: dict[str, type]) -> Entries:
+    """What the rows of batches hold as bytes."""
+    found: dict[str, list[bytes]] = {name: [] for name in (*kinds, "signature")}
+    for batch in batches:
+        for name, of in found.items():
+            of.extend(batch.column(name).to_pylist())
+    bits = np.frombuffer(b"".join(found.pop("signature")), np.uint64)
+    return {name: np.frombuffer(b"".join(found.pop(name)), kind) for name, kind in kinds.items()}, bits
 
 
 def once(pairs: np.ndarray) -> np.ndarray:
@@ -358,32 +399,69 @@ def once(pairs: np.ndarray) -> np.ndarray:
     return pairs[:, np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)]]
 
 
-def list_pairs(keys: np.ndarray, label: np.ndarray, n: np.ndarray, at: np.ndarray, own: np.ndarray, bits: np.ndarray, least: float) -> Iterator[np.ndarray]:
-    """Pairs of labels (two rows) that meet in a list and whose sizes, what is left behind the word, and signatures allow the score; in
-    pieces of bounded size, of which several may name one pair."""
-    order = np.lexsort((n, keys))
-    keys, label, n, at, own, bits = keys[order], label[order], n[order].astype(np.int64), at[order], own[order], bits[order]
-    rank = np.cumsum(np.r_[False, keys[1:] != keys[:-1]])
-    end = np.searchsorted((rank << 32) + n, (rank << 32) + np.floor(n / least + 1e-6).astype(np.int64), side="right")
-    ahead = end - np.arange(len(n)) - 1
+class Lists:
+    """Entries by list and size, with the signatures of each width that they have or that theirs can be laid together to."""
+
+    def __init__(self, entries: Entries, least: float):
+        columns, bits = entries
+        order = np.lexsort((columns["n"], columns["list"]))
+        wide = widths(columns["n"], least)
+        bits = rows_of(bits, wide, order)
+        self.key, self.label, self.at, self.own = (columns[name][order] for name in ("list", "label", "at", "own"))
+        self.n, self.wide = columns["n"][order].astype(np.int64), wide[order]
+        self.bits, start, width = {}, np.cumsum(self.wide) - self.wide, SIGNATURE
+        wider = np.zeros((0, 2 * width), np.uint64)
+        while width:
+            rows = np.zeros((len(order), width), np.uint64)
+            if len(wider):
+                rows |= wider[:, :width] ^ wider[:, width:]
+            here = np.flatnonzero(self.wide == width)
+            rows[here] = bits[start[here][:, None] + np.arange(width)]
+            self.bits[width] = wider = rows
+            width //= 2
+        self.names, first = np.unique(self.key, return_index=True)
+        self.rank = np.searchsorted(first, np.arange(len(order)), side="right") - 1
+
+    def place(self, rank: np.ndarray, n: np.ndarray, side: str) -> np.ndarray:
+        """Where sizes stand in lists."""
+        return np.searchsorted((self.rank << 32) + self.n, (rank << 32) + n, side=side)
+
+
+def list_pairs(mine: Entries, theirs: Entries | None, least: float) -> Iterator[np.ndarray]:
+    """Pairs of labels (two rows) that meet in a list and whose sizes, what is left behind the word, and signatures allow the score: of ``mine`` with
+    each other, or with ``theirs``; in pieces of bounded size, of which several may name one pair."""
+    x = Lists(mine, least)
+    y = x if theirs is None else Lists(theirs, least)
+    if not len(x.n) or not len(y.n):
+        return
+    if theirs is None:
+        rank, begin = x.rank, np.arange(len(x.n)) + 1
+    else:
+        rank = np.minimum(np.searchsorted(y.names, x.key), len(y.names) - 1)
+        begin = y.place(rank, np.ceil(x.n * least - 1e-6).astype(np.int64), "left")
+    ahead = np.maximum(y.place(rank, np.floor(x.n / least + 1e-6).astype(np.int64), "right") - begin, 0) * (y.names[rank] == x.key)
     total = np.cumsum(ahead)
     out, held, start = [], 0, 0
-    while start < len(n):
-        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + HELD_PAIRS)))
+    while start < len(x.n):
+        before = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, before + HELD_PAIRS)))
         i = np.repeat(np.arange(start, stop), ahead[start:stop])
-        j = i + 1 + np.arange(len(i)) - np.repeat(total[start:stop] - ahead[start:stop] - (total[start - 1] if start else 0), ahead[start:stop])
+        j = begin[i] + np.arange(len(i)) - np.repeat(total[start:stop] - ahead[start:stop] - before, ahead[start:stop])
         start = stop
-        both = n[i] + n[j]
-        good = (np.minimum(n[i] - at[i], n[j] - at[j]) >= both * (least / (1 + least)) - 1e-6) & ((own[i] != own[j]) | (own[i] < 0))
+        both = x.n[i] + y.n[j]
+        good = (np.minimum(x.n[i] - x.at[i], y.n[j] - y.at[j]) >= both * (least / (1 + least)) - 1e-6) & ((x.own[i] != y.own[j]) | (x.own[i] < 0))
         i, j, most = i[good], j[good], both[good] * ((1 - least) / (1 + least)) + 1e-6
-        apart = np.zeros(len(i), np.int64)
-        for k in range(SIGNATURE):
-            apart += np.bitwise_count(bits[i, k] ^ bits[j, k])
-            near = apart <= most
-            i, j, most, apart = i[near], j[near], most[near], apart[near]
-        if len(i):
-            out.append(once(np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])])))
-            held += out[-1].shape[1]
+        width = np.minimum(x.wide[i], y.wide[j])
+        for w in np.unique(width):
+            some = width == w
+            a, b, bound, apart = i[some], j[some], most[some], np.zeros(np.count_nonzero(some), np.int64)
+            for k in range(w):
+                apart += np.bitwise_count(x.bits[w][a, k] ^ y.bits[w][b, k])
+                near = apart <= bound
+                a, b, bound, apart = a[near], b[near], bound[near], apart[near]
+            if len(a):
+                out.append(once(np.stack([np.minimum(x.label[a], y.label[b]), np.maximum(x.label[a], y.label[b])])))
+                held += out[-1].shape[1]
         if held > HELD_PAIRS:
             yield once(np.concatenate(out, axis=1))
             out, held = [], 0
@@ -391,6 +469,11 @@ def list_pairs(keys: np.ndarray, label: np.ndarray, n: np.ndarray, at: np.ndarra
         yield once(np.concatenate(out, axis=1))
 
 
+def pair_batches(pairs: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for found in pairs:
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in found], names=["x", "y"])
+
+
 def candidates(reps: DataFrame, least: float, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(slot, a, b), a < b: pairs of ``reps`` (slot, rep, tokens) that may reach ``least``, each once. Ids stand as 64-bit hashes in
     lists, and a pair is handed on only if its signatures allow it, so that few pairs are shuffled beside those that are like."""
@@ -399,13 +482,7 @@ def candidates(reps: DataFrame, least: float, hot: tuple[np.ndarray, np.ndarray]
     n_groups = max(16, int(total * (1 - least) / GROUP_ENTRIES) + 1)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: dict[str, list[bytes]] = {name: [] for name in ENTRY}
-        for batch in batches:
-            for name, found in cells.items():
-                found.extend(batch.column(name).to_pylist())
-        columns = {name: np.frombuffer(b"".join(cells.pop(name)), kind) for name, kind in ENTRY.items()}
-        for found in list_pairs(*list(columns.values())[:-1], columns["signature"].reshape(-1, SIGNATURE), least):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in found], names=["x", "y"])
+        yield from pair_batches(list_pairs(gathered(batches, ENTRY), None, least))
 
     return told(entries(named, least, hot, n_groups).groupBy("g").applyInArrow(meet, "x long, y long").distinct(), named)
 
@@ -433,12 +510,6 @@ def width(octave: int) -> int:
     return min(MOST_WORDS, max(1, 4 * 2**octave // 64))
 
 
-def odd_places(tokens: np.ndarray, words: int) -> np.ndarray:
-    """A signature of so many 64-bit words. Sets that differ in d words differ in at most d places, whatever its width is."""
-    odd = np.bincount((mixed(tokens) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
-
-
 def near_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], least: float) -> Iterator[np.ndarray]:
     """Pairs of labels (two rows) of ``x`` and of no larger sets in ``y``, whose sizes and signatures allow the score. Both are (label, n, bits) by n,
     bits with a row for each word; of equal sizes the smaller label is the smaller set."""
@@ -496,7 +567,7 @@ def candidates_by_size(reps: DataFrame, least: float) -> DataFrame:
                     number = parts.get((slot, o), 0)
                     if not number:
                         continue
-                    bits = odd_places(tokens, width(o)).tobytes()
+                    bits = signature(tokens, width(o)).tobytes()
                     part = (int(mixed(np.array([label]))[0]) >> 8) % number
                     for other in range(number):
                         held.setdefault((slot, o, min(part, other), max(part, other)), []).append((label, len(tokens), o == mine, -1 if part == other else part, bits))

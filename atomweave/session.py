@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -43,6 +44,12 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(conf).delete(place, True)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nobody holds: it does so once the driver's garbage is collected, which may else be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers once for each application, so that functions that Spark runs in Python
     find it whatever the working folder of an executor is."""

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from atomweave.operators import dedup, healing, keywords, passes, retrieve, store, vectors
+from atomweave.operators import dedup, healing, keywords, likeness, passes, retrieve, store, vectors
 from atomweave.operators.joins import looked_up
 from atomweave.operators.likeness import LikenessIndex
 from atomweave.sources.journal import Journal, LostRace
@@ -181,6 +181,41 @@ def test_work_follows_the_new_rows(spark, tmp_path):
         LikenessIndex(spark, str(tmp_path / "i"), 0.7)
 
 
+@pytest.mark.parametrize(("seen", "asked"), [(1, 10**6), (retrieve.LONG_LIST // 8, 0)])
+def test_pairs_of_batches_pass_by_signature(spark, tmp_path, monkeypatch, seen, asked):
+    """Sets of common words meet in most lists, also in lists that are cut in blocks; those alone become pairs that may be like, and nothing is left aside."""
+    monkeypatch.setattr(likeness, "ASKED", asked)
+    real = retrieve.frequent_words
+    monkeypatch.setattr(retrieve, "frequent_words", lambda reps: (real(reps)[0], real(reps)[1] * seen))
+    turn = random.Random(6)
+    words = [f"w{k}" for k in range(70)]
+    bodies = [turn.sample(words, turn.choice((24, 25, 40))) for _ in range(240)]
+    for k in range(0, 240, 20):
+        bodies[k + 1] = [*bodies[k][1:], "other"]
+    rows = [(f"d{k:03d}", "knowledge" if k % 7 else "plans", 1000, " ".join(b)) for k, b in enumerate(bodies)]
+    index = LikenessIndex(spark, str(tmp_path / "i"), 0.8, folders=4)
+    turn.shuffle(rows)
+    pairs = [index.told(index.add(some_leaves(spark, rows[a:b])))["pairs"] for a, b in ((0, 110), (110, 240))]
+    want = pairs_at_once(spark, rows, 0.8)
+    assert pairs_of(index, 0.8) == want and len(want) >= 8
+    assert sum(pairs) < 1.5 * len(want) + 20
+    assert sorted(p.name for p in (tmp_path / "i" / "aside").iterdir() if not p.name.startswith(".")) == []
+
+
+def test_signatures_of_all_widths_can_be_laid_together():
+    import numpy as np
+
+    turn = np.random.default_rng(1)
+    sets = [turn.integers(0, 1 << 62, n) for n in (5, 100, 130, 260, 700, 2_000)]
+    assert [int(retrieve.widths(len(s), 0.88)) for s in sets] == [1, 1, 2, 4, 8, 8]
+    for s in sets:
+        wide = retrieve.signature(s)
+        for words in (4, 2, 1):
+            wide = wide[:words] ^ wide[words:]
+            assert (wide == retrieve.signature(s, words)).all()
+            assert np.bitwise_count(wide ^ retrieve.signature(s[3:], words)).sum() <= 3
+
+
 def test_a_second_writer_of_an_index_is_refused(spark, tmp_path, monkeypatch):
     one, two = (LikenessIndex(spark, str(tmp_path / "i"), 0.8, folders=4) for _ in range(2))
     one.add(some_leaves(spark, family(4, 12)))
