@@ -33,8 +33,6 @@ EDGES = "slot string, a string, b string, score double"
 SPREAD, KNOWN_SETS = 8, 200_000
 #: A batch of at most so many entries tells the tasks which words it asks for; a larger one asks for nearly all of what it reads.
 ASKED = 200_000
-#: Sets of a group in which pairs are compared, at most about. Labels that are told to all tasks, at most; of more, sets are joined to them.
-GROUP_SETS, TOLD_LABELS = 2_048, 1_000_000
 
 
 def folder_of(key: Column, folders: int) -> Column:
@@ -102,45 +100,6 @@ def dealt(postings: DataFrame, least: float, hot: tuple[np.ndarray, np.ndarray],
     return postings.select("slot_hash", *retrieve.WORD, "signature").mapInArrow(run, f"g int, {retrieve.PACKED}")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(slot, set_x, set_y, n_x, n_y, common): sizes of two sets and of what they share, of pairs (x, y) of labels, each once, and sets (slot, set, tokens).
-
-    Sets that are like one another stand in one group, by the smallest label that each meets, so that a set goes to few groups and not to each of its
-    pairs. Where a label is met by many, its sets are dealt out to several groups. Sets in no pair aren't shuffled."""
-    met = pairs.select("x", "y").union(pairs.select("y", "x")).toDF("label", "other").groupBy("label").agg(F.least(F.first("label"), F.min("other")).alias("leader"))
-    met = checkpointed(met)
-    n = met.count()
-    parts = met.groupBy("leader").agg(F.ceil(F.count("*") / GROUP_SETS).alias("parts"))
-    group = F.pmod(F.xxhash64("leader", F.pmod(F.xxhash64("label"), "parts")), F.lit(n // GROUP_SETS + 1)).cast("int")
-    placed = checkpointed(met.join(parts, "leader").select("label", group.alias("group")))
-    told = F.broadcast(placed) if n <= TOLD_LABELS else placed
-    here = sets.select(label_of(), "slot", "set", "tokens").join(told, "label")
-    wanted = pairs.join(placed.withColumnRenamed("label", "y"), "y").groupBy("x", "group").agg(F.collect_list("y").alias("ys"))
-    asking = here.drop("group").join(wanted.withColumnRenamed("x", "label"), "label")
-
-    def meet(xs: pa.Table, ys: pa.Table) -> pa.Table:
-        at: dict[int, list[int]] = {}
-        for k, label in enumerate(ys.column("label").to_pylist()):
-            at.setdefault(label, []).append(k)  # two sets may have one label
-        theirs = [np.sort(value.values.to_numpy()) for value in ys.column("tokens")]
-        slots, names = ys.column("slot").to_pylist(), ys.column("set").to_pylist()
-        out: dict[str, list] = {name: [] for name in ("slot", "set_x", "set_y", "n_x", "n_y", "common")}
-        for label, slot, name, value, asked in zip(xs.column("label").to_pylist(), xs.column("slot").to_pylist(), xs.column("set").to_pylist(), xs.column("tokens"), xs.column("ys"), strict=True):
-            mine = value.values.to_numpy()
-            for y in asked.values.to_numpy().tolist():
-                for k in at.get(y, ()):
-                    if slots[k] == slot and names[k] != name and (y != label or name < names[k]):
-                        near = theirs[k][np.minimum(np.searchsorted(theirs[k], mine), len(theirs[k]) - 1)]
-                        row = slot, name, names[k], len(mine), len(theirs[k]), int(np.count_nonzero(near == mine))
-                        for of, x in zip(out.values(), row, strict=True):
-                            of.append(x)
-        kinds = pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()
-        return pa.table({c: pa.array(of, kind) for (c, of), kind in zip(out.items(), kinds, strict=True)})
-
-    anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
-    return anew(asking).groupBy("group").cogroup(anew(here).groupBy("group")).applyInArrow(meet, "slot string, set_x string, set_y string, n_x long, n_y long, common long")
-
-
 class LikenessIndex:
     """Stored classes, prefixes and pairs of likeness of at least ``least``, below one folder."""
 
@@ -212,10 +171,7 @@ class LikenessIndex:
         set_folders = self.folders_of(pairs.select(F.explode(F.array("x", "y")).alias("label")), F.col("label")) if base else []
         known = old_sets.where(F.col("folder").isin(set_folders)).select("slot", "set", "tokens")
         tokens = mine.select("slot", "set", "tokens").unionByName(known)
-        found = compared(pairs, tokens)
-        score = F.round(F.col("common") / (F.col("n_x") + F.col("n_y") - F.col("common")), retrieve.DIGITS)
-        edges = found.select("slot", F.least("set_x", "set_y").alias("a"), F.greatest("set_x", "set_y").alias("b"), score.alias("score"))
-        edges.where(F.col("score") >= self.least).write.parquet(self.place("edges", name))
+        retrieve.compared(pairs, tokens.withColumn("label", label_of()), self.least).write.parquet(self.place("edges", name))
 
         streams = (self.journal.entry(base)["streams"] if base else {}) | ({stream[0]: stream[1]} if stream else {})
         entry = {"batch": name, "streams": streams, "least": self.least, "folders": self.folders, "told": {"sets": mine.count(), "pairs": pairs.count(), "word_folders": len(word_folders), "set_folders": len(set_folders)}}

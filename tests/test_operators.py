@@ -415,6 +415,30 @@ def test_low_likeness_meets_by_size_in_parts(spark, monkeypatch):
     assert found == want and len(want) > 30
 
 
+@pytest.mark.parametrize("told", [1_000_000, 0])
+def test_sets_of_pairs_meet_in_bounded_groups(spark, monkeypatch, told):
+    """Pairs far below one half, of a hub and of chains, get the scores of all pairs however groups are cut; sets in no pair don't matter."""
+    monkeypatch.setattr(retrieve, "GROUP_SETS", 3)
+    monkeypatch.setattr(retrieve, "TOLD_LABELS", told)
+    rng = np.random.default_rng(4)
+    sets = [(k, "one" if k % 4 else "two", f"{k:02d}", list(map(int, rng.choice(40, 12, replace=False)))) for k in range(40)]
+    pairs = [(0, k) for k in range(1, 25)] + [(k, k + 1) for k in range(1, 30)] + [(2, 38)]
+    frame = spark.createDataFrame(sets, "label long, slot string, set string, tokens array<long>")
+    found = sorted(map(tuple, retrieve.compared(spark.createDataFrame(pairs, "x long, y long"), frame, 0.1).collect()))
+    of = {k: (slot, name, set(tokens)) for k, slot, name, tokens in sets}
+    want = sorted((of[x][0], of[x][1], of[y][1], score) for x, y in pairs if of[x][0] == of[y][0] and (score := round(len(of[x][2] & of[y][2]) / len(of[x][2] | of[y][2]), 6)) >= 0.1)
+    assert found == want and len(want) > 10
+
+
+def test_low_likeness_of_sets_octaves_apart(spark):
+    """Below one half a set meets those of octaves further below."""
+    sets = [list(range(n)) for n in (3, 4, 10, 16, 33, 50, 64, 100)]
+    reps = spark.createDataFrame([("s", f"{len(s):03d}", s) for s in sets], "slot string, rep string, tokens array<long>")
+    for least in (0.12, 0.3):
+        found = {(r["a"], r["b"], r["score"]) for r in retrieve.likeness(reps, least).collect()}
+        assert found == {(f"{len(a):03d}", f"{len(b):03d}", round(len(a) / len(b), 6)) for a in sets for b in sets if len(a) < len(b) and len(a) / len(b) >= least}
+
+
 def test_saving_moves_no_texts(spark):
     """Slots are few, so that a join by slot would put most texts into one task."""
     fields = spark.createDataFrame([("knowledge", ["tags"])], "slot string, names array<string>")
